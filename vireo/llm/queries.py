@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL, as __spark_entry__ registers them."""
 
-from vireo.llm import packing, quality, sharding, warc
+from vireo.llm import neardup, packing, quality, sharding, warc
 
 QUERIES = {
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
+    "op4_chosen_path": neardup.op4_chosen_path,
     "op6_warc_segments": warc.op6_warc_segments,
     "op7_best_fit": packing.op7_best_fit,
     "op8_quality": quality.op8_quality,
