@@ -1,13 +1,15 @@
 """The subpackage's queries and their SQL, as __spark_entry__ registers them."""
 
-from vireo.llm import neardup, packing, quality, sharding, warc
+from vireo.llm import decontaminate, linededup, neardup, packing, quality, sharding, warc
 
 QUERIES = {
+    "op2_cgk_decontaminate": decontaminate.op2_cgk_decontaminate,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_chosen_path": neardup.op4_chosen_path,
     "op6_warc_segments": warc.op6_warc_segments,
     "op7_best_fit": packing.op7_best_fit,
     "op8_quality": quality.op8_quality,
+    "op9_fuzzy_lines": linededup.op9_fuzzy_lines,
 }
 
 ORACLE_SQL = {

@@ -66,7 +66,7 @@ def _flatten(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def _links(key: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, ids: np.ndarray, sk: np.ndarray, max_different: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect, within each run of equal keys (each at most NODE_LIMIT long), all members whose sketches agree pairwise along a chain."""
     n = len(key)
     parent = np.arange(n)
@@ -80,7 +80,7 @@ def _links(key: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray
         open_ = i[parent[i] != parent[i + off]]
         if not len(open_):
             continue
-        x = open_[(different(sk[open_], sk[open_ + off]) <= MAX_DIFFERENT) & (ids[open_] != ids[open_ + off])]
+        x = open_[(different(sk[open_], sk[open_ + off]) <= max_different) & (ids[open_] != ids[open_ + off])]
         left.append(ids[x])
         right.append(ids[x + off])
         while len(x):
@@ -93,7 +93,7 @@ def _links(key: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def compare_nodes(rows: DataFrame, last: bool) -> DataFrame:
+def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFERENT) -> DataFrame:
     """rows: key, id, s1, s2 (longs). kind 0: a link a, b. kind 1: a member b of node a, which has over NODE_LIMIT members and must be branched further.
 
     last: such nodes are branched no more; all their members are linked with their first one, for the exact verification to decide.
@@ -136,7 +136,7 @@ def compare_nodes(rows: DataFrame, last: bool) -> DataFrame:
                 keep &= ~row_big
                 if big[-1]:
                     large = int(key[-1]), int(first.get(int(key[-1]), ids[starts[-1]]))
-            a, b = _links(key[keep], ids[keep], np.stack([s1[keep], s2[keep]], axis=1).view(np.uint64))
+            a, b = _links(key[keep], ids[keep], np.stack([s1[keep], s2[keep]], axis=1).view(np.uint64), max_different)
             if len(a):
                 yield batch_of(0, a, b)
             held = [[c[len(key) - tail :] for c in cols]] if tail else []
