@@ -3,8 +3,8 @@
 A document is contaminated by an item if some passage of it is within floor(EDIT_PERCENT * n / 100) word edits of the item's n
 words. Windows of the item's size are embedded by the CGK random walk (Chakraborty, Goldenberg & Koucky, STOC 2016), which turns
 edit distance into Hamming distance: at step j the walk copies the word it stands on and moves on if a random bit of
-(j, word) is set. Each of TABLES walks is its own hash table: SAMPLES of its steps are the key by which windows meet items
-of their size. The items so met are verified by bit-parallel edit distance around the window, so no result depends on hashing
+(j, word) is set. Each of TABLES walks is its own hash table: the words at SAMPLES of its steps are the key by which windows meet
+items of their size. The items so met are verified by bit-parallel edit distance around the window, so no result depends on hashing
 alone. A window is embedded only if it shares as many word pairs with items of its size as every match must (n - 1 - 2 * edits:
 one edit spoils two pairs), a bound that loses nothing. With edits at the limit a single window finds its item with probability
 0.9 or more, and about as many shifted windows as there are edits to spare try too.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from vireo.llm.common import mix, read_table, small_batches, text_bytes, word_hashes
 
 EDIT_PERCENT = 20
-TABLES = 48
+TABLES = 16
 SAMPLES = 3
 BLOCK_BYTES = 4 << 20  # of items' text that a task holds
 WINDOWS = 4096  # embedded at a time
@@ -92,9 +92,15 @@ class Index:
         # hashes of the words, not of their numbers: walks are the same for every block
         self.hash = np.concatenate([np.zeros(1, np.uint64), word_hashes(vocabulary, len(vocabulary))])
         rng = np.random.Generator(np.random.PCG64(7))
-        self.steps = 3 * self.longest
-        self.walk = rng.integers(0, 1 << 63, (self.steps, tables), dtype=np.uint64)
-        self.where = rng.random((tables, samples))
+        self.walk = rng.integers(0, 1 << 63, (2 * self.longest, tables), dtype=np.uint64)
+        # a walk leaves its window after twice the window's size, on average: steps are sampled up to there
+        sampled = (rng.random((tables, samples)) * 2 * np.array(self.sizes)[:, None, None]).astype(np.int64) if self.sizes else np.zeros((0, tables, samples), np.int64)
+        self.steps = int(sampled.max(initial=0)) + 1
+        self.walk = self.walk[: self.steps]
+        self.sampled = np.zeros((len(self.sizes), self.steps, tables), bool)
+        for k in range(samples):
+            np.put_along_axis(self.sampled, sampled[:, None, :, k], True, axis=1)
+        self.last = self.sampled.any(axis=2).cumsum(axis=1).argmax(axis=1) if self.sizes else np.zeros(0, np.int64)
         # word pairs -> the groups of sizes whose items hold them; 64 groups at most
         self.group = {n: k * 64 // max(len(self.sizes), 1) for k, n in enumerate(self.sizes)}
         self.pairs = np.zeros(1 << _TABLE_BITS, np.uint64)
@@ -122,22 +128,22 @@ class Index:
         return (mix(self.hash[a] * np.uint64(3) + self.hash[b]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
     def embed(self, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """A key per window and table: the walk's words at the table's sampled steps of 3 * size, and the size."""
+        """A key per window and table: the walk's words at the table's sampled steps, and the size. Windows of one size are best kept together."""
         n, t = len(windows), self.tables
-        sampled = (self.where[None] * (2 * sizes)[:, None, None]).astype(np.int64)  # a walk leaves its window after twice its size, on average
+        kind = np.searchsorted(self.sizes, sizes)
         key = np.repeat(mix(sizes.astype(np.uint64))[:, None], t, axis=1)
-        pos = np.zeros((n, t), np.int64)
-        rows = np.arange(n)[:, None]
-        width = windows.shape[1]
-        last = int(sampled.max(initial=0))
-        for j in range(last + 1):
-            inside = pos < sizes[:, None]
-            word = np.where(inside, windows[rows, np.minimum(pos, width - 1)], 0)
-            h = self.hash[word]
-            hit = (sampled == j).any(axis=2)
+        width = windows.shape[1] + 1
+        # a column of zeros is where a walk waits that has left its window; hashes instead of words
+        hashes = self.hash[np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1)].ravel()
+        at = np.repeat((np.arange(n) * width)[:, None], t, axis=1)
+        end = at + sizes[:, None]
+        for j in range(int(self.last[kind].max(initial=-1)) + 1):
+            h = hashes[np.minimum(at, end)]
+            hit = self.sampled[kind, j]
             if hit.any():
-                key = np.where(hit, mix(key + h * np.uint64(5) + np.uint64(j)), key)
-            pos += (mix(h ^ self.walk[j]) >> np.uint64(63)).astype(np.int64)
+                key[hit] = mix(key[hit] + h[hit] * np.uint64(5) + np.uint64(j))
+            x = (h ^ self.walk[j]) * np.uint64(0x9E3779B97F4A7C15)
+            at += ((x ^ (x << np.uint64(29))) >> np.uint64(63)).astype(np.int64)
         return key
 
     def starts(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
