@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL, as __spark_entry__ registers them."""
 
-from vireo.llm import decontaminate, linededup, neardup, packing, quality, sharding, warc
+from vireo.llm import decontaminate, licenses, linededup, neardup, packing, quality, sharding, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_cgk_decontaminate": decontaminate.op2_cgk_decontaminate,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_chosen_path": neardup.op4_chosen_path,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": licenses.oracle_sql(),
     "op6_warc_segments": warc.ORACLE,
     "op8_quality": quality.ORACLE,
 }
