@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, as __spark_entry__ registers them."""
 
-from vireo.llm import decontaminate, licenses, linededup, neardup, packing, quality, sharding, warc
+from vireo.llm import decontaminate, htmltext, licenses, linededup, neardup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_best_fit": packing.op7_best_fit,
     "op8_quality": quality.op8_quality,
     "op9_fuzzy_lines": linededup.op9_fuzzy_lines,
+    "op10_block_labeller": htmltext.op10_block_labeller,
 }
 
 ORACLE_SQL = {
