@@ -1,12 +1,13 @@
 """The subpackage's queries and their SQL, as __spark_entry__ registers them."""
 
-from vireo.llm import decontaminate, htmltext, licenses, linededup, neardup, packing, quality, sharding, warc
+from vireo.llm import decontaminate, htmltext, licenses, linededup, lmscore, neardup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_cgk_decontaminate": decontaminate.op2_cgk_decontaminate,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_chosen_path": neardup.op4_chosen_path,
+    "op5_attention_lm": lmscore.op5_attention_lm,
     "op6_warc_segments": warc.op6_warc_segments,
     "op7_best_fit": packing.op7_best_fit,
     "op8_quality": quality.op8_quality,
