@@ -49,6 +49,12 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows of documents as one column ``row``, whatever their columns are called, beside m_doc (doc_id) and m_rk (a hash of the text)."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, F.col("doc_id").cast("long").alias("m_doc"), F.xxhash64("text").alias("m_rk"))
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words of a text with A-Z in lower case; bytes.lower() leaves all other letters as they are."""
     return text.lower().split()

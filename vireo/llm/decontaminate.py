@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import mix, read_table, small_batches, text_bytes, word_hashes
+from vireo.llm.common import keyed, materialize, mix, read_table, small_batches, text_bytes, word_hashes
 
 EDIT_PERCENT = 20
 TABLES = 16
@@ -257,5 +257,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERC
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_words", "best.edits", "best.end_word")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT) -> DataFrame:
+    """docs without the contaminated ones, told apart by doc_id and text."""
+    key = F.xxhash64("doc_id", "text")
+    hits = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, percent).select(F.col("doc_id").alias("hit")).distinct()
+    rows = keyed(docs).withColumn("m_key", F.xxhash64("row.doc_id", "row.text"))
+    return rows.join(materialize(hits), F.col("m_key") == F.col("hit"), "left_anti").select("row.*")
+
+
 def op2_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import materialize, mix, read_table, small_batches
+from vireo.llm.common import keyed, materialize, mix, read_table, small_batches
 from vireo.llm.components import connected_components
 from vireo.llm.setjoin import SLOTS, compare_nodes, sketches, verify_clusters
 
@@ -179,7 +179,7 @@ def clean_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without their duplicate lines (text and n_chars change, other columns pass). A document that loses all its lines goes."""
     _, gone = duplicate_lines(docs, percent)
     names = docs.columns
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("m_doc"), F.xxhash64("text").alias("m_rk"))
+    row = keyed(docs)
     by = _by_document(gone)
     joined = row.join(by, row["m_doc"].eqNullSafe(by["g_doc"]) & (F.col("m_rk") == F.col("g_rk")), "left")
     left = F.filter(F.split(F.col("row.text"), "\n", -1), lambda x, k: ~F.array_contains(F.col("g_lines"), k))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import digest128, materialize, mix, read_table, shingle_set, small_batches, text_bytes
+from vireo.llm.common import digest128, keyed, materialize, mix, read_table, shingle_set, small_batches, text_bytes
 from vireo.llm.components import connected_components
 from vireo.llm.setjoin import SLOTS, compare_nodes, signature, sketches, verify_clusters
 
@@ -52,16 +52,16 @@ def start_levels(n: int) -> int:
 
 
 def _set_rows(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, size)
                 found.append((*digest128(s), len(s), signature(s).tobytes() if len(s) else None))
             cols = list(zip(*found)) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, schema.field(k + 1).type) for k, c in enumerate(cols))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, schema.field(k + 2).type) for k, c in enumerate(cols))], schema=schema)
 
     return run
 
@@ -127,11 +127,11 @@ def _member_sets(size: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataFrame:
-    """doc_id, d1, d2 (digest of the set), n_shingles, component_id and kept for every row of docs."""
+    """doc_id, rk (a hash of the text), n_shingles, component_id, kept, and root (a group's number; null where a document is alone) for every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    rows = materialize(texts.mapInArrow(_set_rows(size), "doc_id long, d1 long, d2 long, n long, sig binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), text_bytes().alias("text"))
+    rows = materialize(texts.mapInArrow(_set_rows(size), "doc_id long, rk long, d1 long, d2 long, n long, sig binary"))
     sets = materialize(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     clusters = materialize(connected_components(candidate_links(sets))).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
     asked = materialize(sets.join(clusters, "d1").select("least_doc", "cluster", "d1", "d2"))
@@ -143,10 +143,28 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     roots = sets.select("d1", "d2", "least_doc", "copies").join(linked.select(F.col("node").alias("d1"), "root"), "d1", "left")
     roots = materialize(roots.filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "d1")))
     least = roots.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    grouped = roots.join(least, "root").select("d1", "d2", "component_id", F.lit(True).alias("_grouped"))
+    grouped = roots.join(least, "root").select("d1", "d2", "component_id", "root")
     out = rows.drop("sig").join(grouped, ["d1", "d2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("_grouped"), F.col("component_id")).otherwise(F.col("doc_id"))).drop("_grouped")
-    return out.select("doc_id", "d1", "d2", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.withColumn("component_id", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "rk", "root", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
+    """docs without near duplicates: of each group the row with the least (doc_id, text hash) stays, once; a null doc_id is the greatest."""
+    found = materialize(near_duplicates(docs, size, percent).select("doc_id", "rk", "root")).filter("root IS NOT NULL")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), "rk")
+    first = found.groupBy("root").agg(F.min(place).alias("first"))
+    gone = found.join(first, "root").filter(place != F.col("first")).select(F.col("doc_id").alias("g_doc"), F.col("rk").alias("g_rk")).distinct()
+    rows = keyed(docs)
+    same = lambda x: rows["m_doc"].eqNullSafe(x["g_doc"]) & (rows["m_rk"] == x["g_rk"])
+    left = rows.join(gone, same(gone), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("g_doc"), F.col("rk").alias("g_rk")).agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    if again.limit(1).count():  # rows that repeat doc_id and text
+        again = materialize(again)
+        once = rows.join(again, same(again), "left_semi").dropDuplicates(["m_doc", "m_rk"])
+        rows = left
+        left = left.join(again, same(again), "left_anti").unionAll(once.join(gone, once["m_doc"].eqNullSafe(gone["g_doc"]) & (once["m_rk"] == gone["g_rk"]), "left_anti"))
+    return left.select("row.*")
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

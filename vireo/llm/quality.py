@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import materialize, read_table, rolling, small_batches, text_bytes
+from vireo.llm.common import keyed, materialize, read_table, rolling, small_batches, text_bytes
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -111,6 +112,20 @@ def judge(measured: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFram
     return measured.join(rates, "host", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate))
 
 
+def good_documents(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """docs without those that judge() rejects. Texts are measured twice rather than shuffled."""
+
+    @F.pandas_udf("boolean")
+    def failed(texts: pd.Series) -> pd.Series:
+        found = [measure(bytes(x)) for x in texts]
+        return pd.Series([m[0] < MIN_WORDS or 100 * m[5] > MAX_REPEAT_PERCENT * m[0] for m in found], dtype=bool)
+
+    bad = materialize(host_rates(measures(docs)).filter(F.col("shrunk_rate") > max_host_rate).select(F.col("host").alias("bad_host")))
+    rows = keyed(docs)
+    rows = rows.join(bad, F.col("row.source").cast("string") == F.col("bad_host"), "left_anti")
+    return rows.filter(~failed(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))).select("row.*")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(measures(read_table(spark, sf_dir, "documents")))
     return judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
