@@ -1,0 +1,11 @@
+"""Session settings that the engine expects; everything else is left to the cluster."""
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "vireo", **conf: str) -> SparkSession:
+    """A session with adaptive execution in UTC; conf adds settings, with _ for dots."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    for key, value in conf.items():
+        builder = builder.config(key.replace("_", "."), value)
+    return builder.getOrCreate()
