@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from vireo.functions import kernels, metadata
-from vireo.plans.schema import METRICS
+from vireo.plans.schema import HASH_PAIR, METADATA, METRICS
 from vireo.sources import png
 
 
-@F.pandas_udf("struct<ph:long,dh:long,error:string>")
+@F.pandas_udf(HASH_PAIR)
 def image_hashes(content: pd.Series) -> pd.DataFrame:
     rows = []
     for data in content:
@@ -27,13 +28,13 @@ def image_metrics(content: pd.Series) -> pd.DataFrame:
     return out.astype({c: "Int32" for c in ("width", "height", "file_corrupt", "is_grayscale", "unique_colors")})
 
 
-@F.pandas_udf(metadata.SCHEMA)
+@F.pandas_udf(METADATA)
 def png_metadata(content: pd.Series) -> pd.DataFrame:
     out = pd.DataFrame([metadata.extract(data) for data in content], columns=["width", "height", "prompt", "model", "seed", "workflow"])
     return out.astype({"width": "Int32", "height": "Int32"})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def thumbnail_png(content: pd.Series) -> pd.Series:
     """A PNG of at most 400 pixels a side; null where the image can't be read."""
     out = []

@@ -11,7 +11,6 @@ PROMPT_CLASSES = ("CLIPTextEncode", "CLIPTextEncodeSDXL")
 MODEL_CLASSES = ("CheckpointLoaderSimple", "UNETLoader", "LoraLoader")
 NOISE_CLASSES = ("KSampler", "KSamplerAdvanced", "SamplerCustomAdvanced")
 WORKFLOW_CHARS = 50_000
-SCHEMA = "width int, height int, prompt string, model string, seed string, workflow string"
 
 
 def as_text(value: object) -> str:

@@ -7,6 +7,7 @@ import shutil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from vireo.functions.scalar import clamp, stem, suffix
 
@@ -103,4 +104,4 @@ def execute(plan: DataFrame) -> DataFrame:
         except OSError as e:
             error = str(e)
         out.append((*row, error is None, error))
-    return spark.createDataFrame(out, plan.schema.add("ok", "boolean").add("error", "string"))
+    return spark.createDataFrame(out, StructType([*plan.schema.fields, StructField("ok", BooleanType()), StructField("error", StringType())]))

@@ -1,4 +1,213 @@
 """Queries of the catalog engine by name, each with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vireo.functions import scalar
+from vireo.operators import catalog, dupes, pull, review
+from vireo.plans import adapters
+from vireo.plans.tables import read_table
+from vireo.sources.files import scannable
+
+THRESHOLD = 12
+PAGE_COLUMNS = ("id", "filename", "directory", "rating", "rejected", "quality_score", "filesize")
+
+_IMAGES = """images AS (SELECT d.doc_id AS id, '/vault/' || source || '/' || lang AS directory,
+  'img_' || d.doc_id || (['.png', '.JPG', '.jpeg', '.webp', '.bmp', '.txt'])[(d.doc_id % 6)::INT + 1] AS filename, n_chars AS filesize, substring(text, 1, 2000) AS prompt,
+  source AS model, (coalesce(quality, 0) * (d.doc_id % 6))::INT AS rating, (d.doc_id % 7 = 0)::INT AS flag, coalesce(toxic, 0) AS rejected,
+  CASE WHEN quality IS NOT NULL THEN (n_chars % 1000) / 10 END AS quality_score, d.doc_id * 60.0::DOUBLE AS file_modified, CASE WHEN quality IS NOT NULL THEN d.doc_id * 1.0::DOUBLE END AS analyzed_at,
+  (n_chars % 11 = 0)::INT AS file_corrupt FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+_LOW = f"translate(%s, '{scalar.UPPER}', '{scalar.LOWER}')"
+_HASHES = """hashes AS (SELECT doc_id AS key, CASE WHEN b >= 9223372036854775808::HUGEINT THEN (b - 18446744073709551616::HUGEINT)::BIGINT ELSE b::BIGINT END AS dh FROM (
+  SELECT doc_id, list_sum([CASE WHEN g[(k // 8) * 9 + k % 8 + 2] > g[(k // 8) * 9 + k % 8 + 1] THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END for k in range(0, 64)])::HUGEINT AS b FROM (
+    SELECT doc_id, [coalesce(ascii(nullif(substr(text, i::INT, 1), '')), 0) & 255 for i in range(1, 73)] AS g FROM documents)))"""
+_EDGES = f"{_HASHES}, edges AS (SELECT a.key AS a, b.key AS b, bit_count(xor(a.dh, b.dh))::INT AS d FROM hashes a JOIN hashes b ON a.key < b.key AND bit_count(xor(a.dh, b.dh)) <= {THRESHOLD})"
+_FAMILIES = f"""{_EDGES}, u AS (SELECT a AS x, b AS y, d FROM edges UNION ALL SELECT b, a, d FROM edges),
+r(v, c) AS (SELECT DISTINCT x, x FROM u UNION SELECT u.y, r.c FROM r JOIN u ON u.x = r.v),
+roots AS (SELECT v AS key, min(c) AS family_id FROM r GROUP BY v), near AS (SELECT x AS key, min(d) AS min_dist FROM u GROUP BY x),
+fam AS (SELECT family_id, roots.key, min_dist FROM roots JOIN near ON roots.key = near.key)"""
+
+LISTING = catalog.CatalogQuery(min_rating=1, max_rating=5, prompt="the", sort="quality_score", limit=50, offset=10)
+UNRATED = catalog.CatalogQuery(unrated=True, include_rejected=True, directory="SRC1", sort="filename", direction="asc", limit=500)
+QUALITY = catalog.CatalogQuery(min_quality=40, max_quality=90, include_rejected=True, model="src_", sort="no such column", limit=30, offset=5)
+
+
+def _page(query: catalog.CatalogQuery):
+    return lambda spark, d: query.page(adapters.images(spark, d)).select(*PAGE_COLUMNS)
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return dupes.pair_edges(adapters.text_hashes(spark, d), THRESHOLD, ["dh"])
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return dupes.families(_edges(spark, d), THRESHOLD)
+
+
+def _family_stats(spark: SparkSession, d: str) -> DataFrame:
+    from vireo.plans.tables import materialize
+
+    return dupes.family_stats(materialize(_members(spark, d)), read_table(spark, d, "documents").count())
+
+
+def _family_page(spark: SparkSession, d: str) -> DataFrame:
+    from vireo.plans.tables import materialize
+
+    return dupes.family_page(materialize(_members(spark, d)), page=2, per_page=10)
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.source_files(spark, d)
+
+
+def _pull_plan(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d)
+    manifest = files.filter("doc_id % 10 = 0").select("origin", F.concat(F.lit("/pool/old/"), F.col("doc_id").cast("string")).alias("pool_path"), "sha256")
+    plan = pull.pull_plan(files.drop("doc_id"), manifest, "/pool")
+    return plan.select("origin", "action", "dest", "exact_dupe_of")
+
+
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d).select(F.col("origin").alias("rel"), F.col("doc_id").cast("double").alias("mtime"), "size")
+    cache = files.withColumn("v", F.when(F.col("mtime") % 3 == 0, 1).otherwise(2)).withColumn("size", F.when(F.col("mtime") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return catalog.changed_files(files, cache)
+
+
+def _variance(c: str):
+    """Population variance of 256 whole numbers, from whole sums: the same in any order."""
+    x = F.col(c).cast("long")
+    return (256 * F.sum(x * x) - F.sum(x) * F.sum(x)) / 65536
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """16 x 16 grey pixels of each document, in built-in expressions: the metrics that need no image file."""
+    docs = read_table(spark, d, "documents").select("doc_id", adapters.text_grid(F.col("text"), 256).alias("g"))
+    at = lambda y, x: F.get("g", (F.greatest(F.lit(0), F.least(F.lit(15), y)) * 16 + F.greatest(F.lit(0), F.least(F.lit(15), x))).cast("int"))
+    px = docs.select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("k")).withColumn("y", F.floor(F.col("k") / 16)).withColumn("x", F.col("k") % 16)
+    y, x = F.col("y"), F.col("x")
+    px = px.select("doc_id", at(y, x).alias("v"), (at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x)).alias("lap"))
+    base = px.groupBy("doc_id").agg(F.round(_variance("lap"), 1).alias("sharpness"), F.round(F.avg("v") / 255, 3).alias("brightness"), F.round(F.sqrt(_variance("v")) / 128, 3).alias("contrast"), F.avg("v").cast("int").alias("mean_color"))
+    bins = px.withColumn("bin", F.least(F.lit(63), F.floor(F.col("v") / 255 * 64))).groupBy("doc_id", "bin").agg(F.count("*").alias("n"))
+    p = F.col("n") / (256 + 1e-8)
+    ent = bins.groupBy("doc_id").agg(F.round(-F.sum(p * F.log2(p + 1e-8)) / 6, 3).alias("entropy"))
+    return base.join(ent, "doc_id")
+
+
+def _prompt_longest(spark: SparkSession, d: str) -> DataFrame:
+    turns = read_table(spark, d, "conversations")
+    return turns.groupBy("conv_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("turn"))).alias("prompt"))
+
+
+def _review_fold(spark: SparkSession, d: str) -> DataFrame:
+    log = read_table(spark, d, "events").select(F.col("user_id").alias("id"), review.rating_of(F.col("value")).alias("rating"), "ts", "event_id")
+    return review.fold(log, "id", "rating", "ts", "event_id")
+
+
+def _session_fold(spark: SparkSession, d: str) -> DataFrame:
+    log = read_table(spark, d, "events").select(F.col("event_type").alias("key"), F.coalesce("props", F.lit("")).alias("value"), "ts", "event_id")
+    return review.fold(log, "key", "value", "ts", "event_id")
+
+
+def _move_rated(spark: SparkSession, d: str) -> DataFrame:
+    im = adapters.images(spark, d).withColumn("filename", F.concat(F.lit("f"), (F.col("id") % 40).cast("string"), F.lit(".png")))
+    return review.move_rated_plan(im, "/dest").select("id", "origin", "dest")
+
+
+def _resolve(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d).filter("doc_id < 500").select(F.concat_ws("/", "source", F.col("rel")).alias("rel"), "doc_id")
+    keep = files.filter("doc_id % 4 = 0").select("rel")
+    return review.resolve_plan(files, keep, "/pool", "/pool_curated").select("rel", "action", "dest")
+
+
+QUERIES = {
+    "catalog_page": _page(LISTING),
+    "catalog_total": lambda s, d: LISTING.total(adapters.images(s, d)),
+    "unrated_page": _page(UNRATED),
+    "quality_page": _page(QUALITY),
+    "scan_extension_filter": lambda s, d: adapters.images(s, d).withColumn("rel", F.concat_ws("/", F.when(F.col("id") % 9 == 0, ".trash").otherwise("_in"), "filename")).filter(scannable(F.col("rel"))).select("id", "rel"),
+    "image_by_id": lambda s, d: catalog.by_id(adapters.images(s, d), 42).select(*PAGE_COLUMNS),
+    "image_by_path": lambda s, d: catalog.by_path(adapters.images(s, d), "/vault/src2/en/img_2.jpeg").select(*PAGE_COLUMNS),
+    "work_list": lambda s, d: catalog.work_list(adapters.images(s, d)),
+    "top_scores": lambda s, d: catalog.top_scores(adapters.images(s, d)).select("filename", "quality_score"),
+    "vault_stats": lambda s, d: catalog.vault_stats(adapters.images(s, d)),
+    "distinct_models": lambda s, d: catalog.distinct_models(adapters.images(s, d)),
+    "distinct_directories": lambda s, d: catalog.distinct_directories(adapters.images(s, d)),
+    "threshold_map": lambda s, d: s.range(-10, 111).select(F.col("id").cast("int").alias("confidence"), scalar.threshold_for_confidence(F.col("id")).alias("threshold")),
+    "confidence_map": lambda s, d: s.range(0, 41).select(F.col("id").cast("int").alias("threshold"), scalar.confidence_for_threshold(F.col("id")).alias("confidence")),
+    "text_dhash": lambda s, d: adapters.text_hashes(s, d),
+    "vec_phash": lambda s, d: adapters.vector_hashes(s, d),
+    "pair_edges": _edges,
+    "families": _members,
+    "family_stats": _family_stats,
+    "family_members_page": _family_page,
+    "perceptual_exact": lambda s, d: dupes.perceptual_exact(adapters.text_hashes(s, d), ["dh"]),
+    "exact_dupes": lambda s, d: pull.exact_dupes(_files(s, d)),
+    "pull_plan": _pull_plan,
+    "changed_files": _changed,
+    "review_fold": _review_fold,
+    "session_fold": _session_fold,
+    "move_rated_plan": _move_rated,
+    "resolve_plan": _resolve,
+    "without_rejected": lambda s, d: review.without_rejected(adapters.images(s, d)).select("id", "filename"),
+    "metrics_signal": _grid,
+    "quality_score": lambda s, d: _grid(s, d).select("doc_id", scalar.quality_score(F.col("sharpness"), F.col("contrast"), F.col("entropy"), F.lit(None).cast("double"), F.col("doc_id") % 10 == 0).alias("score")),
+    "prompt_longest": _prompt_longest,
+    "keys": lambda s, d: adapters.images(s, d).select("id", scalar.thumbnail_key(F.col("filepath")).alias("thumb_key"), scalar.vault_key(F.col("directory")).alias("vault_key")),
+}
+
+_COLS = ", ".join(PAGE_COLUMNS)
+_GRID = """g AS (SELECT doc_id, [coalesce(ascii(nullif(substr(text, i::INT, 1), '')), 0) & 255 for i in range(1, 257)] AS g FROM documents),
+k AS (SELECT doc_id, g, unnest(range(0, 256)) AS k FROM g), p AS (SELECT doc_id, g, k // 16 AS y, k % 16 AS x, g[k + 1] AS v FROM k),
+px AS (SELECT doc_id, v, g[greatest(y - 1, 0) * 16 + x + 1] + g[least(y + 1, 15) * 16 + x + 1] + g[y * 16 + greatest(x - 1, 0) + 1] + g[y * 16 + least(x + 1, 15) + 1] - 4 * v AS lap FROM p),
+b AS (SELECT doc_id, round((256 * sum(lap * lap) - sum(lap) * sum(lap)) / 65536, 1) AS sharpness, round(avg(v) / 255, 3) AS brightness, round(sqrt((256 * sum(v * v) - sum(v) * sum(v)) / 65536) / 128, 3) AS contrast, trunc(avg(v))::INT AS mean_color FROM px GROUP BY doc_id),
+h AS (SELECT doc_id, least(63, floor(v / 255 * 64)) AS bin, count(*) / (256 + 1e-8) AS q FROM px GROUP BY doc_id, bin),
+e AS (SELECT doc_id, round(-sum(q * log2(q + 1e-8)) / 6, 3) AS entropy FROM h GROUP BY doc_id),
+metrics AS (SELECT b.doc_id, sharpness, brightness, contrast, mean_color, entropy FROM b JOIN e ON b.doc_id = e.doc_id)"""
+_SRC = """files AS (SELECT '/src/' || source || '/' || lpad(doc_id::VARCHAR, 9, '0') AS origin, source, lang || '/f' || (doc_id % 50) || '.png' AS rel, sha256(text) AS sha256, n_chars AS size, doc_id FROM documents)"""
+
+ORACLE_SQL = {
+    "catalog_page": f"WITH {_IMAGES} SELECT {_COLS} FROM images WHERE rejected = 0 AND rating >= 1 AND rating <= 5 AND {_LOW % 'prompt'} LIKE '%the%' ORDER BY quality_score DESC NULLS LAST, id LIMIT 50 OFFSET 10",
+    "catalog_total": f"WITH {_IMAGES} SELECT count(*) AS total FROM images WHERE rejected = 0 AND rating >= 1 AND rating <= 5 AND {_LOW % 'prompt'} LIKE '%the%'",
+    "unrated_page": f"WITH {_IMAGES} SELECT {_COLS} FROM images WHERE rating = 0 AND rejected = 0 AND {_LOW % 'directory'} LIKE '%src1%' ORDER BY filename ASC, id LIMIT 200",
+    "quality_page": f"WITH {_IMAGES} SELECT {_COLS} FROM images WHERE quality_score >= 40 AND quality_score <= 90 AND {_LOW % 'model'} LIKE '%src_%' ORDER BY file_modified DESC, id LIMIT 30 OFFSET 5",
+    "scan_extension_filter": f"WITH {_IMAGES} SELECT id, '_in/' || filename AS rel FROM images WHERE id % 9 <> 0 AND id % 6 <> 5",
+    "image_by_id": f"WITH {_IMAGES} SELECT {_COLS} FROM images WHERE id = 42",
+    "image_by_path": f"WITH {_IMAGES} SELECT {_COLS} FROM images WHERE directory || '/' || filename = '/vault/src2/en/img_2.jpeg'",
+    "work_list": f"WITH {_IMAGES} SELECT id, directory || '/' || filename AS filepath FROM images WHERE analyzed_at IS NULL AND file_corrupt = 0",
+    "top_scores": f"WITH {_IMAGES} SELECT filename, quality_score FROM images WHERE quality_score IS NOT NULL ORDER BY quality_score DESC, filename LIMIT 20",
+    "vault_stats": f"WITH {_IMAGES} SELECT count(*) AS total, count(*) FILTER (rating > 0) AS rated, count(*) FILTER (rejected = 1) AS rejected, count(*) FILTER (flag = 1) AS flagged, count(*) FILTER (rating = 0 AND rejected = 0) AS unrated FROM images",
+    "distinct_models": f"WITH {_IMAGES} SELECT DISTINCT model FROM images WHERE model <> ''",
+    "distinct_directories": f"WITH {_IMAGES} SELECT DISTINCT directory FROM images",
+    "threshold_map": "SELECT i::INT AS confidence, round((100 - greatest(0, least(100, i))) * 0.4::DOUBLE)::INT AS threshold FROM range(-10, 111) t(i)",
+    "confidence_map": "SELECT i::INT AS threshold, trunc(100 - i / 0.4::DOUBLE)::INT AS confidence FROM range(0, 41) t(i)",
+    "text_dhash": f"WITH {_HASHES} SELECT key, dh FROM hashes",
+    "vec_phash": """WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), m AS (SELECT vec_id, e, list_sort(e) AS s FROM v),
+b AS (SELECT vec_id, list_sum([CASE WHEN e[k + 1] > (s[32] + s[33]) / 2 THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END for k in range(0, 64)])::HUGEINT AS b FROM m)
+SELECT vec_id, CASE WHEN b >= 9223372036854775808::HUGEINT THEN (b - 18446744073709551616::HUGEINT)::BIGINT ELSE b::BIGINT END AS ph FROM b""",
+    "pair_edges": f"WITH {_EDGES} SELECT a, b, d FROM edges",
+    "families": f"WITH RECURSIVE {_FAMILIES} SELECT family_id, key, min_dist FROM fam",
+    "family_stats": f"WITH RECURSIVE {_FAMILIES}, s AS (SELECT family_id, count(*) AS size FROM fam GROUP BY family_id) SELECT count(*) AS families, coalesce(sum(size), 0)::BIGINT AS images_in_families, coalesce(max(size), 0) AS max_family_size, (SELECT count(*) FROM documents) - coalesce(sum(size), 0)::BIGINT AS isolated FROM s",
+    "family_members_page": f"WITH RECURSIVE {_FAMILIES}, s AS (SELECT family_id, count(*) AS size FROM fam GROUP BY family_id), t AS (SELECT * FROM s ORDER BY size DESC, family_id LIMIT 10 OFFSET 10), q AS (SELECT *, row_number() OVER (ORDER BY size DESC, family_id)::INT AS position FROM t) SELECT position, q.family_id, size, key, min_dist FROM fam JOIN q ON q.family_id = fam.family_id",
+    "perceptual_exact": f"WITH {_HASHES} SELECT dh, min(key) AS first_key, count(*) AS size FROM hashes GROUP BY dh HAVING count(*) > 1",
+    "exact_dupes": f"WITH {_SRC}, f AS (SELECT sha256, min(origin) AS exact_dupe_of FROM files GROUP BY sha256 HAVING count(*) > 1) SELECT origin, files.sha256, exact_dupe_of FROM files JOIN f ON f.sha256 = files.sha256 WHERE origin <> exact_dupe_of",
+    "pull_plan": f"""WITH {_SRC}, known AS (SELECT origin, sha256, '/pool/old/' || doc_id AS pool_path FROM files WHERE doc_id % 10 = 0), held AS (SELECT sha256, min(pool_path) AS pool FROM known GROUP BY sha256),
+r AS (SELECT f.*, k.origin IS NOT NULL AS already, pool FROM files f LEFT JOIN known k ON k.origin = f.origin LEFT JOIN held h ON h.sha256 = f.sha256),
+w AS (SELECT *, min(CASE WHEN NOT already AND pool IS NULL THEN origin END) OVER (PARTITION BY sha256) AS first FROM r),
+a AS (SELECT *, CASE WHEN already THEN 'already' WHEN pool IS NOT NULL OR first <> origin THEN 'exact_dupe' ELSE 'move' END AS action FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY action, source, rel ORDER BY origin) - 1 AS k FROM a)
+SELECT origin, action, CASE WHEN action = 'move' THEN '/pool/' || source || '/' || CASE WHEN k = 0 THEN rel ELSE replace(rel, '.png', '') || '_' || k || '.png' END END AS dest, CASE WHEN action = 'exact_dupe' THEN coalesce(pool, first) END AS exact_dupe_of FROM n""",
+    "changed_files": f"WITH {_SRC} SELECT origin AS rel, doc_id::DOUBLE AS mtime, size FROM files WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
+    "review_fold": "SELECT user_id AS id, arg_max(greatest(0, least(5, trunc(value)::INT)), (ts, event_id)) AS rating FROM events GROUP BY user_id",
+    "session_fold": "SELECT event_type AS key, arg_max(coalesce(props, ''), (ts, event_id)) AS value FROM events GROUP BY event_type",
+    "move_rated_plan": f"WITH {_IMAGES}, r AS (SELECT id, directory || '/' || filename AS origin, 'r' || rating || '_f' || (id % 40) AS stem FROM images WHERE rating >= 1), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY origin) - 1 AS k FROM r) SELECT id, origin, '/dest/' || stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.png' AS dest FROM n",
+    "resolve_plan": f"""WITH {_SRC}, f AS (SELECT source || '/' || rel AS rel, bool_or(doc_id % 4 = 0) AS keep, max(source || '/' || split_part(rel, '/', 1)) AS folder, max(split_part(rel, '/', 2)) AS name FROM files WHERE doc_id < 500 GROUP BY 1),
+g AS (SELECT *, CASE WHEN keep THEN '/pool_curated/' || folder ELSE '/pool/.dupe-trash' END AS target FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY target, name ORDER BY rel) - 1 AS k FROM g)
+SELECT rel, CASE WHEN keep THEN 'keep' ELSE 'trash' END AS action, target || '/' || CASE WHEN k = 0 THEN name ELSE replace(name, '.png', '') || '_' || k || '.png' END AS dest FROM n""",
+    "without_rejected": f"WITH {_IMAGES} SELECT id, filename FROM images WHERE rejected = 0",
+    "metrics_signal": f"WITH {_GRID} SELECT * FROM metrics",
+    "quality_score": f"WITH {_GRID} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0.0 ELSE round((least(1.0::DOUBLE, log10(greatest(1.0::DOUBLE, sharpness)) / 4.5) * 35 + contrast * 20 + least(1.0::DOUBLE, entropy) * 25 + 0)::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE END AS score FROM metrics",
+    "prompt_longest": "SELECT conv_id, arg_max(text, (length(text), -turn)) AS prompt FROM conversations GROUP BY conv_id",
+    "keys": f"WITH {_IMAGES} SELECT id, substr(md5(directory || '/' || filename), 1, 12) AS thumb_key, substr(md5(directory), 1, 16) AS vault_key FROM images",
+}

@@ -21,3 +21,5 @@ MANIFEST_FILES = _of(kind=_S, origin=_S, pool_path=_S, exact_dupe_of=_S, sha256=
 METRICS = _of(
     width=_I, height=_I, aspect_ratio=_D, file_corrupt=_I, is_grayscale=_I, mean_color=T.ArrayType(_I), sharpness=_D, brightness=_D, contrast=_D, saturation=_D, entropy=_D, unique_colors=_I,
 )
+HASH_PAIR = _of(ph=_L, dh=_L, error=_S)
+METADATA = _of(width=_I, height=_I, prompt=_S, model=_S, seed=_S, workflow=_S)

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vireo.functions.scalar import has_dot_part, is_image
 
@@ -56,5 +57,5 @@ def with_content(files: DataFrame) -> DataFrame:
                     content.append(None)
             yield pdf.assign(content=content)
 
-    out = files.mapInPandas(read, files.schema.add("content", "binary"))
+    out = files.mapInPandas(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
     return out.withColumn("sha256", F.sha2("content", 256))
