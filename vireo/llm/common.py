@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,33 +9,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vireo.plans.tables import materialize, read_table, scratch_dir  # noqa: F401  (the operators' common plumbing)
+
 #: The white space of every contract here: \x20 and \x09 to \x0D. ``bytes.split()`` splits on just these.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ARROW_ROWS = 256  # rows of an Arrow batch that carries texts: a long text must not meet thousands of others
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Only a local session without that setting gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "vireo-scratch")
-    return f"{base.rstrip('/')}/vireo-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: str = "text") -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

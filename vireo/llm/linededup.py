@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.llm.common import keyed, materialize, mix, read_table, small_batches
-from vireo.llm.components import connected_components
+from vireo.operators.components import connected_components
 from vireo.llm.setjoin import SLOTS, compare_nodes, sketches, verify_clusters
 
 SHINGLE = 8  # characters
@@ -158,7 +158,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     asked = kinds.join(clusters, "d1").select(F.col("first.doc_id").alias("q_doc"), F.col("first.rk").alias("q_rk"), F.struct(F.col("first.line_no").alias("line_no"), "cluster", "d1", "d2").alias("q"))
     asked = asked.groupBy("q_doc", "q_rk").agg(F.collect_list("q").alias("asked"))
     # repeated rows would bring the same lines again: verification takes a line once
-    with_text = texts.join(asked, texts["doc_id"].eqNullSafe(F.col("q_doc")) & (F.col("rk") == F.col("q_rk"))).select("doc_id", "text", "asked")
+    with_text = texts.hint("merge").join(asked, texts["doc_id"].eqNullSafe(F.col("q_doc")) & (F.col("rk") == F.col("q_rk"))).select("doc_id", "text", "asked")
     members = with_text.mapInArrow(_member_rows, "cluster long, d1 long, d2 long, least_doc long, n long, s1 long, s2 long, items binary")
     linked = verify_clusters(materialize(members), percent).select(F.col("node").alias("d1"), "root")
     groups = kinds.join(linked, "d1", "left").filter("root IS NOT NULL OR copies > 1").withColumn("group", F.coalesce("root", "d1"))
@@ -181,7 +181,7 @@ def clean_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     names = docs.columns
     row = keyed(docs)
     by = _by_document(gone)
-    joined = row.join(by, row["m_doc"].eqNullSafe(by["g_doc"]) & (F.col("m_rk") == F.col("g_rk")), "left")
+    joined = row.hint("merge").join(by, row["m_doc"].eqNullSafe(by["g_doc"]) & (F.col("m_rk") == F.col("g_rk")), "left")
     left = F.filter(F.split(F.col("row.text"), "\n", -1), lambda x, k: ~F.array_contains(F.col("g_lines"), k))
     text = F.when(F.col("g_lines").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
     joined = joined.withColumn("new_text", text).filter((F.col("g_lines").isNull()) | (F.length("new_text") > 0))

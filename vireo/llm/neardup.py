@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.llm.common import digest128, keyed, materialize, mix, read_table, shingle_set, small_batches, text_bytes
-from vireo.llm.components import connected_components
+from vireo.operators.components import connected_components
 from vireo.llm.setjoin import SLOTS, compare_nodes, signature, sketches, verify_clusters
 
 TREES = 16
@@ -136,7 +136,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     clusters = materialize(connected_components(candidate_links(sets))).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
     asked = materialize(sets.join(clusters, "d1").select("least_doc", "cluster", "d1", "d2"))
     small_batches(spark)
-    with_text = texts.join(asked, texts["doc_id"].eqNullSafe(asked["least_doc"])).select("text", "cluster", "d1", "d2", "least_doc")
+    # texts are sorted by id at every size, never a list of ids sent to all tasks
+    with_text = texts.hint("merge").join(asked, texts["doc_id"].eqNullSafe(asked["least_doc"])).select("text", "cluster", "d1", "d2", "least_doc")
     members = with_text.mapInArrow(_member_sets(size), "cluster long, d1 long, d2 long, least_doc long, n long, s1 long, s2 long, items binary")
     linked = verify_clusters(materialize(members), percent)
     # the least doc_id of each component of sets, then back to the rows

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vireo.llm.common import materialize, small_batches
-from vireo.llm.components import connected_components
+from vireo.operators.components import connected_components
 
 SLOTS = 64  # minwise values of a signature
 #: Sketches hold two bits of each value. At similarity 0.8 a slot differs with probability 0.15: 24 of 64 is five standard deviations beyond.
@@ -24,6 +24,9 @@ NODE_LIMIT = 512  # a node of more members is branched further
 CELL = 1000  # members that are verified in one task, with their sets' bytes:
 CELL_BYTES = 32 << 20
 PIVOTS = 16
+NODE_PIVOTS = 32
+#: A member this close to a pivot (similarity 0.87) is branched no further: whoever is similar to it differs from that pivot in under 24 slots as well, but for one in 500.
+CLOSE = 6
 BUFFER_ROWS = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -96,6 +99,8 @@ def _links(key: np.ndarray, ids: np.ndarray, sk: np.ndarray, max_different: int)
 def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFERENT) -> DataFrame:
     """rows: key, id, s1, s2 (longs). kind 0: a link a, b. kind 1: a member b of node a, which has over NODE_LIMIT members and must be branched further.
 
+    Members of such a node are first held against up to NODE_PIVOTS of them, and linked with those that they agree with;
+    the ones that are CLOSE to a pivot go no further. So a group of near copies costs one comparison with each pivot.
     last: such nodes are branched no more; all their members are linked with their first one, for the exact verification to decide.
     Rows are streamed in key order; memory does not grow with a node's size.
     """
@@ -106,37 +111,59 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         count = 0
-        large: tuple[int, int] | None = None  # the large node that goes on, and its first member
+        large: int | None = None  # the large node that goes on,
+        first = 0  # its first member,
+        pivots: list[tuple[int, np.ndarray]] = []  # and its pivots with their sketches
+
+        def in_large(key: int, ids: np.ndarray, sk: np.ndarray, fresh: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal first, pivots
+            if fresh:
+                first, pivots = int(ids[0]), []
+            if last:
+                yield batch_of(0, ids, np.full(len(ids), first))
+                return
+            least = np.full((len(ids), 0), SLOTS)
+            if pivots:
+                least = np.stack([different(sk, p) for _, p in pivots], axis=1)
+            while len(pivots) < NODE_PIVOTS:
+                far = np.flatnonzero(least.min(axis=1, initial=SLOTS) > CLOSE)
+                if not len(far):
+                    break
+                pivots.append((int(ids[far[0]]), sk[far[0]]))
+                least = np.concatenate([least, different(sk, sk[far[0]])[:, None]], axis=1)
+            names = np.array([p for p, _ in pivots])
+            best = least.argmin(axis=1)
+            near = least <= max_different
+            joined = near.any(axis=1)
+            yield batch_of(0, ids[joined], names[best[joined]])
+            row, other = np.nonzero(near)
+            pairs = np.unique(np.stack([best[row], other]), axis=1)
+            yield batch_of(0, names[pairs[0]], names[pairs[1]])
+            far = least.min(axis=1) > CLOSE
+            if far.any():
+                yield batch_of(1, np.full(int(far.sum()), key), ids[far])
 
         def work(cols: list[np.ndarray], end: bool) -> Iterator[pa.RecordBatch]:
             """Whole runs of cols; what may go on comes back through held."""
             nonlocal large, held, count
             key, ids, s1, s2 = cols
+            sk = np.stack([s1, s2], axis=1).view(np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
-            goes_on = large is not None and key[0] == large[0]
-            first = {int(key[0]): large[1]} if goes_on else {}
+            goes_on = large is not None and key[0] == large
             big = sizes > NODE_LIMIT
-            if goes_on:
-                big[0] = True
+            big[0] |= goes_on
             keep = np.ones(len(key), bool)
             tail = 0
             if not end and not big[-1]:
                 tail = sizes[-1]
                 keep[-tail:] = False
-            large = None
-            if big.any():
-                row_big = np.repeat(big, sizes)
-                k, x = key[row_big], ids[row_big]
-                if last:
-                    head = np.repeat(np.array([first.get(int(key[s]), ids[s]) for s in starts[big]], np.int64), sizes[big])
-                    yield batch_of(0, x, head)
-                else:
-                    yield batch_of(1, k, x)
-                keep &= ~row_big
-                if big[-1]:
-                    large = int(key[-1]), int(first.get(int(key[-1]), ids[starts[-1]]))
-            a, b = _links(key[keep], ids[keep], np.stack([s1[keep], s2[keep]], axis=1).view(np.uint64), max_different)
+            for k in np.flatnonzero(big):
+                run = slice(starts[k], starts[k] + sizes[k])
+                yield from in_large(int(key[run][0]), ids[run], sk[run], not (goes_on and k == 0))
+                keep[run] = False
+            large = int(key[-1]) if big[-1] else None
+            a, b = _links(key[keep], ids[keep], sk[keep], max_different)
             if len(a):
                 yield batch_of(0, a, b)
             held = [[c[len(key) - tail :] for c in cols]] if tail else []
