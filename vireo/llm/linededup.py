@@ -82,20 +82,21 @@ def line_set(line: str) -> np.ndarray:
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    entry = pa.struct([("line_no", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
     for batch in batches:
-        counts, lists = [], []
+        counts, numbers, found, ends = [], [], [], [0]
         for text in batch.column(2).to_pylist():
             lines = text.split("\n") if text else []
-            found = []
             for k, x in enumerate(lines):
                 x = normal(x)
                 if len(x) >= MIN_CHARS:
-                    d1, d2 = line_digest(x)
-                    found.append({"line_no": k, "d1": d1, "d2": d2})
+                    numbers.append(k)
+                    found.append(xxhash.xxh3_128_digest(x.encode()))
             counts.append(len(lines))
-            lists.append(found)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(entry))], names=["doc_id", "rk", "n_lines", "lines"])
+            ends.append(len(numbers))
+        d = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+        entries = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=["line_no", "d1", "d2"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), lists], names=["doc_id", "rk", "n_lines", "lines"])
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,15 +130,19 @@ def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["cluster", "d1", "d2", "least_doc", "n", "s1", "s2", "items"]
     types = [pa.int64()] * 7 + [pa.binary()]
     for batch in batches:
-        found = []
+        rows, lines = [], []
         for doc_id, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lines = (text or "").split("\n")
+            own = (text or "").split("\n")
             for a in asked:
-                x = normal(lines[a["line_no"]])
-                s = line_set(x)
-                s1, s2 = sketches(line_signatures([x])).view(np.int64)[0]
-                found.append((a["cluster"], a["d1"], a["d2"], doc_id, len(s), int(s1), int(s2), s.tobytes()))
-        cols = list(zip(*found)) if found else [[]] * 8
+                rows.append((a["cluster"], a["d1"], a["d2"], doc_id))
+                lines.append(normal(own[a["line_no"]]))
+        if not rows:
+            continue
+        sk = sketches(line_signatures(lines)).view(np.int64)
+        h, line = _shingles(lines)
+        ends = np.searchsorted(line, np.arange(1, len(lines) + 1))
+        sets = [np.unique(x) for x in np.split(h, ends[:-1])]
+        cols = [*zip(*rows), [len(x) for x in sets], sk[:, 0], sk[:, 1], [x.tobytes() for x in sets]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
