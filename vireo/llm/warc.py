@@ -141,15 +141,25 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> No
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.M)
 
 
-def parse_record(line: bytes) -> tuple | None:
-    """A row of RECORD from a record's bytes, with or without its first line; None for what is no record."""
+def parse_records(line: bytes) -> Iterator[tuple]:
+    """Rows of RECORD from a line. A line reader may miss a border at the end of its buffer: what follows a record's stated length is read on."""
+    while line.strip():
+        row, line = parse_record(line)
+        line = line.removeprefix(b"\r\n\r\n")
+        if line.strip() and not line.startswith(VERSION):
+            raise ValueError(f"{len(line)} bytes follow record {row[1]} that are no record")
+        yield row
+
+
+def parse_record(line: bytes) -> tuple[tuple, bytes]:
+    """A row of RECORD from a record's bytes, with or without its first line, and the bytes after it."""
     if line.startswith(VERSION):
         line = line[len(VERSION) :]
     head, sep, block = line.partition(b"\r\n\r\n")
     fields = {k.lower().decode(): v.rstrip(b"\r").decode("utf-8", "replace") for k, v in _FIELD.findall(head)}
-    if not sep or "warc-type" not in fields:
-        return None
     n = int(fields.get("content-length", -1))
+    if not sep or "warc-type" not in fields or n < 0:
+        raise ValueError(f"no record: {line[:80]!r}")
     if n > len(block):
         raise ValueError(f"record {fields.get('warc-record-id')} has {len(block)} of {n} bytes")
     number = fields.get("warc-segment-number")
@@ -157,7 +167,7 @@ def parse_record(line: bytes) -> tuple | None:
     return (
         fields.get("x-page-id"), fields.get("warc-record-id"), fields["warc-type"], fields.get("warc-segment-origin-id") or fields.get("warc-record-id"), int(number) if number else None,
         int(total) if total else None, fields.get("warc-target-uri"), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, fields.get("x-refers-to-page-id"), block[:n],
-    )
+    ), block[n:]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +176,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [r for x in batch.column(0).to_pylist() if (r := parse_record(x))]
+            found = [r for x in batch.column(0).to_pylist() for r in parse_records(x)]
             cols = list(zip(*found)) if found else [[]] * len(_RECORD)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RECORD, strict=True)], schema=_RECORD)
 
