@@ -6,8 +6,9 @@ the template whose set is most alike by the Dice coefficient 2 * common / (a + b
 equals, the last identifier in the alphabet).
 
 Size bounds prune: with Dice at t, b lies between a * t / (2 - t) and a * (2 - t) / t, so a unit meets only templates of about
-its size; and it must have a share t / (2 - t) of its own bigrams in the templates' vocabulary to meet any. Neither bound
-loses a match. The templates are literals of the plan: constants of the program, a few kilobytes.
+its size; and it must have a share t / (2 - t) of its own bigrams in the templates' vocabulary to meet any. A match has that
+share of the template's bigrams too, so it holds one of a few words that touch more than the rest of them: texts and units
+with none of those words are not even normalised. None of these bounds loses a match. The templates are literals of the plan: constants of the program, a few kilobytes.
 
 Defined cases: null and empty texts match nothing, nor do units of one word; rows that repeat a doc_id count together, those
 without one too; an empty table gives an empty result; other columns of the input are never read.
@@ -15,6 +16,8 @@ without one too; an empty table gives an empty result; other columns of the inpu
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +79,37 @@ def _bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:])))
 
 
+def signs(templates: list[list[str]], percent: int = THRESHOLD) -> list[str]:
+    """A few ASCII words, one of which is in every unit that matches a template (bigrams); none if there are no such words.
+
+    A match may lack b * (200 - 2 * percent) / (200 - percent) of a template's b bigrams. Words are taken, the most useful and
+    longest first, until those taken touch more of every template's bigrams than that.
+    """
+    open_ = [{tuple(x.split(" ")) for x in grams} for grams in templates]
+    due = [len(g) + percent * len(g) // (percent - 200) + 1 for g in open_]
+    taken: list[str] = []
+    while any(due):
+        gain: dict[str, int] = {}
+        for pairs, n in zip(open_, due, strict=True):
+            for w in {w for pair in pairs for w in pair if n and w.isascii()}:
+                gain[w] = gain.get(w, 0) + min(n, sum(w in pair for pair in pairs))
+        if not gain:
+            return []
+        word = max(gain, key=lambda w: (gain[w] if len(w) > 5 else 0, len(w), gain[w], w))
+        taken.append(word)
+        due = [max(0, n - sum(word in pair for pair in pairs)) for pairs, n in zip(open_, due, strict=True)]
+        open_ = [{pair for pair in pairs if word not in pair} for pairs in open_]
+    return [w for w in taken if not any(v in w for v in taken if v != w)]
+
+
+def _has_sign(text: Column, words: list[str]) -> Column:
+    """Whether any of the words is part of the text, case ignored; true where there are no words to look for."""
+    if not words:
+        return F.lit(True)
+    # a function of an array's one element: the text is put in lower case once for all words
+    return F.exists(F.array(F.lower(text)), lambda low: functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in words)))
+
+
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATOR, " "))
 
@@ -95,7 +129,9 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     t = [(name, grams) for name, text in templates if (grams := _bigrams(text))]
     least = min(len(g) for _, g in t) * percent / (200 - percent)
     most = max(len(g) for _, g in t) * (200 - percent) / percent
-    normal = units(docs).select("doc_id", _normal(F.col("unit")).alias("n"))
+    words_due = signs([g for _, g in t], percent)
+    marked = units(docs.select("doc_id", "text").filter(_has_sign(F.col("text"), words_due))).filter(_has_sign(F.col("unit"), words_due))
+    normal = marked.select("doc_id", _normal(F.col("unit")).alias("n"))
     # a unit of k distinct bigrams has k bytes for spaces at least: too short or too long ones need no splitting
     words = normal.filter(F.length("n") >= least + 1).select("doc_id", F.split("n", " ").alias("w"))
     words = words.filter(F.size("w") >= 2)
