@@ -33,6 +33,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row, F.col("doc_id").cast("long").alias("m_doc"), F.xxhash64("text").alias("m_rk"))
 
 
+SIEVE_BITS = 1 << 26  # 8 MB, whatever the input's size
+
+
+def _sieve_place(columns: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(bits))
+
+
+def sieve(rows: DataFrame, columns: list[str], keys: DataFrame, key_columns: list[str], bits: int = SIEVE_BITS) -> DataFrame:
+    """rows whose columns may be among the keys; more than those, but none of those fewer, go on to the join proper.
+
+    The keys are a set of bits of a fixed size, in blocks of 4 KB, which goes to every task: a bound that no input exceeds.
+    Where keys fill it, all rows pass. So texts that nothing asks for are not shuffled.
+    """
+    block = 1 << 15
+    place = _sieve_place(key_columns, bits)
+    blocks = keys.select((place / block).cast("long").alias("sv_block"), (place % block).alias("sv_bit"))
+    blocks = materialize(blocks.groupBy("sv_block").agg(F.bitmap_construct_agg("sv_bit").alias("sv_bits")))
+    at = _sieve_place(columns, bits)
+    marked = rows.withColumn("sv_at", at).join(F.broadcast(blocks), (F.col("sv_at") / block).cast("long") == F.col("sv_block"))
+    byte = F.conv(F.hex(F.substring("sv_bits", ((F.col("sv_at") % block) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.filter(F.getbit(byte, (F.col("sv_at") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words of a text with A-Z in lower case; bytes.lower() leaves all other letters as they are."""
     return text.lower().split()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import keyed, materialize, mix, read_table, small_batches
+from vireo.llm.common import keyed, materialize, mix, read_table, sieve, small_batches
 from vireo.operators.components import connected_components
 from vireo.llm.setjoin import SLOTS, compare_nodes, sketches, verify_clusters
 
@@ -31,6 +31,7 @@ BANDS, BAND_ROWS = 9, 4
 PERCENT = 80
 #: Of the 32 slots in half a sketch; at similarity 0.8 each differs with probability 0.15.
 HALF_DIFFERENT = 13
+CACHED = 1 << 16  # characters whose shingles are worked on at a time, within a processor's cache
 SEEN = 200_000  # lines that a task remembers, to pass copies over
 
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -59,8 +60,7 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[inside]), line[inside]
 
 
-def line_signatures(lines: list[str]) -> np.ndarray:
-    """SLOTS values per line: the least hash of each of SLOTS parts of its shingles; empty parts borrow from the next that is not."""
+def _signatures(lines: list[str]) -> np.ndarray:
     h, line = _shingles(lines)
     out = np.full(len(lines) * SLOTS, _EMPTY, np.uint32)
     slot = line * SLOTS + (h & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -77,6 +77,23 @@ def line_signatures(lines: list[str]) -> np.ndarray:
     return full
 
 
+def line_signatures(lines: list[str]) -> np.ndarray:
+    """SLOTS values per line: the least hash of each of SLOTS parts of its shingles; empty parts borrow from the next that is not."""
+    parts, begin, held = [], 0, 0
+    for k, x in enumerate(lines, 1):
+        held += len(x)
+        if held >= CACHED or k == len(lines):
+            parts.append(_signatures(lines[begin:k]))
+            begin, held = k, 0
+    return np.concatenate(parts)
+
+
+def line_sets(items: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each of some normal lines."""
+    h, line = _shingles([x.decode() for x in items])
+    return [np.unique(x) for x in np.split(h, np.searchsorted(line, np.arange(1, len(items))))]
+
+
 def line_set(line: str) -> np.ndarray:
     return np.unique(_shingles([line])[0])
 
@@ -139,10 +156,7 @@ def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rows:
             continue
         sk = sketches(line_signatures(lines)).view(np.int64)
-        h, line = _shingles(lines)
-        ends = np.searchsorted(line, np.arange(1, len(lines) + 1))
-        sets = [np.unique(x) for x in np.split(h, ends[:-1])]
-        cols = [*zip(*rows), [len(x) for x in sets], sk[:, 0], sk[:, 1], [x.tobytes() for x in sets]]
+        cols = [*zip(*rows), [len(x) - SHINGLE + 1 for x in lines], sk[:, 0], sk[:, 1], [x.encode() for x in lines]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
@@ -163,9 +177,11 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     asked = kinds.join(clusters, "d1").select(F.col("first.doc_id").alias("q_doc"), F.col("first.rk").alias("q_rk"), F.struct(F.col("first.line_no").alias("line_no"), "cluster", "d1", "d2").alias("q"))
     asked = asked.groupBy("q_doc", "q_rk").agg(F.collect_list("q").alias("asked"))
     # repeated rows would bring the same lines again: verification takes a line once
+    asked = materialize(asked)
+    texts = sieve(texts, ["doc_id", "rk"], asked, ["q_doc", "q_rk"])
     with_text = texts.hint("merge").join(asked, texts["doc_id"].eqNullSafe(F.col("q_doc")) & (F.col("rk") == F.col("q_rk"))).select("doc_id", "text", "asked")
     members = with_text.mapInArrow(_member_rows, "cluster long, d1 long, d2 long, least_doc long, n long, s1 long, s2 long, items binary")
-    linked = verify_clusters(materialize(members), percent).select(F.col("node").alias("d1"), "root")
+    linked = verify_clusters(materialize(members), percent, line_sets).select(F.col("node").alias("d1"), "root")
     groups = kinds.join(linked, "d1", "left").filter("root IS NOT NULL OR copies > 1").withColumn("group", F.coalesce("root", "d1"))
     groups = materialize(groups)
     least = groups.groupBy("group").agg(F.min("first").alias("keep"))

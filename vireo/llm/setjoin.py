@@ -7,7 +7,7 @@ ones; and within each cluster links are decided on full sets, in cells of bounde
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +205,15 @@ def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: n
 _MEMBERS = "key string, d1 long, d2 long, least_doc long, role int, comp long, s1 long, s2 long, items binary"
 
 
-def _verify_cells(rows: DataFrame, percent: int) -> DataFrame:
+Sets = Callable[[list[bytes]], list[np.ndarray]]
+
+
+def stored_sets(items: list[bytes]) -> list[np.ndarray]:
+    """Members that carry their sets as such: sorted distinct hashes."""
+    return [np.frombuffer(x, np.uint64) for x in items]
+
+
+def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets) -> DataFrame:
     """rows of _MEMBERS, those of a key together. role 0 and 1 are compared with each other, and role 0 with itself where the key has no role 1 but pivots (role 2)."""
 
     def of_key(held: list[dict]) -> Iterator[tuple]:
@@ -213,7 +221,7 @@ def _verify_cells(rows: DataFrame, percent: int) -> DataFrame:
         if any(r["role"] == 2 for r in rows_):  # a pivot may also be a member of the cell
             pivots = {(r["d1"], r["d2"]) for r in rows_ if r["role"] == 2}
             rows_ = [r for r in rows_ if r["role"] == 2 or (r["d1"], r["d2"]) not in pivots]
-        sets = [np.frombuffer(r["items"], np.uint64) for r in rows_]
+        sets = sets_of([r["items"] for r in rows_])
         sk = np.array([(r["s1"], r["s2"]) for r in rows_], np.int64).reshape(-1, 2).view(np.uint64)
         role = np.array([r["role"] for r in rows_])
         comp = np.array([r["comp"] for r in rows_])
@@ -244,9 +252,11 @@ def _verify_cells(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def verify_clusters(members: DataFrame, percent: int) -> DataFrame:
+def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_sets) -> DataFrame:
     """d1 and root for all members that have an exact link; members (a written table): cluster, d1, d2, least_doc, n, s1, s2, items.
 
+    sets_of makes sets of items; n is a set's size or a bound of it.
+
     A cluster of up to CELL members is compared as a whole. A larger one is dealt to cells: each cell compares its own
     members and the cluster's pivots, which joins nearly everything that belongs together. What then lies outside the
     cluster's largest component is compared with every cell. So every link is found or already implied, no task holds more
@@ -263,13 +273,13 @@ def verify_clusters(members: DataFrame, percent: int) -> DataFrame:
     base = rows.withColumn("key", key("cluster", "cell")).withColumn("role", F.lit(0)).withColumn("comp", F.col("d1"))
     large = sizes.filter("cells > 1")
     if not large.limit(1).count():
-        return connected_components(materialize(_verify_cells(base.select(*cols), percent)))
+        return connected_components(materialize(_verify_cells(base.select(*cols), percent, sets_of)))
     big = members.join(large, "cluster")
     tops = big.groupBy("cluster", "cells").agg(*(F.min(F.struct(F.xxhash64("d2", F.lit(k)).alias("h"), "d1", "d2")).alias(f"p{k}") for k in range(PIVOTS)))
     picked = tops.select("cluster", "cells", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.d1"), F.col(f"p{k}.d2")) for k in range(PIVOTS))))).alias("p"))
     picked = picked.select("cluster", F.col("p.d1").alias("d1"), F.col("p.d2").alias("d2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     pivots = members.join(picked, ["cluster", "d1", "d2"]).withColumn("key", key("cluster", "cell")).withColumn("role", F.lit(2)).withColumn("comp", F.col("d1"))
-    links = materialize(_verify_cells(base.select(*cols).unionByName(pivots.select(*cols)), percent))
+    links = materialize(_verify_cells(base.select(*cols).unionByName(pivots.select(*cols)), percent, sets_of))
     found = materialize(connected_components(links))
     big = big.join(found.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1", "left").withColumn("comp", F.coalesce("comp", "d1"))
     big = materialize(big.withColumn("cell", F.pmod(F.xxhash64("d2"), F.col("cells"))))
@@ -283,5 +293,5 @@ def verify_clusters(members: DataFrame, percent: int) -> DataFrame:
     asked = rest.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks"))).drop("cell").withColumn("cell", F.explode(F.sequence(zero, F.col("cells") - 1)))
     asked = asked.withColumn("key", key("cluster", "cell", "block")).withColumn("role", F.lit(1))
     against = big.join(weight, "cluster").withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("key", key("cluster", "cell", "block")).withColumn("role", F.lit(0))
-    more = materialize(_verify_cells(asked.select(*cols).unionByName(against.select(*cols)), percent))
+    more = materialize(_verify_cells(asked.select(*cols).unionByName(against.select(*cols)), percent, sets_of))
     return connected_components(links.unionAll(more))
