@@ -174,7 +174,8 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     kinds = materialize(lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
     found = materialize(compare_nodes(texts.select("text").mapInArrow(_bucket_rows, "key long, id long, s1 long, s2 long"), last=True, max_different=HALF_DIFFERENT))
     clusters = materialize(connected_components(found.select("a", "b"))).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
-    asked = kinds.join(clusters, "d1").select(F.col("first.doc_id").alias("q_doc"), F.col("first.rk").alias("q_rk"), F.struct(F.col("first.line_no").alias("line_no"), "cluster", "d1", "d2").alias("q"))
+    # sorted at every size: what is joined grows with the input
+    asked = kinds.hint("merge").join(clusters, "d1").select(F.col("first.doc_id").alias("q_doc"), F.col("first.rk").alias("q_rk"), F.struct(F.col("first.line_no").alias("line_no"), "cluster", "d1", "d2").alias("q"))
     asked = asked.groupBy("q_doc", "q_rk").agg(F.collect_list("q").alias("asked"))
     # repeated rows would bring the same lines again: verification takes a line once
     asked = materialize(asked)
@@ -182,11 +183,11 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     with_text = texts.hint("merge").join(asked, texts["doc_id"].eqNullSafe(F.col("q_doc")) & (F.col("rk") == F.col("q_rk"))).select("doc_id", "text", "asked")
     members = with_text.mapInArrow(_member_rows, "cluster long, d1 long, d2 long, least_doc long, n long, s1 long, s2 long, items binary")
     linked = verify_clusters(materialize(members), percent, line_sets).select(F.col("node").alias("d1"), "root")
-    groups = kinds.join(linked, "d1", "left").filter("root IS NOT NULL OR copies > 1").withColumn("group", F.coalesce("root", "d1"))
+    groups = kinds.hint("merge").join(linked, "d1", "left").filter("root IS NOT NULL OR copies > 1").withColumn("group", F.coalesce("root", "d1"))
     groups = materialize(groups)
     least = groups.groupBy("group").agg(F.min("first").alias("keep"))
-    of_line = groups.select("d1", "d2", "group").join(least, "group").select("d1", "d2", "group", F.col("keep.at").alias("k_at"), F.col("keep.rk").alias("k_rk"), F.col("keep.line_no").alias("k_line"))
-    gone = lines.join(of_line, ["d1", "d2"]).filter(
+    of_line = groups.select("d1", "d2", "group").hint("merge").join(least, "group").select("d1", "d2", "group", F.col("keep.at").alias("k_at"), F.col("keep.rk").alias("k_rk"), F.col("keep.line_no").alias("k_line"))
+    gone = lines.hint("merge").join(of_line, ["d1", "d2"]).filter(
         (F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("k_at")) | (F.col("rk") != F.col("k_rk")) | (F.col("line_no") != F.col("k_line"))
     )
     return index, materialize(gone.select("doc_id", "rk", "line_no", "d1", "group"))
@@ -215,6 +216,6 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, gone = duplicate_lines(read_table(spark, sf_dir, "documents"))
     by = _by_document(gone)
     rows = index.select("doc_id", "rk", "n_lines")
-    out = rows.join(by, rows["doc_id"].eqNullSafe(by["g_doc"]) & (F.col("rk") == F.col("g_rk")), "left")
+    out = rows.hint("merge").join(by, rows["doc_id"].eqNullSafe(by["g_doc"]) & (F.col("rk") == F.col("g_rk")), "left")
     lines = F.coalesce("g_lines", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(lines)).alias("n_kept_lines"), lines.alias("removed_lines"))

@@ -192,7 +192,12 @@ def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: n
     """Exact links between left and right members (indices) with different labels; label is updated, and joined members are not compared again."""
     sizes = np.array([len(s) for s in sets])
     found = []
+    both_ways = np.array_equal(left, right)  # then pairs with members before have been looked at
     for i in left:
+        if (label == label[0]).all():
+            break
+        if both_ways:
+            right = right[np.searchsorted(right, i, side="right") :]
         cand = right[(label[right] != label[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
         cand = cand[different(sk[cand], sk[i]) <= MAX_DIFFERENT]
         for j in cand:
@@ -267,7 +272,7 @@ def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_set
     sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("items_n"))
     cells = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("items_n") * 8 / CELL_BYTES)).cast("long")
     sizes = materialize(sizes.filter("m > 1").select("cluster", cells.alias("cells")))
-    rows = members.join(sizes, "cluster").withColumn("cell", F.pmod(F.xxhash64("d2"), F.col("cells")))
+    rows = members.hint("merge").join(sizes, "cluster").withColumn("cell", F.pmod(F.xxhash64("d2"), F.col("cells")))
     key = lambda *c: F.concat_ws(":", *c)
     cols = ["key", "d1", "d2", "least_doc", "role", "comp", "s1", "s2", "items"]
     base = rows.withColumn("key", key("cluster", "cell")).withColumn("role", F.lit(0)).withColumn("comp", F.col("d1"))
