@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from vireo.llm import decontaminate, htmltext, licenses, linededup, lmscore, neardup, packing, quality, setjoin, sharding, warc
+from vireo.llm import common, decontaminate, htmltext, licenses, linededup, lmscore, neardup, packing, quality, setjoin, sharding, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, m_doc string"
 random.seed(4)
@@ -59,6 +59,28 @@ def test_licenses(docs, none, duck):
     assert licenses.license_matches(none).count() == 0
 
 
+def test_license_signs():
+    """Any part of a template with the bigrams that a match must share holds one of the words, part of a word included."""
+    grams = [licenses._bigrams(text) for _, text in licenses.TEMPLATES]
+    words = licenses.signs(grams)
+    for g in grams:
+        without = [pair for pair in g if not any(w in x for w in words for x in pair.split())]
+        assert len(without) < math.ceil(80 * len(g) / 120)
+    assert licenses.signs([["é ü"]]) == []
+
+
+def test_sieve(spark):
+    """No row that is among the keys is lost, null ids included; with few bits more rows pass, never fewer."""
+    rows = spark.range(2000).selectExpr("if(id = 7, null, id) AS doc_id", "id * 31 AS rk", "'t' AS text")
+    keys = rows.filter("rk % 93 = 0 OR doc_id IS NULL").selectExpr("doc_id AS q_doc", "rk AS q_rk")
+    due = {tuple(r) for r in keys.collect()}
+    for bits in (1 << 26, 1 << 16, 1 << 8):
+        left = {(r.doc_id, r.rk) for r in common.sieve(rows, ["doc_id", "rk"], keys, ["q_doc", "q_rk"], bits).collect()}
+        assert due <= left
+        assert bits < 1 << 26 or len(left) < len(due) + 20
+    assert common.sieve(rows, ["doc_id", "rk"], keys.limit(0), ["q_doc", "q_rk"]).count() == 0
+
+
 def test_quality(docs, none, duck):
     from vireo.plans.tables import materialize
 
