@@ -179,6 +179,23 @@ def test_lines(docs, none, spark):
     assert linededup.duplicate_lines(none)[1].count() == 0 and linededup.clean_documents(docs).columns == docs.columns
 
 
+def test_normal_lines():
+    """The whole text at once gives what line by line gives; so do signatures by the definition of borrowing."""
+    random.seed(9)
+    for _ in range(3000):
+        text = "".join(random.choices("aB \n\tÉΣσ\u00a0\u2003\x1f\x85\r.'", weights=[8, 4, 5, 3, *[random.choice([0, 0, 1])] * 11], k=random.randrange(0, 30)))
+        assert linededup.normal_lines(text) == ([linededup.normal(x) for x in text.split("\n")] if text else [])
+    assert linededup.normal_lines(None) == []
+    line = prose(9)
+    h = [int(x) for x in linededup._shingles([line])[0]]
+    own = {s: min(min(x >> 32, 0xFFFFFFFE) for x in h if x & 63 == s) for s in {x & 63 for x in h}}
+    want = []
+    for s in range(64):
+        step = next(k for k in range(64) if (s + k) % 64 in own)
+        want.append(own[s] if not step else (own[(s + step) % 64] * 0x85EBCA6B + step) % (1 << 32))
+    assert linededup.line_signatures([line])[0].tolist() == want
+
+
 def test_warc(spark, tmp_path):
     big, trap = "x" * 90_000 + "é", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 400
     pages = [(1, "http://a b/", big), (2, None, big), (3, "u", trap), (4, "u", None), (5, "u", "small"), (6, "u", "small"), (2, None, big), (None, "n", big), (None, "n", "q" * 40_000), (None, "n", "q" * 40_000)]

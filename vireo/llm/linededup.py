@@ -42,9 +42,23 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_digest(line: str) -> tuple[int, int]:
-    a, b = np.frombuffer(xxhash.xxh3_128_digest(line.encode()), dtype="<i8")
-    return int(a), int(b)
+#: White space of str.split() beside the blank and the line's end.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def normal_lines(text: str | None) -> list[str]:
+    """normal() of each line. A text whose words all stand one blank apart needs no splitting into words."""
+    if not text:
+        return []
+    lines = text.lower().split("\n")
+    if "  " in text or any(c in text for c in _OTHER_SPACE):
+        return [" ".join(x.split()) for x in lines]
+    return [x.strip(" ") for x in lines]
+
+
+def line_digests(lines: list[str]) -> np.ndarray:
+    """Two signed 64-bit halves of a 128-bit digest of each line."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), "<i8").reshape(-1, 2)
 
 
 def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +81,15 @@ def _signatures(lines: list[str]) -> np.ndarray:
     np.minimum.at(out, slot, np.minimum(h >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32))
     out = out.reshape(len(lines), SLOTS)
     full = out.copy()
+    gaps = np.flatnonzero(out == _EMPTY)
+    flat, given = full.ravel(), out.ravel()
     for step in range(1, SLOTS):
-        gap = full == _EMPTY
-        if not gap.any():
+        if not len(gaps):
             break
-        from_ = np.roll(out, -step, axis=1)
-        fill = gap & (from_ != _EMPTY)
-        full[fill] = from_[fill] * np.uint32(0x85EBCA6B) + np.uint32(step)
+        from_ = given[(gaps & ~(SLOTS - 1)) | ((gaps + step) & (SLOTS - 1))]
+        fill = from_ != _EMPTY
+        flat[gaps[fill]] = from_[fill] * np.uint32(0x85EBCA6B) + np.uint32(step)
+        gaps = gaps[~fill]
     return full
 
 
@@ -102,15 +118,13 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, numbers, found, ends = [], [], [], [0]
         for text in batch.column(2).to_pylist():
-            lines = text.split("\n") if text else []
-            for k, x in enumerate(lines):
-                x = normal(x)
-                if len(x) >= MIN_CHARS:
-                    numbers.append(k)
-                    found.append(xxhash.xxh3_128_digest(x.encode()))
+            lines = normal_lines(text)
+            own = [k for k, x in enumerate(lines) if len(x) >= MIN_CHARS]
+            numbers += own
+            found += [lines[k] for k in own]
             counts.append(len(lines))
             ends.append(len(numbers))
-        d = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+        d = line_digests(found)
         entries = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=["line_no", "d1", "d2"])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), lists], names=["doc_id", "rk", "n_lines", "lines"])
@@ -120,12 +134,7 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     seen: set[str] = set()
     for batch in batches:
-        lines: list[str] = []
-        for text in batch.column(0).to_pylist():
-            for x in text.split("\n") if text else ():
-                x = normal(x)
-                if len(x) >= MIN_CHARS:
-                    lines.append(x)
+        lines = [x for text in batch.column(0).to_pylist() for x in normal_lines(text) if len(x) >= MIN_CHARS]
         lines = [x for x in dict.fromkeys(lines) if hash(x) not in seen]
         if not lines:
             continue
@@ -133,7 +142,7 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         seen.update(map(hash, lines))
         sig = line_signatures(lines)
-        ids = np.array([line_digest(x)[0] for x in lines], np.int64)
+        ids = line_digests(lines)[:, 0]
         sk = sketches(sig).view(np.int64)[:, 0]
         key = np.repeat(band[None, :], len(lines), axis=0)
         for r in range(BAND_ROWS):
