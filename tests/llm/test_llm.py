@@ -295,3 +295,30 @@ def test_pipeline(spark, docs, tmp_path):
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert ids == {r["doc_id"] for r in at.select("doc_id").collect()}
     assert {5, 8, 10, 11} <= ids and not ids & {0, 1, 2, 3, 4, 6, 7, 50}
+
+
+def test_language_model_trains_on_every_subword_once():
+    """Windows of a text's segments ask for each of its classes and the end mark once, in the blocks that scoring reads."""
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 31, 32, 33, 1022, 1023, 1024, 1025, 5000):
+        c = rng.integers(0, lmscore.END, n)
+        segments = lmscore.segments_of(c)
+        windows = np.concatenate([lmscore.windows_of(s) for s in segments])
+        targets = windows[:, 2 * lmscore.BLOCK :].ravel()
+        assert targets[targets != lmscore.PAD].tolist() == [*c, lmscore.END]
+        flat = np.full((len(windows) + 1) * lmscore.BLOCK, lmscore.PAD)
+        flat[lmscore.BLOCK : lmscore.BLOCK + n + 1] = [lmscore.END, *c]
+        rows = flat.reshape(-1, lmscore.BLOCK)
+        asked = windows[:, : 2 * lmscore.BLOCK]
+        assert (asked == np.concatenate([rows[:-1], rows[1:]], axis=1)).all()
+
+
+def test_language_model_learns_from_whole_texts(spark, monkeypatch):
+    """Every class pair of the training texts is counted, whatever their length."""
+    counted = []
+    pair_counts = lmscore._pair_counts
+    monkeypatch.setattr(lmscore, "_pair_counts", lambda seen: counted.append(pair_counts(seen)) or counted[0])
+    texts = [prose(3000), "", prose(5), prose(700)]
+    lmscore.fit(spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "doc_id long, text binary"))
+    subwords = lmscore.Subwords()
+    assert counted[0].sum() == sum(len(subwords.encode(t.encode().split())[0]) + 1 for t in texts)
