@@ -322,3 +322,16 @@ def test_language_model_learns_from_whole_texts(spark, monkeypatch):
     lmscore.fit(spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "doc_id long, text binary"))
     subwords = lmscore.Subwords()
     assert counted[0].sum() == sum(len(subwords.encode(t.encode().split())[0]) + 1 for t in texts)
+
+
+def test_language_model_scores_rare_words_as_frequent_ones(docs, monkeypatch):
+    """How many words are sent to the tasks changes no score."""
+
+    def scores():
+        rows = lmscore.score_documents(docs).collect()
+        return sorted(((r["n_tokens"], r["doc_id"] is None, r["doc_id"] or 0, r["n_known"], r["base_score"], r["score"], r["attention_score"]) for r in rows))
+
+    whole = np.array(scores(), float)
+    for most in (150, 0):
+        monkeypatch.setattr(lmscore, "FREQUENT", most)
+        assert np.allclose(np.array(scores(), float), whole, rtol=1e-5)
