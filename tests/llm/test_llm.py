@@ -335,3 +335,30 @@ def test_language_model_scores_rare_words_as_frequent_ones(docs, monkeypatch):
     for most in (150, 0):
         monkeypatch.setattr(lmscore, "FREQUENT", most)
         assert np.allclose(np.array(scores(), float), whole, rtol=1e-5)
+
+
+@pytest.mark.parametrize("n", [5, 14, 57, 100, 200, 400])
+def test_decontamination_finds_every_match_at_the_edit_limit(n, monkeypatch):
+    """Whatever an item's length: the rows are those of brute force, also if few pairs are counted at a time."""
+    rng = random.Random(n)
+    items = [[rng.choice(WORDS) for _ in range(n)] for _ in range(25)]
+    texts = []
+    for item in items:
+        w = item.copy()
+        for _ in range(n // 5):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind < 2)] = [] if kind == 0 else [f"x{rng.randrange(10**6)}"]
+        texts.append([f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(40))] + w + [f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(40))])
+    texts.append(texts[0] + ["z"] + items[0])  # a better match after another
+    index = decontaminate.Index([(k, " ".join(x).encode()) for k, x in enumerate(items)])
+    docs = [(k, " ".join(x).encode()) for k, x in enumerate(texts)]
+    got = sorted(index.matches(docs))
+    assert {(k, k) for k in range(25)} <= {r[:2] for r in got}
+    want = []
+    for d, text in enumerate(texts):
+        ids = [index.vocabulary.get(w.encode(), 0) for w in text]
+        found = [(d, k, n, *decontaminate.best_match(words, ids)) for k, words in index.items]
+        want += [r for r in found if r[3] <= n // 5]
+    assert got == sorted(want)
+    monkeypatch.setattr(decontaminate, "PAIRS", 4)
+    assert sorted(index.matches(docs)) == got
