@@ -51,6 +51,22 @@ def test_uniquified_never_repeats(spark):
     assert {r["dest"] for r in review.uniquified(plan, taken).collect()} == {"/d/x_1.png", "/d/x_2.png", "/d/y"}
 
 
+def test_uniquified_passes_over_names_that_end_in_a_number(spark):
+    names = ["x.png"] * 4 + ["x_1.png", "x_1.png", "x_3.png", ".png", ".png", "_1.png", "n.", "n.", "n._1", "y", "y", "y_1", "x_1_1.png"]
+    plan = spark.createDataFrame([(f"/{k:02}", "/d", n) for k, n in enumerate(names)], "origin string, folder string, name string")
+    for held in ([], ["/d/x_2.png", "/d/x.png", "/d/x_5.png", "/d/x_99999999999999999999.png", "/e/x_6.png", "/d/y_2"]):
+        used, want, plain = set(held), {}, {f"/d/{n}" for n in names}
+        for k, n in enumerate(names):
+            stem, dot, ext = n.rpartition(".") if n in ("x.png", "x_1.png", "x_3.png", "_1.png", "x_1_1.png") else (n, "", "") if n != "n._1" else ("n", ".", "_1")
+            tries = [f"/d/{n}"] + [f"/d/{stem}_{i}{dot}{ext}" for i in range(1, 99)]
+            want[f"/{k:02}"] = next(t for i, t in enumerate(tries) if t not in used and (i == 0 or t not in plain))
+            used.add(want[f"/{k:02}"])
+        taken = spark.createDataFrame([(x,) for x in held], "dest string") if held else None
+        got = review.uniquified(plan, taken).collect()
+        assert {r["origin"]: r["dest"] for r in got} == want and len({r["dest"] for r in got}) == len(names) == len(got)
+        assert not held or not {r["dest"] for r in got} & set(held)
+
+
 def test_ids_follow_path_order(spark):
     fresh = spark.createDataFrame([(f"/p{k:03}",) for k in range(57)], "filepath string")
     got = {r["filepath"]: r["id"] for r in catalog.with_ids(fresh, 100).collect()}

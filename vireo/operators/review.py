@@ -34,23 +34,43 @@ def apply_state(images: DataFrame, state: DataFrame) -> DataFrame:
     return joined.select(*(F.coalesce(F.col(f"_s_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in images.columns))
 
 
+def _numbered(path: Column, k: Column) -> Column:
+    return F.concat(stem(path), F.lit("_"), k.cast("string"), suffix(path))
+
+
+def _numbers(paths: DataFrame) -> DataFrame:
+    """Of paths (_full) that are others with a number before the extension: the other path (_full) and the number (_num)."""
+    full, cut = F.col("_full"), r"(?s)^(.*)_([1-9][0-9]{0,17})$"
+    ways = [F.struct(F.concat(F.regexp_extract(x, cut, 1), y).alias("base"), F.regexp_extract(x, cut, 2).alias("num")) for x, y in ((stem(full), suffix(full)), (full, F.lit("")))]
+    found = paths.select("_full", F.explode(F.array(*ways)).alias("w")).filter("w.num <> ''").filter(_numbered(F.col("w.base"), F.col("w.num")) == full)
+    return found.select(F.col("w.base").alias("_full"), F.col("w.num").try_cast("long").alias("_num")).distinct()
+
+
 def uniquified(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """plan (origin, folder, name) with dest: the first taker by origin keeps the name, others get _1, _2, ... before the extension.
 
-    Names present in existing (dest) count as taken first. Suffixed names that are themselves taken go round again until none is.
+    Names present in existing (dest) count as taken first. Numbers whose names exist, or are the plain name of another row, are
+    passed over. A suffixed name can meet no other suffixed one, since its last number and the name before it tell it apart;
+    so one pass finds what trying number after number would.
     """
-    todo = plan.withColumn("_base", F.col("name")).withColumn("_from", F.lit(0))
-    taken = None if existing is None else existing.select(F.col("dest").alias("_dest")).distinct()
-    rank = F.row_number().over(Window.partitionBy("folder", "_base").orderBy("origin"))
-    if taken is None:
-        k = rank - 1
-    else:
-        full = F.concat_ws("/", "folder", "_base")
-        todo = todo.withColumn("_full", full).join(taken.withColumn("_taken", F.lit(1)), F.col("_full") == F.col("_dest"), "left").drop("_full", "_dest")
-        k = rank - 1 + F.coalesce(F.col("_taken"), F.lit(0))
-    todo = todo.withColumn("_k", k)
-    name = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.concat(stem(F.col("_base")), F.lit("_"), F.col("_k").cast("string"), suffix(F.col("_base"))))
-    return todo.withColumn("dest", F.concat_ws("/", "folder", name)).drop("_base", "_from", "_k", "_taken")
+    full = F.concat_ws("/", "folder", "name")
+    todo = plan.withColumn("_full", full)
+    rank = F.row_number().over(Window.partitionBy("_full").orderBy("origin")).cast("long")
+    names = todo.select("_full")
+    k = rank - 1
+    if existing is not None:
+        taken = existing.select(F.col("dest").alias("_dest")).distinct()
+        todo = todo.join(taken, F.col("_full") == F.col("_dest"), "left")
+        k = k + F.col("_dest").isNotNull().cast("long")
+        names = names.unionAll(taken)
+    todo = todo.withColumn("_k", k).withColumn("_held", F.lit(0)).drop("_dest")
+    # the i-th held number (from 0) moves up all from the (number - i)-th on
+    place = F.row_number().over(Window.partitionBy("_full").orderBy("_num")) - 1
+    held = _numbers(names.distinct()).select("_full", (F.col("_num") - place).alias("_k"), F.lit(1).alias("_held"))
+    up = F.sum("_held").over(Window.partitionBy("_full").orderBy("_k", F.desc("_held")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    todo = todo.unionByName(held, allowMissingColumns=True).withColumn("_up", up).filter("_held = 0")
+    dest = F.when(F.col("_k") == 0, F.col("_full")).otherwise(_numbered(F.col("_full"), F.col("_k") + F.col("_up")))
+    return todo.withColumn("dest", dest).drop("_full", "_k", "_held", "_up")
 
 
 def move_rated_plan(images: DataFrame, dest: str) -> DataFrame:
