@@ -362,3 +362,15 @@ def test_decontamination_finds_every_match_at_the_edit_limit(n, monkeypatch):
     assert got == sorted(want)
     monkeypatch.setattr(decontaminate, "PAIRS", 4)
     assert sorted(index.matches(docs)) == got
+
+
+def test_short_lines(spark):
+    """Lines of SHINGLE characters or more are linked by their shingles, however few: copies, and pairs at the limit."""
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    first = [line(n) for n in (8, 9, 15) for _ in range(5)] + [line(n) for n in (11, 12, 15, 16, 20, 23, 40) for _ in range(60)]
+    second = [x if k < 15 else x + line((len(x) - 7) // 4) for k, x in enumerate(first)]
+    df = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(second))], "doc_id long, text string")
+    gone = {(r["doc_id"], r["line_no"]) for r in linededup.duplicate_lines(df)[1].collect()}
+    assert {d for d, _ in gone} == {2} and {(2, k) for k in range(15)} <= gone
+    assert len(gone) >= 0.98 * len(first)

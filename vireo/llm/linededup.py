@@ -6,7 +6,7 @@ sketches agree; links are verified by exact Jaccard similarity within closed clu
 of each component of similar lines, the one that comes first by (doc_id, text hash, line number). At similarity 0.8 the
 bands find a pair with probability 0.991, at 0.9 with 0.9998.
 
-Defined cases: lines of fewer than MIN_CHARS characters, empty ones among them, always stay; a null text has no lines;
+Defined cases: lines of fewer than SHINGLE characters, empty ones among them, always stay; a null text has no lines;
 a null doc_id comes last; rows that repeat doc_id and text are one document, and each of them keeps the same lines; an
 empty table gives an empty result; other columns pass through clean_documents() and are not read elsewhere.
 """
@@ -26,11 +26,13 @@ from vireo.operators.components import connected_components
 from vireo.llm.setjoin import SLOTS, compare_nodes, sketches, verify_clusters
 
 SHINGLE = 8  # characters
-MIN_CHARS = 16
 BANDS, BAND_ROWS = 9, 4
 PERCENT = 80
 #: Of the 32 slots in half a sketch; at similarity 0.8 each differs with probability 0.15.
 HALF_DIFFERENT = 13
+#: Up to so many shingles, slots that are borrowed tell too little: a bit for each shingle is compared instead, which loses no pair.
+SMALL = 52
+SMALL_PAIR = SMALL * 100 // PERCENT  # what a line of SMALL shingles may be similar to; HALF_DIFFERENT is a fifth of the two together
 CACHED = 1 << 16  # characters whose shingles are worked on at a time, within a processor's cache
 SEEN = 200_000  # lines that a task remembers, to pass copies over
 
@@ -104,6 +106,16 @@ def line_signatures(lines: list[str]) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def line_bits(lines: list[str]) -> np.ndarray:
+    """A bit of 32, each in a slot of a sketch, for each shingle of short lines; 0 for lines that have over SMALL_PAIR."""
+    out = np.zeros(len(lines), np.uint64)
+    short = [k for k, x in enumerate(lines) if len(x) - SHINGLE < SMALL_PAIR]
+    if short:
+        h, line = _shingles([lines[k] for k in short])
+        np.bitwise_or.at(out, np.array(short)[line], np.uint64(1) << (h >> np.uint64(59) << np.uint64(1)))
+    return out.view(np.int64)
+
+
 def line_sets(items: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingles of each of some normal lines."""
     h, line = _shingles([x.decode() for x in items])
@@ -119,7 +131,7 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, numbers, found, ends = [], [], [], [0]
         for text in batch.column(2).to_pylist():
             lines = normal_lines(text)
-            own = [k for k, x in enumerate(lines) if len(x) >= MIN_CHARS]
+            own = [k for k, x in enumerate(lines) if len(x) >= SHINGLE]
             numbers += own
             found += [lines[k] for k in own]
             counts.append(len(lines))
@@ -134,7 +146,7 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     seen: set[str] = set()
     for batch in batches:
-        lines = [x for text in batch.column(0).to_pylist() for x in normal_lines(text) if len(x) >= MIN_CHARS]
+        lines = [x for text in batch.column(0).to_pylist() for x in normal_lines(text) if len(x) >= SHINGLE]
         lines = [x for x in dict.fromkeys(lines) if hash(x) not in seen]
         if not lines:
             continue
@@ -147,9 +159,12 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.repeat(band[None, :], len(lines), axis=0)
         for r in range(BAND_ROWS):
             key = mix(key + sig[:, r : BANDS * BAND_ROWS : BAND_ROWS].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(sk, BANDS)), pa.array(np.zeros(len(lines) * BANDS, np.int64))], names=["key", "id", "s1", "s2"]
-        )
+        n = np.array([len(x) - SHINGLE + 1 for x in lines])
+        for use, own_key, s in ((n > SMALL, key, sk), (n <= SMALL_PAIR, mix(key + np.uint64(1)), line_bits(lines))):
+            many = int(use.sum()) * BANDS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own_key[use].view(np.int64).ravel()), pa.array(np.repeat(ids[use], BANDS)), pa.array(np.repeat(s[use], BANDS)), pa.array(np.zeros(many, np.int64))], names=["key", "id", "s1", "s2"]
+            )
 
 
 def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +206,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     texts = sieve(texts, ["doc_id", "rk"], asked, ["q_doc", "q_rk"])
     with_text = texts.hint("merge").join(asked, texts["doc_id"].eqNullSafe(F.col("q_doc")) & (F.col("rk") == F.col("q_rk"))).select("doc_id", "text", "asked")
     members = with_text.mapInArrow(_member_rows, "cluster long, d1 long, d2 long, least_doc long, n long, s1 long, s2 long, items binary")
-    linked = verify_clusters(materialize(members), percent, line_sets).select(F.col("node").alias("d1"), "root")
+    linked = verify_clusters(materialize(members), percent, line_sets, SMALL).select(F.col("node").alias("d1"), "root")
     groups = kinds.hint("merge").join(linked, "d1", "left").filter("root IS NOT NULL OR copies > 1").withColumn("group", F.coalesce("root", "d1"))
     groups = materialize(groups)
     least = groups.groupBy("group").agg(F.min("first").alias("keep"))

@@ -188,9 +188,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Exact links between left and right members (indices) with different labels; label is updated, and joined members are not compared again."""
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Two uint64 per set, a bit for each hash: sets differ in as many hashes as their bits, at least."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    out = np.zeros((len(sets), 2), np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    np.bitwise_or.at(out, (row, (flat >> np.uint64(6) & np.uint64(1)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
+    return out
+
+
+def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, small: int = 0) -> list[tuple[int, int]]:
+    """Exact links between left and right members (indices) with different labels; label is updated, and joined members are not compared again.
+
+    Pairs with a set of up to small hashes are not held against sketches, but against a bound that loses nothing.
+    """
     sizes = np.array([len(s) for s in sets])
+    bits = bitmaps(sets) if small else sk
     found = []
     both_ways = np.array_equal(left, right)  # then pairs with members before have been looked at
     for i in left:
@@ -199,7 +212,11 @@ def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: n
         if both_ways:
             right = right[np.searchsorted(right, i, side="right") :]
         cand = right[(label[right] != label[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
-        cand = cand[different(sk[cand], sk[i]) <= MAX_DIFFERENT]
+        agree = different(sk[cand], sk[i]) <= MAX_DIFFERENT
+        if small:
+            few = np.bitwise_count(bits[cand] ^ bits[i]).sum(axis=-1) * (100 + percent) <= (100 - percent) * (sizes[cand] + sizes[i])
+            agree = np.where(np.minimum(sizes[cand], sizes[i]) <= small, few, agree)
+        cand = cand[agree]
         for j in cand:
             if label[i] != label[j] and similar(sets[i], sets[j], percent):
                 found.append((i, j))
@@ -218,7 +235,7 @@ def stored_sets(items: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in items]
 
 
-def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets) -> DataFrame:
+def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets, small: int = 0) -> DataFrame:
     """rows of _MEMBERS, those of a key together. role 0 and 1 are compared with each other, and role 0 with itself where the key has no role 1 but pivots (role 2)."""
 
     def of_key(held: list[dict]) -> Iterator[tuple]:
@@ -233,9 +250,9 @@ def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets) -> DataFrame:
         label = np.unique(comp, return_inverse=True)[1]
         everyone = np.arange(len(rows_))
         if (role == 1).any():
-            links = _verified(sets, sk, label, everyone[role == 1], everyone, percent)
+            links = _verified(sets, sk, label, everyone[role == 1], everyone, percent, small)
         else:
-            links = _verified(sets, sk, label, everyone, everyone, percent)
+            links = _verified(sets, sk, label, everyone, everyone, percent, small)
         for i, j in links:
             yield rows_[i]["d1"], rows_[j]["d1"]
 
@@ -257,10 +274,11 @@ def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_sets) -> DataFrame:
+def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_sets, small: int = 0) -> DataFrame:
     """d1 and root for all members that have an exact link; members (a written table): cluster, d1, d2, least_doc, n, s1, s2, items.
 
     sets_of makes sets of items; n is a set's size or a bound of it.
+    Sketches are not asked about sets of up to small hashes.
 
     A cluster of up to CELL members is compared as a whole. A larger one is dealt to cells: each cell compares its own
     members and the cluster's pivots, which joins nearly everything that belongs together. What then lies outside the
@@ -278,13 +296,13 @@ def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_set
     base = rows.withColumn("key", key("cluster", "cell")).withColumn("role", F.lit(0)).withColumn("comp", F.col("d1"))
     large = sizes.filter("cells > 1")
     if not large.limit(1).count():
-        return connected_components(materialize(_verify_cells(base.select(*cols), percent, sets_of)))
+        return connected_components(materialize(_verify_cells(base.select(*cols), percent, sets_of, small)))
     big = members.join(large, "cluster")
     tops = big.groupBy("cluster", "cells").agg(*(F.min(F.struct(F.xxhash64("d2", F.lit(k)).alias("h"), "d1", "d2")).alias(f"p{k}") for k in range(PIVOTS)))
     picked = tops.select("cluster", "cells", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{k}.d1"), F.col(f"p{k}.d2")) for k in range(PIVOTS))))).alias("p"))
     picked = picked.select("cluster", F.col("p.d1").alias("d1"), F.col("p.d2").alias("d2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     pivots = members.join(picked, ["cluster", "d1", "d2"]).withColumn("key", key("cluster", "cell")).withColumn("role", F.lit(2)).withColumn("comp", F.col("d1"))
-    links = materialize(_verify_cells(base.select(*cols).unionByName(pivots.select(*cols)), percent, sets_of))
+    links = materialize(_verify_cells(base.select(*cols).unionByName(pivots.select(*cols)), percent, sets_of, small))
     found = materialize(connected_components(links))
     big = big.join(found.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1", "left").withColumn("comp", F.coalesce("comp", "d1"))
     big = materialize(big.withColumn("cell", F.pmod(F.xxhash64("d2"), F.col("cells"))))
@@ -298,5 +316,5 @@ def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_set
     asked = rest.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks"))).drop("cell").withColumn("cell", F.explode(F.sequence(zero, F.col("cells") - 1)))
     asked = asked.withColumn("key", key("cluster", "cell", "block")).withColumn("role", F.lit(1))
     against = big.join(weight, "cluster").withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("key", key("cluster", "cell", "block")).withColumn("role", F.lit(0))
-    more = materialize(_verify_cells(asked.select(*cols).unionByName(against.select(*cols)), percent, sets_of))
+    more = materialize(_verify_cells(asked.select(*cols).unionByName(against.select(*cols)), percent, sets_of, small))
     return connected_components(links.unionAll(more))
