@@ -374,3 +374,16 @@ def test_short_lines(spark):
     gone = {(r["doc_id"], r["line_no"]) for r in linededup.duplicate_lines(df)[1].collect()}
     assert {d for d, _ in gone} == {2} and {(2, k) for k in range(15)} <= gone
     assert len(gone) >= 0.98 * len(first)
+
+
+def test_html_keeps_all_of_the_input():
+    texts = lambda page: [b.text for b in htmltext.blocks(page)]
+    assert texts("<p>a <math><mi>x</mi></math> <object>b</object> <button>c</button></p><p>d") == ["a x b c", "d"]
+    for tag in ("math", "object", "button", "select", "svg", "video", "template"):
+        assert texts(f"<p>one<{tag}><p>two</p><p>three") == ["one", "two", "three"]
+    assert texts("<p>one<svg>no</svg><select><option>no</select></p><p>two<script>no<p>no") == ["one", "two"]
+    inner = "<footer>" + "<div class='a b'>" * 30 + "<p>text"
+    deep = htmltext.blocks(inner)[0]
+    assert htmltext._bucket("footer", htmltext.PATH_BUCKETS) in htmltext._path_ids(tuple(deep.path))
+    many = htmltext.blocks("<div class='" + " ".join("abcdefghijklmn") + " comments'><p>text")[0]
+    assert ".comments" in many.path

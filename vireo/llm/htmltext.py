@@ -34,7 +34,9 @@ PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 16, 6, 8, 16
 PAGES, BATCH, EPOCHS, SEED = 700, 24, 5, 11
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video noframes xmp".split())
+#: Left out with all up to their end. What browsers read as raw text goes on to the page's end if nothing closes it; of the others only the tag goes then.
+RAW = frozenset("script style noscript textarea title iframe noframes xmp".split())
+UNSEEN = frozenset("template svg select canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -64,7 +66,7 @@ def _tokens(tag: str, attrs: str) -> list[str]:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role", "itemprop"):
-                out += ["." + w.lower() for w in _CAMEL.findall(value)[:12]]
+                out += ["." + w.lower() for w in _CAMEL.findall(value)]
             elif name == "hidden" or name == "style" and "none" in value or name == "aria-hidden" and value == "true":
                 out.append("!hidden")
     return out
@@ -77,6 +79,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     where: list[list[str]] = []
     links = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if not parts:
@@ -128,10 +131,15 @@ def blocks(page: str) -> list[Block]:
                 if tag in BLOCK:
                     flush()
             continue
-        if tag in RAW:
-            if not attrs.rstrip().endswith("/") or tag not in ("svg", "math"):
+        if tag in RAW or tag in UNSEEN:
+            if (not attrs.rstrip().endswith("/") or tag != "svg") and tag not in unclosed:
                 close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                if close:
+                    at = close.end()
+                elif tag in RAW:
+                    at = end
+                else:
+                    unclosed.add(tag)
             add(" ")
             continue
         if tag == "br" or tag == "wbr":
@@ -169,8 +177,7 @@ def _bucket(token: str, buckets: int) -> int:
 
 @lru_cache(maxsize=100_000)
 def _path_ids(tokens: tuple[str, ...]) -> tuple[int, ...]:
-    near = tokens[-40:]
-    return tuple({_bucket(t, PATH_BUCKETS) for t in near if t not in ("html", "body")} | {_bucket("<" + tokens[-1], PATH_BUCKETS)})
+    return tuple({_bucket(t, PATH_BUCKETS) for t in tokens if t not in ("html", "body")} | {_bucket("<" + tokens[-1], PATH_BUCKETS)})
 
 
 def features(page: list[Block]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
