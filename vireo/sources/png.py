@@ -67,64 +67,102 @@ def encode(pixels: np.ndarray, texts: dict[str, str] | None = None) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray | None:
-    """Pixels as (h, w), (h, w, 3) or (h, w, 4) bytes; palettes become colours, 16 bits the high 8, gray with alpha loses it. None: broken or interlaced."""
-    head, palette, body = None, None, b""
+    """Pixels as (h, w), (h, w, 3) or (h, w, 4) bytes; palettes become colours, 16 bits the high 8, gray with alpha loses it. None: broken in any way."""
+    try:
+        return _decoded(data)
+    except (ValueError, IndexError, struct.error, zlib.error):
+        return None
+
+
+#: The seven passes of an interlaced image, as first column, first row, column step and row step.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _decoded(data: bytes) -> np.ndarray | None:
+    head, palette, body = None, None, []
     for kind, x in chunks(data):
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", x)
         elif kind == b"PLTE":
             palette = np.frombuffer(x, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            body += x
-    if head is None or head[6]:
+            body.append(x)
+    if head is None:
         return None
     w, h, depth, colour = head[:4]
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-    if not channels or not w or not h:
-        return None
-    stride, step = (w * channels * depth + 7) // 8, max(1, channels * depth // 8)
-    try:
-        raw = zlib.decompress(body)
-    except zlib.error:
-        return None
-    if len(raw) < (stride + 1) * h:
+    if not channels or not w or not h or depth not in (1, 2, 4, 8, 16) or head[6] > 1:
         return None
-    out = np.zeros((h, stride), np.uint8)
-    before = np.zeros(stride, np.int64)
-    for y in range(h):
-        line = raw[y * (stride + 1) : (y + 1) * (stride + 1)]
-        out[y] = before = _unfiltered(line[0], np.frombuffer(line, np.uint8, offset=1).astype(np.int64), before, step)
-    if depth == 16:
-        out = out[:, ::2]
-    elif depth < 8:
-        bits = np.unpackbits(out, axis=1)[:, : w * depth].reshape(h, w, depth)
-        out = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8)
-        if colour == 0:
-            out = (out.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    px = out.reshape(h, w, channels)
+    raw = zlib.decompress(b"".join(body))
+    if head[6]:
+        px, at = np.zeros((h, w, channels), np.uint8), 0
+        for x0, y0, dx, dy in PASSES:
+            pw, ph = -(-(w - x0) // dx), -(-(h - y0) // dy)
+            if pw > 0 and ph > 0:
+                px[y0::dy, x0::dx], at = _pass(raw, at, pw, ph, depth, channels)
+    else:
+        px = _pass(raw, 0, w, h, depth, channels)[0]
     if colour == 3:
         return None if palette is None or px.max() >= len(palette) else palette[px[:, :, 0]]
+    if colour == 0 and depth < 8:
+        px = (px.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
     return px[:, :, 0] if channels <= 2 else px
 
 
-def _unfiltered(kind: int, line: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 2:
-        return (line + up) & 255
-    if kind == 1:
-        n = -(-len(line) // step) * step
-        padded = np.concatenate([line, np.zeros(n - len(line), np.int64)]).reshape(-1, step)
-        return (padded.cumsum(axis=0).ravel()[: len(line)]) & 255
-    out = line.tolist()
-    above = up.tolist()
-    for i in range(len(out)):
-        a = out[i - step] if i >= step else 0
-        b = above[i]
-        if kind == 3:
-            out[i] = (out[i] + (a + b) // 2) & 255
+def _pass(raw: bytes, at: int, w: int, h: int, depth: int, channels: int) -> tuple[np.ndarray, int]:
+    """Samples (h, w, channels) of an image or pass that begins at a place of the data, and where it ends."""
+    stride, step = (w * channels * depth + 7) // 8, max(1, channels * depth // 8)
+    rows = np.frombuffer(raw, np.uint8, h * (stride + 1), at).reshape(h, stride + 1)
+    out = unfiltered(rows[:, 0], rows[:, 1:], step)
+    if depth == 16:
+        out = out[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(out, axis=1)[:, : w * channels * depth].reshape(h, w * channels, depth)
+        out = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8)
+    return out.reshape(h, w, channels), at + h * (stride + 1)
+
+
+def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of filtered rows. Runs of rows whose bytes need their left neighbour's are undone along diagonals, many rows at once."""
+    h, stride = rows.shape
+    out = np.zeros((h + 1, stride), np.uint8)
+    y = 0
+    while y < h:
+        kind = int(kinds[y])
+        end = y + 1
+        if kind in (3, 4):
+            while end < h and kinds[end] in (3, 4):
+                end += 1
+            _diagonals(out[y : end + 1], rows[y:end], kinds[y:end], step)
+        elif kind == 0:
+            out[y + 1] = rows[y]
+        elif kind == 2:
+            out[y + 1] = rows[y] + out[y]
+        elif kind == 1:
+            padded = np.zeros((-(-stride // step), step), np.uint8)
+            padded.ravel()[:stride] = rows[y]
+            out[y + 1] = np.cumsum(padded, axis=0, dtype=np.uint8).ravel()[:stride]
         else:
-            c = above[i - step] if i >= step else 0
-            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            out[i] = (out[i] + (a if pa <= pb and pa <= pc else b if pb <= pc else c)) & 255
-    return np.array(out, np.int64)
+            raise ValueError(f"filter {kind}")
+        y = end
+    return out[1:]
+
+
+def _diagonals(out: np.ndarray, rows: np.ndarray, kinds: np.ndarray, step: int) -> None:
+    """Rows of filters 3 and 4, below out[0]: a pixel needs those to its left, above, and above that, which lie on the two diagonals before."""
+    n, stride = rows.shape
+    wide = -(-stride // step)
+    px = np.zeros((n + 1, wide + 1, step), np.int16)
+    px[0, 1:].reshape(-1)[:stride] = out[0]
+    filtered = np.zeros((n, wide * step), np.int16)
+    filtered[:, :stride] = rows
+    filtered = filtered.reshape(n, wide, step)
+    mean = (kinds == 3)[:, None]
+    for d in range(n + wide - 1):
+        y = np.arange(max(0, d - wide + 1), min(n, d + 1))
+        x = d - y
+        a, b, c = px[y + 1, x], px[y, x + 1], px[y, x]
+        pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        guess = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        px[y + 1, x + 1] = (filtered[y, x] + np.where(mean[y], (a + b) >> 1, guess)) & 255
+    out[1:] = px[1:, 1:].reshape(n, -1)[:, :stride]
