@@ -1,6 +1,8 @@
 """Image trees from end to end: listing, ingest, hashing, families, resolution, metadata and metrics."""
 
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -75,6 +77,62 @@ def test_metadata_rules():
     assert metadata.extract(png.encode(scene(1, 8, 8), {"prompt": "[1]"}))["prompt"] == "" and metadata.extract(b"x")["width"] is None
 
 
+@pytest.mark.parametrize(
+    "graph, want",
+    [
+        ({"a": 3, "b": None, "c": {"class_type": "CLIPTextEncode", "inputs": {"text": "x"}}}, ("x", "", "")),
+        ({"a": {"inputs": {"seed": [1, None, "b", [2], {"c": 1}, True, 1.5]}}}, ("", "", "1, , b, True, 1.5")),
+        ({"a": {"class_type": "LoraLoader", "inputs": {"lora_name": "l1"}}, "b": {"class_type": "LoraLoader", "inputs": {"lora_name": "l2"}}}, ("", "l1", "")),
+        ({"a": {"class_type": "my MODEL", "inputs": {"ckpt_name": "c", "unet_name": "u"}}, "b": {"class_type": "UNETLoader", "inputs": {"unet_name": "v"}}}, ("", "v", "")),
+        ({"a": {"class_type": "UNETLoader", "inputs": {"unet_name": {}}}, "b": {"class_type": "LoraLoader", "inputs": {"lora_name": "l"}}}, ("", "l", "")),
+        ({"a": {"class_type": "KSampler", "inputs": {"noise_seed": 7}}, "b": {"class_type": "Other", "inputs": {"noise_seed": 8}}}, ("", "", "7")),
+        ({"a": {"inputs": ["x"]}}, ("", "", "")),
+        ([], ("", "", "")),
+        ([1], None),
+        ({"a": {"inputs": 5}}, None),
+        ({"a": {"class_type": None}}, None),
+        ({"a": {"class_type": "CLIPTextEncode", "inputs": ["text"]}}, None),
+        ({"a": {"inputs": "seed"}}, None),
+    ],
+)
+def test_graph_rules(graph, want):
+    assert metadata.graph_text_fields(json.dumps(graph)) == (None if want is None else dict(zip(("prompt", "model", "seed"), want)))
+    found = metadata.extract(png.encode(scene(1, 8, 8), {"prompt": json.dumps(graph), "workflow": "w"}))
+    assert found["workflow"] == ("" if want is None else "w")
+
+
+def plain_unfilter(kinds, rows, step):
+    """Filters undone byte by byte, from the format's definition."""
+    out, up = [], [0] * rows.shape[1]
+    for kind, row in zip(kinds.tolist(), rows.tolist()):
+        now = []
+        for i, v in enumerate(row):
+            a, b, c = now[i - step] if i >= step else 0, up[i], up[i - step] if i >= step else 0
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            now.append((v + (0, a, b, (a + b) // 2, guess)[kind]) & 255)
+        out.append(now)
+        up = now
+    return np.array(out, np.uint8)
+
+
+def test_png_filters_interlacing_and_broken_files():
+    rng = np.random.default_rng(5)
+    for step, stride in ((1, 7), (3, 21), (4, 40), (6, 30), (1, 1)):
+        kinds, rows = rng.integers(0, 5, 19), rng.integers(0, 256, (19, stride)).astype(np.uint8)
+        assert np.array_equal(png.unfiltered(kinds, rows, step), plain_unfilter(kinds, rows, step))
+    px = scene(2, 21, 13)
+    raw = b"".join(b"".join(b"\0" + r.tobytes() for r in np.ascontiguousarray(px[y::dy, x::dx])) for x, y, dx, dy in png.PASSES if px[y::dy, x::dx].size)
+    whole = png.encode(px)
+    head = struct.pack(">IIBBBBB", 21, 13, 8, 2, 0, 0, 1)
+    piece = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"crc4"
+    assert np.array_equal(png.decode(png.SIGNATURE + piece(b"IHDR", head) + piece(b"IDAT", zlib.compress(raw))), px)
+    for bad in (piece(b"IHDR", head[:5]), piece(b"IHDR", head) + piece(b"PLTE", b"1234"), piece(b"IHDR", head) + piece(b"IDAT", b"zz")):
+        assert png.decode(png.SIGNATURE + bad) is None
+    for cut in range(0, len(whole), 37):
+        png.decode(whole[:cut])
+
+
 def test_stream_hashes_once(spark, tree, tmp_path):
     for _ in range(2):
         incremental.hash_new_images(spark, str(tree / "src/output"), str(tmp_path / "hashes"), str(tmp_path / "cp")).awaitTermination()

@@ -91,11 +91,11 @@ def bits64(values: Column, is_set) -> Column:
 def dhash_grid(grid: Column) -> Column:
     """Difference hash of a row-major grid of 8 rows of 9: a bit is set where the right neighbour is brighter."""
     at = lambda g, k, d: F.get(g, (F.floor(k / 8) * 9 + k % 8 + d).cast("int"))
-    return bits64(grid, lambda g, k: at(g, k, 1) > at(g, k, 0))
+    # a function of an array's one element: the grid is worked out once, not for each bit
+    return F.transform(F.array(grid), lambda one: bits64(one, lambda g, k: at(g, k, 1) > at(g, k, 0)))[0]
 
 
 def median_hash(values: Column) -> Column:
     """64 coefficients: a bit is set where one is above the median (mean of the middle two)."""
-    ordered = F.array_sort(values)
-    median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    return bits64(F.struct(values.alias("v"), median.alias("m")), lambda s, k: F.get(s["v"], k) > s["m"])
+    ordered = F.transform(F.array(F.struct(values.alias("v"), F.array_sort(values).alias("o"))), lambda x: F.struct(x["v"].alias("v"), ((F.element_at(x["o"], 32) + F.element_at(x["o"], 33)) / 2).alias("m")))
+    return F.transform(ordered, lambda one: bits64(one, lambda s, k: F.get(s["v"], k) > s["m"]))[0]

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vireo.functions.scalar import contains_like
+from vireo.plans.tables import materialize
 
+#: The columns that a listing may be sorted by.
 SORTABLE = ("file_modified", "file_created", "filesize", "filename", "rating", "indexed_at", "quality_score", "sharpness", "saturation", "brightness", "contrast")
 
 
@@ -99,9 +101,27 @@ def new_files(listing: DataFrame, images: DataFrame) -> DataFrame:
     return listing.dropDuplicates(["filepath"]).join(images.select("filepath"), "filepath", "left_anti")
 
 
+def index_plan(listing: DataFrame, images: DataFrame, force: bool = False) -> DataFrame:
+    """listing (filepath, size; size null where a file couldn't be read), one row per path, with its action.
+
+    new: the catalog lacks the path. skipped: it has it. refreshed: it has it, and force asks for it anew. error: unreadable.
+    A forced run says refreshed of rows that the catalog has, and not that it indexed them.
+    """
+    known = images.select("filepath").distinct().withColumn("_known", F.lit(True))
+    held = F.lit("refreshed" if force else "skipped")
+    action = F.when(F.col("_known") & F.lit(not force), held).when(F.col("size").isNull(), "error").when(F.col("_known"), held).otherwise("new")
+    return listing.dropDuplicates(["filepath"]).join(known, "filepath", "left").withColumn("action", action).drop("_known")
+
+
+def index_counts(plan: DataFrame) -> DataFrame:
+    """One row: indexed (new and refreshed), skipped and errors."""
+    return plan.agg(F.count_if(F.col("action").isin("new", "refreshed")).alias("indexed"), F.count_if(F.col("action") == "skipped").alias("skipped"), F.count_if(F.col("action") == "error").alias("errors"))
+
+
 def with_ids(fresh: DataFrame, first_id: int) -> DataFrame:
     """fresh with ids from first_id on, in path order: a range sort and one count per partition, no single task."""
     placed = fresh.repartitionByRange("filepath").sortWithinPartitions("filepath").withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed)  # places are told from a written table: range borders are sampled anew at each evaluation
     part = F.shiftright("_at", 33)
     counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")

@@ -17,8 +17,9 @@ BRUTE_ROWS = 20_000  # distinct hashes up to which all pairs are compared on a b
 
 
 def choose_pair_strategy(distinct: int, threshold: int) -> str:
-    """``banded`` needs hashes that agree, within threshold // BANDS bits, in one of BANDS bands; beyond 3 bits a band its probes outgrow the pairs."""
-    return "banded" if distinct > BRUTE_ROWS and threshold // BANDS <= 3 else "brute"
+    """``broadcast`` for hashes few enough to be sent to every task (counted first). Beyond, ``banded`` needs hashes that agree, within
+    threshold // BANDS bits, in one of BANDS bands; above 3 bits a band its probes outgrow the pairs, and ``tiled`` compares all hashes in blocks."""
+    return "broadcast" if distinct <= BRUTE_ROWS else "banded" if threshold // BANDS <= 3 else "tiled"
 
 
 def _distance(hashes: list[str]) -> Column:
@@ -41,14 +42,25 @@ def _banded(reps: DataFrame, h: str, threshold: int) -> DataFrame:
     return one.join(probes, ["k", "v"]).filter((F.col("g") < F.col("g2")) & (hamming(F.col(h), F.col("h2")) <= threshold)).select("g", "g2").distinct()
 
 
+def _tiled(reps: DataFrame, columns: list[str], threshold: int, tiles: int) -> DataFrame:
+    """All pairs of group numbers within threshold bits, by equal joins on pairs of blocks: a task holds one block of each side."""
+    own = reps.withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tiles)).cast("int"))
+    x = own.withColumn("u", F.explode(F.sequence(F.col("t"), F.lit(tiles - 1)))).alias("x")
+    y = own.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("t")))).alias("y")
+    meet = (F.col("x.t") == F.col("y.u")) & (F.col("x.u") == F.col("y.t")) & ((F.col("x.t") != F.col("y.t")) | (F.col("x.g") < F.col("y.g")))
+    return x.hint("shuffle_hash").join(y, meet & (_distance(columns) <= threshold)).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"), _distance(columns).alias("d"))
+
+
 def pair_edges(hashes: DataFrame, threshold: int, columns: list[str], strategy: str | None = None) -> DataFrame:
-    """a < b and d = least distance over the hash columns, of all pairs with d <= threshold; hashes has key and the columns.
+    """a < b and d: links that stand for all pairs of keys within threshold, d being the least distance over the hash columns.
 
-    Equal hashes are one group: groups are compared, then expanded (members of one group are at distance 0).
+    hashes (read twice: best a written table) has key and the columns. Keys of equal hashes are one group, named by its least
+    key. Groups are compared with each other, and each further key of a group is linked with its group's name, at distance 0:
+    so a group of n copies costs n - 1 links, not n squared.
     """
-    groups = hashes.groupBy(*columns).agg(F.min("key").alias("g"), F.count("*").alias("n"))
-    groups = materialize(groups)
-    strategy = strategy or choose_pair_strategy(groups.count(), threshold)
+    groups = materialize(hashes.groupBy(*columns).agg(F.min("key").alias("g")))
+    distinct = groups.count()
+    strategy = strategy or choose_pair_strategy(distinct, threshold)
     if strategy == "banded":
         pairs = None
         for h in columns:
@@ -56,15 +68,14 @@ def pair_edges(hashes: DataFrame, threshold: int, columns: list[str], strategy:
             pairs = found if pairs is None else pairs.unionAll(found)
         pairs = pairs.distinct()
         x, y = groups.alias("x"), groups.alias("y")
-        met = x.join(pairs.alias("p"), F.col("x.g") == F.col("p.g")).join(y, F.col("y.g") == F.col("p.g2"))
+        met = x.join(pairs.alias("p"), F.col("x.g") == F.col("p.g")).join(y, F.col("y.g") == F.col("p.g2")).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), _distance(columns).alias("d"))
+    elif strategy == "tiled":
+        met = _tiled(groups, columns, threshold, max(1, -(-distinct // BRUTE_ROWS)))
     else:
-        met = groups.alias("x").join(groups.alias("y"), (F.col("x.g") < F.col("y.g")) & (_distance(columns) <= threshold))
-    met = met.select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"), _distance(columns).alias("d")).filter(F.col("d") <= threshold)
-    members = hashes.select("key", *columns).join(groups.drop("n"), columns).select("g", "key")
-    between = met.join(members.select(F.col("g").alias("ga"), F.col("key").alias("ka")), "ga").join(members.select(F.col("g").alias("gb"), F.col("key").alias("kb")), "gb")
-    between = between.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "d")
-    inside = members.alias("m").join(members.alias("o"), (F.col("m.g") == F.col("o.g")) & (F.col("m.key") < F.col("o.key"))).select(F.col("m.key").alias("a"), F.col("o.key").alias("b"), F.lit(0).alias("d"))
-    return between.unionAll(inside)
+        x, y = groups.alias("x"), F.broadcast(groups).alias("y")  # BRUTE_ROWS at most, unless a caller asks for it
+        met = x.join(y, (F.col("x.g") < F.col("y.g")) & (_distance(columns) <= threshold)).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), _distance(columns).alias("d"))
+    copies = hashes.select("key", *columns).join(groups, columns).filter("key <> g").select(F.col("g").alias("a"), F.col("key").alias("b"), F.lit(0).alias("d"))
+    return met.filter(F.col("d") <= threshold).unionAll(copies)
 
 
 def perceptual_exact(hashes: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,7 +86,8 @@ def perceptual_exact(hashes: DataFrame, columns: list[str]) -> DataFrame:
 def families(edges: DataFrame, threshold: int) -> DataFrame:
     """family_id (least key), key and min_dist of every member of a component of two or more, by edges within threshold.
 
-    A member's least distance within its family over all edges is that over the edges within threshold: it has one of those.
+    edges: of pair_edges(). A member's least distance within its family is that over its own edges: copies of it are at 0, and
+    all others are met through their group's name.
     """
     near = materialize(edges.filter(F.col("d") <= threshold).select("a", "b", "d"))
     roots = connected_components(near).select(F.col("node").alias("key"), F.col("root").alias("family_id"))
@@ -99,6 +111,14 @@ def family_page(members: DataFrame, page: int = 1, per_page: int = 10) -> DataFr
     return members.join(F.broadcast(ranked), "family_id").select("position", "family_id", "size", "key", "min_dist")
 
 
+def family_page_info(members: DataFrame, page: int = 1, per_page: int = 10) -> DataFrame:
+    """One row: page and per_page as they are applied, total_families and total_pages (1 at least)."""
+    total = members.select("family_id").distinct().agg(F.count("*").alias("total_families"))
+    size = max(1, min(per_page, 50))
+    pages = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total_families") / size))
+    return total.select(F.greatest(F.lit(1).cast("long"), F.least(F.lit(page).cast("long"), pages)).alias("page"), F.lit(size).cast("long").alias("per_page"), "total_families", pages.alias("total_pages"))
+
+
 def with_catalog(page: DataFrame, images: DataFrame) -> DataFrame:
     """Page rows with the id and score of the catalog's image at the member's path (column filepath), null where there is none."""
     return page.join(images.select("filepath", "id", "quality_score"), "filepath", "left")

@@ -19,16 +19,45 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.concat_ws("/", F.lit("/vault"), "source", "lang")
     return row.select(
         F.col("doc_id").alias("id"), F.concat_ws("/", folder, name).alias("filepath"), name.alias("filename"), folder.alias("directory"), F.col("n_chars").alias("filesize"),
-        F.substring("text", 1, 2000).alias("prompt"), F.col("source").alias("model"), (F.coalesce("quality", F.lit(0)) * k).cast("int").alias("rating"),
+        F.col("text").alias("prompt"), F.col("source").alias("model"), (F.coalesce("quality", F.lit(0)) * k).cast("int").alias("rating"),
         (F.col("doc_id") % 7 == 0).cast("int").alias("flag"), F.coalesce("toxic", F.lit(0)).alias("rejected"),
         F.when(F.col("quality").isNotNull(), (F.col("n_chars") % 1000) / 10).alias("quality_score"), (F.col("doc_id") * 60.0).alias("file_modified"),
         F.when(F.col("quality").isNotNull(), F.col("doc_id") * 1.0).alias("analyzed_at"), (F.col("n_chars") % 11 == 0).cast("int").alias("file_corrupt"),
     )
 
 
+#: The letters whose share of a slice of text is its brightness, and its red, green and blue.
+GREY = "abcdefghijklm"
+COLOURS = ("abcdefgh", "ijklmnopq", "rstuvwxyz")
+
+
+def _share(part: Column, letters: str) -> Column:
+    """0 to 255: the share of letters in a text."""
+    held = F.length(part) - F.length(F.translate(part, letters, ""))
+    return F.call_function("div", (held * 255).cast("long"), F.greatest(F.length(part), F.lit(1)).cast("long"))
+
+
+def text_slices(text: Column, size: int, value) -> Column:
+    """value() of each of size equal slices of a whole text, as an array; null counts as empty."""
+    # a function of an array's one element: the text and its length are worked out once
+    whole = F.array(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n")))
+
+    def cut(d: Column, i: Column) -> Column:
+        begin, end = (F.call_function("div", x.cast("long") * d["n"], F.lit(size).cast("long")) for x in (i, i + 1))
+        return F.substr(d["t"], (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    slices = F.transform(whole, lambda d: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.array(cut(d, i)), value)[0]))
+    return slices[0]
+
+
 def text_grid(text: Column, size: int) -> Column:
-    """The first characters of a text as brightness values."""
-    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.coalesce(F.ascii(F.substr(text, i, F.lit(1))), F.lit(0)).bitwiseAND(F.lit(255)))
+    """A whole text as size brightness values."""
+    return text_slices(text, size, lambda p: _share(p, GREY))
+
+
+def text_pixels(text: Column, size: int) -> Column:
+    """A whole text as size pixels r, g, b."""
+    return text_slices(text, size, lambda p: F.struct(*(_share(p, c).alias(n) for n, c in zip("rgb", COLOURS))))
 
 
 def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,24 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.functions import scalar
-from vireo.operators import catalog, dupes, pull, review
+from vireo.functions.images import graph_metadata
+from vireo.operators import catalog, dupes, pool, pull, review
 from vireo.plans import adapters
-from vireo.plans.tables import read_table
+from vireo.plans.tables import materialize, read_table
 from vireo.sources.files import scannable
 
 THRESHOLD = 12
 PAGE_COLUMNS = ("id", "filename", "directory", "rating", "rejected", "quality_score", "filesize")
 
 _IMAGES = """images AS (SELECT d.doc_id AS id, '/vault/' || source || '/' || lang AS directory,
-  'img_' || d.doc_id || (['.png', '.JPG', '.jpeg', '.webp', '.bmp', '.txt'])[(d.doc_id % 6)::INT + 1] AS filename, n_chars AS filesize, substring(text, 1, 2000) AS prompt,
+  'img_' || d.doc_id || (['.png', '.JPG', '.jpeg', '.webp', '.bmp', '.txt'])[(d.doc_id % 6)::INT + 1] AS filename, n_chars AS filesize, text AS prompt,
   source AS model, (coalesce(quality, 0) * (d.doc_id % 6))::INT AS rating, (d.doc_id % 7 = 0)::INT AS flag, coalesce(toxic, 0) AS rejected,
   CASE WHEN quality IS NOT NULL THEN (n_chars % 1000) / 10 END AS quality_score, d.doc_id * 60.0::DOUBLE AS file_modified, CASE WHEN quality IS NOT NULL THEN d.doc_id * 1.0::DOUBLE END AS analyzed_at,
   (n_chars % 11 = 0)::INT AS file_corrupt FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 _LOW = f"translate(%s, '{scalar.UPPER}', '{scalar.LOWER}')"
-_HASHES = """hashes AS (SELECT doc_id AS key, CASE WHEN b >= 9223372036854775808::HUGEINT THEN (b - 18446744073709551616::HUGEINT)::BIGINT ELSE b::BIGINT END AS dh FROM (
+_PART = "substr(t, (%s * n // {0} + 1)::INT, ((%s + 1) * n // {0} - %s * n // {0})::INT)"
+_HELD = "255 * (length(%s) - length(translate(%s, '{0}', ''))) // greatest(1, length(%s))"
+
+
+def _sql(pattern: str, value: str, *more: object) -> str:
+    return pattern.format(*more).replace("%s", value)
+
+
+_HASHES = f"""hashes AS (SELECT doc_id AS key, CASE WHEN b >= 9223372036854775808::HUGEINT THEN (b - 18446744073709551616::HUGEINT)::BIGINT ELSE b::BIGINT END AS dh FROM (
   SELECT doc_id, list_sum([CASE WHEN g[(k // 8) * 9 + k % 8 + 2] > g[(k // 8) * 9 + k % 8 + 1] THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END for k in range(0, 64)])::HUGEINT AS b FROM (
-    SELECT doc_id, [coalesce(ascii(nullif(substr(text, i::INT, 1), '')), 0) & 255 for i in range(1, 73)] AS g FROM documents)))"""
-_EDGES = f"{_HASHES}, edges AS (SELECT a.key AS a, b.key AS b, bit_count(xor(a.dh, b.dh))::INT AS d FROM hashes a JOIN hashes b ON a.key < b.key AND bit_count(xor(a.dh, b.dh)) <= {THRESHOLD})"
+    SELECT doc_id, list({_sql(_HELD, "p", adapters.GREY)} ORDER BY i) AS g FROM (
+      SELECT doc_id, i, {_sql(_PART, "i", 72)} AS p FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents), range(0, 72) r(i)) GROUP BY doc_id)))"""
+_EDGES = f"""{_HASHES}, rep AS (SELECT dh, min(key) AS g FROM hashes GROUP BY dh),
+edges AS (SELECT least(x.g, y.g) AS a, greatest(x.g, y.g) AS b, bit_count(xor(x.dh, y.dh))::INT AS d FROM rep x JOIN rep y ON x.g < y.g AND bit_count(xor(x.dh, y.dh)) <= {THRESHOLD}
+  UNION ALL SELECT g, key, 0 FROM hashes JOIN rep ON hashes.dh = rep.dh WHERE key <> g)"""
 _FAMILIES = f"""{_EDGES}, u AS (SELECT a AS x, b AS y, d FROM edges UNION ALL SELECT b, a, d FROM edges),
 r(v, c) AS (SELECT DISTINCT x, x FROM u UNION SELECT u.y, r.c FROM r JOIN u ON u.x = r.v),
 roots AS (SELECT v AS key, min(c) AS family_id FROM r GROUP BY v), near AS (SELECT x AS key, min(d) AS min_dist FROM u GROUP BY x),
@@ -39,7 +51,7 @@ def _page(query: catalog.CatalogQuery):
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return dupes.pair_edges(adapters.text_hashes(spark, d), THRESHOLD, ["dh"])
+    return dupes.pair_edges(materialize(adapters.text_hashes(spark, d)), THRESHOLD, ["dh"])
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -47,14 +59,10 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _family_stats(spark: SparkSession, d: str) -> DataFrame:
-    from vireo.plans.tables import materialize
-
     return dupes.family_stats(materialize(_members(spark, d)), read_table(spark, d, "documents").count())
 
 
 def _family_page(spark: SparkSession, d: str) -> DataFrame:
-    from vireo.plans.tables import materialize
-
     return dupes.family_page(materialize(_members(spark, d)), page=2, per_page=10)
 
 
@@ -75,24 +83,52 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
     return catalog.changed_files(files, cache)
 
 
-def _variance(c: str):
-    """Population variance of 256 whole numbers, from whole sums: the same in any order."""
-    x = F.col(c).cast("long")
-    return (256 * F.sum(x * x) - F.sum(x) * F.sum(x)) / 65536
+SIDE = 16
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """16 x 16 grey pixels of each document, in built-in expressions: the metrics that need no image file."""
-    docs = read_table(spark, d, "documents").select("doc_id", adapters.text_grid(F.col("text"), 256).alias("g"))
-    at = lambda y, x: F.get("g", (F.greatest(F.lit(0), F.least(F.lit(15), y)) * 16 + F.greatest(F.lit(0), F.least(F.lit(15), x))).cast("int"))
-    px = docs.select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("k")).withColumn("y", F.floor(F.col("k") / 16)).withColumn("x", F.col("k") % 16)
-    y, x = F.col("y"), F.col("x")
-    px = px.select("doc_id", at(y, x).alias("v"), (at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x)).alias("lap"))
-    base = px.groupBy("doc_id").agg(F.round(_variance("lap"), 1).alias("sharpness"), F.round(F.avg("v") / 255, 3).alias("brightness"), F.round(F.sqrt(_variance("v")) / 128, 3).alias("contrast"), F.avg("v").cast("int").alias("mean_color"))
-    bins = px.withColumn("bin", F.least(F.lit(63), F.floor(F.col("v") / 255 * 64))).groupBy("doc_id", "bin").agg(F.count("*").alias("n"))
-    p = F.col("n") / (256 + 1e-8)
-    ent = bins.groupBy("doc_id").agg(F.round(-F.sum(p * F.log2(p + 1e-8)) / 6, 3).alias("entropy"))
-    return base.join(ent, "doc_id")
+    """Metrics of each document as SIDE x SIDE pixels, in built-in expressions over arrays: no row is exploded, nothing is shuffled.
+
+    Sums are of whole numbers (a pixel's grey times three), so they are the same in any order.
+    """
+    n = SIDE * SIDE
+    px = read_table(spark, d, "documents").select("doc_id", adapters.text_pixels(F.col("text"), n).alias("px"))
+    px = px.withColumn("m", F.transform("px", lambda p: p["r"] + p["g"] + p["b"]))
+    at = lambda y, x: F.get("m", (F.greatest(F.lit(0), F.least(F.lit(SIDE - 1), y)) * SIDE + F.greatest(F.lit(0), F.least(F.lit(SIDE - 1), x))).cast("int"))
+    around = lambda y, x: at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x)
+    px = px.withColumn("lap", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: around(F.floor(k / SIDE), k % SIDE)))
+    total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + f(x))
+    mean = lambda c: F.call_function("div", total("px", lambda p: p[c]), F.lit(n).cast("long")).cast("int")
+    variance = lambda c: (n * total(c, lambda x: x * x) - total(c, lambda x: x) * total(c, lambda x: x)) / (9 * n * n)
+    spread = lambda p: F.greatest(p["r"], p["g"], p["b"]) - F.least(p["r"], p["g"], p["b"])
+    px = px.withColumn("gray", F.forall("px", lambda p: spread(p) < 10)).withColumn("bins", F.transform("m", lambda x: F.least(F.lit(63), F.floor(x / (3 * 255) * 64))))
+    share = lambda b: F.size(F.filter("bins", lambda x: x == b)) / F.lit(n + 1e-8)
+    entropy = F.aggregate(F.array_distinct("bins"), F.lit(0.0), lambda acc, b: acc - share(b) * F.log2(share(b) + 1e-8)) / 6
+    saturation = F.aggregate("px", F.lit(0.0), lambda acc, p: acc + spread(p) / (F.greatest(p["r"], p["g"], p["b"]) + 1e-8)) / n
+    colours = F.size(F.array_distinct(F.transform("px", lambda p: F.floor(p["r"] / 16) * 256 + F.floor(p["g"] / 16) * 16 + F.floor(p["b"] / 16))))
+    return px.select(
+        "doc_id", F.round(variance("lap"), 1).alias("sharpness"), F.round(total("m", lambda x: x) / (3 * n) / 255, 3).alias("brightness"), F.round(F.sqrt(variance("m")) / 128, 3).alias("contrast"),
+        F.when(F.col("gray"), 0.0).otherwise(F.round(saturation, 3)).alias("saturation"), F.round(entropy, 3).alias("entropy"), F.col("gray").cast("int").alias("is_grayscale"),
+        mean("r").alias("mean_r"), mean("g").alias("mean_g"), mean("b").alias("mean_b"), colours.alias("unique_colors"),
+    )
+
+
+def _graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as node graphs: each turn is a node, of a kind that follows from its number."""
+    t, at = F.col("turn"), F.concat_ws("-", "conv_id", "turn")
+    kind = F.element_at(F.array(*map(F.lit, ("CLIPTextEncode", "CheckpointLoaderSimple", "LoraLoader", "KSamplerAdvanced", "a model of mine"))), (t % 5 + 1).cast("int"))
+    lists = F.array(F.lit("s"), F.lit(None).cast("string"), at)
+    inputs = F.when(t % 5 == 0, F.to_json(F.struct(F.col("text")))).when(t % 5 == 1, F.to_json(F.struct(at.alias("ckpt_name")))).when(t % 5 == 2, F.to_json(F.struct(at.alias("lora_name"))))
+    inputs = inputs.when(t % 5 == 3, F.to_json(F.struct(F.col("conv_id").alias("noise_seed")))).otherwise(F.to_json(F.struct(at.alias("unet_name"), lists.alias("seed")), {"ignoreNullFields": "false"}))
+    node = F.concat(F.lit('"'), t.cast("string"), F.lit('":{"class_type":"'), kind, F.lit('","inputs":'), inputs, F.lit("}"))
+    # the last node of every third graph is no object, and of every seventh has inputs that are none, which spoils the whole
+    extra = F.when(F.col("conv_id") % 7 == 0, ',"x":{"class_type":"LoraLoader","inputs":5}').when(F.col("conv_id") % 3 == 0, ',"x":[1]').otherwise("")
+    nodes = read_table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", node.alias("n")))), lambda x: x["n"]), ",").alias("body"))
+    return nodes.select("conv_id", F.concat(F.lit("{"), "body", extra, F.lit("}")).alias("graph"))
+
+
+def _graph_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return _graphs(spark, d).select("conv_id", graph_metadata("graph").alias("m")).select("conv_id", "m.prompt", "m.model", "m.seed")
 
 
 def _prompt_longest(spark: SparkSession, d: str) -> DataFrame:
@@ -111,16 +147,78 @@ def _session_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _move_rated(spark: SparkSession, d: str) -> DataFrame:
-    im = adapters.images(spark, d).withColumn("filename", F.concat(F.lit("f"), (F.col("id") % 40).cast("string"), F.lit(".png")))
-    return review.move_rated_plan(im, "/dest").select("id", "origin", "dest")
+    # names of which some are others with a number: f3.png, f3_1.png
+    name = F.concat(F.lit("f"), (F.col("id") % 40).cast("string"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("_"), (F.col("id") % 2 + 1).cast("string"))).otherwise(""), F.lit(".png"))
+    return review.move_rated_plan(adapters.images(spark, d).withColumn("filename", name), "/dest").select("id", "origin", "dest")
 
 
 def _resolve(spark: SparkSession, d: str) -> DataFrame:
-    files = _files(spark, d).filter("doc_id < 500").select(F.concat_ws("/", "source", F.col("rel")).alias("rel"), "doc_id")
+    files = _files(spark, d).select(F.concat_ws("/", "source", F.col("rel")).alias("rel"), "doc_id")
     keep = files.filter("doc_id % 4 = 0").select("rel")
     return review.resolve_plan(files, keep, "/pool", "/pool_curated").select("rel", "action", "dest")
 
 
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a file; the size of some couldn't be read."""
+    return adapters.images(spark, d).select("id", "filepath", F.when(F.col("id") % 13 != 0, F.col("filesize")).alias("size"))
+
+
+def _indexed(spark: SparkSession, d: str, force: bool) -> DataFrame:
+    return catalog.index_plan(_listing(spark, d), adapters.images(spark, d).filter("id % 4 <> 1"), force)
+
+
+def _new_ids(spark: SparkSession, d: str) -> DataFrame:
+    fresh = catalog.new_files(_listing(spark, d).select("filepath"), adapters.images(spark, d).filter("id % 4 <> 1"))
+    return catalog.with_ids(fresh, 1_000_000)
+
+
+def _status(spark: SparkSession, d: str) -> DataFrame:
+    files = _files(spark, d)
+    return pool.pool_status(files.filter("doc_id % 10 <> 0"), files.filter("doc_id % 10 = 0"), adapters.text_hashes(spark, d), None)
+
+
+def _family_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Members of families with the catalog's row at their path; some paths aren't in the catalog."""
+    images = adapters.images(spark, d)
+    members = materialize(_members(spark, d))
+    paths = images.select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("/gone"), F.col("filepath"))).otherwise(F.col("filepath")).alias("filepath"))
+    return dupes.with_catalog(members.join(paths, "key"), images).select("family_id", "key", "filepath", "id", "quality_score")
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog under the last rating and flag of each image in the log."""
+    log = read_table(spark, d, "events").select(F.col("user_id").alias("id"), review.rating_of(F.col("value")).alias("rating"), review.flag_of(F.col("event_type") == "click").alias("flag"), "ts", "event_id")
+    state = log.groupBy("id").agg(*(F.max_by(c, F.struct("ts", "event_id")).alias(c) for c in ("rating", "flag")))
+    return review.apply_state(adapters.images(spark, d), state).select("id", "rating", "flag", "rejected")
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog with scores from a side table of metrics."""
+    scores = _grid(spark, d).filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("contrast").alias("quality_score"))
+    return catalog.merge_metrics(adapters.images(spark, d), scores).select("id", "quality_score")
+
+
+def _synced(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog after a plan of which some rows failed."""
+    images = adapters.images(spark, d)
+    k = F.col("id") % 5
+    done = images.filter(k < 3).select(F.col("filepath").alias("origin"), F.concat(F.lit("/new/"), "filename").alias("dest"), F.when(k == 0, "keep").when(k == 1, "trash").otherwise("move").alias("action"), (F.col("id") % 7 != 0).alias("ok"))
+    return review.synced_catalog(images, done).select("id", "filepath", "filename", "directory")
+
+
+def _pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Cached hashes of files that are still listed, less those that were resolved."""
+    hashes = adapters.text_hashes(spark, d).select(F.col("key").alias("rel"), "dh")
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("rel"))
+    return dupes.pruned_hashes(dupes.live_hashes(hashes, docs.filter("rel % 3 <> 0")), docs.filter("rel % 5 = 0"))
+
+
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    """What a plan of which some moves failed adds to the manifest."""
+    plan = _pull_plan(spark, d).withColumn("sha256", F.sha2("origin", 256)).withColumn("size", F.length("origin").cast("long")).withColumn("ok", ~F.col("origin").endswith("7"))
+    return pull.manifest_rows(plan, 5.0)
+
+
 QUERIES = {
     "catalog_page": _page(LISTING),
     "catalog_total": lambda s, d: LISTING.total(adapters.images(s, d)),
@@ -152,19 +250,35 @@ QUERIES = {
     "resolve_plan": _resolve,
     "without_rejected": lambda s, d: review.without_rejected(adapters.images(s, d)).select("id", "filename"),
     "metrics_signal": _grid,
-    "quality_score": lambda s, d: _grid(s, d).select("doc_id", scalar.quality_score(F.col("sharpness"), F.col("contrast"), F.col("entropy"), F.lit(None).cast("double"), F.col("doc_id") % 10 == 0).alias("score")),
+    "quality_score": lambda s, d: _grid(s, d).select("doc_id", scalar.quality_score(F.col("sharpness"), F.col("contrast"), F.col("entropy"), F.col("saturation"), F.col("doc_id") % 10 == 0).alias("score")),
     "prompt_longest": _prompt_longest,
+    "graph_metadata": _graph_metadata,
+    "index_plan": lambda s, d: _indexed(s, d, False).select("filepath", "action"),
+    "index_counts": lambda s, d: catalog.index_counts(_indexed(s, d, False)).unionAll(catalog.index_counts(_indexed(s, d, True))),
+    "new_ids": _new_ids,
+    "pool_status": _status,
+    "family_page_info": lambda s, d: dupes.family_page_info(_members(s, d), page=10_000, per_page=7),
+    "family_catalog": _family_catalog,
+    "review_state": _state,
+    "metrics_merge": _measured,
+    "synced_catalog": _synced,
+    "pruned_hashes": _pruned,
+    "manifest_rows": _manifest,
+    "pasted_paths": lambda s, d: adapters.images(s, d).select("id", scalar.pasted_path(F.concat(F.lit("  '"), "filepath", F.lit("\" "))).alias("path"), scalar.curated_dir(F.concat("directory", F.lit("/"))).alias("curated")),
     "keys": lambda s, d: adapters.images(s, d).select("id", scalar.thumbnail_key(F.col("filepath")).alias("thumb_key"), scalar.vault_key(F.col("directory")).alias("vault_key")),
 }
 
 _COLS = ", ".join(PAGE_COLUMNS)
-_GRID = """g AS (SELECT doc_id, [coalesce(ascii(nullif(substr(text, i::INT, 1), '')), 0) & 255 for i in range(1, 257)] AS g FROM documents),
-k AS (SELECT doc_id, g, unnest(range(0, 256)) AS k FROM g), p AS (SELECT doc_id, g, k // 16 AS y, k % 16 AS x, g[k + 1] AS v FROM k),
-px AS (SELECT doc_id, v, g[greatest(y - 1, 0) * 16 + x + 1] + g[least(y + 1, 15) * 16 + x + 1] + g[y * 16 + greatest(x - 1, 0) + 1] + g[y * 16 + least(x + 1, 15) + 1] - 4 * v AS lap FROM p),
-b AS (SELECT doc_id, round((256 * sum(lap * lap) - sum(lap) * sum(lap)) / 65536, 1) AS sharpness, round(avg(v) / 255, 3) AS brightness, round(sqrt((256 * sum(v * v) - sum(v) * sum(v)) / 65536) / 128, 3) AS contrast, trunc(avg(v))::INT AS mean_color FROM px GROUP BY doc_id),
-h AS (SELECT doc_id, least(63, floor(v / 255 * 64)) AS bin, count(*) / (256 + 1e-8) AS q FROM px GROUP BY doc_id, bin),
+_GRID = f"""s AS (SELECT doc_id, k, {_sql(_PART, "k", 256)} AS p FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents), range(0, 256) r(k)),
+p AS (SELECT doc_id, k // 16 AS y, k % 16 AS x, k, {", ".join(f"{_sql(_HELD, 'p', letters)} AS {name}" for name, letters in zip("rgb", adapters.COLOURS))} FROM s),
+l AS (SELECT doc_id, list(r + g + b ORDER BY k) AS m FROM p GROUP BY doc_id),
+px AS (SELECT p.*, r + g + b AS v, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS spread, m[greatest(y - 1, 0) * 16 + x + 1] + m[least(y + 1, 15) * 16 + x + 1] + m[y * 16 + greatest(x - 1, 0) + 1] + m[y * 16 + least(x + 1, 15) + 1] - 4 * (r + g + b) AS lap FROM p JOIN l ON l.doc_id = p.doc_id),
+b AS (SELECT doc_id, round((256 * sum(lap * lap) - sum(lap) * sum(lap)) / (9 * 65536), 1) AS sharpness, round(sum(v) / (3 * 256) / 255, 3) AS brightness, round(sqrt((256 * sum(v * v) - sum(v) * sum(v)) / (9 * 65536)) / 128, 3) AS contrast,
+  CASE WHEN max(spread) < 10 THEN 0.0::DOUBLE ELSE round(sum(spread / (top + 1e-8) ORDER BY k) / 256, 3) END AS saturation, (max(spread) < 10)::INT AS is_grayscale, (sum(r) // 256)::INT AS mean_r, (sum(g) // 256)::INT AS mean_g, (sum(b) // 256)::INT AS mean_b,
+  count(DISTINCT r // 16 * 256 + g // 16 * 16 + b // 16)::INT AS unique_colors FROM px GROUP BY doc_id),
+h AS (SELECT doc_id, least(63, floor(v / (3 * 255) * 64)) AS bin, count(*) / (256 + 1e-8) AS q FROM px GROUP BY doc_id, bin),
 e AS (SELECT doc_id, round(-sum(q * log2(q + 1e-8)) / 6, 3) AS entropy FROM h GROUP BY doc_id),
-metrics AS (SELECT b.doc_id, sharpness, brightness, contrast, mean_color, entropy FROM b JOIN e ON b.doc_id = e.doc_id)"""
+metrics AS (SELECT b.*, entropy FROM b JOIN e ON b.doc_id = e.doc_id)"""
 _SRC = """files AS (SELECT '/src/' || source || '/' || lpad(doc_id::VARCHAR, 9, '0') AS origin, source, lang || '/f' || (doc_id % 50) || '.png' AS rel, sha256(text) AS sha256, n_chars AS size, doc_id FROM documents)"""
 
 ORACLE_SQL = {
@@ -201,13 +315,41 @@ SELECT origin, action, CASE WHEN action = 'move' THEN '/pool/' || source || '/'
     "changed_files": f"WITH {_SRC} SELECT origin AS rel, doc_id::DOUBLE AS mtime, size FROM files WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
     "review_fold": "SELECT user_id AS id, arg_max(greatest(0, least(5, trunc(value)::INT)), (ts, event_id)) AS rating FROM events GROUP BY user_id",
     "session_fold": "SELECT event_type AS key, arg_max(coalesce(props, ''), (ts, event_id)) AS value FROM events GROUP BY event_type",
-    "move_rated_plan": f"WITH {_IMAGES}, r AS (SELECT id, directory || '/' || filename AS origin, 'r' || rating || '_f' || (id % 40) AS stem FROM images WHERE rating >= 1), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY origin) - 1 AS k FROM r) SELECT id, origin, '/dest/' || stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.png' AS dest FROM n",
-    "resolve_plan": f"""WITH {_SRC}, f AS (SELECT source || '/' || rel AS rel, bool_or(doc_id % 4 = 0) AS keep, max(source || '/' || split_part(rel, '/', 1)) AS folder, max(split_part(rel, '/', 2)) AS name FROM files WHERE doc_id < 500 GROUP BY 1),
+    # name after name: the first of the name itself and its numbered forms that is neither given away nor another row's own name
+    "move_rated_plan": f"""WITH RECURSIVE {_IMAGES}, p AS (SELECT id, directory || '/' || filename AS origin, '/dest/r' || rating || '_f' || (id % 40) || CASE WHEN id % 3 = 0 THEN '_' || (id % 2 + 1) ELSE '' END AS stem FROM images WHERE rating >= 1),
+o AS (SELECT *, row_number() OVER (ORDER BY origin) AS n, (SELECT list(DISTINCT stem) FROM p) AS own FROM p),
+w(n, id, origin, dest, used) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[] UNION ALL
+  SELECT o.n, o.id, o.origin, c.dest, list_append(w.used, c.dest) FROM w JOIN o ON o.n = w.n + 1, LATERAL (SELECT CASE WHEN NOT list_contains(w.used, o.stem) THEN o.stem ELSE
+    (SELECT o.stem || '_' || min(i) FROM range(1, 2000) r(i) WHERE NOT list_contains(w.used, o.stem || '_' || i) AND NOT list_contains(o.own, o.stem || '_' || i)) END AS dest) c)
+SELECT id, origin, dest || '.png' AS dest FROM w WHERE n > 0""",
+    "resolve_plan": f"""WITH {_SRC}, f AS (SELECT source || '/' || rel AS rel, bool_or(doc_id % 4 = 0) AS keep, max(source || '/' || split_part(rel, '/', 1)) AS folder, max(split_part(rel, '/', 2)) AS name FROM files GROUP BY 1),
 g AS (SELECT *, CASE WHEN keep THEN '/pool_curated/' || folder ELSE '/pool/.dupe-trash' END AS target FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY target, name ORDER BY rel) - 1 AS k FROM g)
 SELECT rel, CASE WHEN keep THEN 'keep' ELSE 'trash' END AS action, target || '/' || CASE WHEN k = 0 THEN name ELSE replace(name, '.png', '') || '_' || k || '.png' END AS dest FROM n""",
     "without_rejected": f"WITH {_IMAGES} SELECT id, filename FROM images WHERE rejected = 0",
     "metrics_signal": f"WITH {_GRID} SELECT * FROM metrics",
-    "quality_score": f"WITH {_GRID} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0.0 ELSE round((least(1.0::DOUBLE, log10(greatest(1.0::DOUBLE, sharpness)) / 4.5) * 35 + contrast * 20 + least(1.0::DOUBLE, entropy) * 25 + 0)::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE END AS score FROM metrics",
+    "quality_score": f"WITH {_GRID} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0.0 ELSE round((least(1.0::DOUBLE, log10(greatest(1.0::DOUBLE, sharpness)) / 4.5) * 35 + contrast * 20 + least(1.0::DOUBLE, entropy) * 25 + least(1.0::DOUBLE, saturation * 2) * 20)::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE END AS score FROM metrics",
     "prompt_longest": "SELECT conv_id, arg_max(text, (length(text), -turn)) AS prompt FROM conversations GROUP BY conv_id",
     "keys": f"WITH {_IMAGES} SELECT id, substr(md5(directory || '/' || filename), 1, 12) AS thumb_key, substr(md5(directory), 1, 16) AS vault_key FROM images",
+    "graph_metadata": """WITH t AS (SELECT *, conv_id || '-' || turn AS spot FROM conversations),
+g AS (SELECT conv_id, arg_max(text, (length(text), -turn)) FILTER (turn % 5 = 0 AND text <> '') AS prompt, arg_max(spot, turn) FILTER (turn % 5 IN (1, 4)) AS main, arg_min(spot, turn) FILTER (turn % 5 = 2) AS lora,
+  arg_max(CASE WHEN turn % 5 = 3 THEN conv_id::VARCHAR ELSE 's, , ' || spot END, turn) FILTER (turn % 5 IN (3, 4)) AS seed FROM t GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 7 = 0 THEN '' ELSE coalesce(prompt, '') END AS prompt, CASE WHEN conv_id % 7 = 0 THEN '' ELSE coalesce(main, lora, '') END AS model, CASE WHEN conv_id % 7 = 0 THEN '' ELSE coalesce(seed, '') END AS seed FROM g""",
+    "index_plan": f"WITH {_IMAGES} SELECT directory || '/' || filename AS filepath, CASE WHEN id % 4 <> 1 THEN 'skipped' WHEN id % 13 = 0 OR filesize IS NULL THEN 'error' ELSE 'new' END AS action FROM images",
+    "index_counts": f"""WITH {_IMAGES}, x AS (SELECT id % 4 <> 1 AS known, id % 13 = 0 OR filesize IS NULL AS bad FROM images)
+SELECT count(*) FILTER (NOT known AND NOT bad) AS indexed, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known AND bad) AS errors FROM x UNION ALL SELECT count(*) FILTER (NOT bad), 0, count(*) FILTER (bad) FROM x""",
+    "new_ids": f"WITH {_IMAGES} SELECT directory || '/' || filename AS filepath, 999999 + row_number() OVER (ORDER BY directory || '/' || filename) AS id FROM images WHERE id % 4 = 1",
+    "pool_status": "SELECT count(*) FILTER (doc_id % 10 <> 0) AS images_on_disk, true AS has_manifest, count(*) FILTER (doc_id % 10 = 0) AS manifest_files, count(*) AS hashed, false AS has_edges FROM documents",
+    "family_page_info": f"WITH RECURSIVE {_FAMILIES}, n AS (SELECT count(DISTINCT family_id) AS total FROM fam) SELECT greatest(1, least(10000, (total + 6) // 7)) AS page, 7::BIGINT AS per_page, total AS total_families, greatest(1, (total + 6) // 7) AS total_pages FROM n",
+    "family_catalog": f"""WITH RECURSIVE {_FAMILIES}, {_IMAGES}, p AS (SELECT id AS key, CASE WHEN id % 3 = 0 THEN '/gone' ELSE '' END || directory || '/' || filename AS filepath FROM images)
+SELECT family_id, fam.key, p.filepath, id, quality_score FROM fam JOIN p ON p.key = fam.key LEFT JOIN images ON directory || '/' || filename = p.filepath""",
+    "review_state": f"""WITH {_IMAGES}, s AS (SELECT user_id, arg_max(greatest(0, least(5, trunc(value)::INT)), (ts, event_id)) AS rating, arg_max((event_type = 'click')::INT, (ts, event_id)) AS flag FROM events GROUP BY user_id)
+SELECT id, coalesce(s.rating, images.rating) AS rating, coalesce(s.flag, images.flag) AS flag, rejected FROM images LEFT JOIN s ON s.user_id = id""",
+    "metrics_merge": f"WITH {_IMAGES}, {_GRID} SELECT id, coalesce(contrast, quality_score) AS quality_score FROM images LEFT JOIN metrics ON metrics.doc_id = id AND id % 2 = 0",
+    "synced_catalog": f"""WITH {_IMAGES}, x AS (SELECT *, id % 5 < 3 AND id % 7 <> 0 AS ok FROM images)
+SELECT id, CASE WHEN ok THEN '/new/' || filename ELSE directory || '/' || filename END AS filepath, filename, CASE WHEN ok THEN '/new' ELSE directory END AS directory FROM x WHERE NOT (ok AND id % 5 = 1)""",
+    "pruned_hashes": f"WITH {_HASHES} SELECT key AS rel, dh FROM hashes WHERE key % 3 <> 0 AND key % 5 <> 0",
+    "pasted_paths": f"WITH {_IMAGES} SELECT id, directory || '/' || filename AS path, directory || '_curated' AS curated FROM images",
 }
+ORACLE_SQL["manifest_rows"] = f"""WITH plan AS ({ORACLE_SQL["pull_plan"]})
+SELECT CASE WHEN action = 'move' THEN 'moved' ELSE 'dupe' END AS kind, origin, dest AS pool_path, exact_dupe_of, sha256(origin) AS sha256, length(origin)::BIGINT AS size, 5.0::DOUBLE AS at FROM plan
+WHERE action = 'exact_dupe' OR (action = 'move' AND NOT ends_with(origin, '7'))"""

@@ -22,4 +22,10 @@ METRICS = _of(
     width=_I, height=_I, aspect_ratio=_D, file_corrupt=_I, is_grayscale=_I, mean_color=T.ArrayType(_I), sharpness=_D, brightness=_D, contrast=_D, saturation=_D, entropy=_D, unique_colors=_I,
 )
 HASH_PAIR = _of(ph=_L, dh=_L, error=_S)
+GRAPH_FIELDS = _of(prompt=_S, model=_S, seed=_S)
 METADATA = _of(width=_I, height=_I, prompt=_S, model=_S, seed=_S, workflow=_S)
+#: A manifest in JSON.
+MANIFEST = T.StructType([
+    T.StructField("version", _I), T.StructField("created_at", _S), T.StructField("sources", T.ArrayType(_S)),
+    T.StructField("files", T.ArrayType(_of(origin=_S, pool_path=_S, exact_dupe_of=_S, sha256=_S, size=_L, moved_at=_D, skipped_at=_D))),
+])
