@@ -31,33 +31,37 @@ GREY = "abcdefghijklm"
 COLOURS = ("abcdefgh", "ijklmnopq", "rstuvwxyz")
 
 
-def _share(part: Column, letters: str) -> Column:
-    """0 to 255: the share of letters in a text."""
-    held = F.length(part) - F.length(F.translate(part, letters, ""))
-    return F.call_function("div", (held * 255).cast("long"), F.greatest(F.length(part), F.lit(1)).cast("long"))
+def text_slices(text: Column, size: int, groups: tuple[str, ...], value) -> Column:
+    """A whole text as size equal slices: value() of each one's shares (0 to 255) of groups of letters, as an array; null counts as empty.
 
+    The text is put into one byte a character first (each group's letters become its first), so that a slice is cut in no more
+    time than it is long.
+    """
+    ascii_ = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "~")
+    classed = F.translate(ascii_, "".join(g[1:] for g in groups), "".join(g[0] * (len(g) - 1) for g in groups)).cast("binary")
+    div = lambda x, y: F.call_function("div", x, y)
 
-def text_slices(text: Column, size: int, value) -> Column:
-    """value() of each of size equal slices of a whole text, as an array; null counts as empty."""
-    # a function of an array's one element: the text and its length are worked out once
-    whole = F.array(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n")))
+    def cut(t: Column, i: Column) -> Column:
+        begin, end = (div(x.cast("long") * F.length(t), F.lit(size).cast("long")) for x in (i, i + 1))
+        return F.substr(t, (begin + 1).cast("int"), (end - begin).cast("int")).cast("string")
 
-    def cut(d: Column, i: Column) -> Column:
-        begin, end = (F.call_function("div", x.cast("long") * d["n"], F.lit(size).cast("long")) for x in (i, i + 1))
-        return F.substr(d["t"], (begin + 1).cast("int"), (end - begin).cast("int"))
+    def share(part: Column, letter: str) -> Column:
+        held = F.length(part) - F.length(F.replace(part, F.lit(letter), F.lit("")))
+        return div((held * 255).cast("long"), F.greatest(F.length(part), F.lit(1)).cast("long"))
 
-    slices = F.transform(whole, lambda d: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.array(cut(d, i)), value)[0]))
-    return slices[0]
+    # functions of an array's one element: what they take is worked out once
+    shares = lambda part: value(*(share(part, g[0]) for g in groups))
+    return F.transform(F.array(classed), lambda t: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.array(cut(t, i)), shares)[0]))[0]
 
 
 def text_grid(text: Column, size: int) -> Column:
     """A whole text as size brightness values."""
-    return text_slices(text, size, lambda p: _share(p, GREY))
+    return text_slices(text, size, (GREY,), lambda grey: grey)
 
 
 def text_pixels(text: Column, size: int) -> Column:
     """A whole text as size pixels r, g, b."""
-    return text_slices(text, size, lambda p: F.struct(*(_share(p, c).alias(n) for n, c in zip("rgb", COLOURS))))
+    return text_slices(text, size, COLOURS, lambda *rgb: F.struct(*(x.alias(n) for n, x in zip("rgb", rgb))))
 
 
 def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
