@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -32,6 +32,8 @@ from vireo.llm.common import read_table, small_batches
 PATH_BUCKETS, WORD_BUCKETS = 2048, 256
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 16, 6, 8, 16
 PAGES, BATCH, EPOCHS, SEED = 700, 24, 5, 11
+STEPS = 4096  # blocks whose products are worked out at a time
+HELD = 20_000  # blocks that are held before they are labelled, beside a page that has more
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Left out with all up to their end. What browsers read as raw text goes on to the page's end if nothing closes it; of the others only the tag goes then.
@@ -180,16 +182,15 @@ def _path_ids(tokens: tuple[str, ...]) -> tuple[int, ...]:
     return tuple({_bucket(t, PATH_BUCKETS) for t in tokens if t not in ("html", "body")} | {_bucket("<" + tokens[-1], PATH_BUCKETS)})
 
 
-def features(page: list[Block]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
-    """Path buckets, bags of word buckets and numbers of a page's blocks."""
+def features(page: list[Block]) -> tuple[list[tuple[int, ...]], list[np.ndarray], np.ndarray]:
+    """Path buckets, word buckets (all words of a block) and numbers of a page's blocks."""
     n = len(page)
-    words = np.zeros((n, WORD_BUCKETS), np.float32)
     numbers = np.zeros((n, NUMBERS), np.float32)
-    paths = []
+    paths, words = [], []
     for k, b in enumerate(page):
         paths.append(_path_ids(tuple(b.path)) if b.path else ())
         found = b.text.lower().split(" ")
-        words[k] = np.bincount([zlib.crc32(w.encode()) % WORD_BUCKETS for w in found], minlength=WORD_BUCKETS) / len(found)
+        words.append(np.fromiter([zlib.crc32(w.encode("utf-8", "replace")) % WORD_BUCKETS for w in found], np.uint8, len(found)))
         size = len(b.text)
         numbers[k] = (np.log1p(size) / 8, b.linked / size, min(len(found), 30) / 30, b.text[-1] in ".!?:;\"'”", k / n, 1 - k / n, sum(b.text.count(c) for c in ".,;") / size * 10, 1)
     return paths, words, numbers
@@ -212,20 +213,22 @@ def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, c0: np.ndarray) -> tuple[np.ndarray, list]:
-    """x (time, batch, d), mask (time, batch, 1): hidden states, and what the way back needs."""
+def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, c0: np.ndarray, train: bool) -> tuple[np.ndarray, list]:
+    """x (time, batch, d), mask (time, batch, 1): hidden states, and what the way back needs (nothing if not train)."""
     t, b, _ = x.shape
-    pre = x @ wx + c0
     h = np.zeros((b, HIDDEN), np.float32)
     c = np.zeros((b, HIDDEN), np.float32)
     out, kept = np.empty((t, b, HIDDEN), np.float32), []
     for k in range(t):
-        z = pre[k] + h @ wh
+        if k % STEPS == 0:
+            pre = x[k : k + STEPS] @ wx + c0
+        z = pre[k % STEPS] + h @ wh
         i, f, o = np.split(_sigmoid(z[:, : 3 * HIDDEN]), 3, axis=1)
         g = np.tanh(z[:, 3 * HIDDEN :])
         c2 = f * c + i * g
         th = np.tanh(c2)
-        kept.append((h, c, i, f, o, g, th))
+        if train:
+            kept.append((h, c, i, f, o, g, th))
         m = mask[k]
         h = m * (o * th) + (1 - m) * h
         c = m * c2 + (1 - m) * c
@@ -258,28 +261,34 @@ def _inputs(w: dict, pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, tuple]
     t, b = max(len(p[0]) for p in pages), len(pages)
     x = np.zeros((t, b, PATH_DIM + WORD_DIM + NUMBERS), np.float32)
     mask = np.zeros((t, b, 1), np.float32)
-    rows, ids = [], []
-    bags = np.zeros((t, b, WORD_BUCKETS), np.float32)
+    rows, ids, cells, bags = [], [], [], []
     for j, (paths, words, numbers) in enumerate(pages):
         n = len(paths)
         mask[:n, j] = 1
-        bags[:n, j] = words
         x[:n, j, PATH_DIM + WORD_DIM :] = numbers
+        cells += range(j, n * b + j, b)
+        bags += words
         for k, p in enumerate(paths):
             rows += [k * b + j] * len(p)
             ids += p
-    rows, ids = np.array(rows, np.int64), np.array(ids, np.int64)
+    rows, ids, cells = (np.array(a, np.int64) for a in (rows, ids, cells))
     flat = np.zeros((t * b, PATH_DIM), np.float32)
     np.add.at(flat, rows, w["path"][ids])
     x[:, :, :PATH_DIM] = np.tanh(flat).reshape(t, b, PATH_DIM)
-    x[:, :, PATH_DIM : PATH_DIM + WORD_DIM] = bags @ w["word"]
-    return x, mask, (rows, ids, bags)
+    # a block has one word at least: the mean of its words' vectors, a bounded number of words at a time
+    sizes = np.array([len(a) for a in bags])
+    mean = np.empty((len(cells), WORD_DIM), np.float32)
+    for lo in range(0, len(cells), STEPS):
+        part = sizes[lo : lo + STEPS]
+        mean[lo : lo + STEPS] = np.add.reduceat(w["word"][np.concatenate(bags[lo : lo + STEPS])], np.cumsum(part) - part, axis=0) / part[:, None]
+    x.reshape(t * b, -1)[cells, PATH_DIM : PATH_DIM + WORD_DIM] = mean
+    return x, mask, (rows, ids, cells, bags, sizes)
 
 
-def _forward(w: dict, pages: list[tuple]) -> tuple:
+def _forward(w: dict, pages: list[tuple], train: bool = False) -> tuple:
     x, mask, more = _inputs(w, pages)
-    hf, kf = _lstm(x, mask, w["fx"], w["fh"], w["fc"])
-    hb, kb = _lstm(x[::-1], mask[::-1], w["bx"], w["bh"], w["bc"])
+    hf, kf = _lstm(x, mask, w["fx"], w["fh"], w["fc"], train)
+    hb, kb = _lstm(x[::-1], mask[::-1], w["bx"], w["bh"], w["bc"], train)
     joined = np.concatenate([hf, hb[::-1], x], axis=2)
     return _sigmoid(joined @ w["out"] + w["bias"]), joined, x, mask, kf, kb, more
 
@@ -311,7 +320,7 @@ def fit(pages: list[tuple], labels: list[np.ndarray], seed: int = SEED, epochs:
     for epoch in range(epochs):
         for g in rng.permutation(len(groups)):
             batch = [pages[k] for k in groups[g]]
-            p, joined, x, mask, kf, kb, (rows, ids, bags) = _forward(w, batch)
+            p, joined, x, mask, kf, kb, (rows, ids, cells, bags, sizes) = _forward(w, batch, True)
             y = np.zeros(p.shape, np.float32)
             for j, k in enumerate(groups[g]):
                 y[: len(labels[k]), j] = labels[k]
@@ -324,7 +333,9 @@ def fit(pages: list[tuple], labels: list[np.ndarray], seed: int = SEED, epochs:
             dpath = dx[:, :, :PATH_DIM] * (1 - x[:, :, :PATH_DIM] ** 2)
             grad["path"] = np.zeros_like(w["path"])
             np.add.at(grad["path"], ids, dpath.reshape(-1, PATH_DIM)[rows])
-            grad["word"] = bags.reshape(-1, WORD_BUCKETS).T @ dx[:, :, PATH_DIM : PATH_DIM + WORD_DIM].reshape(-1, WORD_DIM)
+            grad["word"] = np.zeros_like(w["word"])
+            dword = dx.reshape(len(x) * len(batch), -1)[cells, PATH_DIM : PATH_DIM + WORD_DIM] / sizes[:, None]
+            np.add.at(grad["word"], np.concatenate(bags), np.repeat(dword, sizes, axis=0))
             step += 1
             rate = 0.01 * (0.3 if epoch >= epochs - 2 else 1)
             for k, v in grad.items():
@@ -501,10 +512,25 @@ def model() -> dict[str, np.ndarray]:
 # --- over a table -------------------------------------------------------------------------------------------------------
 
 
-def extract(pages: list[str], weights: dict[str, np.ndarray]) -> list[str]:
-    found = [blocks(p or "") for p in pages]
-    chances = probabilities(weights, [features(b) for b in found])
-    return ["\n".join(b.text for b, p in zip(bs, ps, strict=True) if p > 0.5) for bs, ps in zip(found, chances, strict=True)]
+def extract(pages: Iterable[str | None], weights: dict[str, np.ndarray]) -> list[str]:
+    """The main text of each page. Pages are labelled once HELD blocks have come together, so memory follows the longest page and not their number."""
+    out: list[str] = []
+    held: list[list[Block]] = []
+
+    def label() -> None:
+        chances = probabilities(weights, [features(b) for b in held])
+        out.extend("\n".join(b.text for b, p in zip(bs, ps, strict=True) if p > 0.5) for bs, ps in zip(held, chances, strict=True))
+        held.clear()
+
+    n = 0
+    for page in pages:
+        held.append(blocks(page or ""))
+        n += len(held[-1])
+        if n > HELD:
+            label()
+            n = 0
+    label()
+    return out
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -523,4 +549,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages. Awkward cases: see the module."""
     return main_text(read_table(spark, sf_dir, "pages"))
