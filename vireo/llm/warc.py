@@ -5,10 +5,11 @@ Writing: each page becomes a ``response`` record whose block is an HTTP message
 SEGMENT bytes is cut into a first segment and ``continuation`` records, which may lie in any archive file. Records are rows
 of Spark's text writer with the line end that WARC prescribes between records, so any store that Spark writes to will do.
 
-Reading: the text source splits archives at ``\\r\\n\\r\\nWARC/1.1\\r\\n``, which streams files of any size. The writer never puts
-that sequence into a block: chunk and segment borders fall inside any such place of a payload. Segments are grouped by their
-origin's record id, ordered by segment number, checked against the total length that the last one states, and joined; then the
-chunked framing is decoded and the payload digest verified. Revisits are resolved by the digest of the stored response.
+Reading: the text source splits archives at ``\\r\\n\\r\\nWARC/1.1\\r\\n``, which streams files of any size. The writer never lets
+that sequence come about but between records: chunk and segment borders are laid so that no place of a payload makes one up,
+alone or together with the framing around it. Segments are grouped by their origin's record id, ordered by segment number,
+checked against the total length that the last one states, and joined as they stream by, one record at a time in memory; then
+the chunked framing is decoded and the payload digest verified. Revisits are resolved by the digest of the stored response.
 
 Defined cases: a null html is an empty payload; null urls are empty; the record id is a function of page_id and payload, so
 repeated rows write equal records, and reading counts first segments to give as many rows back; of several rows with the
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import materialize, read_table, scratch_dir, small_batches
+from vireo.llm.common import materialize, read_table, rows_of, scratch_dir, small_batches
 
 MIN_REVISIT = 1000
 SEGMENT = 1 << 15
 CHUNK = 1 << 13
+SALT = 16
+JOINED_BYTES = 16 << 20  # of joined records in an Arrow batch, beside one that is larger
 VERSION = b"WARC/1.1\r\n"
 BETWEEN = "\r\n\r\nWARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"  # archives are a function of their pages
@@ -42,13 +45,18 @@ _RECORD = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.i
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """HTTP/1.1 chunked framing; a chunk ends within each place that looks like a border between records."""
+    """HTTP/1.1 chunked framing; a chunk ends within each place that looks like a border between records.
+
+    Such a place is a border without its last line end, which could be that behind a chunk. Where a chunk begins with a border but
+    for its first line end, which could be that before the chunk, one ends within that too.
+    """
     cuts = {*range(0, len(payload), size), len(payload)}
-    mark = BETWEEN.encode()
+    mark = BETWEEN.encode()[:-2]
     at = payload.find(mark)
     while at >= 0:
         cuts.add(at + 5)
         at = payload.find(mark, at + 1)
+    cuts |= {c + 3 for c in cuts if payload.startswith(mark[2:], c)}
     ends = sorted(cuts)
     return b"".join(b"%x\r\n%b\r\n" % (b - a, payload[a:b]) for a, b in zip(ends, ends[1:])) + b"0\r\n\r\n"
 
@@ -73,12 +81,16 @@ def dechunked(body: bytes) -> bytes | None:
 
 
 def segments(block: bytes, size: int = SEGMENT) -> list[bytes]:
-    """Pieces of at most size bytes; none begins within a border between records, and none ends in one's beginning."""
+    """Pieces of at most size bytes, and over size - 32. With the line ends that a record has before and behind its block, none makes up a border."""
+    mark = BETWEEN.encode()
     out, at = [], 0
-    while at < len(block) or not out:
-        out.append(block[at : at + size])
-        at += size
-    return out
+    while len(block) - at > size:
+        end = at + size
+        while block.startswith((mark[2:-2], mark[4:-2]), end) or block.endswith(mark[:-2], at, end):
+            end -= 1
+        out.append(block[at:end])
+        at = end
+    return [*out, block[at:]]
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -122,8 +134,9 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> No
     rows = rows.withColumn("_digest", F.sha1("payload"))
     # an ordered pair lets null ids lose against all others
     stored = rows.filter(F.length("payload") >= MIN_REVISIT).groupBy("_digest").agg(F.max("page_id").alias("_response"), F.count("*").alias("_n"))
-    stored = materialize(stored.filter("_n > 1").drop("_n"))
-    rows = rows.join(stored, "_digest", "left")
+    # a payload may be that of any share of the pages: its rows are dealt to SALT tasks
+    stored = materialize(stored.filter("_n > 1").select("_digest", "_response", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(stored, ["_digest", "_salt"], "left")
     revisit = F.col("_response").isNotNull() & (F.length("payload") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("_response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,23 +197,53 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("value").cast("binary")).mapInArrow(run, RECORD)
 
 
+_PAGE = [*RECORD.split(", "), "n_copies long", "intact boolean"]
+_PAGE_SCHEMA = pa.schema([*_RECORD, pa.field("n_copies", pa.int64()), pa.field("intact", pa.bool_())])
+
+
+def joined(parts: Iterator[dict]) -> Iterator[dict]:
+    """Segments in the order of (origin, segment), as one row per origin with the block whole. intact: no segment is missing, and the length is what the last one states."""
+    row: dict | None = None
+    pieces: list[bytes] = []
+
+    def whole() -> dict:
+        block = b"".join(pieces)
+        return {**row, "block": block, "segment": None, "intact": row["n_copies"] > 0 and row["intact"] and len(block) == row["total_length"]}
+
+    for p in parts:
+        if row is not None and p["origin"] != row["origin"]:
+            yield whole()
+            row = None
+        if row is None:
+            row, pieces, last = {**p, "n_copies": 0, "intact": True}, [], 0
+        if p["segment"] == 1:  # what names the page stands in the first segment
+            row = {**p, "n_copies": row["n_copies"] + 1, "intact": row["intact"], "total_length": row["total_length"]}
+        if p["segment"] != last:  # the same segment again is that of an equal record
+            row["intact"] = row["intact"] and p["segment"] == last + 1
+            pieces.append(p["block"])
+            last = p["segment"]
+        row["total_length"] = p["total_length"] or row["total_length"]
+    if row is not None:
+        yield whole()
+
+
+def _joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in joined(rows_of(batches)):
+        held.append(row)
+        size += len(row["block"])
+        if size > JOINED_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=_PAGE_SCHEMA)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_PAGE_SCHEMA)
+
+
 def reassemble(records: DataFrame) -> DataFrame:
-    """One row of RECORD per page again: whole records as they are, segments joined in order. n_copies: equal records met; intact: the length is that of the last segment."""
+    """One row of RECORD per page again: whole records as they are, segments joined in order. n_copies: equal records met; intact: see joined()."""
     whole = records.filter("segment IS NULL").withColumn("n_copies", F.lit(1).cast("long")).withColumn("intact", F.lit(True))
-    parts = records.filter("segment IS NOT NULL")
-    first = F.col("segment") == 1
-    pick = lambda c: F.max(F.when(first, F.col(c))).alias(c)
-    joined = parts.groupBy("origin").agg(
-        *(pick(c) for c in ("page_id", "record_id", "record_type", "target", "digest", "refers_to")),
-        F.max("total_length").alias("total_length"), F.count_if(first).alias("n_copies"),
-        F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("pieces"),
-    )
-    block = F.unhex(F.array_join(F.transform("pieces", lambda x: F.hex(x["block"])), ""))
-    joined = joined.withColumn("block", block).withColumn("segment", F.lit(None).cast("int"))
-    last = F.element_at("pieces", -1)["segment"]
-    intact = (F.length("block") == F.col("total_length")) & (last == F.size("pieces")) & (F.col("n_copies") > 0)
-    joined = joined.withColumn("intact", F.coalesce(intact, F.lit(False)))
-    return whole.unionByName(joined.select(whole.columns))
+    parts = records.filter("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment")
+    return whole.unionByName(parts.mapInArrow(_joined_batches, ", ".join(_PAGE)).select(whole.columns))
 
 
 def payloads(records: DataFrame) -> DataFrame:
@@ -233,6 +276,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages, written to archives and read back: page_id, payload_bytes, payload_digest, record_type and refers_to. Awkward cases: see the module."""
     path = scratch_dir(spark)
     write_archives(read_table(spark, sf_dir, "pages"), path)
     read = read_archives(spark, path)
