@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import digest128, keyed, materialize, mix, read_table, shingle_set, small_batches, text_bytes
+from vireo.llm.common import digest128, keyed, materialize, mix, read_table, shingle_set, sieve, small_batches, text_bytes
 from vireo.operators.components import connected_components
 from vireo.llm.setjoin import SLOTS, compare_nodes, signature, sketches, verify_clusters
 
@@ -132,12 +132,13 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> D
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), text_bytes().alias("text"))
     rows = materialize(texts.mapInArrow(_set_rows(size), "doc_id long, rk long, d1 long, d2 long, n long, sig binary"))
-    sets = materialize(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    sets = materialize(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least_doc"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     clusters = materialize(connected_components(candidate_links(sets))).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
-    asked = materialize(sets.join(clusters, "d1").select("least_doc", "cluster", "d1", "d2"))
+    asked = materialize(sets.join(clusters, "d1").select(F.col("at.doc_id").alias("q_doc"), F.col("at.rk").alias("q_rk"), "least_doc", "cluster", "d1", "d2"))
     small_batches(spark)
-    # texts are sorted by id at every size, never a list of ids sent to all tasks
-    with_text = texts.hint("merge").join(asked, texts["doc_id"].eqNullSafe(asked["least_doc"])).select("text", "cluster", "d1", "d2", "least_doc")
+    # texts that are asked for are sorted by id and text hash at every size, never a list of ids sent to all tasks
+    some = sieve(texts, ["doc_id", "rk"], asked, ["q_doc", "q_rk"])
+    with_text = some.hint("merge").join(asked, some["doc_id"].eqNullSafe(asked["q_doc"]) & (some["rk"] == asked["q_rk"])).select("text", "cluster", "d1", "d2", "least_doc")
     members = with_text.mapInArrow(_member_sets(size), "cluster long, d1 long, d2 long, least_doc long, n long, s1 long, s2 long, items binary")
     linked = verify_clusters(materialize(members), percent)
     # the least doc_id of each component of sets, then back to the rows
@@ -169,4 +170,5 @@ def one_of_each(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document, at two-word shingles and a similarity of 0.8. Awkward cases: see the module."""
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -25,8 +25,10 @@ CELL = 1000  # members that are verified in one task, with their sets' bytes:
 CELL_BYTES = 32 << 20
 PIVOTS = 16
 NODE_PIVOTS = 32
-#: A member this close to a pivot (similarity 0.87) is branched no further: whoever is similar to it differs from that pivot in under 24 slots as well, but for one in 500.
-CLOSE = 6
+#: A member this close to a pivot (similarity 0.87) is branched no further. Whoever is similar to it is, by the triangle inequality of
+#: Jaccard distances, similar to the pivot at 0.67 or more, so pivots are linked with all that differ in up to PIVOT_DIFFERENT slots: at
+#: 0.67 that is 4.7 standard deviations beyond the 16 that are due (two in a million), and strangers, 48 apart, come as near as seldom.
+CLOSE, PIVOT_DIFFERENT = 6, 32
 BUFFER_ROWS = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -133,7 +135,7 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
                 least = np.concatenate([least, different(sk, sk[far[0]])[:, None]], axis=1)
             names = np.array([p for p, _ in pivots])
             best = least.argmin(axis=1)
-            near = least <= max_different
+            near = least <= max(max_different, PIVOT_DIFFERENT)
             joined = near.any(axis=1)
             yield batch_of(0, ids[joined], names[best[joined]])
             row, other = np.nonzero(near)
