@@ -387,3 +387,139 @@ def test_html_keeps_all_of_the_input():
     assert htmltext._bucket("footer", htmltext.PATH_BUCKETS) in htmltext._path_ids(tuple(deep.path))
     many = htmltext.blocks("<div class='" + " ".join("abcdefghijklmn") + " comments'><p>text")[0]
     assert ".comments" in many.path
+
+
+def test_html_over_a_table(spark):
+    page = "<body><nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>One two three four five six seven.</p></article><footer>&copy; me</footer>"
+    rows = [(1, "u", page, "x", 9), (1, "u", page, "x", 9), (2, None, None, None, None), (None, "v", "", "y", 1), (3, "w", "<p>" * 5000 + "<script>", "z", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = htmltext.main_text(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    text = "Title\nOne two three four five six seven."
+    assert Counter(map(tuple, got.collect())) == Counter([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "v", "", 0), (3, "w", "", 0)])
+    assert htmltext.main_text(df.limit(0)).count() == 0
+
+
+def test_html_labels_do_not_depend_on_what_is_held(monkeypatch):
+    """Pages are labelled alike in any company, and long ones step by step."""
+    pages = [htmltext._Draw(np.random.Generator(np.random.PCG64(k))).page() for k in range(12)] + ["", "<p>x" * 300]
+    want = [htmltext.extract([p], htmltext.model())[0] for p in pages]
+    for held, steps in ((20_000, 4096), (10, 7)):
+        monkeypatch.setattr(htmltext, "HELD", held)
+        monkeypatch.setattr(htmltext, "STEPS", steps)
+        assert htmltext.extract(pages, htmltext.model()) == want
+
+
+BORDER = "\r\n\r\nWARC/1.1\r\n"
+
+
+def test_warc_borders_at_every_offset():
+    """Payloads of borders and parts of them, at every place about the borders of chunks and segments: no record holds one, and all come back."""
+    rng = random.Random(3)
+    payloads = [b"a" * k + (BORDER * 2).encode() + b"b" * 30 for k in range(90)]
+    payloads += ["".join(rng.choices([BORDER, "WARC/1.1\r\n", "\r\nWARC/1.1\r\n", "\r\n\r\nWARC/1.1", "\r\n", "\r", "x", "yz" * 9], k=rng.randrange(60))).encode() for _ in range(800)]
+    mark = BORDER.encode()
+    for p in payloads:
+        body = warc.chunked(p, 32)
+        assert warc.dechunked(body) == p
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        pieces = warc.segments(block, 64)
+        assert b"".join(pieces) == block and max(map(len, pieces)) <= 64 and min(map(len, pieces[:-1]), default=64) > 32
+        for x in pieces:
+            assert mark not in b"A: 1\r\n\r\n" + x + b"\r\n\r\n"
+
+
+def test_warc_traps_in_archives(spark, tmp_path):
+    """Payloads whose borders fall on chunk and segment borders, an empty table, and columns of other names."""
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+    traps = ["b" * 8192 + BORDER[2:] + "z" * 20, "b" * 8192 + BORDER + "z", BORDER[2:] * 3, BORDER, BORDER[4:]]
+    traps += ["c" * (warc.SEGMENT - len(head) - 24 - k) + x + "d" * 70_000 for k in range(0, 40, 3) for x in (BORDER, BORDER[:-2])]
+    df = spark.createDataFrame([(k, "u", t, "s", None) for k, t in enumerate(traps)], "page_id long, url string, html string, segment string, block long")
+    warc.write_archives(df, str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert all(r["intact"] for r in got) and {r["page_id"]: bytes(r["payload"]) for r in got} == {k: t.encode() for k, t in enumerate(traps)} and len(got) == len(traps)
+    warc.write_archives(df.limit(0), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_segments_that_are_missing_or_too_many():
+    part = lambda k, b, total=None: {"origin": "o", "segment": k, "block": b, "total_length": total, "page_id": "1" if k == 1 else None}
+    whole = [part(1, b"ab"), part(2, b"cd"), part(3, b"e", 5)]
+    row = next(warc.joined(iter(whole)))
+    assert row["block"] == b"abcde" and row["intact"] and row["page_id"] == "1" and row["n_copies"] == 1
+    twice = next(warc.joined(iter(sorted(whole * 2, key=lambda x: x["segment"]))))
+    assert twice["block"] == b"abcde" and twice["intact"] and twice["n_copies"] == 2
+    for bad in (whole[1:], whole[:2], [whole[0], whole[2]], [*whole[:2], part(3, b"e", 6)]):
+        assert not next(warc.joined(iter(bad)))["intact"]
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_best_fit_against_brute_force(block, monkeypatch):
+    """Sources and clusters, also where all bins of a block conflict: each item lies in the tightest bin that fits and agrees."""
+    monkeypatch.setattr(packing, "BLOCK_BINS", block)
+    rng = random.Random(block)
+    for n_sources in (1, 2, 9):
+        items = [(rng.randrange(1, 60), rng.choice([0, *(1 << k for k in range(n_sources))]), rng.choice([0, 0, 1, 2, 4])) for _ in range(200)]
+        bins = []
+        for (n, s, c), (b, at) in zip(items, packing.best_fit(items, 100), strict=True):
+            fits = [100 - x[0] for x in bins if x[0] + n <= 100 and not (x[1] & s or x[2] & c)]
+            if b == len(bins):
+                assert not fits
+                bins.append([0, 0, 0])
+            assert bins[b][0] == at and not (bins[b][1] & s or bins[b][2] & c) and (not fits or 100 - at == min(fits))
+            bins[b] = [at + n, bins[b][1] | s, bins[b][2] | c]
+
+
+def test_packing_conflicts_through_pack(spark):
+    """No bin holds a source or a text twice, whatever the share; bins don't depend on the rows' order; many rows of one source are quick."""
+    from vireo.plans.tables import materialize
+
+    rng = random.Random(8)
+    rows = [(k % 300, "".join(rng.choices("ab ", k=rng.randrange(0, 60))), rng.choice(["hot", "hot", None, "s1", "s2", "s3"])) for k in range(900)]
+    rows += [(None, "same text", "hot")] * 40
+    seen = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        packed = materialize(packing.pack(materialize(packing.packable(df)), capacity=40, group_tokens=2000)).cache()
+        seen.append(Counter(map(tuple, packed.collect())))
+        used = Counter()
+        for r in packed.collect():
+            used[r["bin"]] += r["n_tokens"]
+        assert max(used.values()) <= 40 and packed.count() == len(rows)
+        top = packing.fill(packed, 40).first()
+        assert top["n_bins"] == len(used) and 0 < top["fill"] <= 1
+    assert seen[0] == seen[1]
+    by = {}
+    for (doc, _, n, b, at) in packing.pack_group([(k, 7, "hot" if k % 2 else "s", bytes([k % 5])) for k in range(400)], 0, 40):
+        by.setdefault(b, []).append((doc % 2, doc % 5))
+    assert all(len({s for s, _ in x}) == len({c for _, c in x}) == len(x) for x in by.values())
+    assert len(packing.best_fit([(10, 1, 0)] * 20_000, 2048)) == 20_000
+
+
+def test_near_duplicates_near_the_limit(spark):
+    """Pairs at a similarity of 0.80 to 0.85 are found, and rows without an id are linked like others."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(150):
+        w = [f"v{rng.randrange(10**9)}" for _ in range(100)]
+        v = w.copy()
+        v[rng.randrange(1, 12)], v[99] = "one", "other"
+        v[rng.randrange(20, 40)] = "two"
+        v[rng.randrange(50, 90)] = "three"
+        texts += [" ".join(w), " ".join(v)]
+    sets, root = components(texts, 2)
+    assert sum(r != k for k, r in enumerate(root)) == 150
+    df = spark.createDataFrame([(k if k % 10 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    linked = sum(r["doc_id"] is not None and r["component_id"] != r["doc_id"] for r in got)
+    # every tenth row has no id: its partner, the next, is a component's least id then; the rows themselves are in those components
+    assert linked == 120 and sorted(r["component_id"] for r in got if r["doc_id"] is None) == [k + 1 for k in range(0, 300, 10)]
+
+
+def test_rows_without_an_id_in_near_duplicates(spark):
+    base = prose(80)
+    rows = [(None, base), (None, base), (None, base + " x"), (3, base + " y"), (None, prose(50)), (None, None), (None, ""), (None, base + " z")]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(components([base], 2)[0][0])
+    assert sum(v for k, v in got.items() if k[0] is None and k[2] == 3 and k[3] is False) == 4 and sum(v for k, v in got.items() if k[0] == 3 and k[2] == 3 and k[3]) == 1
+    assert got[None, 0, None, True] == 2 and sum(got.values()) == len(rows) and n > 60
