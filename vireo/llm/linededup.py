@@ -6,7 +6,8 @@ sketches agree; links are verified by exact Jaccard similarity within closed clu
 of each component of similar lines, the one that comes first by (doc_id, text hash, line number). At similarity 0.8 the
 bands find a pair with probability 0.991, at 0.9 with 0.9998.
 
-Defined cases: lines of fewer than SHINGLE characters, empty ones among them, always stay; a null text has no lines;
+Defined cases: a line of fewer than SHINGLE characters is one shingle, so it is like its exact copies (after folding) only; an
+empty line (or one of white space) has no shingles and always stays; a null text has no lines;
 a null doc_id comes last; rows that repeat doc_id and text are one document, and each of them keeps the same lines; an
 empty table gives an empty result; other columns pass through clean_documents() and are not read elsewhere.
 """
@@ -35,6 +36,7 @@ SMALL = 52
 SMALL_PAIR = SMALL * 100 // PERCENT  # what a line of SMALL shingles may be similar to; HALF_DIFFERENT is a fifth of the two together
 CACHED = 1 << 16  # characters whose shingles are worked on at a time, within a processor's cache
 SEEN = 200_000  # lines that a task remembers, to pass copies over
+HOT = 1000
 
 _EMPTY = np.uint32(0xFFFFFFFF)
 _POW = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4)]
@@ -131,7 +133,7 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, numbers, found, ends = [], [], [], [0]
         for text in batch.column(2).to_pylist():
             lines = normal_lines(text)
-            own = [k for k, x in enumerate(lines) if len(x) >= SHINGLE]
+            own = [k for k, x in enumerate(lines) if x]
             numbers += own
             found += [lines[k] for k in own]
             counts.append(len(lines))
@@ -209,14 +211,29 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     linked = verify_clusters(materialize(members), percent, line_sets, SMALL).select(F.col("node").alias("d1"), "root")
     groups = kinds.hint("merge").join(linked, "d1", "left").filter("root IS NOT NULL OR copies > 1").withColumn("group", F.coalesce("root", "d1"))
     groups = materialize(groups)
-    least = groups.groupBy("group").agg(F.min("first").alias("keep"))
-    of_line = groups.select("d1", "d2", "group").hint("merge").join(least, "group").select("d1", "d2", "group", F.col("keep.at").alias("k_at"), F.col("keep.rk").alias("k_rk"), F.col("keep.line_no").alias("k_line"))
-    gone = lines.hint("merge").join(of_line, ["d1", "d2"]).filter(
+    least = groups.groupBy("group").agg(F.min("first").alias("keep"), F.count("*").alias("share"))
+    of_line = _joined(groups.select("d1", "d2", "group", "copies"), least, ["group"])
+    of_line = materialize(of_line.select("d1", "d2", "group", F.col("copies").alias("share"), F.col("keep.at").alias("k_at"), F.col("keep.rk").alias("k_rk"), F.col("keep.line_no").alias("k_line")))
+    gone = _joined(lines, of_line, ["d1", "d2"]).filter(
         (F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("k_at")) | (F.col("rk") != F.col("k_rk")) | (F.col("line_no") != F.col("k_line"))
     )
     return index, materialize(gone.select("doc_id", "rk", "line_no", "d1", "group"))
 
 
+def _joined(rows: DataFrame, named: DataFrame, key: list[str]) -> DataFrame:
+    """The inner join of rows with named, which has a row for each key and in ``share`` how many of rows have it.
+
+    Keys with more than one in HOT of all rows are HOT at most, whatever the input: they go to every task. The others are
+    dealt by key, and no task meets a key of a large share.
+    """
+    named = materialize(named)
+    total = named.agg(F.sum("share")).first()[0] or 0
+    hot, rest = (named.filter(c).drop("share") for c in (F.col("share") * HOT > total, F.col("share") * HOT <= total))
+    found = rows.join(F.broadcast(hot), key)
+    left = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return found.unionByName(left.hint("merge").join(rest, key))
+
+
 def _by_document(gone: DataFrame) -> DataFrame:
     return gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("rk").alias("g_rk")).agg(F.array_sort(F.collect_set("line_no")).alias("g_lines"))
 
@@ -236,7 +253,7 @@ def clean_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_kept_lines and removed_lines (their numbers, from 0) of every document."""
+    """Awkward cases: see the module. doc_id, n_lines, n_kept_lines and removed_lines (their numbers, from 0) of every document."""
     index, gone = duplicate_lines(read_table(spark, sf_dir, "documents"))
     by = _by_document(gone)
     rows = index.select("doc_id", "rk", "n_lines")

@@ -184,9 +184,9 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
     return placed.mapInArrow(run, "kind byte, a long, b long")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Jaccard of sorted distinct hashes, at least percent / 100."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def similar(a: frozenset, b: frozenset, percent: int) -> bool:
+    """Jaccard of sets of hashes, at least percent / 100."""
+    both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -207,6 +207,13 @@ def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: n
     sizes = np.array([len(s) for s in sets])
     bits = bitmaps(sets) if small else sk
     found = []
+    hashed: dict[int, frozenset] = {}
+
+    def of(i: int) -> frozenset:
+        if i not in hashed:
+            hashed[i] = frozenset(sets[i].tolist())
+        return hashed[i]
+
     both_ways = np.array_equal(left, right)  # then pairs with members before have been looked at
     for i in left:
         if (label == label[0]).all():
@@ -220,7 +227,7 @@ def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: n
             agree = np.where(np.minimum(sizes[cand], sizes[i]) <= small, few, agree)
         cand = cand[agree]
         for j in cand:
-            if label[i] != label[j] and similar(sets[i], sets[j], percent):
+            if label[i] != label[j] and similar(of(i), of(j), percent):
                 found.append((i, j))
                 label[label == label[j]] = label[i]
     return found
