@@ -24,16 +24,18 @@ from pyspark.sql import functions as F
 
 from vireo.llm.common import keyed, materialize, mix, read_table, sieve, small_batches
 from vireo.operators.components import connected_components
-from vireo.llm.setjoin import SLOTS, compare_nodes, sketches, verify_clusters
+from vireo.llm.setjoin import CLOSE, MUL, SLOTS, XOR, compare_nodes, half_sketches, sketches, verify_clusters
 
 SHINGLE = 8  # characters
 BANDS, BAND_ROWS = 9, 4
 PERCENT = 80
 #: Of the 32 slots in half a sketch; at similarity 0.8 each differs with probability 0.15.
 HALF_DIFFERENT = 13
-#: Up to so many shingles, slots that are borrowed tell too little: a bit for each shingle is compared instead, which loses no pair.
+HALF_PIVOT = 17  # slots in which a line may differ from a pivot that it is linked with
+#: Up to so many shingles, slots that are borrowed tell too little: bands read signatures of independent hashes, and verification
+#: compares a bit for each shingle instead of sketches, which loses no pair.
 SMALL = 52
-SMALL_PAIR = SMALL * 100 // PERCENT  # what a line of SMALL shingles may be similar to; HALF_DIFFERENT is a fifth of the two together
+SMALL_PAIR = SMALL * 100 // PERCENT  # what a line of SMALL shingles may be similar to
 CACHED = 1 << 16  # characters whose shingles are worked on at a time, within a processor's cache
 SEEN = 200_000  # lines that a task remembers, to pass copies over
 HOT = 1000
@@ -97,25 +99,31 @@ def _signatures(lines: list[str]) -> np.ndarray:
     return full
 
 
-def line_signatures(lines: list[str]) -> np.ndarray:
-    """SLOTS values per line: the least hash of each of SLOTS parts of its shingles; empty parts borrow from the next that is not."""
+def _in_parts(lines: list[str], signatures) -> np.ndarray:
     parts, begin, held = [], 0, 0
     for k, x in enumerate(lines, 1):
         held += len(x)
         if held >= CACHED or k == len(lines):
-            parts.append(_signatures(lines[begin:k]))
+            parts.append(signatures(lines[begin:k]))
             begin, held = k, 0
     return np.concatenate(parts)
 
 
-def line_bits(lines: list[str]) -> np.ndarray:
-    """A bit of 32, each in a slot of a sketch, for each shingle of short lines; 0 for lines that have over SMALL_PAIR."""
-    out = np.zeros(len(lines), np.uint64)
-    short = [k for k, x in enumerate(lines) if len(x) - SHINGLE < SMALL_PAIR]
-    if short:
-        h, line = _shingles([lines[k] for k in short])
-        np.bitwise_or.at(out, np.array(short)[line], np.uint64(1) << (h >> np.uint64(59) << np.uint64(1)))
-    return out.view(np.int64)
+def line_signatures(lines: list[str]) -> np.ndarray:
+    """SLOTS values per line: the least hash of each of SLOTS parts of its shingles; empty parts borrow from the next that is not."""
+    return _in_parts(lines, _signatures)
+
+
+def _independent(lines: list[str]) -> np.ndarray:
+    h, line = _shingles(lines)
+    starts = np.searchsorted(line, np.arange(len(lines)))
+    h = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    return np.stack([np.minimum.reduceat((h ^ x) * m, starts) for x, m in zip(XOR[: BANDS * BAND_ROWS], MUL)], axis=1)
+
+
+def short_signatures(lines: list[str]) -> np.ndarray:
+    """A value per line and slot that the bands read, each by a hash function of its own: nothing is borrowed, however few the shingles."""
+    return _in_parts(lines, _independent)
 
 
 def line_sets(items: list[bytes]) -> list[np.ndarray]:
@@ -155,18 +163,20 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > SEEN:
             seen.clear()
         seen.update(map(hash, lines))
-        sig = line_signatures(lines)
         ids = line_digests(lines)[:, 0]
-        sk = sketches(sig).view(np.int64)[:, 0]
-        key = np.repeat(band[None, :], len(lines), axis=0)
-        for r in range(BAND_ROWS):
-            key = mix(key + sig[:, r : BANDS * BAND_ROWS : BAND_ROWS].astype(np.uint64))
         n = np.array([len(x) - SHINGLE + 1 for x in lines])
-        for use, own_key, s in ((n > SMALL, key, sk), (n <= SMALL_PAIR, mix(key + np.uint64(1)), line_bits(lines))):
-            many = int(use.sum()) * BANDS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own_key[use].view(np.int64).ravel()), pa.array(np.repeat(ids[use], BANDS)), pa.array(np.repeat(s[use], BANDS)), pa.array(np.zeros(many, np.int64))], names=["key", "id", "s1", "s2"]
-            )
+        # lines that may be similar meet by signatures of one kind: both are short enough, or both are long enough
+        for kind, (use, signatures) in enumerate(((n > SMALL, line_signatures), (n <= SMALL_PAIR, short_signatures))):
+            own = np.flatnonzero(use)
+            if not len(own):
+                continue
+            sig = signatures([lines[k] for k in own])
+            key = np.repeat(band[None, :] + np.uint64(kind), len(own), axis=0)
+            for r in range(BAND_ROWS):
+                key = mix(key + sig[:, r : BANDS * BAND_ROWS : BAND_ROWS].astype(np.uint64))
+            half = half_sketches(sig).view(np.int64)
+            many = len(own) * BANDS
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids[own], BANDS)), pa.array(np.repeat(half, BANDS)), pa.array(np.zeros(many, np.int64))], names=["key", "id", "s1", "s2"])
 
 
 def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +208,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     lines = index.select("doc_id", "rk", F.explode("lines").alias("l")).select("doc_id", "rk", "l.*")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), "rk", "line_no", F.col("doc_id").alias("doc_id"))
     kinds = materialize(lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    found = materialize(compare_nodes(texts.select("text").mapInArrow(_bucket_rows, "key long, id long, s1 long, s2 long"), last=True, max_different=HALF_DIFFERENT))
+    found = materialize(compare_nodes(texts.select("text").mapInArrow(_bucket_rows, "key long, id long, s1 long, s2 long"), last=True, max_different=HALF_DIFFERENT, close=CLOSE // 2, pivot_different=HALF_PIVOT))
     clusters = materialize(connected_components(found.select("a", "b"))).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
     # sorted at every size: what is joined grows with the input
     asked = kinds.hint("merge").join(clusters, "d1").select(F.col("first.doc_id").alias("q_doc"), F.col("first.rk").alias("q_rk"), F.struct(F.col("first.line_no").alias("line_no"), "cluster", "d1", "d2").alias("q"))

@@ -32,8 +32,8 @@ CLOSE, PIVOT_DIFFERENT = 6, 32
 BUFFER_ROWS = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_XOR = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
-_MUL = _rng.integers(0, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+XOR = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
+MUL = _rng.integers(0, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PAIRS = np.uint64(0x5555555555555555)
 
 LINK = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
@@ -44,17 +44,19 @@ def signature(values: np.ndarray) -> np.ndarray:
     h = (values ^ (values >> np.uint64(32))).astype(np.uint32)
     out = np.full(SLOTS, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(h), 2048):
-        np.minimum(out, ((h[None, at : at + 2048] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=out)
+        np.minimum(out, ((h[None, at : at + 2048] ^ XOR[:, None]) * MUL[:, None]).min(axis=1), out=out)
     return out
 
 
+def half_sketches(signatures: np.ndarray) -> np.ndarray:
+    """A uint64 per row of SLOTS / 2 values or more: two bits of each of the first SLOTS / 2."""
+    bits = ((signatures[:, : SLOTS // 2] * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64)
+    return np.bitwise_or.reduce(bits << (np.arange(SLOTS // 2, dtype=np.uint64) * np.uint64(2)), axis=1)
+
+
 def sketches(signatures: np.ndarray) -> np.ndarray:
     """Two uint64 per row of SLOTS values: two bits of each value."""
-    bits = ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64)
-    shift = (np.arange(SLOTS, dtype=np.uint64) % np.uint64(32)) * np.uint64(2)
-    half = SLOTS // 2
-    placed = bits << shift
-    return np.stack([np.bitwise_or.reduce(placed[:, :half], axis=1), np.bitwise_or.reduce(placed[:, half:], axis=1)], axis=1)
+    return np.stack([half_sketches(signatures), half_sketches(signatures[:, SLOTS // 2 :])], axis=1)
 
 
 def different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,12 +100,12 @@ def _links(key: np.ndarray, ids: np.ndarray, sk: np.ndarray, max_different: int)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFERENT) -> DataFrame:
+def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFERENT, close: int = CLOSE, pivot_different: int = PIVOT_DIFFERENT) -> DataFrame:
     """rows: key, id, s1, s2 (longs). kind 0: a link a, b. kind 1: a member b of node a, which has over NODE_LIMIT members and must be branched further.
 
-    Members of such a node are first held against up to NODE_PIVOTS of them, and linked with those that they agree with;
-    the ones that are CLOSE to a pivot go no further. So a group of near copies costs one comparison with each pivot.
-    last: such nodes are branched no more; all their members are linked with their first one, for the exact verification to decide.
+    Members of such a node are first held against up to NODE_PIVOTS of them, and linked with those that may be similar to their close members;
+    the ones that are close to a pivot go no further. So a group of near copies costs one comparison with each pivot.
+    last: such nodes are branched no more; the members that would be are linked with the first of them, for the exact verification to decide.
     Rows are streamed in key order; memory does not grow with a node's size.
     """
 
@@ -114,35 +116,35 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
         held: list[list[np.ndarray]] = []
         count = 0
         large: int | None = None  # the large node that goes on,
-        first = 0  # its first member,
+        first: int | None = None  # its first member that goes on,
         pivots: list[tuple[int, np.ndarray]] = []  # and its pivots with their sketches
 
         def in_large(key: int, ids: np.ndarray, sk: np.ndarray, fresh: bool) -> Iterator[pa.RecordBatch]:
             nonlocal first, pivots
             if fresh:
-                first, pivots = int(ids[0]), []
-            if last:
-                yield batch_of(0, ids, np.full(len(ids), first))
-                return
+                first, pivots = None, []
             least = np.full((len(ids), 0), SLOTS)
             if pivots:
                 least = np.stack([different(sk, p) for _, p in pivots], axis=1)
             while len(pivots) < NODE_PIVOTS:
-                far = np.flatnonzero(least.min(axis=1, initial=SLOTS) > CLOSE)
+                far = np.flatnonzero(least.min(axis=1, initial=SLOTS) > close)
                 if not len(far):
                     break
                 pivots.append((int(ids[far[0]]), sk[far[0]]))
                 least = np.concatenate([least, different(sk, sk[far[0]])[:, None]], axis=1)
             names = np.array([p for p, _ in pivots])
             best = least.argmin(axis=1)
-            near = least <= max(max_different, PIVOT_DIFFERENT)
+            near = least <= pivot_different
             joined = near.any(axis=1)
             yield batch_of(0, ids[joined], names[best[joined]])
             row, other = np.nonzero(near)
             pairs = np.unique(np.stack([best[row], other]), axis=1)
             yield batch_of(0, names[pairs[0]], names[pairs[1]])
-            far = least.min(axis=1) > CLOSE
-            if far.any():
+            far = least.min(axis=1) > close
+            if last and far.any():
+                first = int(ids[far][0]) if first is None else first
+                yield batch_of(0, ids[far], np.full(int(far.sum()), first))
+            elif far.any():
                 yield batch_of(1, np.full(int(far.sum()), key), ids[far])
 
         def work(cols: list[np.ndarray], end: bool) -> Iterator[pa.RecordBatch]:
