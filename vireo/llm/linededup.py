@@ -126,10 +126,14 @@ def short_signatures(lines: list[str]) -> np.ndarray:
     return _in_parts(lines, _independent)
 
 
-def line_sets(items: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingles of each of some normal lines."""
+def line_sets(items: list[bytes]) -> list[frozenset]:
+    """The shingles of each of some normal lines."""
+    if not items:
+        return []
     h, line = _shingles([x.decode() for x in items])
-    return [np.unique(x) for x in np.split(h, np.searchsorted(line, np.arange(1, len(items))))]
+    ends = [0, *np.searchsorted(line, np.arange(1, len(items) + 1)).tolist()]
+    h = h.tolist()
+    return [frozenset(h[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def line_set(line: str) -> np.ndarray:

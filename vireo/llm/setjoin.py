@@ -23,6 +23,8 @@ MAX_DIFFERENT = 24
 NODE_LIMIT = 512  # a node of more members is branched further
 CELL = 1000  # members that are verified in one task, with their sets' bytes:
 CELL_BYTES = 32 << 20
+FEW = 12  # members that are compared without sketches
+HASHED = 2048  # hashes of a set that is put into a hash table
 PIVOTS = 16
 NODE_PIVOTS = 32
 #: A member this close to a pivot (similarity 0.87) is branched no further. Whoever is similar to it is, by the triangle inequality of
@@ -186,37 +188,53 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
     return placed.mapInArrow(run, "kind byte, a long, b long")
 
 
-def similar(a: frozenset, b: frozenset, percent: int) -> bool:
+Members = frozenset | np.ndarray  # a set of hashes: as such, or sorted and distinct
+
+
+def similar(a: Members, b: Members, percent: int) -> bool:
     """Jaccard of sets of hashes, at least percent / 100."""
-    both = len(a & b)
+    both = len(a & b) if isinstance(a, frozenset) and isinstance(b, frozenset) else len(np.intersect1d(_array(a), _array(b), assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Two uint64 per set, a bit for each hash: sets differ in as many hashes as their bits, at least."""
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    out = np.zeros((len(sets), 2), np.uint64)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    np.bitwise_or.at(out, (row, (flat >> np.uint64(6) & np.uint64(1)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
+def _array(x: Members) -> np.ndarray:
+    return np.fromiter(x, np.uint64, len(x)) if isinstance(x, frozenset) else x
+
+
+def bitmaps(sets: list[Members], most: int = 1 << 14) -> np.ndarray:
+    """Some uint64 per set, a bit for each hash: sets differ in as many hashes as their bits, at least. Four bits for each hash of the largest set, up to ``most``."""
+    flat = np.concatenate([_array(x) for x in sets]) if sets else np.zeros(0, np.uint64)
+    sizes = [len(x) for x in sets]
+    words = min(most, max(128, 1 << (4 * max(sizes, default=1)).bit_length())) // 64
+    out = np.zeros((len(sets), words), np.uint64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    np.bitwise_or.at(out, (row, (flat >> np.uint64(6) & np.uint64(words - 1)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
     return out
 
 
-def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, small: int = 0) -> list[tuple[int, int]]:
+def _verified(sets: list[Members], sk: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, small: int = 0) -> list[tuple[int, int]]:
     """Exact links between left and right members (indices) with different labels; label is updated, and joined members are not compared again.
 
-    Pairs with a set of up to small hashes are not held against sketches, but against a bound that loses nothing.
+    Pairs with a set of up to small hashes are not held against sketches; all are, against a bound that loses nothing.
     """
     sizes = np.array([len(s) for s in sets])
-    bits = bitmaps(sets) if small else sk
-    found = []
-    hashed: dict[int, frozenset] = {}
+    found: list[tuple[int, int]] = []
+    held: dict[int, Members] = {}
 
-    def of(i: int) -> frozenset:
-        if i not in hashed:
-            hashed[i] = frozenset(sets[i].tolist())
-        return hashed[i]
+    def of(i: int) -> Members:
+        if i not in held:
+            held[i] = frozenset(sets[i].tolist()) if isinstance(sets[i], np.ndarray) and len(sets[i]) <= HASHED else sets[i]
+        return held[i]
 
     both_ways = np.array_equal(left, right)  # then pairs with members before have been looked at
+    if both_ways and len(left) <= FEW:
+        for x, i in enumerate(left):
+            for j in right[x + 1 :]:
+                if label[i] != label[j] and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and similar(of(i), of(j), percent):
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
+        return found
+    bits = bitmaps(sets)
     for i in left:
         if (label == label[0]).all():
             break
@@ -224,10 +242,8 @@ def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: n
             right = right[np.searchsorted(right, i, side="right") :]
         cand = right[(label[right] != label[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
         agree = different(sk[cand], sk[i]) <= MAX_DIFFERENT
-        if small:
-            few = np.bitwise_count(bits[cand] ^ bits[i]).sum(axis=-1) * (100 + percent) <= (100 - percent) * (sizes[cand] + sizes[i])
-            agree = np.where(np.minimum(sizes[cand], sizes[i]) <= small, few, agree)
-        cand = cand[agree]
+        cand = cand[agree | (np.minimum(sizes[cand], sizes[i]) <= small)]
+        cand = cand[np.bitwise_count(bits[cand] ^ bits[i]).sum(axis=-1) * (100 + percent) <= (100 - percent) * (sizes[cand] + sizes[i])]
         for j in cand:
             if label[i] != label[j] and similar(of(i), of(j), percent):
                 found.append((i, j))
@@ -235,13 +251,13 @@ def _verified(sets: list[np.ndarray], sk: np.ndarray, label: np.ndarray, left: n
     return found
 
 
-_MEMBERS = "key string, d1 long, d2 long, least_doc long, role int, comp long, s1 long, s2 long, items binary"
+_MEMBERS = "key string, d1 long, d2 long, role int, comp long, s1 long, s2 long, items binary"
 
 
-Sets = Callable[[list[bytes]], list[np.ndarray]]
+Sets = Callable[[list[bytes]], list[Members]]
 
 
-def stored_sets(items: list[bytes]) -> list[np.ndarray]:
+def stored_sets(items: list[bytes]) -> list[Members]:
     """Members that carry their sets as such: sorted distinct hashes."""
     return [np.frombuffer(x, np.uint64) for x in items]
 
@@ -249,40 +265,44 @@ def stored_sets(items: list[bytes]) -> list[np.ndarray]:
 def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets, small: int = 0) -> DataFrame:
     """rows of _MEMBERS, those of a key together. role 0 and 1 are compared with each other, and role 0 with itself where the key has no role 1 but pivots (role 2)."""
 
-    def of_key(held: list[dict]) -> Iterator[tuple]:
-        rows_ = list({(r["d1"], r["d2"], r["role"]): r for r in held}.values())
-        if any(r["role"] == 2 for r in rows_):  # a pivot may also be a member of the cell
-            pivots = {(r["d1"], r["d2"]) for r in rows_ if r["role"] == 2}
-            rows_ = [r for r in rows_ if r["role"] == 2 or (r["d1"], r["d2"]) not in pivots]
-        sets = sets_of([r["items"] for r in rows_])
-        sk = np.array([(r["s1"], r["s2"]) for r in rows_], np.int64).reshape(-1, 2).view(np.uint64)
-        role = np.array([r["role"] for r in rows_])
-        comp = np.array([r["comp"] for r in rows_])
-        label = np.unique(comp, return_inverse=True)[1]
-        everyone = np.arange(len(rows_))
-        if (role == 1).any():
-            links = _verified(sets, sk, label, everyone[role == 1], everyone, percent, small)
-        else:
-            links = _verified(sets, sk, label, everyone, everyone, percent, small)
-        for i, j in links:
-            yield rows_[i]["d1"], rows_[j]["d1"]
+    def of_key(held: list[tuple], sets: list[Members]) -> Iterator[tuple]:
+        keep = list({(d1, d2, role): k for k, (_, d1, d2, role, *_) in enumerate(held)}.values())
+        pivots = {held[k][1:3] for k in keep if held[k][3] == 2}
+        if pivots:  # a pivot may also be a member of the cell
+            keep = [k for k in keep if held[k][3] == 2 or held[k][1:3] not in pivots]
+        if len(keep) < 2:
+            return
+        own = [held[k] for k in keep]
+        sk = np.array([r[5:7] for r in own], np.int64).view(np.uint64)
+        label = np.unique([r[4] for r in own], return_inverse=True)[1]
+        everyone = np.arange(len(own))
+        asked = everyone[np.array([r[3] for r in own]) == 1]
+        for i, j in _verified([sets[k] for k in keep], sk, label, asked if len(asked) else everyone, everyone, percent, small):
+            yield own[i][1], own[j][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        out: list[tuple] = []
+        held: list[tuple] = []
+
+        def work(end: bool) -> Iterator[pa.RecordBatch]:
+            """All whole keys of held, their sets made at once."""
+            nonlocal held
+            borders = [0, *(k for k in range(1, len(held)) if held[k][0] != held[k - 1][0]), *([len(held)] if end else [])]
+            done, held = held[: borders[-1]], held[borders[-1] :]
+            sets = sets_of([r[7] for r in done])
+            out = [x for lo, hi in zip(borders, borders[1:]) for x in of_key(done[lo:hi], sets[lo:hi])]
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and held[0]["key"] != r["key"]:
-                    out.extend(of_key(held))
-                    held = []
-                held.append(r)
+            held += zip(*(c.to_pylist() for c in batch.columns))
+            if held and held[0][0] != held[-1][0]:
+                yield from work(False)
         if held:
-            out.extend(of_key(held))
-        if out:
-            a, b = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield from work(True)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    names = ["key", "d1", "d2", "role", "comp", "s1", "s2", "items"]
+    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_sets, small: int = 0) -> DataFrame:
@@ -303,7 +323,7 @@ def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_set
     sizes = materialize(sizes.filter("m > 1").select("cluster", cells.alias("cells")))
     rows = members.hint("merge").join(sizes, "cluster").withColumn("cell", F.pmod(F.xxhash64("d2"), F.col("cells")))
     key = lambda *c: F.concat_ws(":", *c)
-    cols = ["key", "d1", "d2", "least_doc", "role", "comp", "s1", "s2", "items"]
+    cols = ["key", "d1", "d2", "role", "comp", "s1", "s2", "items"]
     base = rows.withColumn("key", key("cluster", "cell")).withColumn("role", F.lit(0)).withColumn("comp", F.col("d1"))
     large = sizes.filter("cells > 1")
     if not large.limit(1).count():
