@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vireo.llm import common, decontaminate, htmltext, licenses, linededup, lmscore, neardup, packing, quality, setjoin, sharding, warc
@@ -251,25 +252,102 @@ def test_language_model(docs, none):
     assert all(r["score"] < 0 and r["held_out"] == fold(r["doc_id"]) for r in got) and lmscore.score_documents(none).count() == 0
 
 
-def test_language_model_learns_and_sums_to_one():
-    rng = np.random.default_rng(0)
+def small_network():
     ids = np.zeros(lmscore.N_IDS, np.int64)
     ids[:40] = 100
-    w = lmscore.initial(lmscore.Classes(ids).prior, np.zeros((lmscore.CLASSES, lmscore.CLASSES)))
-    start = rng.integers(0, 40, (400, 8))
-    x = np.tile(start, (1, 13))[:, : 3 * lmscore.BLOCK + 1]  # each sequence repeats eight classes: only attention can tell
-    windows = np.concatenate([x[:, : 2 * lmscore.BLOCK], x[:, lmscore.BLOCK + 1 : 2 * lmscore.BLOCK + 1]], axis=1)
-    before = lmscore.gradients(w, windows[:, : 2 * lmscore.BLOCK], windows[:, 2 * lmscore.BLOCK :])[0]
-    trained = lmscore.train(w, windows[:300], 1, 300)
-    after = lmscore.gradients(trained, windows[300:, : 2 * lmscore.BLOCK], windows[300:, 2 * lmscore.BLOCK :])[0]
-    assert after < before - 0.3
-    keys = windows[:2, : 2 * lmscore.BLOCK]
-    total = sum(np.exp(lmscore.log_probabilities(trained, keys, np.full((2, lmscore.BLOCK), c))) for c in range(lmscore.CLASSES))
+    classes = lmscore.Classes(ids, ids)
+    rng = np.random.default_rng(2)
+    return classes, lmscore.follow(classes.prior, rng.integers(0, 3, (lmscore.CLASSES, lmscore.CLASSES)))
+
+
+def test_language_model_learns_and_sums_to_one():
+    rng = np.random.default_rng(0)
+    _, fixed = small_network()
+    w, size = lmscore.initial(), lmscore.BLOCK
+    start = rng.integers(0, 40, (9000, 5))
+    x = np.tile(start, (1, 10))[:, : 3 * size + 1]  # each sequence repeats five classes: only attention can tell
+    windows = np.concatenate([x[:, : 2 * size], x[:, size + 1 : 2 * size + 1]], axis=1)
+    keys, y = windows[-300:, : 2 * size], windows[-300:, 2 * size :]
+    before = lmscore.gradients(w, fixed, keys, y)[0]
+    trained = w
+    for turn in range(3):
+        trained = lmscore.train(trained, fixed, windows[:-300], turn)
+    assert lmscore.gradients(trained, fixed, keys, y)[0] < before - 0.3
+    total = sum(np.exp(lmscore.log_probabilities(trained, fixed, keys[:2], np.full((2, size), c))) for c in range(lmscore.CLASSES))
     assert np.allclose(total, 1, atol=1e-3)
-    later = keys.copy()
+    later = keys[:2].copy()
     later[:, -1] = 3
-    y = windows[:2, 2 * lmscore.BLOCK :]
-    assert np.allclose(lmscore.log_probabilities(trained, keys, y)[:, :-1], lmscore.log_probabilities(trained, later, y)[:, :-1], atol=1e-5)  # causal
+    assert np.allclose(lmscore.log_probabilities(trained, fixed, keys[:2], y[:2])[:, :-1], lmscore.log_probabilities(trained, fixed, later, y[:2])[:, :-1], atol=1e-5)  # causal
+    loss = -lmscore.log_probabilities(trained, fixed, keys, y).mean()
+    assert abs(loss - lmscore.gradients(trained, fixed, keys, y)[0]) < 1e-4
+
+
+def test_language_model_gradients():
+    """Against differences of the loss, where some inputs and targets are padding."""
+    rng = np.random.default_rng(3)
+    _, fixed = small_network()
+    w = {k: x.astype(np.float64) for k, x in lmscore.initial().items()}
+    w["near"] += rng.normal(0, 0.3, w["near"].shape)
+    fixed = {k: x.astype(np.float64) for k, x in fixed.items()}
+    keys, y = rng.integers(0, lmscore.CLASSES, (3, 2 * lmscore.BLOCK)), rng.integers(0, lmscore.CLASSES, (3, lmscore.BLOCK))
+    keys[0, : lmscore.BLOCK], y[1, 5:] = lmscore.PAD, lmscore.PAD
+    _, g = lmscore.gradients(w, fixed, keys, y)
+    for name, x in w.items():
+        flat = x.ravel()
+        for k in [*np.argsort(-np.abs(g[name].ravel()))[:4], *rng.integers(0, len(flat), 3)]:
+            was, ends = flat[k], []
+            for d in (1e-5, -1e-5):
+                flat[k] = was + d
+                ends.append(lmscore.gradients(w, fixed, keys, y)[0])
+            flat[k] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[name].ravel()[k]) < 1e-4, name
+
+
+def test_spelling_sums_to_one():
+    """After each subword, the steps to all subwords and to the word's end have a probability of one together."""
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 4, lmscore.SPELLED * (lmscore.SPELLED + 1))
+    steps = lmscore.spelling(pairs).reshape(lmscore.SPELLED, -1)
+    assert np.allclose((10**steps).sum(axis=1), 1)
+    ids = rng.integers(0, 50, lmscore.N_IDS) * (rng.random(lmscore.N_IDS) < 0.1)
+    classes = lmscore.Classes(ids * 2, ids)
+    for inside, tail in ((classes.inside, classes.of == lmscore.TAIL), (classes.later, classes.spelled == lmscore.SPELLED - 1)):
+        assert np.isclose((10 ** inside[tail]).sum(), 1) and not inside[~tail].any()
+
+
+def test_language_model_score_by_hand(spark):
+    """score and attention_score of each text, from the model's own tables word by word."""
+    texts = ["the cat sat on the mat", "the dog sat on the cat sat", "", "unseenword the " * 40, "The CAT"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    training = rows.select("doc_id", F.col("text").cast("binary").alias("text"), lmscore.held_out().alias("held_out")).filter("NOT held_out")
+    model, _ = lmscore.fit(training.drop("held_out"))
+    counts = Counter(w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for w in t.lower().split())
+    n = sum(counts.values()) + sum(zlib.crc32(str(k).encode()) % 7 != 2 for k in range(len(texts)))
+    subwords = lmscore.Subwords()
+    got = {r["doc_id"]: r for r in lmscore.score_documents(rows).collect()}
+    for k, text in enumerate(texts):
+        words = text.lower().split()
+        ids = [subwords.encode([w.encode()])[0] for w in words]
+        seq = [lmscore.END, *(int(model.classes.of[i[0]]) for i in ids), lmscore.END]
+        alone = mixed = 0.0
+        for t in range(len(seq) - 1):
+            block = t // lmscore.BLOCK
+            keys = np.full(2 * lmscore.BLOCK, lmscore.PAD)
+            for j in range(2 * lmscore.BLOCK):
+                at = (block - 1) * lmscore.BLOCK + j
+                if 0 <= at < len(seq) - 1:
+                    keys[j] = seq[at]
+            target = np.full((1, lmscore.BLOCK), 0)
+            target[0, t % lmscore.BLOCK] = seq[t + 1]
+            p = float(lmscore.log_probabilities(model.weights, model.fixed, keys[None], target)[0, t % lmscore.BLOCK]) / math.log(10)
+            if t < len(words):
+                steps, of = model.steps.reshape(lmscore.SPELLED, -1), model.classes
+                p += of.inside[ids[t][0]] + sum(steps[of.spelled[a], of.spelled[b]] + of.later[b] for a, b in zip(ids[t], ids[t][1:])) + steps[of.spelled[ids[t][-1]], lmscore.SPELLED]
+                mixed += math.log10((10**p + counts[words[t]] / n) / 2)
+            else:
+                mixed += p
+            alone += p
+        assert abs(got[k]["attention_score"] - alone) < 1e-3 * (1 + abs(alone)) and abs(got[k]["score"] - mixed) < 1e-3 * (1 + abs(mixed))
 
 
 def test_html():
@@ -298,31 +376,36 @@ def test_pipeline(spark, docs, tmp_path):
     assert {5, 8, 10, 11} <= ids and not ids & {0, 1, 2, 3, 4, 6, 7, 50}
 
 
-def test_language_model_trains_on_every_subword_once():
-    """Windows of a text's segments ask for each of its classes and the end mark once, in the blocks that scoring reads."""
+def test_language_model_trains_on_every_word_once():
+    """Windows of a text's segments ask for each of its outcomes and the end mark once, in the blocks that scoring reads."""
     rng = np.random.default_rng(1)
-    for n in (0, 1, 31, 32, 33, 1022, 1023, 1024, 1025, 5000):
+    size = lmscore.BLOCK
+    for n in (0, 1, size - 1, size, size + 1, lmscore.SEGMENT - 2, lmscore.SEGMENT - 1, lmscore.SEGMENT, lmscore.SEGMENT + 1, 5000):
         c = rng.integers(0, lmscore.END, n)
-        segments = lmscore.segments_of(c)
+        segments = lmscore.segments_of(np.concatenate([[lmscore.END], c, [lmscore.END]]))
         windows = np.concatenate([lmscore.windows_of(s) for s in segments])
-        targets = windows[:, 2 * lmscore.BLOCK :].ravel()
+        targets = windows[:, 2 * size :].ravel()
         assert targets[targets != lmscore.PAD].tolist() == [*c, lmscore.END]
-        flat = np.full((len(windows) + 1) * lmscore.BLOCK, lmscore.PAD)
-        flat[lmscore.BLOCK : lmscore.BLOCK + n + 1] = [lmscore.END, *c]
-        rows = flat.reshape(-1, lmscore.BLOCK)
-        asked = windows[:, : 2 * lmscore.BLOCK]
+        flat = np.full((len(windows) + 1) * size, lmscore.PAD)
+        flat[size : size + n + 1] = [lmscore.END, *c]
+        rows = flat.reshape(-1, size)
+        asked = windows[:, : 2 * size]
         assert (asked == np.concatenate([rows[:-1], rows[1:]], axis=1)).all()
 
 
 def test_language_model_learns_from_whole_texts(spark, monkeypatch):
-    """Every class pair of the training texts is counted, whatever their length."""
-    counted = []
-    pair_counts = lmscore._pair_counts
-    monkeypatch.setattr(lmscore, "_pair_counts", lambda seen: counted.append(pair_counts(seen)) or counted[0])
+    """Every pair of outcomes, every step of spelling and every window of the training texts is taken in, whatever their length."""
+    seen = []
+    follow, spelling, trained = lmscore.follow, lmscore.spelling, lmscore._trained
+    monkeypatch.setattr(lmscore, "follow", lambda prior, pairs: seen.append(pairs.sum()) or follow(prior, pairs))
+    monkeypatch.setattr(lmscore, "spelling", lambda pairs: seen.append(pairs.sum()) or spelling(pairs))
+    monkeypatch.setattr(lmscore, "_trained", lambda segments, *more: seen.append(segments.agg({"n": "sum"}).first()[0] or 0) or trained(segments, *more))
     texts = [prose(3000), "", prose(5), prose(700)]
     lmscore.fit(spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "doc_id long, text binary"))
     subwords = lmscore.Subwords()
-    assert counted[0].sum() == sum(len(subwords.encode(t.encode().split())[0]) + 1 for t in texts)
+    words = [t.encode().split() for t in texts]
+    assert seen[0] == sum(len(w) + 1 for w in words) and seen[1] == sum(len(subwords.encode(w)[0]) for w in words)
+    assert sum(seen[2:]) == sum(-(-(len(w) + 1) // lmscore.BLOCK) for w in words)
 
 
 def test_language_model_scores_rare_words_as_frequent_ones(docs, monkeypatch):
