@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,6 +58,25 @@ def sieve(rows: DataFrame, columns: list[str], keys: DataFrame, key_columns: lis
     return marked.filter(F.getbit(byte, (F.col("sv_at") % 8).cast("int")) == 1).select(*rows.columns)
 
 
+@functools.cache
+def one_blas_thread() -> None:
+    """Let NumPy's linear algebra use one thread in this process, which is a task with one core.
+
+    Spark allows Python workers as many threads as the executor has cores; with products as small as those here, threads mostly
+    wait for each other, at full load. A NumPy that brings no OpenBLAS of its own is left as it is.
+    """
+    try:
+        with open("/proc/self/maps") as f:
+            found = {x.split(maxsplit=5)[5].strip() for x in f if "openblas" in x}
+    except OSError:  # no such file on this system
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(ctypes.c_int(1))
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words of a text with A-Z in lower case; bytes.lower() leaves all other letters as they are."""
     return text.lower().split()

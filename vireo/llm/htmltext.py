@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import read_table, small_batches
+from vireo.llm.common import one_blas_thread, read_table, small_batches
 
 PATH_BUCKETS, WORD_BUCKETS = 2048, 256
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 16, 6, 8, 16
@@ -540,6 +540,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in batches:
             text = extract(batch.column(2).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], schema=schema)
