@@ -380,10 +380,13 @@ def test_language_model_trains_on_every_word_once():
     """Windows of a text's segments ask for each of its outcomes and the end mark once, in the blocks that scoring reads."""
     rng = np.random.default_rng(1)
     size = lmscore.BLOCK
+    of = np.full(lmscore.N_IDS, lmscore.TAIL)
+    of[:300], of[lmscore.STOP] = np.arange(300) % lmscore.END, lmscore.END
     for n in (0, 1, size - 1, size, size + 1, lmscore.SEGMENT - 2, lmscore.SEGMENT - 1, lmscore.SEGMENT, lmscore.SEGMENT + 1, 5000):
-        c = rng.integers(0, lmscore.END, n)
-        segments = lmscore.segments_of(np.concatenate([[lmscore.END], c, [lmscore.END]]))
-        windows = np.concatenate([lmscore.windows_of(s) for s in segments])
+        ids = rng.integers(0, 400, n)
+        c = of[ids]
+        segments = lmscore.segments_of(np.concatenate([[lmscore.STOP], ids, [lmscore.STOP]]))
+        windows = np.concatenate([lmscore.windows_of(s, of) for s in segments])
         targets = windows[:, 2 * size :].ravel()
         assert targets[targets != lmscore.PAD].tolist() == [*c, lmscore.END]
         flat = np.full((len(windows) + 1) * size, lmscore.PAD)
