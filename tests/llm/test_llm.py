@@ -398,17 +398,21 @@ def test_language_model_trains_on_every_word_once():
 
 def test_language_model_learns_from_whole_texts(spark, monkeypatch):
     """Every pair of outcomes, every step of spelling and every window of the training texts is taken in, whatever their length."""
-    seen = []
+    seen = {"follow": 0, "spelling": 0, "trained": 0}
+
+    def take(name, n):
+        seen[name] += n
+
     follow, spelling, trained = lmscore.follow, lmscore.spelling, lmscore._trained
-    monkeypatch.setattr(lmscore, "follow", lambda prior, pairs: seen.append(pairs.sum()) or follow(prior, pairs))
-    monkeypatch.setattr(lmscore, "spelling", lambda pairs: seen.append(pairs.sum()) or spelling(pairs))
-    monkeypatch.setattr(lmscore, "_trained", lambda segments, *more: seen.append(segments.agg({"n": "sum"}).first()[0] or 0) or trained(segments, *more))
+    monkeypatch.setattr(lmscore, "follow", lambda prior, pairs: take("follow", pairs.sum()) or follow(prior, pairs))
+    monkeypatch.setattr(lmscore, "spelling", lambda pairs: take("spelling", pairs.sum()) or spelling(pairs))
+    monkeypatch.setattr(lmscore, "_trained", lambda segments, *more: take("trained", segments.agg({"n": "sum"}).first()[0] or 0) or trained(segments, *more))
     texts = [prose(3000), "", prose(5), prose(700)]
     lmscore.fit(spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "doc_id long, text binary"))
     subwords = lmscore.Subwords()
     words = [t.encode().split() for t in texts]
-    assert seen[0] == sum(len(w) + 1 for w in words) and seen[1] == sum(len(subwords.encode(w)[0]) for w in words)
-    assert sum(seen[2:]) == sum(-(-(len(w) + 1) // lmscore.BLOCK) for w in words)
+    assert seen["follow"] == sum(len(w) + 1 for w in words) and seen["spelling"] == sum(len(subwords.encode(w)[0]) for w in words)
+    assert seen["trained"] == sum(-(-(len(w) + 1) // lmscore.BLOCK) for w in words)
 
 
 def test_language_model_scores_rare_words_as_frequent_ones(docs, monkeypatch):
