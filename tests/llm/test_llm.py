@@ -396,6 +396,21 @@ def test_language_model_trains_on_every_word_once():
         assert (asked == np.concatenate([rows[:-1], rows[1:]], axis=1)).all()
 
 
+def test_word_numbers(monkeypatch):
+    """Against a dict: words met again, crowded and growing slots, texts of several groups, and empty ones."""
+    monkeypatch.setattr(lmscore, "TOGETHER", 50)
+    lexicon, met = lmscore.Lexicon(lmscore.VOCABULARY), {}
+    lexicon._slots(4)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        texts = [b" ".join(b"W%d" % k for k in rng.integers(0, 400, n)) for n in (0, 1, 30, 0, 5)]
+        each, every = lexicon.read(texts)
+        want = [[met.setdefault(w, len(met)) for w in t.lower().split()] for t in texts]
+        assert [x.tolist() for x in each] == want and every.tolist() == sum(want, [])
+    assert lexicon.n == len(met) and (lexicon._find(lexicon.own[: lexicon.n]) == np.arange(lexicon.n)).all()
+    assert lexicon.read([])[0] == [] and [len(x) for x in lexicon.read([b"", b" "])[0]] == [0, 0]
+
+
 def test_language_model_learns_from_whole_texts(spark, monkeypatch):
     """Every pair of outcomes, every step of spelling and every window of the training texts is taken in, whatever their length."""
     seen = {"follow": 0, "spelling": 0, "trained": 0}
