@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vireo.llm import common, decontaminate, htmltext, licenses, linededup, lmscore, neardup, packing, quality, setjoin, sharding, warc
+from vireo.operators.components import roots_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, m_doc string"
 random.seed(4)
@@ -686,3 +687,21 @@ def test_bands_reach_their_recall():
             met += any(int(setjoin.different(np.array([a], np.int64).view(np.uint64), np.array([b], np.int64).view(np.uint64))) <= linededup.HALF_DIFFERENT for a, b in close)
             total += 1
         assert met >= 0.97 * total
+
+
+def test_overfull_bucket_keeps_families_apart(spark):
+    """Lines of several families that share a bucket of more than NODE_LIMIT are linked within their families only, and all of them."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, (4, setjoin.SLOTS), dtype=np.uint32)
+    sig = np.repeat(base, 400, axis=0)
+    own = rng.integers(0, setjoin.SLOTS, (len(sig), 5))
+    sig[np.arange(len(sig))[:, None], own] = rng.integers(0, 1 << 32, own.shape, dtype=np.uint32)
+    sk = setjoin.sketches(sig).view(np.int64)
+    assert len(sig) > setjoin.NODE_LIMIT
+    ids = rng.permutation(len(sig))
+    rows = spark.createDataFrame([(7, int(i), int(a), int(b)) for i, (a, b) in zip(ids, sk)], "key long, id long, s1 long, s2 long")
+    found = setjoin.compare_nodes(rows, last=True).collect()
+    family = dict(zip(ids.tolist(), (np.arange(len(sig)) // 400).tolist()))
+    assert all(family[r["a"]] == family[r["b"]] for r in found)
+    node, root = roots_of(np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
+    assert len(node) == len(sig) and len(set(root.tolist())) == 4

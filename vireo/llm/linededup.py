@@ -24,14 +24,12 @@ from pyspark.sql import functions as F
 
 from vireo.llm.common import keyed, materialize, mix, read_table, sieve, small_batches
 from vireo.operators.components import connected_components
-from vireo.llm.setjoin import CLOSE, MUL, SLOTS, XOR, compare_nodes, half_sketches, sketches, verify_clusters
+from vireo.llm.setjoin import MUL, SLOTS, XOR, compare_nodes, sketches, verify_clusters
 
 SHINGLE = 8  # characters
 BANDS, BAND_ROWS = 9, 4
 PERCENT = 80
-#: Of the 32 slots in half a sketch; at similarity 0.8 each differs with probability 0.15.
-HALF_DIFFERENT = 13
-HALF_PIVOT = 17  # slots in which a line may differ from a pivot that it is linked with
+HALF_DIFFERENT = 13  # of the first 32 slots of a sketch: what similar lines stay within; links are held against all 64
 #: Up to so many shingles, slots that are borrowed tell too little: bands read signatures of independent hashes, and verification
 #: compares a bit for each shingle instead of sketches, which loses no pair.
 SMALL = 52
@@ -118,22 +116,24 @@ def _independent(lines: list[str]) -> np.ndarray:
     h, line = _shingles(lines)
     starts = np.searchsorted(line, np.arange(len(lines)))
     h = (h ^ (h >> np.uint64(32))).astype(np.uint32)
-    return np.stack([np.minimum.reduceat((h ^ x) * m, starts) for x, m in zip(XOR[: BANDS * BAND_ROWS], MUL)], axis=1)
+    return np.stack([np.minimum.reduceat((h ^ x) * m, starts) for x, m in zip(XOR, MUL)], axis=1)
 
 
 def short_signatures(lines: list[str]) -> np.ndarray:
-    """A value per line and slot that the bands read, each by a hash function of its own: nothing is borrowed, however few the shingles."""
+    """SLOTS values per line, each by a hash function of its own: nothing is borrowed, however few the shingles."""
     return _in_parts(lines, _independent)
 
 
-def line_sets(items: list[bytes]) -> list[frozenset]:
-    """The shingles of each of some normal lines."""
-    if not items:
-        return []
-    h, line = _shingles([x.decode() for x in items])
-    ends = [0, *np.searchsorted(line, np.arange(1, len(items) + 1)).tolist()]
-    h = h.tolist()
-    return [frozenset(h[a:b]) for a, b in zip(ends, ends[1:])]
+def line_sets(items: list[bytes]) -> list[np.ndarray]:
+    """The shingles of each of some normal lines: sorted distinct hashes of 52 bits."""
+    out = []
+    for lo in range(0, len(items), 1 << 12):
+        h, line = _shingles([x.decode() for x in items[lo : lo + (1 << 12)]])
+        h = np.sort(line.astype(np.uint64) << np.uint64(52) | h >> np.uint64(12))
+        h = h[np.diff(h, prepend=~h[:1]) != 0]
+        ends = np.searchsorted(h, np.arange(1, len(items[lo : lo + (1 << 12)]), dtype=np.uint64) << np.uint64(52))
+        out += np.split(h & np.uint64((1 << 52) - 1), ends)
+    return out
 
 
 def line_set(line: str) -> np.ndarray:
@@ -178,9 +178,8 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.repeat(band[None, :] + np.uint64(kind), len(own), axis=0)
             for r in range(BAND_ROWS):
                 key = mix(key + sig[:, r : BANDS * BAND_ROWS : BAND_ROWS].astype(np.uint64))
-            half = half_sketches(sig).view(np.int64)
-            many = len(own) * BANDS
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids[own], BANDS)), pa.array(np.repeat(half, BANDS)), pa.array(np.zeros(many, np.int64))], names=["key", "id", "s1", "s2"])
+            sk = sketches(sig).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids[own], BANDS)), pa.array(np.repeat(sk[:, 0], BANDS)), pa.array(np.repeat(sk[:, 1], BANDS))], names=["key", "id", "s1", "s2"])
 
 
 def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +211,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     lines = index.select("doc_id", "rk", F.explode("lines").alias("l")).select("doc_id", "rk", "l.*")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), "rk", "line_no", F.col("doc_id").alias("doc_id"))
     kinds = materialize(lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")))
-    found = materialize(compare_nodes(texts.select("text").mapInArrow(_bucket_rows, "key long, id long, s1 long, s2 long"), last=True, max_different=HALF_DIFFERENT, close=CLOSE // 2, pivot_different=HALF_PIVOT))
+    found = materialize(compare_nodes(texts.select("text").mapInArrow(_bucket_rows, "key long, id long, s1 long, s2 long"), last=True))
     clusters = materialize(connected_components(found.select("a", "b"))).select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
     # sorted at every size: what is joined grows with the input
     asked = kinds.hint("merge").join(clusters, "d1").select(F.col("first.doc_id").alias("q_doc"), F.col("first.rk").alias("q_rk"), F.struct(F.col("first.line_no").alias("line_no"), "cluster", "d1", "d2").alias("q"))

@@ -32,6 +32,8 @@ NODE_PIVOTS = 32
 #: 0.67 that is 4.7 standard deviations beyond the 16 that are due (two in a million), and strangers, 48 apart, come as near as seldom.
 CLOSE, PIVOT_DIFFERENT = 6, 32
 BUFFER_ROWS = 1 << 16
+WHOLE = 1 << 20  # members of a node that a task holds at once, 24 MB
+BLOCK = 256  # members that are held against others at a time
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 XOR = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
@@ -102,13 +104,37 @@ def _links(key: np.ndarray, ids: np.ndarray, sk: np.ndarray, max_different: int)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def _spanning(ids: np.ndarray, sk: np.ndarray, max_different: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _links() for one node of any size. Who is linked already is compared no more with others that are, so a group costs little more than a comparison of each with one of them."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    rest = np.arange(len(ids))
+    asked = rest[:0]
+    while len(rest):
+        if not len(asked):
+            asked, rest = rest[:1], rest[1:]
+        block, asked = asked[:BLOCK], asked[BLOCK:]
+        for i in block if len(rest) <= BLOCK else [block[:1], block[1:]]:
+            i = np.atleast_1d(i)
+            if not len(i) or not len(rest):
+                continue
+            agree = [different(sk[rest[lo : lo + CELL, None]], sk[i]) <= max_different for lo in range(0, len(rest), CELL)]
+            first = np.concatenate([np.where(x.any(axis=1), x.argmax(axis=1), -1) for x in agree])
+            hit = first >= 0
+            left.append(ids[rest[hit]])
+            right.append(ids[i[first[hit]]])
+            asked, rest = np.concatenate([asked, rest[hit]]), rest[~hit]
+    a, b = np.concatenate(left), np.concatenate(right)
+    return a[a != b], b[a != b]
+
+
 def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFERENT, close: int = CLOSE, pivot_different: int = PIVOT_DIFFERENT) -> DataFrame:
     """rows: key, id, s1, s2 (longs). kind 0: a link a, b. kind 1: a member b of node a, which has over NODE_LIMIT members and must be branched further.
 
     Members of such a node are first held against up to NODE_PIVOTS of them, and linked with those that may be similar to their close members;
     the ones that are close to a pivot go no further. So a group of near copies costs one comparison with each pivot.
-    last: such nodes are branched no more; the members that would be are linked with the first of them, for the exact verification to decide.
-    Rows are streamed in key order; memory does not grow with a node's size.
+    last: such nodes are branched no more, and all their members are compared. Of a node of more than WHOLE members, the ones that would be
+    branched are linked with the first of them, for the exact verification to decide.
+    Rows are streamed in key order; memory does not grow with a node's size beyond that.
     """
 
     def batch_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -120,6 +146,7 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
         large: int | None = None  # the large node that goes on,
         first: int | None = None  # its first member that goes on,
         pivots: list[tuple[int, np.ndarray]] = []  # and its pivots with their sketches
+        enough = BUFFER_ROWS
 
         def in_large(key: int, ids: np.ndarray, sk: np.ndarray, fresh: bool) -> Iterator[pa.RecordBatch]:
             nonlocal first, pivots
@@ -161,11 +188,16 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
             big[0] |= goes_on
             keep = np.ones(len(key), bool)
             tail = 0
-            if not end and not big[-1]:
+            on = goes_on and len(sizes) == 1
+            if not end and (not big[-1] or last and not on and sizes[-1] <= WHOLE):
                 tail = sizes[-1]
-                keep[-tail:] = False
+                keep[-tail:] = big[-1] = False
             for k in np.flatnonzero(big):
                 run = slice(starts[k], starts[k] + sizes[k])
+                if last and sizes[k] <= WHOLE and not (goes_on and k == 0):
+                    yield batch_of(0, *_spanning(ids[run], sk[run], max_different))
+                    keep[run] = False
+                    continue
                 yield from in_large(int(key[run][0]), ids[run], sk[run], not (goes_on and k == 0))
                 keep[run] = False
             large = int(key[-1]) if big[-1] else None
@@ -179,8 +211,9 @@ def compare_nodes(rows: DataFrame, last: bool, max_different: int = MAX_DIFFEREN
             if batch.num_rows:
                 held.append([c.to_numpy() for c in batch.columns])
                 count += batch.num_rows
-            if count >= BUFFER_ROWS:
+            if count >= enough:
                 yield from work([np.concatenate(c) for c in zip(*held)], False)
+                enough = max(BUFFER_ROWS, 2 * count)
         if count:
             yield from work([np.concatenate(c) for c in zip(*held)], True)
 
