@@ -705,3 +705,13 @@ def test_overfull_bucket_keeps_families_apart(spark):
     assert all(family[r["a"]] == family[r["b"]] for r in found)
     node, root = roots_of(np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
     assert len(node) == len(sig) and len(set(root.tolist())) == 4
+
+
+def test_line_sets_are_distinct_shingles():
+    """Arrays of the distinct shingles of each line, across the borders of the blocks they are made in."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("ab", k=rng.randrange(8, 60))) for _ in range(5000)]
+    found = linededup.line_sets([x.encode() for x in lines])
+    assert len(found) == len(lines) and linededup.line_sets([]) == []
+    for x, a in list(zip(lines, found))[::7] + list(zip(lines, found))[4090:4100]:
+        assert isinstance(a, np.ndarray) and len(a) == len(set(x[k : k + 8] for k in range(len(x) - 7))) and (np.diff(a) > 0).all()
