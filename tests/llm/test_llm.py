@@ -351,6 +351,62 @@ def test_language_model_score_by_hand(spark):
         assert abs(got[k]["attention_score"] - alone) < 1e-3 * (1 + abs(alone)) and abs(got[k]["score"] - mixed) < 1e-3 * (1 + abs(mixed))
 
 
+def test_attention_reads_every_subword(spark, tmp_path, monkeypatch):
+    """The query trains on a window for every BLOCK subwords, not words, and asks for each subword and end mark."""
+    texts = [prose(700), "", "antidisestablishmentarianism " * 90, "Unseen\u00a0 \u00a0words x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, trained = [], lmscore._trained
+    monkeypatch.setattr(lmscore, "_trained", lambda segments, *more: seen.extend(r["segment"] for r in segments.select("segment").collect()) or trained(segments, *more))
+    assert lmscore.op5_attention_lm(spark, str(tmp_path)).count() == len(texts)
+    subwords = lmscore.Subwords()
+    ids = [subwords.encode(t.encode().lower().split())[0] for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    same = np.arange(lmscore.N_IDS)
+    windows = np.concatenate([lmscore.windows_of(bytes(x), same) for x in seen])
+    targets = windows[:, 2 * lmscore.BLOCK :]
+    assert len(windows) == sum(-(-(len(x) + 1) // lmscore.BLOCK) for x in ids)
+    assert Counter(targets[targets != lmscore.PAD].tolist()) == Counter(x for i in ids for x in [*i.tolist(), lmscore.STOP] if x != lmscore.PAD)
+
+
+def test_subword_score_by_hand(spark):
+    """As test_language_model_score_by_hand, where attention is over all subwords; what may follow sums to one."""
+    texts = ["the cat sat on the mat", "the dog sat on the cat sat", "", "unseenword the " * 40, "The CAT", "a\u00a0 \u00a0b unseenwords"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held_out = {k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 == 2}
+    model, _ = lmscore.fit(spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts) if k not in held_out], "doc_id long, text binary"), every=True)
+    of, inside, size = model.classes.of, model.classes.inside, lmscore.BLOCK
+    first = model.classes.opening * lmscore.SIZE
+    subwords = lmscore.Subwords()
+    assert set(of[subwords.opens]) <= set(range(first, lmscore.CLASSES)) and set(of[~subwords.opens]) == {*range(first), lmscore.END}
+    for side in (lmscore.TAIL, first - 1):
+        assert np.isclose((10 ** inside[of == side]).sum(), 1)
+    words = [t.encode().lower().split() for t in texts]
+    counts = Counter(w for k, x in enumerate(words) if k not in held_out for w in x)
+    n = sum(counts.values()) + len(texts) - len(held_out)
+    got = {r["doc_id"]: r for r in lmscore.score_documents(rows, every=True).collect()}
+    for k, text in enumerate(words):
+        ids = [subwords.encode([w])[0] for w in text]
+        seq = [lmscore.END, *(int(of[x]) for i in ids for x in i)]
+        steps = []  # log10 of the chance of every outcome at each place
+        for t in range(len(seq)):
+            keys = np.full(2 * size, lmscore.PAD)
+            for j in range(2 * size):
+                at = (t // size - 1) * size + j
+                if 0 <= at < len(seq):
+                    keys[j] = seq[at]
+            every = np.tile(np.arange(lmscore.CLASSES)[:, None], (1, size))
+            steps.append(lmscore.log_probabilities(model.weights, model.fixed, np.tile(keys, (lmscore.CLASSES, 1)), every)[:, t % size].astype(float) / math.log(10))
+            assert np.isclose((10 ** steps[-1]).sum(), 1, atol=1e-3)
+        ends = [math.log10((10 ** x[first:]).sum()) for x in steps]
+        alone = mixed = steps[-1][lmscore.END] - ends[-1]
+        at = 0
+        for w, i in zip(text, ids, strict=True):
+            p = sum(steps[at + j][of[x]] + inside[x] for j, x in enumerate(i)) - ends[at] + ends[at + len(i)]
+            at += len(i)
+            alone += p
+            mixed += math.log10((10**p + counts[w] / n) / 2)
+        assert abs(got[k]["attention_score"] - alone) < 1e-3 * (1 + abs(alone)) and abs(got[k]["score"] - mixed) < 1e-3 * (1 + abs(mixed))
+
+
 def test_html():
     pages, labels = htmltext.drawn_pages(120, 77)
     chances = htmltext.probabilities(htmltext.model(), [htmltext.features(p) for p in pages])
@@ -444,6 +500,19 @@ def test_language_model_scores_rare_words_as_frequent_ones(docs, monkeypatch):
         assert np.allclose(np.array(scores(), float), whole, rtol=1e-5)
 
 
+def test_subword_scores_of_rare_words(docs, none, monkeypatch):
+    """As above, and where attention is over all subwords; a table without rows gives none."""
+
+    def scores():
+        rows = lmscore.score_documents(docs, every=True).collect()
+        return sorted(((r["n_tokens"], r["doc_id"] is None, r["doc_id"] or 0, r["n_known"], r["base_score"], r["score"], r["attention_score"]) for r in rows))
+
+    whole = np.array(scores(), float)
+    monkeypatch.setattr(lmscore, "FREQUENT", 150)
+    assert len(whole) == len(ROWS) and np.isfinite(whole).all() and np.allclose(np.array(scores(), float), whole, rtol=1e-5)
+    assert lmscore.score_documents(none, every=True).count() == 0
+
+
 @pytest.mark.parametrize("n", [5, 14, 57, 100, 200, 400])
 def test_decontamination_finds_every_match_at_the_edit_limit(n, monkeypatch):
     """Whatever an item's length: the rows are those of brute force, also if few pairs are counted at a time."""

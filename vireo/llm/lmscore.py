@@ -1,7 +1,15 @@
 """Language-model scores: a causal self-attention model in numpy on subword ids, beside a word-unigram base.
 
 Words (ASCII case folded, split at ASCII white space) are cut by a public byte-level BPE vocabulary, each with a leading space, and
-an end mark closes the text. A word's probability is that of its first subword, by attention, times that of its spelling:
+an end mark closes the text. The query's model (``every``) reads and predicts every subword by attention:
+
+- The network predicts each subword, or the end mark, from the subwords before it: 253 outcomes for the most frequent ones, one for
+  the end mark, and two tails, of subwords that open a word (those that begin with its leading space) and of those that go on with
+  one, within which ids have their smoothed frequency. That a word ends is told by what opens after it, so no mark stands for that:
+  the chance that something opens is a factor of the word before, and what opens is scored given that something does.
+- Groups, windows and training are as below, over subwords: 16 to 31 subwords before each.
+
+Without ``every``, a smaller model: a word's probability is that of its first subword, by attention, times that of its spelling:
 
 - The network predicts each word's first subword (or the end mark) from the words before it, which it knows by their first
   subwords: 254 outcomes for the most frequent ones, one for the end mark, and a tail within which ids have their smoothed
@@ -12,9 +20,9 @@ an end mark closes the text. A word's probability is that of its first subword,
   met in training; it depends on the word alone and is worked out once for each different word.
 
 Learning, from training documents only (crc32 of doc_id as text, mod 7, is not 2), covers every word of every text, at any size:
-word and subword counts; the spelling table; how often each outcome follows each, which the network's logits start from and
+word and subword counts; the spelling table (without ``every``); how often each outcome follows each, which the network's logits start from and
 which stays fixed; and the attention, fitted by federated averaging over consecutive windows that cover every training text
-whole, so that each word and end mark is a target once. Windows are written as segments of SEGMENT targets, which are dealt to
+whole, so that each subword (or word, without ``every``) and end mark is a target once. Windows are written as segments of SEGMENT targets, which are dealt to
 ROUNDS rounds. A task sees its windows once, and weights (some 70 kB) are averaged over tasks between rounds. So what is gathered
 grows with the corpus, and what the driver holds doesn't.
 
@@ -64,18 +72,28 @@ FOLDS, HELD_OUT = 7, 2
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # a fixed value: the vocabulary's word pattern
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def openers(ranks: dict[bytes, int]) -> np.ndarray:
+    """Which ids open a word: those that begin with a space. Each word's first does, and no other of it."""
+    out = np.zeros(N_IDS, bool)
+    for token, k in ranks.items():
+        out[k] = token[:1] == b" "
+    return out
+
+
 class Subwords:
     """Ids of words, each with a leading space."""
 
     def __init__(self, path: str = VOCABULARY) -> None:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = ranks_of(path)
         self.encoding = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.opens = np.zeros(N_IDS, bool)
-        for token, k in ranks.items():
-            self.opens[k] = token[:1] == b" "
+        self.opens = openers(ranks)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each word has."""
@@ -128,6 +146,25 @@ class Classes:
         return self.spelled[steps >> 16] * (SPELLED + 1) + np.where(after == LAST, SPELLED, self.spelled[np.minimum(after, N_IDS - 1)])
 
 
+class Outcomes:
+    """Outcomes of all subwords. The groups from ``opening`` on hold what a word may be followed by: ids that open the next one, their tail, and the end mark; the groups before hold ids that go on with a word, and theirs."""
+
+    def __init__(self, ids: np.ndarray, opens: np.ndarray) -> None:
+        """How often each id occurs in training, the end mark's at STOP, and which ids open a word."""
+        n = ids.copy()
+        n[STOP] = -1
+        order = np.argsort(-n, kind="stable")
+        self.opening = int(np.clip(round(GROUPS * (1 - opens[order[: CLASSES - 3]].mean())), 1, GROUPS - 1))
+        later = self.opening * SIZE - 1
+        self.of = np.where(opens, TAIL, later)
+        self.of[order[opens[order]][: END - later - 1]] = np.arange(later + 1, END)
+        self.of[order[~opens[order]][:later]] = np.arange(later)
+        self.of[STOP] = END
+        self.inside = _tail_share(ids, self.of == TAIL) + _tail_share(ids, self.of == later)
+        total = np.bincount(self.of, weights=ids, minlength=CLASSES)
+        self.prior = np.log((total + 1) / (total.sum() + CLASSES))
+
+
 def steps_of(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For words of so many ids each: from each id to the next one, or to the word's end, both in one number."""
     after = np.append(ids[1:], LAST)
@@ -215,18 +252,27 @@ def _by_group(w: dict, fixed: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray)
 
 def log_probabilities(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each target class."""
+    return log_probabilities_and_openings(w, fixed, keys, targets, 0)[0]
+
+
+def log_probabilities_and_openings(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray, opening: int) -> tuple[np.ndarray, np.ndarray]:
+    """As log_probabilities(), and the logarithm of the probability of all groups from ``opening`` on, where each target is asked for."""
     h, asked = hidden(w, keys)
     x, y = asked.ravel(), targets.ravel()
     rows = np.arange(len(y))
     z = h @ w["out1"]
     z += fixed["pair1"].take(x, axis=0)
     out = z[rows, y // SIZE]
-    out -= np.log(_sums(np.exp(z, out=z)))
+    sides = np.ones((GROUPS, 2), z.dtype)
+    sides[:opening, 1] = 0
+    total, opened = np.log(np.exp(z, out=z) @ sides).T
+    out -= total
+    opened = opened - total
     order, _, _, z = _by_group(w, fixed, h, x, y)
     inner = z[rows, y[order] % SIZE]
     inner -= np.log(_sums(np.exp(z, out=z)))
     out[order] += inner
-    return out.reshape(targets.shape)
+    return out.reshape(targets.shape), opened.reshape(targets.shape)
 
 
 def _summed(at: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
@@ -343,22 +389,26 @@ def windows_of(segment: bytes, of: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs; some 9 MB of weights and tables, sent to every task."""
+    """What scoring needs where attention is over first subwords; some 9 MB of weights and tables, sent to every task."""
 
     def __init__(self, weights: dict, fixed: dict, classes: Classes, steps: np.ndarray) -> None:
         self.weights, self.fixed, self.classes, self.steps = weights, fixed, classes, steps.astype(np.float32)
 
-    def spelled(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The outcome of each word's first subword, and log10 of the probability of the word once that outcome is given."""
+    def spelled(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The outcomes of words that attention is asked for, in order, and how many each word has (here its first subword's); and log10 of the probability of the word once they are given."""
         c = self.classes
         starts = np.cumsum(sizes) - sizes
         each = self.steps[c.places(steps_of(ids, sizes))].astype(np.float64) + c.later[ids]
         each[starts] += c.inside[ids[starts]] - c.later[ids[starts]]
-        return c.of[ids[starts]], np.add.reduceat(each, starts) if len(starts) else each
+        return c.of[ids[starts]], np.ones(len(starts), np.int64), np.add.reduceat(each, starts) if len(starts) else each
 
-    def scores(self, outcomes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each word's outcome, and of each text's end mark; outcomes of all texts in order, words of each."""
-        n = len(sizes)
+    def scores(self, outcomes: np.ndarray, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word's outcomes, and of each text's end mark; outcomes of all texts in order, how many each word has, and words of each text."""
+        out, _, place, ends = self._placed(outcomes, sizes, 0)
+        return out[place], out[ends]
+
+    def _placed(self, outcomes: np.ndarray, sizes: np.ndarray, opening: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probabilities, and those of groups from ``opening`` on, by place; the places of all outcomes, sizes of them a text, and of each text's end mark."""
         blocks = -(-(sizes + 1) // BLOCK)
         rows = np.concatenate([[0], np.cumsum(blocks + 1)])
         flat = np.full(int(rows[-1]) * BLOCK, PAD, np.int64)
@@ -371,12 +421,34 @@ class Model:
         by_row = flat.reshape(-1, BLOCK)
         target = target.reshape(-1, BLOCK)
         own = np.delete(np.arange(len(by_row)), rows[:-1])
-        out = np.zeros(by_row.shape, np.float32)
+        out, opened = (np.zeros(by_row.shape, np.float32) for _ in range(2))
         for lo in range(0, len(own), CHUNK):
             r = own[lo : lo + CHUNK]
-            out[r] = log_probabilities(self.weights, self.fixed, np.concatenate([by_row[r - 1], by_row[r]], axis=1), target[r])
-        out = out.ravel().astype(np.float64) / np.log(10)
-        return out[place], out[begin + sizes]
+            out[r], opened[r] = log_probabilities_and_openings(self.weights, self.fixed, np.concatenate([by_row[r - 1], by_row[r]], axis=1), target[r], opening)
+        out, opened = (x.ravel().astype(np.float64) / np.log(10) for x in (out, opened))
+        return out, opened, place, begin + sizes
+
+
+class SubwordModel(Model):
+    """What scoring needs where attention is over all subwords."""
+
+    def __init__(self, weights: dict, fixed: dict, outcomes: Outcomes) -> None:
+        self.weights, self.fixed, self.classes = weights, fixed, outcomes
+
+    def spelled(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.cumsum(sizes) - sizes
+        return self.classes.of[ids], sizes, np.add.reduceat(self.classes.inside[ids], starts) if len(starts) else np.zeros(0)
+
+    def scores(self, outcomes: np.ndarray, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """That a word ends is told by an opening outcome after it, so the chance of one is a factor of the word, and the outcome's own is taken given that there is one. So the words that may come, and the end, sum to one."""
+        whole = np.append(0, np.cumsum(parts))
+        ends = np.cumsum(sizes)
+        out, opened, place, stops = self._placed(outcomes, whole[ends] - whole[ends - sizes], self.classes.opening)
+        starts = whole[:-1]
+        each = out[place]
+        each[starts] -= opened[place[starts]]
+        by_word = np.add.reduceat(each, starts) if len(starts) else each
+        return by_word + opened[place[whole[1:] - 1] + 1], out[stops] - opened[stops]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -386,15 +458,19 @@ def held_out(doc_id: str = "doc_id"):
 WORD, ID, FIRST, STEP, TEXT = range(5)  # kinds of what is read from texts
 
 
-def fit(training: DataFrame, vocabulary: str = VOCABULARY) -> tuple[Model, DataFrame]:
-    """The model, and the counts (a written table: key, n) of all training words, from training texts (columns doc_id, and text as bytes)."""
+def fit(training: DataFrame, vocabulary: str = VOCABULARY, every: bool = False) -> tuple[Model, DataFrame]:
+    """The model, and the counts (a written table: key, n) of all training words, from training texts (columns doc_id, and text as bytes). every: attention over all subwords."""
     small_batches(training.sparkSession)
-    seen = materialize(training.select("doc_id", "text").mapInArrow(_read_rows(vocabulary), "kind byte, key long, n long, segment binary"))
+    seen = materialize(training.select("doc_id", "text").mapInArrow(_read_rows(vocabulary, every), "kind byte, key long, n long, segment binary"))
     counts = materialize(seen.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")))
     ids, first = (np.zeros(N_IDS, np.int64) for _ in range(2))
     for r in seen.filter(F.col("kind").isin(ID, FIRST)).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():  # twice as many rows as the vocabulary has ids, at most
         (ids if r["kind"] == ID else first)[r["key"]] = r["n"]
-    classes = Classes(ids, first)
+    if every:
+        ids[STOP] = first[STOP]
+        classes = Outcomes(ids, openers(ranks_of(vocabulary)))
+    else:
+        classes = Classes(ids, first)
     segments = seen.filter(F.col("kind") == TEXT).select("segment", "key", "n")
     of = classes.of
 
@@ -403,14 +479,14 @@ def fit(training: DataFrame, vocabulary: str = VOCABULARY) -> tuple[Model, DataF
         return np.concatenate([x[:-1] * CLASSES + x[1:] for x in own])
 
     pairs = _table(segments.select("segment", "n"), CLASSES * CLASSES, lambda b: (pairs_of(b), None))
-    steps = _table(seen.filter(F.col("kind") == STEP).select("key", "n"), SPELLED * (SPELLED + 1), lambda b: (classes.places(b.column(0).to_numpy()), b.column(1).to_numpy()))
+    steps = None if every else _table(seen.filter(F.col("kind") == STEP).select("key", "n"), SPELLED * (SPELLED + 1), lambda b: (classes.places(b.column(0).to_numpy()), b.column(1).to_numpy()))
     fixed = follow(classes.prior, pairs.reshape(CLASSES, CLASSES))
     n = segments.agg(F.sum("n")).first()[0] or 0
     weights = initial()
     tasks = int(min(MAX_TASKS, max(2, n // (ROUNDS * TASK_WINDOWS))))
     for turn in range(ROUNDS if n else 0):
         weights = _average(_trained(segments.filter(F.col("key") % ROUNDS == turn), weights, fixed, of, tasks, turn), weights)
-    return Model(weights, fixed, classes, spelling(steps)), counts
+    return SubwordModel(weights, fixed, classes) if every else Model(weights, fixed, classes, spelling(steps)), counts
 
 
 def _table(rows: DataFrame, size: int, places) -> np.ndarray:
@@ -431,24 +507,25 @@ def _table(rows: DataFrame, size: int, places) -> np.ndarray:
     return out
 
 
-def _read_rows(vocabulary: str):
-    """One reading of training texts: counts of words (by hash), ids, first ids and steps of spelling; and segments, with their keys and numbers of windows."""
+def _read_rows(vocabulary: str, every: bool = False):
+    """One reading of training texts: counts of words (by hash) and ids; and segments, with their keys and numbers of windows. every: segments are of all ids; else of first ones, and these and steps of spelling are counted too."""
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("segment", pa.binary())])
 
     def counted(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n), pa.nulls(len(key), pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(vocabulary)
+        reader = _Reader(vocabulary, every)
         ends = 0
         for batch in batches:
             if reader.n > FLUSH:
                 yield from (counted(*x) for x in reader.counts())
                 reader.clear()
             found, keys, windows = [], [], []
-            for doc_id, x in zip(batch.column(0).to_pylist(), reader.read(batch.column(1).to_pylist())[0], strict=True):
+            each, w = reader.read(batch.column(1).to_pylist())
+            for doc_id, x in zip(batch.column(0).to_pylist(), reader.asked(each, w), strict=True):
                 ends += 1
-                for place, data in enumerate(segments_of(np.concatenate([[STOP], reader.first[x], [STOP]]))):
+                for place, data in enumerate(segments_of(np.concatenate([[STOP], x, [STOP]]))):
                     found.append(data)
                     keys.append(xxhash.xxh3_64_intdigest(f"{doc_id} {place} ".encode() + data) >> 1)  # copies in other documents are dealt elsewhere
                     windows.append(-(-((len(data) - 1) // 2 - 1 - data[0]) // BLOCK))
@@ -523,6 +600,25 @@ def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
+class Parts:
+    """Values of words, some of each, behind each other."""
+
+    def __init__(self) -> None:
+        self.n, self.m, self.flat, self.size, self.begin = 0, 0, *(np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Take in the values of more words."""
+        self.flat = _behind(self.flat, self.m, flat)
+        self.size, self.begin = _behind(self.size, self.n, sizes), _behind(self.begin, self.n, self.m + np.cumsum(sizes) - sizes)
+        self.n, self.m = self.n + len(sizes), self.m + len(flat)
+
+    def of(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of words in order, and how many each has."""
+        size = self.size[w]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[w] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
 class Lexicon:
     """Local numbers of the words of texts, found by this process's own 64-bit hashes, and hashes that are alike everywhere. Words are known until clear(), which is called where FLUSH of them are held."""
 
@@ -603,15 +699,25 @@ class Lexicon:
 class _Reader(Lexicon):
     """Words with their subword ids, and how often each is met."""
 
+    def __init__(self, vocabulary: str, every: bool) -> None:
+        self.every = every
+        super().__init__(vocabulary)
+
     def clear(self) -> None:
         super().clear()
-        self.size, self.first, self.times = (np.zeros(0, np.int64) for _ in range(3))
-        self.ids: list[np.ndarray] = []
+        self.parts, self.times = Parts(), np.zeros(0, np.int64)
 
     def learn(self, n: int, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.ids.append(ids)
-        for name, x in (("size", sizes), ("first", ids[np.cumsum(sizes) - sizes]), ("times", np.zeros(len(hashes), np.int64))):
-            setattr(self, name, _behind(getattr(self, name), n, x))
+        self.parts.add(ids, sizes)
+        self.times = _behind(self.times, n, np.zeros(len(hashes), np.int64))
+
+    def asked(self, each: list[np.ndarray], w: np.ndarray) -> list[np.ndarray]:
+        """What the network reads of texts, as read() gave them: ids of all words' subwords, or of their first ones."""
+        if not self.every:
+            return [self.parts.flat[self.parts.begin[x]] for x in each]
+        flat, size = self.parts.of(w)
+        whole = np.append(0, np.cumsum(size))
+        return np.split(flat, whole[np.cumsum([len(x) for x in each])[:-1]]) if each else []
 
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         each, w = super().read(texts)
@@ -623,17 +729,19 @@ class _Reader(Lexicon):
         n = self.n
         if not n:
             return
-        times, size, ids = self.times[:n], self.size[:n], np.concatenate(self.ids)
+        times, size, ids = self.times[:n], self.parts.size[:n], self.parts.flat[: self.parts.m]
         yield WORD, self.hash[:n].view(np.int64), times
-        for kind, key, k in ((ID, ids, np.repeat(times, size)), (FIRST, self.first[:n], times)):
+        for kind, key, k in ((ID, ids, np.repeat(times, size)), (FIRST, ids[self.parts.begin[:n]], times))[: 1 if self.every else 2]:
             total = np.bincount(key, weights=k, minlength=N_IDS).astype(np.int64)
             yield kind, np.flatnonzero(total), total[total > 0]
+        if self.every:
+            return
         steps, at = np.unique(steps_of(ids, size), return_inverse=True)
         yield STEP, steps, np.bincount(at, weights=np.repeat(times, size)).astype(np.int64)
 
 
 class Scorer(Lexicon):
-    """Scores batches of texts. Words keep what their counts, first subwords and spelling give."""
+    """Scores batches of texts. Words keep what their counts, subwords and spelling give."""
 
     def __init__(self, model: Model, hashes: np.ndarray, counts: np.ndarray, total: int, vocabulary: str) -> None:
         self.model, self.hashes, self.counts, self.total = model, hashes, counts, max(total, 1)
@@ -641,15 +749,16 @@ class Scorer(Lexicon):
 
     def clear(self) -> None:
         super().clear()
-        self.frequent, self.first = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.frequent, self.parts = np.zeros(0, bool), Parts()
         self.log, self.share, self.spelled = (np.zeros(0) for _ in range(3))
 
     def learn(self, n: int, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
         times = np.where(known, self.counts[at] if len(self.counts) else 0, 0)
-        first, spelled = self.model.spelled(ids, sizes)
-        for name, x in (("frequent", known), ("first", first), ("log", np.log10(times + 1)), ("share", times / self.total), ("spelled", spelled)):
+        *parts, spelled = self.model.spelled(ids, sizes)
+        self.parts.add(*parts)
+        for name, x in (("frequent", known), ("log", np.log10(times + 1)), ("share", times / self.total), ("spelled", spelled)):
             setattr(self, name, _behind(getattr(self, name), n, x))
 
     def __call__(self, texts: list[bytes]) -> tuple:
@@ -662,7 +771,7 @@ class Scorer(Lexicon):
         frequent = self.frequent[w]
         known = np.bincount(text, weights=frequent, minlength=len(texts)).astype(np.int64)
         logs = np.bincount(text, weights=self.log[w], minlength=len(texts))
-        by_word, end = self.model.scores(self.first[w], sizes)
+        by_word, end = self.model.scores(*self.parts.of(w), sizes)
         by_word += self.spelled[w]
         attention = end + np.bincount(text, weights=by_word, minlength=len(texts))
         both = np.log(np.exp(by_word * np.log(10)) + self.share[w] + 1e-300) / np.log(10)
@@ -678,13 +787,13 @@ class Scorer(Lexicon):
         return sizes, known, logs, score, attention, pa.ListArray.from_arrays(pa.array(lists), pa.array(self.hash[w[kinds]].view(np.int64))), pa.ListArray.from_arrays(pa.array(lists), parts)
 
 
-def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, every: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document. every: attention over all subwords."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("held_out", held_out())
     training = rows.filter("NOT held_out")
-    model, counts = fit(training, vocabulary)
+    model, counts = fit(training, vocabulary, every)
     totals = counts.agg(F.sum("n").alias("words"), F.count("*").alias("kinds")).first()
     ends = training.count()
     train_tokens, kinds = int(totals["words"] or 0) + ends, totals["kinds"] + (1 if ends else 0)
@@ -729,4 +838,4 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and attention_score of every document. Awkward cases: see the module."""
-    return score_documents(read_table(spark, sf_dir, "documents"))
+    return score_documents(read_table(spark, sf_dir, "documents"), every=True)
