@@ -513,6 +513,27 @@ def test_subword_scores_of_rare_words(docs, none, monkeypatch):
     assert lmscore.score_documents(none, every=True).count() == 0
 
 
+def test_outlying_members_meet_once(spark, monkeypatch):
+    """A cluster of many small groups over several cells: components as by brute force, and no pair of outlying members is compared from both sides."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([np.delete(base, k), rng.integers(0, 1 << 63, k % 3, dtype=np.uint64)])) for k in range(5)]
+    sk = setjoin.sketches(np.stack([setjoin.signature(x) for x in sets])).view(np.int64)
+    rows = [(7, 1000 + k, k, k, len(x), int(sk[k, 0]), int(sk[k, 1]), x.tobytes()) for k, x in enumerate(sets)]
+    members = common.materialize(spark.createDataFrame(rows, "cluster long, d1 long, d2 long, least_doc long, n long, s1 long, s2 long, items binary"))
+    tables, written = [], setjoin.materialize
+    monkeypatch.setattr(setjoin, "materialize", lambda df: tables.append(written(df)) or tables[-1])
+    monkeypatch.setattr(setjoin, "CELL", 25)
+    got = {r["node"]: r["root"] for r in setjoin.verify_clusters(members, 80).collect()}
+    a, b = zip(*((i, j) for i in range(300) for j in range(i) if setjoin.similar(sets[i], sets[j], 80)))
+    nodes, roots = roots_of(np.array(a), np.array(b))
+    assert got == dict(zip((nodes + 1000).tolist(), (roots + 1000).tolist(), strict=True))
+    more = [frozenset(r) for r in tables[-1].select("a", "b").collect()]
+    assert len(more) > 50 and len(set(more)) == len(more)
+
+
 @pytest.mark.parametrize("n", [5, 14, 57, 100, 200, 400])
 def test_decontamination_finds_every_match_at_the_edit_limit(n, monkeypatch):
     """Whatever an item's length: the rows are those of brute force, also if few pairs are counted at a time."""

@@ -34,6 +34,7 @@ CLOSE, PIVOT_DIFFERENT = 6, 32
 BUFFER_ROWS = 1 << 16
 WHOLE = 1 << 20  # members of a node that a task holds at once, 24 MB
 BLOCK = 256  # members that are held against others at a time
+TOGETHER = 32  # members that verification holds against others at a time
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 XOR = _rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
@@ -245,10 +246,11 @@ def bitmaps(sets: list[Members], most: int = 1 << 14) -> np.ndarray:
     return out
 
 
-def _verified(sets: list[Members], sk: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, small: int = 0) -> list[tuple[int, int]]:
+def _verified(sets: list[Members], sk: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, small: int = 0, turn: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Exact links between left and right members (indices) with different labels; label is updated, and joined members are not compared again.
 
     Pairs with a set of up to small hashes are not held against sketches; all are, against a bound that loses nothing.
+    turn: only pairs whose right member has a greater one are compared; the others are elsewhere.
     """
     sizes = np.array([len(s) for s in sets])
     found: list[tuple[int, int]] = []
@@ -267,20 +269,32 @@ def _verified(sets: list[Members], sk: np.ndarray, label: np.ndarray, left: np.n
                     found.append((i, j))
                     label[label == label[j]] = label[i]
         return found
+    if both_ways:
+        turn = np.arange(len(sets))
     bits = bitmaps(sets)
-    for i in left:
+    at = 0
+    while at < len(left):
         if (label == label[0]).all():
             break
-        if both_ways:
-            right = right[np.searchsorted(right, i, side="right") :]
-        cand = right[(label[right] != label[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
-        agree = different(sk[cand], sk[i]) <= MAX_DIFFERENT
-        cand = cand[agree | (np.minimum(sizes[cand], sizes[i]) <= small)]
-        cand = cand[np.bitwise_count(bits[cand] ^ bits[i]).sum(axis=-1) * (100 + percent) <= (100 - percent) * (sizes[cand] + sizes[i])]
-        for j in cand:
-            if label[i] != label[j] and similar(of(i), of(j), percent):
-                found.append((i, j))
-                label[label == label[j]] = label[i]
+        own = left[at : at + (TOGETHER if at else 1)]  # the first alone: it may join most of a group
+        at += len(own)
+        low, high = np.minimum(sizes[own, None], sizes[right]), np.maximum(sizes[own, None], sizes[right])
+        open_ = (label[own, None] != label[right]) & (100 * low >= percent * high)
+        if turn is not None:
+            open_ &= turn[right] > turn[own, None]
+        x, y = np.nonzero(open_)
+        i, j = own[x], right[y]
+        agree = (different(sk[i], sk[j]) <= MAX_DIFFERENT) | (low[x, y] <= small)
+        i, j = i[agree], j[agree]
+        for lo in range(0, len(i), CELL):
+            p, q = i[lo : lo + CELL], j[lo : lo + CELL]
+            open_ = label[p] != label[q]  # joined since
+            p, q = p[open_], q[open_]
+            near = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=-1) * (100 + percent) <= (100 - percent) * (sizes[p] + sizes[q])
+            for m, n in zip(p[near].tolist(), q[near].tolist()):
+                if label[m] != label[n] and similar(of(m), of(n), percent):
+                    found.append((m, n))
+                    label[label == label[n]] = label[m]
     return found
 
 
@@ -296,7 +310,7 @@ def stored_sets(items: list[bytes]) -> list[Members]:
 
 
 def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets, small: int = 0) -> DataFrame:
-    """rows of _MEMBERS, those of a key together. role 0 and 1 are compared with each other, and role 0 with itself where the key has no role 1 but pivots (role 2)."""
+    """rows of _MEMBERS, those of a key together. Where a key has role 1, these are compared with role 0, and with those of role 3 (who are asked about elsewhere too) that come after them; else all are compared with each other, pivots (role 2) among them."""
 
     def of_key(held: list[tuple], sets: list[Members]) -> Iterator[tuple]:
         keep = list({(d1, d2, role): k for k, (_, d1, d2, role, *_) in enumerate(held)}.values())
@@ -308,9 +322,12 @@ def _verify_cells(rows: DataFrame, percent: int, sets_of: Sets, small: int = 0)
         own = [held[k] for k in keep]
         sk = np.array([r[5:7] for r in own], np.int64).view(np.uint64)
         label = np.unique([r[4] for r in own], return_inverse=True)[1]
-        everyone = np.arange(len(own))
-        asked = everyone[np.array([r[3] for r in own]) == 1]
-        for i, j in _verified([sets[k] for k in keep], sk, label, asked if len(asked) else everyone, everyone, percent, small):
+        everyone, role = np.arange(len(own)), np.array([r[3] for r in own])
+        asked, others, turn = everyone[role == 1], everyone, None
+        if len(asked):
+            others, turn = everyone[role != 1], np.unique([r[1] for r in own], return_inverse=True)[1]
+            turn[role == 0] = len(own)
+        for i, j in _verified([sets[k] for k in keep], sk, label, asked if len(asked) else everyone, others, percent, small, turn):
             yield own[i][1], own[j][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +363,7 @@ def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_set
 
     A cluster of up to CELL members is compared as a whole. A larger one is dealt to cells: each cell compares its own
     members and the cluster's pivots, which joins nearly everything that belongs together. What then lies outside the
-    cluster's largest component is compared with every cell. So every link is found or already implied, no task holds more
+    cluster's largest component is compared with every cell, each pair of it once. So every link is found or already implied, no task holds more
     than two cells, and copies of one text cost one comparison each.
     """
     spark = members.sparkSession
@@ -371,7 +388,8 @@ def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_set
     big = big.join(found.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1", "left").withColumn("comp", F.coalesce("comp", "d1"))
     big = materialize(big.withColumn("cell", F.pmod(F.xxhash64("d2"), F.col("cells"))))
     main = big.groupBy("cluster", "comp").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    rest = big.join(main, "cluster").filter("comp <> main").drop("main")
+    big = big.join(main, "cluster").withColumn("role", F.when(F.col("comp") == F.col("main"), 0).otherwise(3)).drop("main")
+    rest = big.filter("role = 3")
     weight = rest.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") * 8 / CELL_BYTES)).cast("long").alias("blocks"))
     weight = materialize(weight)
     if not weight.limit(1).count():
@@ -379,6 +397,6 @@ def verify_clusters(members: DataFrame, percent: int, sets_of: Sets = stored_set
     zero = F.lit(0).cast("long")
     asked = rest.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks"))).drop("cell").withColumn("cell", F.explode(F.sequence(zero, F.col("cells") - 1)))
     asked = asked.withColumn("key", key("cluster", "cell", "block")).withColumn("role", F.lit(1))
-    against = big.join(weight, "cluster").withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("key", key("cluster", "cell", "block")).withColumn("role", F.lit(0))
+    against = big.join(weight, "cluster").withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("key", key("cluster", "cell", "block"))
     more = materialize(_verify_cells(asked.select(*cols).unionByName(against.select(*cols)), percent, sets_of, small))
     return connected_components(links.unionAll(more))
