@@ -805,3 +805,65 @@ def test_line_sets_are_distinct_shingles():
     assert len(found) == len(lines) and linededup.line_sets([]) == []
     for x, a in list(zip(lines, found))[::7] + list(zip(lines, found))[4090:4100]:
         assert isinstance(a, np.ndarray) and len(a) == len(set(x[k : k + 8] for k in range(len(x) - 7))) and (np.diff(a) > 0).all()
+
+
+def test_subwords_are_cut_once(monkeypatch):
+    """A process cuts a word once, whatever the task; scoring reads the ids that reading gave, and tells words apart by them as reading did."""
+    text = b"the cat\tsat on The mat \xc2\xa0 a\xc2\xa0 \xc2\xa0b unseenword's 's "
+    texts = [text * 3, b"", b"  ", b"mat " * 40, "  x y y".encode(), text]
+    plain = lmscore.Subwords()
+    words = list(dict.fromkeys(w for t in texts for w in t.lower().split()))
+    each = [plain.encode([w])[0].tolist() for w in words]
+    ids, sizes = plain.encode(words)
+    assert ids.tolist() == sum(each, []) and sizes.tolist() == [len(x) for x in each] and plain.opens[ids].sum() == len(words)
+    held = lmscore.Remembered(lmscore.VOCABULARY)
+    cut = []
+    held.subwords = type("", (), {"encode": lambda self, words: cut.extend(words) or plain.encode(words)})()
+    for k in (3, 1, len(words), 2):
+        ids, sizes = held.encode(words[:k][::-1], np.array([hash(w) for w in words[:k][::-1]]).view(np.uint64))
+        assert ids.tolist() == sum(each[:k][::-1], []) and sizes.tolist() == [len(x) for x in each[:k][::-1]]
+    assert sorted(cut) == sorted(words)
+    monkeypatch.setattr(lmscore, "FLUSH", 4)  # what is beyond is cut each time
+    held = lmscore.Remembered(lmscore.VOCABULARY)
+    for _ in range(2):
+        assert held.encode(words, np.array([hash(w) for w in words]).view(np.uint64))[0].tolist() == sum(each, []) and held.n == 4
+    reader = lmscore._Reader(lmscore.VOCABULARY, True)
+    numbers, w = reader.read(texts)
+    whole = [x.astype("<u2").tobytes() for x in reader.asked(numbers, w)]
+    counts = np.bincount(w)
+    order = np.argsort(reader.hash[: reader.n])
+    model = lmscore.SubwordModel(lmscore.initial(), {}, lmscore.Outcomes(np.arange(lmscore.N_IDS) % 7, plain.opens))
+    scorer = lmscore.SubwordScorer(model, reader.hash[: reader.n][order], counts[order], len(w), lmscore.VOCABULARY)
+    scorer.subwords = type("", (), {"opens": plain.opens})()  # cuts nothing
+    monkeypatch.setattr(lmscore, "TOGETHER", 50)
+    again, v = scorer.read(whole)
+    assert [x.tolist() for x in again] == [x.tolist() for x in numbers] and (v == w).all()
+    assert (scorer.hash[: scorer.n] == reader.hash[: reader.n]).all() and len(set(scorer.hash[: scorer.n].tolist())) == len(words)
+    assert np.allclose(10 ** scorer.log[: scorer.n], counts + 1)
+
+
+def test_learners_of_a_task(spark):
+    """Several learners in one task start from the same weights and see windows of their own, as those of tasks of their own do; sums by class are as np.add.at gives them."""
+    rng = np.random.default_rng(6)
+    classes, fixed = small_network()
+    rows = [(bytes([0]) + rng.integers(0, 40, 65).astype("<u2").tobytes(), int(k)) for k in rng.integers(0, 1 << 60, 300)]
+    segments = spark.createDataFrame(rows, "segment binary, key long").repartition(3)
+    w, learners = lmscore.initial(), 8 * lmscore.TASK_LEARNERS
+    found = lmscore._trained(segments, w, fixed, classes.of, learners, 1)
+    assert found.rdd.getNumPartitions() == 8
+    dealt = segments.withColumn("learner", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(lmscore.TASK_LEARNERS))).repartition(8, F.xxhash64("key")).withColumn("task", F.spark_partition_id())
+    groups = {}
+    for r in sorted(dealt.collect(), key=lambda r: (r["key"], bytes(r["segment"]))):
+        groups.setdefault((r["task"], r["learner"]), []).append(lmscore.windows_of(bytes(r["segment"]), classes.of))
+    assert len(groups) > 40
+    total, n = 0.0, 0
+    for parts in groups.values():
+        windows = np.concatenate(parts)
+        total, n = total + lmscore._row(lmscore.train(w, fixed, windows, 1000)) * len(windows), n + len(windows)
+    got = found.collect()
+    assert sum(r["n"] for r in got) == n == sum(-(-64 // lmscore.BLOCK) for _ in rows)
+    assert np.allclose(sum(np.frombuffer(r["weights"], np.float64) for r in got) / n, total / n, atol=1e-5)
+    at, x = rng.integers(0, 9, (20, 5)), rng.normal(size=(20, 5, 6)).astype(np.float32)
+    want = np.zeros((11, 6), np.float32)
+    np.add.at(want, at, x)
+    assert np.allclose(lmscore._summed(at, x, want), want, atol=1e-5)

@@ -23,8 +23,12 @@ Learning, from training documents only (crc32 of doc_id as text, mod 7, is not 2
 word and subword counts; the spelling table (without ``every``); how often each outcome follows each, which the network's logits start from and
 which stays fixed; and the attention, fitted by federated averaging over consecutive windows that cover every training text
 whole, so that each subword (or word, without ``every``) and end mark is a target once. Windows are written as segments of SEGMENT targets, which are dealt to
-ROUNDS rounds. A task sees its windows once, and weights (some 70 kB) are averaged over tasks between rounds. So what is gathered
-grows with the corpus, and what the driver holds doesn't.
+ROUNDS rounds, and within a round to learners, which see their windows once; a task is one learner, or several in turn where there
+are many. Weights (some 70 kB) are averaged over learners between rounds. So what is gathered grows with the corpus, and what the
+driver holds doesn't.
+
+With ``every``, each text, held out or not, is cut into subwords once: its ids are written (two bytes each) and read for scoring.
+Where words end is told by the ids that open one, and a word's 64-bit hash is one of its ids.
 
 The model of a word is an even mixture, as in cache and pointer models: the probability above, and the word's relative frequency
 in training (nothing if it isn't met there, so the whole still sums to one at most). attention_score is the first part alone.
@@ -42,6 +46,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,27 +55,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import lower_words, materialize, one_blas_thread, read_table, small_batches, text_bytes, word_hashes
+from vireo.llm.common import keep_freed_memory, lower_words, materialize, mix, one_blas_thread, read_table, small_batches, text_bytes, word_hashes
 
 VOCABULARY = os.path.join("/opt/tokenizers", "byte_bpe_50k.tiktoken")  # a parameter of every function here
 N_IDS = 50_257
 STOP, LAST = N_IDS - 1, 0xFFFF  # the id that the vocabulary leaves free stands for the end mark; no id is the last of these
 CLASSES, WIDTH, BLOCK = 256, 16, 16
 GROUPS = 16
-SIZE = CLASSES // GROUPS  # outcomes of a group
+SIZE = CLASSES // GROUPS  # outcomes of a group, a power of two
 SEGMENT = 64 * BLOCK  # targets of a training row
 END, TAIL, PAD = CLASSES - 2, CLASSES - 1, CLASSES
 SPELLED = 1024  # classes of subwords in the spelling table, the last one for all the rest; column SPELLED is the word's end
 FREQUENT = 1 << 19
 ROUNDS, BATCH, TASK_WINDOWS, MAX_TASKS = 3, 256, 16_384, 4096
+TASK_LEARNERS = 8  # learners of a task
 RATE = 0.01
 FLUSH = 400_000  # distinct words that a task holds
-CHUNK = 128  # blocks that are scored together
+CHUNK = 256  # blocks that are scored together
 TOGETHER = 1 << 20  # bytes of texts whose words are looked up together
 FOLDS, HELD_OUT = 7, 2
 
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # a fixed value: the vocabulary's word pattern
 
+_OTHER_SPACE = re.compile(r"[^\S ]")  # what that pattern takes as white space, the space aside, and some more
+
 
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -99,12 +107,19 @@ class Subwords:
         """All ids in order, and how many each word has."""
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids = np.array(self.encoding.encode_ordinary(" " + b" ".join(words).decode()), np.int64)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(words):  # a word with other white space in it: one by one
-            each = [self.encoding.encode_ordinary(" " + w.decode()) for w in words]
-            return np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each])
-        return ids, np.diff(np.append(starts, len(ids)))
+        text = " " + b" ".join(words).decode()
+        if _OTHER_SPACE.search(text):  # words with other white space in them: one by one, as what they are cut into must not depend on their neighbours
+            apart = [_OTHER_SPACE.search(w.decode()) is not None for w in words]
+            each = [self.encoding.encode_ordinary(" " + w.decode()) if a else None for w, a in zip(words, apart, strict=True)]
+            flat, size = self.encode([w for w, a in zip(words, apart, strict=True) if not a])
+            sizes = np.array([len(e) if e else 0 for e in each])
+            sizes[sizes == 0] = size
+            out = np.zeros(int(sizes.sum()), np.int64)
+            own = np.repeat(apart, sizes)
+            out[own], out[~own] = [i for e in each if e for i in e], flat
+            return out, sizes
+        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+        return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,6 +128,19 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
+def word_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of so many subword ids each, the same in every process. Different words have different ids."""
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(ids)) - np.repeat(starts, sizes)
+    return np.add.reduceat(mix((ids + 1 | place << 16).astype(np.uint64)), starts) if len(starts) else np.zeros(0, np.uint64)
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin and are as long as given, behind each other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 # --- counts --------------------------------------------------------------------------------------------------------------
 
 
@@ -217,14 +245,18 @@ def _sums(x: np.ndarray) -> np.ndarray:
 def hidden(w: dict, keys: np.ndarray, train: bool = False) -> tuple:
     """keys: (blocks, 2 * BLOCK) input classes, the second half being the queries: hidden state of each query, and what training needs."""
     asked = keys[:, BLOCK:]
-    kv, qr = w["kv"].take(keys, axis=0), w["qr"].take(asked, axis=0)
+    out = w["qr"].copy()
+    out[:, WIDTH:] += w["b"]
+    kv, qr = w["kv"].take(keys, axis=0), out.take(asked, axis=0)
     k, v, q = kv[:, :, :WIDTH], kv[:, :, WIDTH:], qr[:, :, :WIDTH]
-    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    across = np.ascontiguousarray((kv if train else k).transpose(0, 2, 1))  # products with a copy are faster than with a view
+    s = q @ across[:, :WIDTH]
     s += np.where(_CAUSAL, w["near"][_DISTANCE], _FAR)
     empty = keys == PAD
-    if empty.any():
-        s += np.where(empty, _FAR, np.float32(0))[:, None, :]
-    np.minimum(s, 30, out=s)
+    short = np.flatnonzero(empty.any(axis=1))  # few blocks are at a text's border
+    s[short] += np.where(empty[short], _FAR, np.float32(0))[:, None, :]
+    if s.max(initial=0) > 30:
+        np.minimum(s, 30, out=s)
     e = np.exp(s, out=s)
     total = _sums(e)[:, :, None] + np.float32(1e-20)
     if train:
@@ -234,8 +266,7 @@ def hidden(w: dict, keys: np.ndarray, train: bool = False) -> tuple:
         attended /= total
     h = attended.reshape(-1, WIDTH) @ w["a"]
     h += qr[:, :, WIDTH:].reshape(-1, WIDTH)
-    h += w["b"]
-    return np.tanh(h, out=h), (asked, q, k, v, e, attended) if train else asked
+    return np.tanh(h, out=h), (asked, q, k, across[:, WIDTH:], e, attended) if train else asked
 
 
 def _by_group(w: dict, fixed: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
@@ -269,88 +300,103 @@ def log_probabilities_and_openings(w: dict, fixed: dict, keys: np.ndarray, targe
     out -= total
     opened = opened - total
     order, _, _, z = _by_group(w, fixed, h, x, y)
-    inner = z[rows, y[order] % SIZE]
+    inner = z[rows, y[order] & SIZE - 1]
     inner -= np.log(_sums(np.exp(z, out=z)))
     out[order] += inner
     return out.reshape(targets.shape), opened.reshape(targets.shape)
 
 
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty_like(order)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def _summed(at: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Rows added up by class."""
-    at = at.ravel().astype(np.uint16)
-    order = np.argsort(at, kind="stable")
-    own = at[order]
-    starts = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint16(1)))
+    """Rows added up by class; two columns at a time, as complex numbers, which takes half as many of NumPy's steps."""
+    at = at.ravel()
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    times = np.bincount(at, minlength=len(like))
+    own = np.flatnonzero(times)
+    starts = (np.cumsum(times) - times)[own]
+    rows = rows.reshape(len(at), -1).take(order, axis=0)
     out = np.zeros_like(like)
-    out[own[starts]] = np.add.reduceat(rows.reshape(len(at), -1).take(order, axis=0), starts, axis=0)
+    out[own] = np.add.reduceat(rows.view(np.result_type(rows, np.complex64)), starts, axis=0).view(rows.dtype)
     return out
 
 
-def _less_target(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of logits less one at the target, weighted; and each target's log probability."""
-    rows = np.arange(len(y))
-    own = z[rows, y]
+def _less_target(z: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: bool) -> tuple[np.ndarray, float]:
+    """Softmax of logits less one at the target, weighted; and, if asked for, the weighted sum of the targets' log probabilities."""
+    at = np.arange(0, z.size, z.shape[1]) + y
+    own = float(z.ravel()[at] @ weight) if loss else 0.0
     p = np.exp(z, out=z)
     total = _sums(p)
-    p /= total[:, None]
-    p[rows, y] -= 1
-    p *= weight[:, None]
-    return p, own - np.log(total)
+    p *= (weight / total)[:, None]
+    p.reshape(-1)[at] -= weight
+    return p, own - float(np.log(total) @ weight) if loss else 0.0
 
 
-def gradients(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
-    """Mean loss and its gradients; targets may hold PAD where nothing is asked."""
+def gradients(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray, loss: bool = True) -> tuple[float, dict]:
+    """Mean loss (0 unless asked for) and its gradients; targets may hold PAD where nothing is asked."""
     h, (asked, q, k, v, e, attended) = hidden(w, keys, True)
     x, y = asked.ravel(), targets.ravel()
     use = y != PAD
     weight = use / np.float32(max(int(use.sum()), 1))
     y = np.where(use, y, 0)
-    p, first = _less_target(h @ w["out1"] + fixed["pair1"].take(x, axis=0), y // SIZE, weight)
+    p, first = _less_target(h @ w["out1"] + fixed["pair1"].take(x, axis=0), y // SIZE, weight, loss)
     g = {"out1": h.T @ p}
     back = p @ w["out1"].T
     order, ends, hs, z = _by_group(w, fixed, h, x, y)
-    p, second = _less_target(z, y[order] % SIZE, weight[order])
-    loss = -float(first @ weight + second @ weight[order])
+    p, second = _less_target(z, y[order] & SIZE - 1, weight[order], loss)
     g["out2"] = np.zeros_like(w["out2"])
     inner = np.empty_like(hs)
     for c in range(GROUPS):
         part = slice(ends[c], ends[c + 1])
         g["out2"][c] = hs[part].T @ p[part]
         inner[part] = p[part] @ w["out2"][c].T
-    back[order] += inner
-    pre = back * (1 - h * h)
-    g["b"] = pre.sum(axis=0)
+    back += inner.take(_inverse(order), axis=0)
+    np.multiply(h, h, out=h)
+    pre = np.multiply(back, np.subtract(1, h, out=h), out=back)
+    g["b"] = np.ones(len(pre), pre.dtype) @ pre
     g["a"] = attended.reshape(-1, WIDTH).T @ pre
     da = (pre @ w["a"].T).reshape(attended.shape)
-    de = da @ v.transpose(0, 2, 1)
+    de = da @ v
     de -= _sums(da * attended)[:, :, None]  # what de sums to under e
     ds = np.multiply(de, e, out=de)
     g["near"] = np.bincount(_DISTANCE.ravel(), weights=np.where(_CAUSAL, ds.sum(axis=0), 0).ravel(), minlength=2 * BLOCK).astype(np.float32)
-    g["qr"] = _summed(asked, np.concatenate([ds @ k, pre.reshape(attended.shape)], axis=2), w["qr"])
-    g["kv"] = _summed(keys, np.concatenate([ds.transpose(0, 2, 1) @ q, e.transpose(0, 2, 1) @ da], axis=2), w["kv"])
-    return loss, g
+    rows = np.empty((*keys.shape, 2 * WIDTH), ds.dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=rows[:, :, :WIDTH])
+    np.matmul(e.transpose(0, 2, 1), da, out=rows[:, :, WIDTH:])
+    g["kv"] = _summed(keys, rows, w["kv"])
+    rows = np.empty((*asked.shape, 2 * WIDTH), ds.dtype)
+    np.matmul(ds, k, out=rows[:, :, :WIDTH])
+    rows[:, :, WIDTH:] = pre.reshape(attended.shape)
+    g["qr"] = _summed(asked, rows, w["qr"])
+    return -(first + second), g
 
 
 def train(w: dict, fixed: dict, windows: np.ndarray, seed: int) -> dict:
     """Adam over windows, rows of 2 * BLOCK inputs and BLOCK targets, each once in a seeded order."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    w = {k: x.copy() for k, x in w.items()}
-    m1, m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in "12")
+    names = sorted(w)
+    flat = np.concatenate([w[k].ravel() for k in names])  # all weights in a row, so that a step is few operations
+    w = {k: x.reshape(w[k].shape) for k, x in zip(names, np.split(flat, np.cumsum([w[k].size for k in names])[:-1]), strict=True)}
+    m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
     order = rng.permutation(len(windows))
     total = -(-len(windows) // BATCH)
     for step in range(1, total + 1):
         part = windows[order[(step - 1) * BATCH : step * BATCH]].astype(np.int64)
-        _, g = gradients(w, fixed, part[:, : 2 * BLOCK], part[:, 2 * BLOCK :])
+        _, g = gradients(w, fixed, part[:, : 2 * BLOCK], part[:, 2 * BLOCK :], False)
         rate = RATE * (1 - 0.9 * step / total)
-        for k, x in g.items():
-            m1[k] += 0.1 * (x - m1[k])
-            m2[k] += 0.01 * (x * x - m2[k])
-            w[k] -= rate / (1 - 0.9**step) * m1[k] / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
+        x = np.concatenate([g[k].ravel() for k in names])
+        m1 += 0.1 * (x - m1)
+        m2 += 0.01 * (x * x - m2)
+        flat -= rate / (1 - 0.9**step) * m1 / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     return w
 
 
-def _packed(w: dict) -> bytes:
-    return b"".join(w[k].tobytes() for k in sorted(w))
+def _row(w: dict) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
 
 
 def _unpacked(data: np.ndarray, like: dict) -> dict:
@@ -455,13 +501,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-WORD, ID, FIRST, STEP, TEXT = range(5)  # kinds of what is read from texts
+WORD, ID, FIRST, STEP, TEXT, WHOLE = range(6)  # kinds of what is read from texts
 
 
 def fit(training: DataFrame, vocabulary: str = VOCABULARY, every: bool = False) -> tuple[Model, DataFrame]:
     """The model, and the counts (a written table: key, n) of all training words, from training texts (columns doc_id, and text as bytes). every: attention over all subwords."""
-    small_batches(training.sparkSession)
-    seen = materialize(training.select("doc_id", "text").mapInArrow(_read_rows(vocabulary, every), "kind byte, key long, n long, segment binary"))
+    return _learned(_seen(training.withColumn("held_out", F.lit(False)), vocabulary, every), vocabulary, every)
+
+
+def _seen(rows: DataFrame, vocabulary: str, every: bool) -> DataFrame:
+    """What one reading of texts gives, as a written table (see _read_rows())."""
+    small_batches(rows.sparkSession)
+    return materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_read_rows(vocabulary, every), "kind byte, key long, n long, segment binary"))
+
+
+def _learned(seen: DataFrame, vocabulary: str, every: bool) -> tuple[Model, DataFrame]:
     counts = materialize(seen.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")))
     ids, first = (np.zeros(N_IDS, np.int64) for _ in range(2))
     for r in seen.filter(F.col("kind").isin(ID, FIRST)).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():  # twice as many rows as the vocabulary has ids, at most
@@ -483,9 +537,9 @@ def fit(training: DataFrame, vocabulary: str = VOCABULARY, every: bool = False)
     fixed = follow(classes.prior, pairs.reshape(CLASSES, CLASSES))
     n = segments.agg(F.sum("n")).first()[0] or 0
     weights = initial()
-    tasks = int(min(MAX_TASKS, max(2, n // (ROUNDS * TASK_WINDOWS))))
+    learners = int(min(MAX_TASKS, max(2, n // (ROUNDS * TASK_WINDOWS))))
     for turn in range(ROUNDS if n else 0):
-        weights = _average(_trained(segments.filter(F.col("key") % ROUNDS == turn), weights, fixed, of, tasks, turn), weights)
+        weights = _average(_trained(segments.filter(F.col("key") % ROUNDS == turn), weights, fixed, of, learners, turn), weights)
     return SubwordModel(weights, fixed, classes) if every else Model(weights, fixed, classes, spelling(steps)), counts
 
 
@@ -508,13 +562,14 @@ def _table(rows: DataFrame, size: int, places) -> np.ndarray:
 
 
 def _read_rows(vocabulary: str, every: bool = False):
-    """One reading of training texts: counts of words (by hash) and ids; and segments, with their keys and numbers of windows. every: segments are of all ids; else of first ones, and these and steps of spelling are counted too."""
+    """One reading of texts: of training texts, counts of words (by hash) and ids, and segments, with their keys and numbers of windows. every: segments are of all ids, and each text, held out or not, is given as its ids, two bytes each, beside its doc_id; else segments are of first ids, and these and steps of spelling are counted too."""
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("segment", pa.binary())])
 
     def counted(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n), pa.nulls(len(key), pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         reader = _Reader(vocabulary, every)
         ends = 0
         for batch in batches:
@@ -522,14 +577,21 @@ def _read_rows(vocabulary: str, every: bool = False):
                 yield from (counted(*x) for x in reader.counts())
                 reader.clear()
             found, keys, windows = [], [], []
-            each, w = reader.read(batch.column(1).to_pylist())
-            for doc_id, x in zip(batch.column(0).to_pylist(), reader.asked(each, w), strict=True):
+            doc_ids, texts, held = (x.to_pylist() for x in batch.columns)
+            learnt = [k for k, x in enumerate(held) if not x]
+            asked = reader.asked(*reader.read([texts[k] for k in learnt]))
+            for k, x in zip(learnt, asked, strict=True):
                 ends += 1
                 for place, data in enumerate(segments_of(np.concatenate([[STOP], x, [STOP]]))):
                     found.append(data)
-                    keys.append(xxhash.xxh3_64_intdigest(f"{doc_id} {place} ".encode() + data) >> 1)  # copies in other documents are dealt elsewhere
+                    keys.append(xxhash.xxh3_64_intdigest(f"{doc_ids[k]} {place} ".encode() + data) >> 1)  # copies in other documents are dealt elsewhere
                     windows.append(-(-((len(data) - 1) // 2 - 1 - data[0]) // BLOCK))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), TEXT, np.int8)), pa.array(keys, pa.int64()), pa.array(windows, pa.int64()), pa.array(found, pa.binary())], schema=schema)
+            if every:
+                others = [k for k, x in enumerate(held) if x]
+                asked += reader.asked(*reader.look_up([texts[k] for k in others]))
+                whole = pa.array([x.astype("<u2").tobytes() for x in asked], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(whole), WHOLE, np.int8)), pa.array([doc_ids[k] for k in learnt + others], pa.int64()), pa.nulls(len(whole), pa.int64()), whole], schema=schema)
         yield from (counted(*x) for x in reader.counts())
         if ends:
             yield counted(FIRST, np.array([STOP]), np.array([ends]))
@@ -537,38 +599,54 @@ def _read_rows(vocabulary: str, every: bool = False):
     return run
 
 
-def _trained(segments: DataFrame, weights: dict, fixed: dict, of: np.ndarray, tasks: int, turn: int) -> DataFrame:
+def _trained(segments: DataFrame, weights: dict, fixed: dict, of: np.ndarray, learners: int, turn: int) -> DataFrame:
+    """Weights after a round, summed by windows seen, and how many these are. Learners all start from the same weights, each with windows of its own; where there are many, a task is TASK_LEARNERS of them in turn, as starting a Python task takes a quarter of a learner's time."""
+    each = TASK_LEARNERS if learners >= 8 * TASK_LEARNERS else 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
-        w, total, step = weights, 0, 0
+        keep_freed_memory()
+        remembered.cache_clear()  # texts are read by now
+        w, total, step, summed, seen = weights, 0, 0, 0, 0
         held: list[np.ndarray] = []
-        n = 0
+        n, now = 0, 0
 
         def learn(w: dict) -> dict:
             return train(w, fixed, np.concatenate(held), 1000 * turn + step)
 
-        for batch in batches:
-            found = [windows_of(x, of) for x in batch.column(0).to_pylist()]
-            held, n = held + found, n + sum(map(len, found))
-            if n >= 4 * TASK_WINDOWS:
-                w, total, step, held, n = learn(w), total + n, step + 1, [], 0
-        if held:
-            w, total = learn(w), total + n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(w)], pa.binary()), pa.array([total], pa.int64())], names=["weights", "n"])
+        def added() -> tuple[np.ndarray, int]:
+            """The sums with those of the learner that ends."""
+            last = learn(w) if held else w
+            return (summed + _row(last) * (total + n), seen + total + n) if total + n else (summed, seen)
 
-    dealt = segments.select("segment", "key").repartition(tasks, F.xxhash64("key")).sortWithinPartitions("key", "segment")
-    return dealt.mapInArrow(run, "weights binary, n long")
+        for batch in batches:
+            learner = batch.column(1).to_numpy()
+            borders = [0, *(np.flatnonzero(np.diff(learner)) + 1).tolist(), len(learner)]
+            for lo, hi in zip(borders, borders[1:]):
+                if lo < hi and learner[lo] != now:
+                    summed, seen = added()
+                    w, total, step, held, n, now = weights, 0, 0, [], 0, learner[lo]
+                found = [windows_of(x, of) for x in batch.column(0).slice(lo, hi - lo).to_pylist()]
+                held, n = held + found, n + sum(map(len, found))
+                if n >= 4 * TASK_WINDOWS:
+                    w, total, step, held, n = learn(w), total + n, step + 1, [], 0
+        summed, seen = added()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([summed.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "n"])
+
+    dealt = segments.select("segment", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(each)).cast("int").alias("learner"), "key")
+    dealt = dealt.repartition(learners // each, F.xxhash64("key")).sortWithinPartitions("learner", "key", "segment")
+    return dealt.select("segment", "learner").mapInArrow(run, "weights binary, n long")
 
 
 def _average(found: DataFrame, like: dict) -> dict:
-    """Mean weights by windows seen, summed by up to 64 tasks before the driver."""
+    """Mean weights by windows seen, from sums, added up by up to 64 tasks before the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
         for batch in batches:
             for data, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, np.float32).astype(np.float64) * k
+                x = np.frombuffer(data, np.float64)
                 total, n = x if total is None else total + x, n + k
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
@@ -615,24 +693,16 @@ class Parts:
     def of(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of words in order, and how many each has."""
         size = self.size[w]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.begin[w] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+        return self.flat[_runs(self.begin[w], size)], size
 
 
-class Lexicon:
-    """Local numbers of the words of texts, found by this process's own 64-bit hashes, and hashes that are alike everywhere. Words are known until clear(), which is called where FLUSH of them are held."""
-
-    def __init__(self, vocabulary: str) -> None:
-        self.subwords = subwords(vocabulary)
-        self.clear()
+class Numbers:
+    """Numbers of 64-bit hashes, from 0 on as they are added."""
 
     def clear(self) -> None:
-        self.n, self.own, self.hash = 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.n, self.own = 0, np.zeros(0, np.uint64)
         self._slots(20)
 
-    def learn(self, n: int, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Take in words not met before, numbered from n on, with their subword ids."""
-
     def _slots(self, bits: int) -> None:
         """Empty slots, 2 ** bits of them: a word's number is in the slot that its hash begins with, or in one of the next."""
         self.bits, self.keys, self.numbers = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
@@ -669,6 +739,64 @@ class Lexicon:
             h, held = self.own[: self.n], 0
         self._put(h, held)
 
+
+class Remembered(Numbers):
+    """Subword ids of the first FLUSH words that a process cuts, by its own hashes of them, for all its tasks."""
+
+    def __init__(self, vocabulary: str) -> None:
+        self.subwords, self.parts = subwords(vocabulary), Parts()
+        self.clear()
+        self._slots(16)
+
+    def encode(self, words: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As Subwords.encode(), of different words and their hashes."""
+        k = self._find(h)
+        new, old = np.flatnonzero(k < 0), np.flatnonzero(k >= 0)
+        ids, sizes = self.subwords.encode([words[x] for x in new.tolist()])
+        flat, size = self.parts.of(k[old])
+        at, n = np.concatenate([old, new]), np.concatenate([size, sizes])
+        begin, whole = np.empty_like(n), np.empty_like(n)
+        begin[at], whole[at] = np.cumsum(n) - n, n
+        kept = new[: max(FLUSH - self.n, 0)]
+        if len(kept):
+            self._add(h[kept])
+            self.parts.add(ids[: int(sizes[: len(kept)].sum())], sizes[: len(kept)])
+        return np.concatenate([flat, ids])[_runs(begin, whole)], whole
+
+
+@functools.lru_cache(maxsize=2)
+def remembered(path: str) -> Remembered:
+    return Remembered(path)
+
+
+class Lexicon(Numbers):
+    """Local numbers of the words of texts, found by this process's own 64-bit hashes, and hashes that are alike everywhere: of their ids (``every``) or of their bytes. Words are known until clear(), which is called where FLUSH of them are held."""
+
+    def __init__(self, vocabulary: str, every: bool = False) -> None:
+        self.vocabulary, self.subwords, self.every = vocabulary, subwords(vocabulary), every
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.hash = np.zeros(0, np.uint64)
+
+    def learn(self, n: int, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Take in words not met before, numbered from n on, with their subword ids."""
+
+    def _number(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words, new ones where not met before, and where these occur first."""
+        x = self._find(h)
+        unknown = np.flatnonzero(x < 0)
+        if not len(unknown):
+            return x, unknown
+        fresh, first, which = np.unique(h[unknown], return_index=True, return_inverse=True)
+        order = np.argsort(first)  # numbers go by where words first occur, whatever the hashes
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        x[unknown] = self.n + place[which]
+        self._add(fresh[order])
+        return x, unknown[first[order]]
+
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         """Local numbers of each text's words, and of all in order."""
         each, new, n = [], [], self.n
@@ -678,31 +806,20 @@ class Lexicon:
                 words += lower_words(text)
                 ends.append(len(words))
             h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-            x = self._find(h)
-            unknown = np.flatnonzero(x < 0)
-            if len(unknown):
-                fresh, first, which = np.unique(h[unknown], return_index=True, return_inverse=True)
-                order = np.argsort(first)  # numbers go by where words first occur, whatever the hashes
-                place = np.empty_like(order)
-                place[order] = np.arange(len(order))
-                x[unknown] = self.n + place[which]
-                new += [words[k] for k in unknown[first[order]].tolist()]
-                self._add(fresh[order])
+            x, first = self._number(h)
+            new += [words[k] for k in first.tolist()]
             each += np.split(x, ends[:-1])
         if new:
-            h = word_hashes(new, len(new))
+            ids, size = remembered(self.vocabulary).encode(new, self.own[n : self.n])
+            h = word_keys(ids, size) if self.every else word_hashes(new, len(new))
             self.hash = _behind(self.hash, n, h)
-            self.learn(n, h, *self.subwords.encode(new))
+            self.learn(n, h, ids, size)
         return each, np.concatenate(each) if each else np.zeros(0, np.int64)
 
 
 class _Reader(Lexicon):
     """Words with their subword ids, and how often each is met."""
 
-    def __init__(self, vocabulary: str, every: bool) -> None:
-        self.every = every
-        super().__init__(vocabulary)
-
     def clear(self) -> None:
         super().clear()
         self.parts, self.times = Parts(), np.zeros(0, np.int64)
@@ -719,6 +836,10 @@ class _Reader(Lexicon):
         whole = np.append(0, np.cumsum(size))
         return np.split(flat, whole[np.cumsum([len(x) for x in each])[:-1]]) if each else []
 
+    def look_up(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """As read(), but what is met doesn't count."""
+        return super().read(texts)
+
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         each, w = super().read(texts)
         self.times[: self.n] += np.bincount(w, minlength=self.n)
@@ -730,7 +851,7 @@ class _Reader(Lexicon):
         if not n:
             return
         times, size, ids = self.times[:n], self.parts.size[:n], self.parts.flat[: self.parts.m]
-        yield WORD, self.hash[:n].view(np.int64), times
+        yield WORD, self.hash[:n].view(np.int64)[times > 0], times[times > 0]
         for kind, key, k in ((ID, ids, np.repeat(times, size)), (FIRST, ids[self.parts.begin[:n]], times))[: 1 if self.every else 2]:
             total = np.bincount(key, weights=k, minlength=N_IDS).astype(np.int64)
             yield kind, np.flatnonzero(total), total[total > 0]
@@ -787,13 +908,39 @@ class Scorer(Lexicon):
         return sizes, known, logs, score, attention, pa.ListArray.from_arrays(pa.array(lists), pa.array(self.hash[w[kinds]].view(np.int64))), pa.ListArray.from_arrays(pa.array(lists), parts)
 
 
+class SubwordScorer(Scorer):
+    """As Scorer, of texts that are given as their ids, as _read_rows() gives them: so texts are cut into subwords once, not twice."""
+
+    def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        each = []
+        for group in _groups(texts):
+            ids = np.frombuffer(b"".join(group), "<u2").astype(np.int64)
+            opens = self.subwords.opens[ids]
+            starts = np.flatnonzero(opens)
+            size = np.diff(np.append(starts, len(ids)))
+            h, n = word_keys(ids, size), self.n
+            x, first = self._number(h)
+            if len(first):
+                self.hash = _behind(self.hash, n, h[first])
+                self.learn(n, h[first], ids[_runs(starts[first], size[first])], size[first])
+            words = np.append(0, np.cumsum(opens))
+            each += np.split(x, words[np.cumsum([len(t) // 2 for t in group])[:-1]])
+        return each, np.concatenate(each) if each else np.zeros(0, np.int64)
+
+
 def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, every: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document. every: attention over all subwords."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("held_out", held_out())
     training = rows.filter("NOT held_out")
-    model, counts = fit(training, vocabulary, every)
+    if every:
+        seen = _seen(rows, vocabulary, every)
+        model, counts = _learned(seen, vocabulary, every)
+        whole = seen.filter(F.col("kind") == WHOLE).select(F.col("key").alias("doc_id"), F.col("segment").alias("text")).withColumn("held_out", held_out())
+    else:
+        model, counts = fit(training, vocabulary)
+        whole = rows.select("doc_id", "text", "held_out")
     totals = counts.agg(F.sum("n").alias("words"), F.count("*").alias("kinds")).first()
     ends = training.count()
     train_tokens, kinds = int(totals["words"] or 0) + ends, totals["kinds"] + (1 if ends else 0)
@@ -812,7 +959,8 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, every: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
-        scorer = Scorer(*sent.value, vocabulary)
+        keep_freed_memory()
+        scorer = (SubwordScorer if every else Scorer)(*sent.value, vocabulary)
         for batch in batches:
             sizes, known, logs, score, attention, rare, parts = scorer(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -820,7 +968,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, every: bool =
                 names=["doc_id", "held_out", "n_tokens", "known", "logs", "score", "attention_score", "rare", "parts"],
             )
 
-    scored = rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, attention_score double, rare array<long>, parts array<array<double>>")
+    scored = whole.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, attention_score double, rare array<long>, parts array<array<double>>")
     scored = materialize(scored).withColumn("_row", F.monotonically_increasing_id())
     other = scored.select("_row", F.explode(F.arrays_zip("rare", "parts")).alias("x")).select("_row", F.col("x.rare").alias("key"), F.col("x.parts").alias("parts"))
     times = F.size("parts")
