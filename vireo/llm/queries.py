@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, as __spark_entry__ registers them."""
 
-from vireo.llm import decontaminate, divergence, htmltext, licenses, linededup, lmscore, neardup, packing, quality, sharding, warc
+from vireo.llm import decontaminate, divergence, htmltext, licenses, linededup, lmscore, merkle, neardup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_fuzzy_lines": linededup.op9_fuzzy_lines,
     "op10_block_labeller": htmltext.op10_block_labeller,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_divergence": divergence.op13_divergence,
 }
 
@@ -20,5 +21,6 @@ ORACLE_SQL = {
     "op1_license_scan": licenses.oracle_sql(),
     "op6_warc_segments": warc.ORACLE,
     "op8_quality": quality.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }
