@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, as __spark_entry__ registers them."""
 
-from vireo.llm import decontaminate, divergence, htmltext, licenses, linededup, lmscore, merkle, neardup, packing, quality, sharding, warc
+from vireo.llm import decontaminate, divergence, htmltext, licenses, linededup, lmscore, merkle, neardup, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_fuzzy_lines": linededup.op9_fuzzy_lines,
     "op10_block_labeller": htmltext.op10_block_labeller,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_divergence": divergence.op13_divergence,
 }
 
