@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.functions import scalar
+from vireo.functions import pixels, scalar
 from vireo.functions.images import graph_metadata
 from vireo.operators import catalog, dupes, pool, pull, review
 from vireo.plans import adapters
@@ -87,30 +87,10 @@ SIDE = 16
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of each document as SIDE x SIDE pixels, in built-in expressions over arrays: no row is exploded, nothing is shuffled.
-
-    Sums are of whole numbers (a pixel's grey times three), so they are the same in any order.
-    """
-    n = SIDE * SIDE
-    px = read_table(spark, d, "documents").select("doc_id", adapters.text_pixels(F.col("text"), n).alias("px"))
-    px = px.withColumn("m", F.transform("px", lambda p: p["r"] + p["g"] + p["b"]))
-    at = lambda y, x: F.get("m", (F.greatest(F.lit(0), F.least(F.lit(SIDE - 1), y)) * SIDE + F.greatest(F.lit(0), F.least(F.lit(SIDE - 1), x))).cast("int"))
-    around = lambda y, x: at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x)
-    px = px.withColumn("lap", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: around(F.floor(k / SIDE), k % SIDE)))
-    total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + f(x))
-    mean = lambda c: F.call_function("div", total("px", lambda p: p[c]), F.lit(n).cast("long")).cast("int")
-    variance = lambda c: (n * total(c, lambda x: x * x) - total(c, lambda x: x) * total(c, lambda x: x)) / (9 * n * n)
-    spread = lambda p: F.greatest(p["r"], p["g"], p["b"]) - F.least(p["r"], p["g"], p["b"])
-    px = px.withColumn("gray", F.forall("px", lambda p: spread(p) < 10)).withColumn("bins", F.transform("m", lambda x: F.least(F.lit(63), F.floor(x / (3 * 255) * 64))))
-    share = lambda b: F.size(F.filter("bins", lambda x: x == b)) / F.lit(n + 1e-8)
-    entropy = F.aggregate(F.array_distinct("bins"), F.lit(0.0), lambda acc, b: acc - share(b) * F.log2(share(b) + 1e-8)) / 6
-    saturation = F.aggregate("px", F.lit(0.0), lambda acc, p: acc + spread(p) / (F.greatest(p["r"], p["g"], p["b"]) + 1e-8)) / n
-    colours = F.size(F.array_distinct(F.transform("px", lambda p: F.floor(p["r"] / 16) * 256 + F.floor(p["g"] / 16) * 16 + F.floor(p["b"] / 16))))
-    return px.select(
-        "doc_id", F.round(variance("lap"), 1).alias("sharpness"), F.round(total("m", lambda x: x) / (3 * n) / 255, 3).alias("brightness"), F.round(F.sqrt(variance("m")) / 128, 3).alias("contrast"),
-        F.when(F.col("gray"), 0.0).otherwise(F.round(saturation, 3)).alias("saturation"), F.round(entropy, 3).alias("entropy"), F.col("gray").cast("int").alias("is_grayscale"),
-        mean("r").alias("mean_r"), mean("g").alias("mean_g"), mean("b").alias("mean_b"), colours.alias("unique_colors"),
-    )
+    """Metrics of each document as an image of SIDE x SIDE pixels."""
+    packed = F.transform(adapters.text_pixels(F.col("text"), SIDE * SIDE), lambda p: (F.shiftleft(p["r"], 16) + F.shiftleft(p["g"], 8) + p["b"]).cast("int"))
+    docs = read_table(spark, d, "documents").select("doc_id", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), packed.alias("px"))
+    return pixels.metrics(docs, "doc_id")
 
 
 def _graphs(spark: SparkSession, d: str) -> DataFrame:
@@ -236,6 +216,7 @@ QUERIES = {
     "confidence_map": lambda s, d: s.range(0, 41).select(F.col("id").cast("int").alias("threshold"), scalar.confidence_for_threshold(F.col("id")).alias("confidence")),
     "text_dhash": lambda s, d: adapters.text_hashes(s, d),
     "vec_phash": lambda s, d: adapters.vector_hashes(s, d),
+    "text_phash": lambda s, d: read_table(s, d, "documents").select(F.col("doc_id").alias("key"), pixels.phash_grid(adapters.text_grid(F.col("text"), pixels.GRID * pixels.GRID)).alias("ph")),
     "pair_edges": _edges,
     "families": _members,
     "family_stats": _family_stats,
@@ -300,6 +281,14 @@ ORACLE_SQL = {
     "vec_phash": """WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), m AS (SELECT vec_id, e, list_sort(e) AS s FROM v),
 b AS (SELECT vec_id, list_sum([CASE WHEN e[k + 1] > (s[32] + s[33]) / 2 THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END for k in range(0, 64)])::HUGEINT AS b FROM m)
 SELECT vec_id, CASE WHEN b >= 9223372036854775808::HUGEINT THEN (b - 18446744073709551616::HUGEINT)::BIGINT ELSE b::BIGINT END AS ph FROM b""",
+    # whole numbers below 2^53, so that sums of doubles are exact
+    "text_phash": f"""WITH c AS (SELECT {pixels.cosines()}::DOUBLE[][] AS cos),
+g AS (SELECT doc_id, list({_sql(_HELD, "p", adapters.GREY)} ORDER BY i)::DOUBLE[] AS g FROM (
+  SELECT doc_id, i, {_sql(_PART, "i", 1024)} AS p FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents), range(0, 1024) r(i)) GROUP BY doc_id),
+l AS (SELECT doc_id, cos, [[list_inner_product(g[y * 32 + 1:y * 32 + 32], cos[v + 1]) for y in range(0, 32)] for v in range(0, 8)] AS l FROM g, c),
+f AS (SELECT doc_id, flatten([[list_inner_product(l[v + 1], cos[u + 1]) for v in range(0, 8)] for u in range(0, 8)]) AS f FROM l), o AS (SELECT *, list_sort(f) AS o FROM f),
+b AS (SELECT doc_id, list_sum([CASE WHEN 2 * f[k + 1] > o[32] + o[33] THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END for k in range(0, 64)])::HUGEINT AS b FROM o)
+SELECT doc_id AS key, CASE WHEN b >= 9223372036854775808::HUGEINT THEN (b - 18446744073709551616::HUGEINT)::BIGINT ELSE b::BIGINT END AS ph FROM b""",
     "pair_edges": f"WITH {_EDGES} SELECT a, b, d FROM edges",
     "families": f"WITH RECURSIVE {_FAMILIES} SELECT family_id, key, min_dist FROM fam",
     "family_stats": f"WITH RECURSIVE {_FAMILIES}, s AS (SELECT family_id, count(*) AS size FROM fam GROUP BY family_id) SELECT count(*) AS families, coalesce(sum(size), 0)::BIGINT AS images_in_families, coalesce(max(size), 0) AS max_family_size, (SELECT count(*) FROM documents) - coalesce(sum(size), 0)::BIGINT AS isolated FROM s",
