@@ -72,9 +72,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def share(count: Column, total: Column, v: Column) -> Column:
-    """The share of a term in billionths: 1 + floor(1e9 (count + 2) / (total + 2 V)), exact in longs; null where V is 0."""
+    """The share of a term in billionths: 1 + floor(1e9 (count + 2) / (total + 2 V)), exact in longs. Where V is 0 there is nothing to share, and no use is made of it."""
+    one = F.lit(1).cast("long")
     top = (count + F.lit(SMOOTHING).cast("long")) * F.lit(SCALE).cast("long")
-    return F.call_function("div", top, total + v * F.lit(SMOOTHING).cast("long")) + F.lit(1).cast("long")
+    return F.call_function("div", top, F.greatest(total + v * F.lit(SMOOTHING).cast("long"), one)) + one
 
 
 def gap(p: Column, q: Column) -> Column:

@@ -5,7 +5,7 @@ words that toxic training texts use in many different surroundings, and others h
 so that copies of one text don't make its rare words into terms.
 
 **Search.** All terms are one trie; the automaton that accepts what is within one edit of a term (two, for terms of nine letters
-or more) runs over word and trie at once. Its states are sets of (trie node, edits), made into a deterministic automaton as words
+or more) runs over word and trie at once; two neighbouring letters that change places are one edit. Its states are sets of (trie node, edits), made into a deterministic automaton as words
 need them: a word costs a table look-up for each letter until no term is left, and most words end at their third letter. Look-alike
 signs (1 for i, @ for a), stretched letters and signs between letters are undone first. An inexact match counts for less, and not at
 all where clean training texts use that very word.
@@ -76,10 +76,11 @@ def edits_allowed(term: str) -> int:
 
 
 class FuzzyTrie:
-    """Terms as a trie, and the automaton of what is within their edits, made as words ask for it.
+    """Terms as a trie, and the automaton of what is within their edits (two neighbouring letters that change places are one edit too),
+    made as words ask for it.
 
-    States of the automaton are sets of (node, edits so far), without those that another one of the set implies. It holds MAX_STATES
-    at most, and starts anew beyond.
+    States of the automaton are sets of (node, letter, edits so far), without those that another one of the set implies. With a letter,
+    that one must come next: the second of two that have changed places. It holds MAX_STATES at most, and starts anew beyond.
     """
 
     MAX_STATES = 200_000
@@ -104,35 +105,42 @@ class FuzzyTrie:
 
     def _clear(self) -> None:
         self._moves: list[dict[str, int]] = []
-        self._sets: list[frozenset] = []
+        self._sets: list[list[tuple[int, str, int]]] = []
         self._ids: dict[frozenset, int] = {}
-        self._start = self._state({(0, 0)})
+        self._start = self._state({(0, "", 0)})
 
-    def _state(self, found: set[tuple[int, int]]) -> int:
-        """The number of a set of (node, edits), closed under leaving letters of terms out; -1 for the empty set."""
-        least: dict[int, int] = {}
+    def _state(self, found: set[tuple[int, str, int]]) -> int:
+        """The number of a set of (node, letter, edits), closed under leaving letters of terms out; -1 for the empty set."""
+        least: dict[tuple[int, str], int] = {}
         todo = list(found)
         while todo:
-            node, e = todo.pop()
-            if e > self._most[node] or least.get(node, 99) <= e:
+            node, due, e = todo.pop()
+            if e > self._most[node] or least.get((node, due), 99) <= e:
                 continue
-            least[node] = e
-            todo += [(below, e + 1) for below in self._next[node].values()]
+            least[node, due] = e
+            if not due:
+                todo += [(below, "", e + 1) for below in self._next[node].values()]
         if not least:
             return -1
         key = frozenset(least.items())
         if key not in self._ids:
             self._ids[key] = len(self._sets)
-            self._sets.append(key)
+            self._sets.append([(node, due, e) for (node, due), e in least.items()])
             self._moves.append({})
         return self._ids[key]
 
     def _move(self, state: int, letter: str) -> int:
         found = set()
-        for node, e in self._sets[state]:
-            found.add((node, e + 1))  # the word has a letter more
+        for node, due, e in self._sets[state]:
+            if due:
+                if due == letter:
+                    found.add((node, "", e))
+                continue
+            found.add((node, "", e + 1))  # the word has a letter more
             for a, below in self._next[node].items():
-                found.add((below, e + (a != letter)))
+                found.add((below, "", e + (a != letter)))
+                if a != letter and letter in self._next[below]:
+                    found.add((self._next[below][letter], a, e + 1))
         to = self._state(found)
         self._moves[state][letter] = to
         return to
@@ -149,7 +157,7 @@ class FuzzyTrie:
             if to < 0:
                 return None
             state = to
-        ends = [(e, self._end[node]) for node, e in self._sets[state] if self._end[node] >= 0 and e <= edits_allowed(self.terms[self._end[node]])]
+        ends = [(e, self._end[node]) for node, due, e in self._sets[state] if not due and self._end[node] >= 0 and e <= edits_allowed(self.terms[self._end[node]])]
         return min(ends)[::-1] if ends else None
 
 
@@ -163,7 +171,7 @@ class Model:
     terms: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_TERMS, 1.0))
     crowded: dict[str, int] = field(default_factory=dict)
     known: frozenset = frozenset()
-    weights: tuple[float, ...] = (2.0, 0.5, 0.5, 1.0, 1.5, 0.5, -3.0)
+    weights: tuple[float, ...] = (2.0, 0.5, 0.5, 1.0, 2.0, 0.8, -3.0)
 
 
 class Scorer:
