@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.functions import pixels, scalar
-from vireo.functions.images import graph_metadata
+from vireo.functions import graphs, pixels, scalar
 from vireo.operators import catalog, dupes, pool, pull, review
 from vireo.plans import adapters
 from vireo.plans.tables import materialize, read_table
@@ -108,7 +107,7 @@ def _graphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return _graphs(spark, d).select("conv_id", graph_metadata("graph").alias("m")).select("conv_id", "m.prompt", "m.model", "m.seed")
+    return _graphs(spark, d).select("conv_id", graphs.graph_metadata(F.col("graph")).alias("m")).select("conv_id", "m.prompt", "m.model", "m.seed")
 
 
 def _prompt_longest(spark: SparkSession, d: str) -> DataFrame:
