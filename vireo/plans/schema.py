@@ -14,6 +14,9 @@ IMAGES = _of(
     rating=_I, flag=_I, rejected=_I, tags=_S, notes=_S, indexed_at=_D, sharpness=_D, brightness=_D, contrast=_D, saturation=_D, entropy=_D, quality_score=_D,
     is_grayscale=_I, mean_color=_S, unique_colors=_I, file_corrupt=_I, analyzed_at=_D,
 )
+#: Columns of IMAGES that are measured, by id.
+IMAGES_METRICS = T.StructType([f for f in IMAGES.fields if f.name in ("id", "sharpness", "brightness", "contrast", "saturation", "entropy", "quality_score", "is_grayscale", "mean_color", "unique_colors", "file_corrupt", "analyzed_at")])
+REVIEW_LOG = _of(id=_L, field=_S, value=_S, at=_D)
 SESSION_STATE = _of(key=_S, value=_S)
 HASHES = _of(rel=_S, ph=_L, dh=_L, mtime=_D, size=_L, v=_I)
 EDGES = _of(a=_L, b=_L, d=_I)
