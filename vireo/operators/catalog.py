@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from vireo.functions.scalar import contains_like
@@ -62,6 +62,19 @@ class CatalogQuery:
     def total(self, images: DataFrame) -> DataFrame:
         return self.rows(images).agg(F.count("*").alias("total"))
 
+    def answer(self, images: DataFrame) -> tuple[list[Row], int]:
+        """The page's rows and the number of all that match, of one scan: rows are counted as they pass to the sort."""
+        seen = Observation()
+        counted = self.rows(images).observe(seen, F.count(F.lit(1)).alias("total"))
+        page = counted.orderBy(*self.order()).offset(max(0, self.offset)).limit(max(0, min(self.limit, 200)))
+        return page.collect(), seen.get["total"]
+
+    def answer_rows(self, images: DataFrame) -> DataFrame:
+        """answer() as rows: place (from 0), row (JSON, nulls included) and total; a row with null place and row where the page is empty."""
+        rows, total = self.answer(images.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_json"), "*"))
+        made = [(k, r["_json"], total) for k, r in enumerate(rows)] or [(None, None, total)]
+        return images.sparkSession.createDataFrame(made, "place int, row string, total long")
+
 
 def vault_stats(images: DataFrame) -> DataFrame:
     """All counts in one pass."""

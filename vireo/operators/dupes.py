@@ -13,6 +13,7 @@ from vireo.plans.tables import materialize
 
 MAX_DIST = 40
 BANDS = 4
+CELL = 20_000  # hashes of one band value that a join key has
 BRUTE_ROWS = 20_000  # distinct hashes up to which all pairs are compared on a broadcast side (counted first)
 
 
@@ -31,24 +32,56 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def _banded(reps: DataFrame, h: str, threshold: int) -> DataFrame:
-    """Pairs of group numbers within threshold bits of h, by multi-index hashing."""
+def _banded(x: DataFrame, y: DataFrame, h: str, threshold: int) -> DataFrame:
+    """g (of x) and g2 (of y) of hashes within threshold bits of h, by multi-index hashing.
+
+    A band's value that many hashes of x share (blank images) is dealt in shares of CELL, and what probes it meets each of them: the
+    values and their shares are a row for each CELL hashes of x at most.
+    """
     width = 64 // BANDS
     low = F.lit((1 << width) - 1)
     bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(h, k * width).bitwiseAND(low).alias("v")) for k in range(BANDS)))
-    one = reps.select("g", h, F.explode(bands).alias("b")).select("g", h, "b.k", "b.v")
-    probes = one.withColumn("m", F.explode(F.array(*(F.lit(m).cast("long") for m in _masks(width, threshold // BANDS)))))
+    banded = lambda df: df.select("g", h, F.explode(bands).alias("b")).select("g", h, "b.k", "b.v")
+    one = banded(x)
+    hot = materialize(one.groupBy("k", "v").agg(F.count("*").alias("n")).filter(F.col("n") > CELL).select("k", "v", F.ceil(F.col("n") / CELL).cast("int").alias("shares")))
+    dealt = one.join(F.broadcast(hot), ["k", "v"], "left").withColumn("s", F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("g"), F.col("shares")).cast("int"))).drop("shares")
+    probes = banded(y).withColumn("m", F.explode(F.array(*(F.lit(m).cast("long") for m in _masks(width, threshold // BANDS)))))
     probes = probes.select(F.col("g").alias("g2"), F.col(h).alias("h2"), "k", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
-    return one.join(probes, ["k", "v"]).filter((F.col("g") < F.col("g2")) & (hamming(F.col(h), F.col("h2")) <= threshold)).select("g", "g2").distinct()
+    probes = probes.join(F.broadcast(hot), ["k", "v"], "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares") - 1, F.lit(0))))).drop("shares")
+    return dealt.join(probes, ["k", "v", "s"]).filter((F.col("g") != F.col("g2")) & (hamming(F.col(h), F.col("h2")) <= threshold)).select("g", "g2").distinct()
+
+
+def _tiled(x: DataFrame, y: DataFrame, columns: list[str], threshold: int, tiles: int) -> DataFrame:
+    """Pairs of group numbers within threshold bits, by equal joins on pairs of blocks: a task holds one block of each side. Their number is the product of both sides'."""
+    block = lambda df: df.withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tiles)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    x, y = block(x).withColumn("u", every).alias("x"), block(y).withColumn("u", every).alias("y")
+    meet = (F.col("x.t") == F.col("y.u")) & (F.col("x.u") == F.col("y.t")) & (F.col("x.g") != F.col("y.g"))
+    return x.hint("shuffle_hash").join(y, meet & (_distance(columns) <= threshold)).select(F.col("x.g").alias("g"), F.col("y.g").alias("g2"))
+
+
+def _met(x: DataFrame, y: DataFrame, threshold: int, columns: list[str], strategy: str, tiles: int) -> DataFrame:
+    """a < b and d of groups of x and of y (each g and columns; a group may be of both) within threshold."""
+    if strategy == "broadcast":
+        x, y = x.alias("x"), F.broadcast(y).alias("y")  # BRUTE_ROWS at most, unless a caller asks for it
+        pairs = x.join(y, (F.col("x.g") != F.col("y.g")) & (_distance(columns) <= threshold)).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"), _distance(columns).alias("d"))
+        return pairs.distinct()
+    if strategy == "tiled":
+        pairs = _tiled(x, y, columns, threshold, tiles)
+    else:
+        pairs = None
+        for h in columns:
+            found = _banded(x, y, h, threshold)
+            pairs = found if pairs is None else pairs.unionAll(found)
+    pairs = pairs.select(F.least("g", "g2").alias("g"), F.greatest("g", "g2").alias("g2")).distinct()
+    both = x.unionByName(y).dropDuplicates(["g"])
+    x, y = both.alias("x"), both.alias("y")
+    found = x.join(pairs.alias("p"), F.col("x.g") == F.col("p.g")).join(y, F.col("y.g") == F.col("p.g2")).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), _distance(columns).alias("d"))
+    return found.filter(F.col("d") <= threshold)
 
 
-def _tiled(reps: DataFrame, columns: list[str], threshold: int, tiles: int) -> DataFrame:
-    """All pairs of group numbers within threshold bits, by equal joins on pairs of blocks: a task holds one block of each side."""
-    own = reps.withColumn("t", F.pmod(F.xxhash64("g"), F.lit(tiles)).cast("int"))
-    x = own.withColumn("u", F.explode(F.sequence(F.col("t"), F.lit(tiles - 1)))).alias("x")
-    y = own.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("t")))).alias("y")
-    meet = (F.col("x.t") == F.col("y.u")) & (F.col("x.u") == F.col("y.t")) & ((F.col("x.t") != F.col("y.t")) | (F.col("x.g") < F.col("y.g")))
-    return x.hint("shuffle_hash").join(y, meet & (_distance(columns) <= threshold)).select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b"), _distance(columns).alias("d"))
+def _tiles(n: int) -> int:
+    return max(1, -(-n // BRUTE_ROWS))
 
 
 def pair_edges(hashes: DataFrame, threshold: int, columns: list[str], strategy: str | None = None) -> DataFrame:
@@ -56,26 +89,68 @@ def pair_edges(hashes: DataFrame, threshold: int, columns: list[str], strategy:
 
     hashes (read twice: best a written table) has key and the columns. Keys of equal hashes are one group, named by its least
     key. Groups are compared with each other, and each further key of a group is linked with its group's name, at distance 0:
-    so a group of n copies costs n - 1 links, not n squared.
+    so a group of n copies costs n - 1 links, not n squared. Beyond BRUTE_ROWS distinct hashes, thresholds above 15 cost the square of
+    their number, dealt to many tasks; up to 15 they cost 697 probes a hash and band.
     """
     groups = materialize(hashes.groupBy(*columns).agg(F.min("key").alias("g")))
     distinct = groups.count()
     strategy = strategy or choose_pair_strategy(distinct, threshold)
-    if strategy == "banded":
-        pairs = None
-        for h in columns:
-            found = _banded(groups, h, threshold)
-            pairs = found if pairs is None else pairs.unionAll(found)
-        pairs = pairs.distinct()
-        x, y = groups.alias("x"), groups.alias("y")
-        met = x.join(pairs.alias("p"), F.col("x.g") == F.col("p.g")).join(y, F.col("y.g") == F.col("p.g2")).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), _distance(columns).alias("d"))
-    elif strategy == "tiled":
-        met = _tiled(groups, columns, threshold, max(1, -(-distinct // BRUTE_ROWS)))
-    else:
-        x, y = groups.alias("x"), F.broadcast(groups).alias("y")  # BRUTE_ROWS at most, unless a caller asks for it
-        met = x.join(y, (F.col("x.g") < F.col("y.g")) & (_distance(columns) <= threshold)).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), _distance(columns).alias("d"))
+    met = _halved(groups, threshold, columns) if strategy == "broadcast" else _met(groups, groups, threshold, columns, strategy, _tiles(distinct))
     copies = hashes.select("key", *columns).join(groups, columns).filter("key <> g").select(F.col("g").alias("a"), F.col("key").alias("b"), F.lit(0).alias("d"))
-    return met.filter(F.col("d") <= threshold).unionAll(copies)
+    return met.unionAll(copies)
+
+
+def _halved(groups: DataFrame, threshold: int, columns: list[str]) -> DataFrame:
+    """Pairs of few groups, each looked at once."""
+    x, y = groups.alias("x"), F.broadcast(groups).alias("y")
+    return x.join(y, (F.col("x.g") < F.col("y.g")) & (_distance(columns) <= threshold)).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), _distance(columns).alias("d"))
+
+
+def new_edges(fresh: DataFrame, known: DataFrame, threshold: int, columns: list[str], strategy: str | None = None) -> DataFrame:
+    """Links (a < b, d) that fresh keys add to those of known: with pair_edges(known) they give the families of pair_edges() over both.
+
+    fresh and known: key and the columns, without keys in common. Hashes that known has already are linked with one of its keys, and
+    compared no further; only new hashes are compared, with all others. So the cost is that of the new ones.
+    """
+    held = materialize(known.groupBy(*columns).agg(F.min("key").alias("g")))
+    groups = materialize(fresh.groupBy(*columns).agg(F.min("key").alias("g")).join(held.withColumnRenamed("g", "old"), columns, "left"))
+    new = groups.filter("old IS NULL").drop("old")
+    n = new.count()
+    every = held.select("g", *columns).unionByName(new.select("g", *columns))
+    strategy = strategy or choose_pair_strategy(n, threshold)
+    met = _met(every, new.select("g", *columns), threshold, columns, strategy, _tiles(n) if strategy == "tiled" else 1)
+    name = F.coalesce("old", "g")
+    copies = fresh.select("key", *columns).join(groups.select(*columns, name.alias("g")), columns).filter("key <> g")
+    return met.unionAll(copies.select(F.least("key", "g").alias("a"), F.greatest("key", "g").alias("b"), F.lit(0).alias("d")))
+
+
+def merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node and root of all components after links (a, b) have come to those of roots (node, root: the least node of each).
+
+    Links are put between roots, and only these are joined into components: known nodes are read once, and not searched again.
+    """
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    between = materialize(between.filter("a <> b").distinct())
+    moved = materialize(connected_components(between).select(F.col("node").alias("_old"), F.col("root").alias("_new")))
+    kept = roots.join(moved, roots["root"] == moved["_old"], "left").select("node", F.coalesce("_new", "root").alias("root"))
+    single = moved.select(F.col("_old").alias("node"), F.col("_new").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return kept.unionByName(single)
+
+
+def members_of(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """family_id, key and min_dist, as families() has them, from roots and all edges."""
+    ends = edges.select(F.col("a").alias("key"), "d").unionAll(edges.select(F.col("b").alias("key"), "d")).groupBy("key").agg(F.min("d").alias("min_dist"))
+    return roots.select(F.col("node").alias("key"), F.col("root").alias("family_id")).join(ends, "key").select("family_id", "key", "min_dist")
+
+
+def perceptual_matches(fresh: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """key and matches: of each fresh key whose hashes another key has too (of known, or of fresh), the sorted list of those keys.
+
+    A list is of one fresh key's copies; where copies are many, take groups by perceptual_exact() instead.
+    """
+    every = fresh.select("key", *columns).unionByName(known.select("key", *columns)).withColumnRenamed("key", "other")
+    return fresh.join(every, columns).filter("key <> other").groupBy("key").agg(F.array_sort(F.collect_set("other")).alias("matches"))
 
 
 def perceptual_exact(hashes: DataFrame, columns: list[str]) -> DataFrame:

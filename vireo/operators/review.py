@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from vireo.functions.scalar import clamp, stem, suffix
+from vireo.plans.tables import materialize, scratch_dir
 
 
 def fold(log: DataFrame, key: str, value: str, *order: str) -> DataFrame:
@@ -108,20 +111,61 @@ def synced_catalog(images: DataFrame, done: DataFrame) -> DataFrame:
     return joined.select(*(F.when(moved, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in images.columns))
 
 
-def execute(plan: DataFrame) -> DataFrame:
-    """Carry a plan (origin, dest; dest null means delete) out on the driver, file by file, and return it with ok and error."""
-    spark, out = plan.sparkSession, []
-    for row in plan.toLocalIterator():
-        error = None
-        try:
-            if row["dest"] is None:
-                os.unlink(row["origin"])
-            else:
-                if os.path.exists(row["dest"]):
-                    raise FileExistsError(row["dest"])
-                os.makedirs(os.path.dirname(row["dest"]), exist_ok=True)
-                shutil.move(row["origin"], row["dest"])
-        except OSError as e:
-            error = str(e)
-        out.append((*row, error is None, error))
-    return spark.createDataFrame(out, StructType([*plan.schema.fields, StructField("ok", BooleanType()), StructField("error", StringType())]))
+JOURNAL_ROWS = 1_000  # outcomes that are written down at a time
+
+
+def execute(plan: DataFrame, journal: str | None = None) -> DataFrame:
+    """Carry a plan (origin, dest, and others; dest null means delete) out on the driver, file by file, and return it with ok and error.
+
+    Outcomes are written down in portions below journal (by default a new scratch folder), and never held as a whole. A run that died
+    is taken up by another one with the same plan and journal: what is written down isn't done again, and of what was done but not
+    written down the files tell, as a dest that exists where the origin is gone has been moved. A dest that was there before is an error.
+    """
+    spark = plan.sparkSession
+    journal = journal or scratch_dir(spark)
+    schema = StructType([StructField("origin", StringType()), StructField("ok", BooleanType()), StructField("error", StringType())])
+    os.makedirs(journal, exist_ok=True)
+    plan = materialize(plan)
+    written = spark.read.schema(schema).json(journal)
+    todo = plan.join(written.select("origin"), "origin", "left_anti").select("origin", "dest")
+    portion: list[dict] = []
+    for row in todo.toLocalIterator():
+        error = _carried_out(row["origin"], row["dest"])
+        portion.append({"origin": row["origin"], "ok": error is None, "error": error})
+        if len(portion) >= JOURNAL_ROWS:
+            _write_down(journal, portion)
+            portion = []
+    if portion:
+        _write_down(journal, portion)
+    return plan.join(spark.read.schema(schema).json(journal).dropDuplicates(["origin"]), "origin", "left").select(*plan.columns, "ok", "error")
+
+
+def _carried_out(origin: str, dest: str | None) -> str | None:
+    """Move or delete one file; what went wrong, if anything did."""
+    try:
+        if dest is None:
+            try:
+                os.unlink(origin)
+            except FileNotFoundError:
+                pass  # deleted by a run before
+        elif not os.path.exists(origin) and os.path.exists(dest):
+            pass  # moved by a run before
+        elif os.path.exists(dest):
+            raise FileExistsError(dest)
+        else:
+            os.makedirs(os.path.dirname(dest), exist_ok=True)
+            shutil.move(origin, dest)
+    except OSError as e:
+        return str(e)
+    return None
+
+
+def _write_down(journal: str, portion: list[dict]) -> None:
+    """A portion of outcomes as one file, put in place whole."""
+    name = uuid.uuid4().hex
+    part = os.path.join(journal, f".{name}")
+    with open(part, "w") as f:
+        f.writelines(json.dumps(row) + "\n" for row in portion)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, os.path.join(journal, f"{name}.json"))
