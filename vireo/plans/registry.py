@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.functions import graphs, pixels, scalar
-from vireo.operators import catalog, dupes, pool, pull, review
+from vireo.functions import graphs, pixels, scalar, tables
+from vireo.operators import catalog, dupes, pool, pull, review, vault
+from vireo.operators.components import connected_components
 from vireo.plans import adapters
-from vireo.plans.tables import materialize, read_table
+from vireo.plans.store import Table
+from vireo.plans.tables import materialize, read_table, scratch_dir
 from vireo.sources.files import scannable
 
 THRESHOLD = 12
@@ -192,6 +194,57 @@ def _pruned(spark: SparkSession, d: str) -> DataFrame:
     return dupes.pruned_hashes(dupes.live_hashes(hashes, docs.filter("rel % 3 <> 0")), docs.filter("rel % 5 = 0"))
 
 
+def _asked(spark: SparkSession, d: str, n: int, less: int) -> DataFrame:
+    """A whole number from -less on for each document."""
+    return read_table(spark, d, "documents").select("doc_id", (F.col("n_chars") % n - less).cast("int").alias("asked"))
+
+
+def _page_with_total(spark: SparkSession, d: str) -> DataFrame:
+    """The listing's page and the number of all rows that match, of one scan."""
+    return LISTING.answer_rows(adapters.images(spark, d)).select("place", F.get_json_object("row", "$.filename").alias("filename"), "total")
+
+
+def _families_in_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Families over two thirds of the documents, and then over what the rest adds to their edges and components."""
+    hashes = materialize(adapters.text_hashes(spark, d))
+    known, fresh = hashes.filter("key % 3 <> 0"), hashes.filter("key % 3 = 0")
+    edges = materialize(dupes.pair_edges(known, THRESHOLD, ["dh"]))
+    links = materialize(dupes.new_edges(fresh, known, THRESHOLD, ["dh"]))
+    roots = dupes.merged_roots(materialize(connected_components(edges)), links)
+    return dupes.members_of(roots, edges.unionByName(links))
+
+
+def _families_function(spark: SparkSession, d: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql(f"SELECT * FROM families(TABLE({{edges}}), {THRESHOLD})", edges=materialize(_edges(spark, d)))
+
+
+def _compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings as an append-only log of three writes, of which the first two are compacted: base and log give the last rating of each image."""
+    log = read_table(spark, d, "events").select(F.col("user_id").alias("id"), review.rating_of(F.col("value")).alias("rating"), "ts", "event_id")
+    table = Table(spark, scratch_dir(spark), log.schema)
+    fold = lambda rows: rows.groupBy("id").agg(F.max_by(F.struct("rating", "ts", "event_id"), F.struct("ts", "event_id")).alias("e")).select("id", "e.*")
+    for part in (0, 1):
+        table.append(log.filter(F.col("event_id") % 3 == part))
+    table.compact(fold)
+    table.append(log.filter("event_id % 3 = 2"))
+    return fold(table.read()).select("id", "rating")
+
+
+def _path_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """An image by its path from a table laid out for that: ranged by path, with Bloom filters."""
+    rows = adapters.images(spark, d).select(*PAGE_COLUMNS, "filepath")
+    table = Table(spark, scratch_dir(spark), rows.schema, vault.by_path_layout, vault.LOOKUP_OPTIONS)
+    table.replace(rows)
+    return catalog.by_path(table.read(), "/vault/src2/en/img_2.jpeg").select(*PAGE_COLUMNS)
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """Of each new document the others with its hash."""
+    hashes = adapters.text_hashes(spark, d)
+    return dupes.perceptual_matches(hashes.filter("key % 4 = 0"), hashes.filter("key % 4 <> 0"), ["dh"]).select("key", F.array_join(F.transform("matches", lambda k: k.cast("string")), ",").alias("matches"))
+
+
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
     """What a plan of which some moves failed adds to the manifest."""
     plan = _pull_plan(spark, d).withColumn("sha256", F.sha2("origin", 256)).withColumn("size", F.length("origin").cast("long")).withColumn("ok", ~F.col("origin").endswith("7"))
@@ -211,8 +264,8 @@ QUERIES = {
     "vault_stats": lambda s, d: catalog.vault_stats(adapters.images(s, d)),
     "distinct_models": lambda s, d: catalog.distinct_models(adapters.images(s, d)),
     "distinct_directories": lambda s, d: catalog.distinct_directories(adapters.images(s, d)),
-    "threshold_map": lambda s, d: s.range(-10, 111).select(F.col("id").cast("int").alias("confidence"), scalar.threshold_for_confidence(F.col("id")).alias("threshold")),
-    "confidence_map": lambda s, d: s.range(0, 41).select(F.col("id").cast("int").alias("threshold"), scalar.confidence_for_threshold(F.col("id")).alias("confidence")),
+    "threshold_map": lambda s, d: _asked(s, d, 121, 10).select("doc_id", F.col("asked").alias("confidence"), scalar.threshold_for_confidence(F.col("asked")).alias("threshold")),
+    "confidence_map": lambda s, d: _asked(s, d, 41, 0).select("doc_id", F.col("asked").alias("threshold"), scalar.confidence_for_threshold(F.col("asked")).alias("confidence")),
     "text_dhash": lambda s, d: adapters.text_hashes(s, d),
     "vec_phash": lambda s, d: adapters.vector_hashes(s, d),
     "text_phash": lambda s, d: read_table(s, d, "documents").select(F.col("doc_id").alias("key"), pixels.phash_grid(adapters.text_grid(F.col("text"), pixels.GRID * pixels.GRID)).alias("ph")),
@@ -245,6 +298,12 @@ QUERIES = {
     "pruned_hashes": _pruned,
     "manifest_rows": _manifest,
     "pasted_paths": lambda s, d: adapters.images(s, d).select("id", scalar.pasted_path(F.concat(F.lit("  '"), "filepath", F.lit("\" "))).alias("path"), scalar.curated_dir(F.concat("directory", F.lit("/"))).alias("curated")),
+    "page_with_total": _page_with_total,
+    "families_in_steps": _families_in_steps,
+    "families_function": _families_function,
+    "review_compacted": _compacted,
+    "path_lookup": _path_lookup,
+    "perceptual_matches": _matches,
     "keys": lambda s, d: adapters.images(s, d).select("id", scalar.thumbnail_key(F.col("filepath")).alias("thumb_key"), scalar.vault_key(F.col("directory")).alias("vault_key")),
 }
 
@@ -274,8 +333,8 @@ ORACLE_SQL = {
     "vault_stats": f"WITH {_IMAGES} SELECT count(*) AS total, count(*) FILTER (rating > 0) AS rated, count(*) FILTER (rejected = 1) AS rejected, count(*) FILTER (flag = 1) AS flagged, count(*) FILTER (rating = 0 AND rejected = 0) AS unrated FROM images",
     "distinct_models": f"WITH {_IMAGES} SELECT DISTINCT model FROM images WHERE model <> ''",
     "distinct_directories": f"WITH {_IMAGES} SELECT DISTINCT directory FROM images",
-    "threshold_map": "SELECT i::INT AS confidence, round((100 - greatest(0, least(100, i))) * 0.4::DOUBLE)::INT AS threshold FROM range(-10, 111) t(i)",
-    "confidence_map": "SELECT i::INT AS threshold, trunc(100 - i / 0.4::DOUBLE)::INT AS confidence FROM range(0, 41) t(i)",
+    "threshold_map": "SELECT doc_id, i::INT AS confidence, round((100 - greatest(0, least(100, i))) * 0.4::DOUBLE)::INT AS threshold FROM (SELECT doc_id, n_chars % 121 - 10 AS i FROM documents)",
+    "confidence_map": "SELECT doc_id, i::INT AS threshold, trunc(100 - i / 0.4::DOUBLE)::INT AS confidence FROM (SELECT doc_id, n_chars % 41 AS i FROM documents)",
     "text_dhash": f"WITH {_HASHES} SELECT key, dh FROM hashes",
     "vec_phash": """WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), m AS (SELECT vec_id, e, list_sort(e) AS s FROM v),
 b AS (SELECT vec_id, list_sum([CASE WHEN e[k + 1] > (s[32] + s[33]) / 2 THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END for k in range(0, 64)])::HUGEINT AS b FROM m)
@@ -338,6 +397,13 @@ SELECT id, CASE WHEN ok THEN '/new/' || filename ELSE directory || '/' || filena
     "pruned_hashes": f"WITH {_HASHES} SELECT key AS rel, dh FROM hashes WHERE key % 3 <> 0 AND key % 5 <> 0",
     "pasted_paths": f"WITH {_IMAGES} SELECT id, directory || '/' || filename AS path, directory || '_curated' AS curated FROM images",
 }
+ORACLE_SQL["families_in_steps"] = ORACLE_SQL["families_function"] = ORACLE_SQL["families"]
+ORACLE_SQL["review_compacted"] = ORACLE_SQL["review_fold"]
+ORACLE_SQL["path_lookup"] = ORACLE_SQL["image_by_path"]
+ORACLE_SQL["page_with_total"] = f"""WITH p AS ({ORACLE_SQL["catalog_page"]}), t AS ({ORACLE_SQL["catalog_total"]})
+SELECT (row_number() OVER (ORDER BY quality_score DESC NULLS LAST, id) - 1)::INT AS place, filename, total FROM t LEFT JOIN p ON true"""
+ORACLE_SQL["perceptual_matches"] = f"""WITH {_HASHES} SELECT x.key, string_agg(y.key::VARCHAR, ',' ORDER BY y.key) AS matches FROM hashes x JOIN hashes y ON x.dh = y.dh AND x.key <> y.key
+WHERE x.key % 4 = 0 GROUP BY x.key"""
 ORACLE_SQL["manifest_rows"] = f"""WITH plan AS ({ORACLE_SQL["pull_plan"]})
 SELECT CASE WHEN action = 'move' THEN 'moved' ELSE 'dupe' END AS kind, origin, dest AS pool_path, exact_dupe_of, sha256(origin) AS sha256, length(origin)::BIGINT AS size, 5.0::DOUBLE AS at FROM plan
 WHERE action = 'exact_dupe' OR (action = 'move' AND NOT ends_with(origin, '7'))"""
