@@ -134,6 +134,27 @@ def test_png_filters_interlacing_and_broken_files():
 
 
 def test_stream_hashes_once(spark, tree, tmp_path):
+    run = lambda: incremental.hash_new_images(spark, str(tree / "src"), str(tmp_path / "hashes"), str(tmp_path / "cp")).awaitTermination()
     for _ in range(2):
-        incremental.hash_new_images(spark, str(tree / "src/output"), str(tmp_path / "hashes"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "hashes")).count() == 4
+        run()
+    assert sorted(r["rel"] for r in spark.read.parquet(str(tmp_path / "hashes")).collect()) == ["_Incoming/a_small.PNG", "output/a.png", "output/a_copy.png", "output/a_edit.png", "output/b.png"]
+    (tree / "src/_Later").mkdir()
+    (tree / "src/_Later/n.bmp").write_bytes(b"no image")
+    run()
+    rows = {r["rel"]: r for r in spark.read.parquet(str(tmp_path / "hashes")).collect()}
+    assert len(rows) == 6 and rows["_Later/n.bmp"]["error"] and rows["_Later/n.bmp"]["ph"] is None
+    assert rows["output/a_copy.png"]["ph"] == rows["output/a_edit.png"]["ph"] and rows["output/a.png"]["error"] is None
+
+
+def test_families_grow_with_a_stream(spark, tmp_path):
+    rows = [(k, [0, 1, 7, 0xFF00FF00, 0xFF00FF01, -1, -2, 0x123456789ABCDEF, 0, 1 << 40][k]) for k in range(10)]
+    every = spark.createDataFrame(rows, "key long, dh long")
+    state = incremental.FamilyState(spark, str(tmp_path / "state"), 3, ["dh"])
+    for part in (0, 1, 2):
+        every.filter(every["key"] % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        state.add_stream(spark.readStream.schema("key long, dh long").parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+    whole = dupes.families(dupes.pair_edges(every, 3, ["dh"]), 3)
+    order = lambda df: sorted(map(tuple, df.select("family_id", "key", "min_dist").collect()))
+    assert order(state.families()) == order(whole)
+    state.add(every)  # nothing new
+    assert order(state.families()) == order(whole) and state.hashes.read().count() == 10

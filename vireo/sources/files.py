@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from vireo.functions.scalar import has_dot_part, is_image
-
-LISTING = "filepath string, rel string, size long, mtime double, ctime double"
-
+from vireo.sources import tree
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Image files below root: filepath, rel, size, mtime and ctime. Top-level folders are walked by tasks of their own."""
-    root = os.path.abspath(root)
-    tops = sorted(e.name for e in os.scandir(root) if e.is_dir() and not e.name.startswith("."))
-    parts = spark.createDataFrame([(root, "")] + [(root, t) for t in tops], "root string, top string").repartition(min(64, len(tops) + 1))
-
-    def walk(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                for folder, dirs, names in os.walk(os.path.join(r.root, r.top) if r.top else r.root):
-                    dirs[:] = [d for d in dirs if not d.startswith(".")] if r.top else []
-                    for name in names:
-                        path = os.path.join(folder, name)
-                        if os.path.isfile(path):
-                            s = os.stat(path)
-                            rows.append((path, os.path.relpath(path, r.root), s.st_size, s.st_mtime, s.st_ctime))
-            yield pd.DataFrame(rows, columns=["filepath", "rel", "size", "mtime", "ctime"])
-
-    found = parts.mapInPandas(walk, LISTING)
-    return found.filter(is_image(F.col("rel")) & ~has_dot_part(F.col("rel")))
+    """Image files below root: filepath, rel, size, mtime and ctime, by the image_tree source."""
+    tree.register(spark)
+    return spark.read.format("image_tree").load(root)
 
 
 def scannable(rel: Column) -> Column:
