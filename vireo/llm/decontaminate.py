@@ -3,14 +3,18 @@
 A document is contaminated by an item if some passage of it is within floor(EDIT_PERCENT * n / 100) word edits of the item's n
 words. Windows of the item's size are embedded by the CGK random walk (Chakraborty, Goldenberg & Koucky, STOC 2016), which turns
 edit distance into Hamming distance: at step j the walk copies the word it stands on and moves on if a random bit of
-(j, word) is set. Each of TABLES walks is its own hash table: the words at SAMPLES of its steps are the key by which windows meet
-items of their size. The items so met are verified by bit-parallel edit distance around the window, so no result depends on hashing
-alone. A window is embedded only if it shares as many word pairs with items of its size as every match must (n - 1 - 2 * edits:
-one edit spoils two pairs), a bound that loses nothing.
+(j, word) is set. Each walk is a hash table of its own: the words at SAMPLES of its steps are a key by which windows meet items.
+Whatever is met so, and nothing else, is verified by bit-parallel edit distance around the window.
 
-Keys agree ever less as edits grow with an item's length: at the edit limit they find 97 of 100 items of 57 words, 54 of 200 words.
-So keys do not decide alone: where windows passed the bound, word pairs are counted for each item too, and every passage that holds
-as many pairs of an item as a match must is verified. Each match is found, whatever the item's length.
+Two walks that an insertion has put out of step need a while to meet again, so steps agree ever less the longer walks go on: at
+the edit limit one walk over 400 words finds next to nothing. So a window is embedded in pieces of PIECE words and up to twice
+that, at each of which the walk starts anew, with tables of its own. A piece that lies at another place than in the item, as there are
+insertions before it, is met by the window that begins as much later, since there is one at each place. Of the pieces of a match
+one has at most its share of the edits. Longer items have more pieces, and need fewer tables for each: TABLES is chosen by the number of
+pieces, from recall measured at the edit limit (tests hold it at 0.9 or more for items of 5 to 400 words, from keys alone).
+
+A window is embedded only if it shares as many word pairs with items of its size as every match must (n - 1 - 2 * edits: one edit
+spoils two pairs), a bound that loses nothing; where that number isn't positive, all windows are.
 
 Items are taken in blocks of a bounded size, each one pass over the documents. Words are runs of letters and digits, ASCII
 case folded; all else ASCII separates.
@@ -33,11 +37,11 @@ from pyspark.sql import functions as F
 from vireo.llm.common import keyed, materialize, mix, read_table, small_batches, text_bytes, word_hashes
 
 EDIT_PERCENT = 20
-TABLES = 16
+PIECE = 20  # words of a piece, at least, where an item has as many
+TABLES = {1: 28, 2: 20, 3: 14, 4: 12, 5: 10, 6: 8}  # walks for each piece, by the number of pieces; with more pieces as with the most
 SAMPLES = 3
 BLOCK_BYTES = 4 << 20  # of items' text that a task holds
 WINDOWS = 4096  # embedded at a time
-PAIRS = 1 << 20  # places of items' word pairs that are counted together
 _TABLE_BITS = 20
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -80,90 +84,93 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """Begin and length of the pieces of a window of n words: all of one length, PIECE to twice that where n allows; some words may be left at the end."""
+    number = max(1, n // PIECE)
+    return [(p * (n // number), n // number) for p in range(number)]
+
+
+def tables_of(pieces: int) -> int:
+    return TABLES[min(pieces, max(TABLES))]
+
+
 class Index:
     """A block of items, ready to meet windows. Built alike on the driver and in every task."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], percent: int = EDIT_PERCENT, tables: int = TABLES, samples: int = SAMPLES) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], percent: int = EDIT_PERCENT, samples: int = SAMPLES) -> None:
         vocabulary: dict[bytes, int] = {}
         self.items = []
         for item_id, text in items:
             found = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
             if found:
                 self.items.append((item_id, found))
-        self.vocabulary, self.percent, self.tables, self.samples = vocabulary, percent, tables, samples
+        self.vocabulary, self.percent = vocabulary, percent
         self.sizes = sorted({len(x) for _, x in self.items})
         self.longest = max(self.sizes, default=0)
         # hashes of the words, not of their numbers: walks are the same for every block
         self.hash = np.concatenate([np.zeros(1, np.uint64), word_hashes(vocabulary, len(vocabulary))])
+        # lengths of pieces, and the tables that the items with pieces of a length ask for
+        self.lengths: dict[int, int] = {}
+        for size in self.sizes:
+            cut = pieces_of(size)
+            self.lengths[cut[0][1]] = max(self.lengths.get(cut[0][1], 0), tables_of(len(cut)))
+        most, widest = max(self.lengths.values(), default=0), max(self.lengths, default=0)
         rng = np.random.Generator(np.random.PCG64(7))
-        self.walk = rng.integers(0, 1 << 63, (2 * self.longest, tables), dtype=np.uint64)
-        # a walk leaves its window after twice the window's size, on average: steps are sampled up to there
-        sampled = (rng.random((tables, samples)) * 2 * np.array(self.sizes)[:, None, None]).astype(np.int64) if self.sizes else np.zeros((0, tables, samples), np.int64)
-        self.steps = int(sampled.max(initial=0)) + 1
-        self.walk = self.walk[: self.steps]
-        self.sampled = np.zeros((len(self.sizes), self.steps, tables), bool)
-        for k in range(samples):
-            np.put_along_axis(self.sampled, sampled[:, None, :, k], True, axis=1)
-        self.last = self.sampled.any(axis=2).cumsum(axis=1).argmax(axis=1) if self.sizes else np.zeros(0, np.int64)
+        self.walk = rng.integers(0, 1 << 63, (2 * 2 * PIECE, max(TABLES.values())), dtype=np.uint64)[: 2 * widest, :most]
+        place = rng.random((max(TABLES.values()), samples))[:most]
+        # a walk leaves its piece after twice the piece's length, on average: steps are sampled up to there
+        self.sampled = {n: (place[:t] * 2 * n).astype(np.int64) for n, t in self.lengths.items()}
         # word pairs -> the groups of sizes whose items hold them; 64 groups at most
         self.group = {n: k * 64 // max(len(self.sizes), 1) for k, n in enumerate(self.sizes)}
         self.pairs = np.zeros(1 << _TABLE_BITS, np.uint64)
-        self.single: dict[int, list[int]] = defaultdict(list)
-        for at, (_, x) in enumerate(self.items):
+        self.single = np.zeros(len(vocabulary) + 1, bool)
+        for _, x in self.items:
             if len(x) == 1:
-                self.single[x[0]].append(at)
-            elif len(x) > 1:
+                self.single[x[0]] = True
+            else:
                 x = np.array(x)
                 np.bitwise_or.at(self.pairs, self._pair(x[:-1], x[1:]), np.uint64(1 << self.group[len(x)]))
-        # word pairs as numbers, and which items hold each: pair * items + item, sorted
-        self.n_words = np.array([len(x) for _, x in self.items], np.int64)
-        own = [np.unique(self._code(np.array(x[:-1], np.int64), np.array(x[1:], np.int64))) for _, x in self.items]
-        codes = np.concatenate(own) if own else np.zeros(0, np.int64)
-        self.codes, number = np.unique(codes, return_inverse=True)
-        self.holds = np.sort(number * len(self.items) + np.repeat(np.arange(len(own)), [len(x) for x in own]))
-        self.buckets: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(tables)]
-        if self.items:
-            padded = np.zeros((len(self.items), self.longest), np.int64)
-            for at, (_, x) in enumerate(self.items):
-                padded[at, : len(x)] = x
-            for lo in range(0, len(self.items), WINDOWS):
-                part = padded[lo : lo + WINDOWS]
-                keys = self.embed(part, np.array([len(x) for _, x in self.items[lo : lo + WINDOWS]]))
-                for t in range(tables):
-                    for at, key in enumerate(keys[:, t].tolist(), lo):
-                        self.buckets[t][key].append(at)
-        self.known = [np.array(sorted(b), np.uint64) for b in self.buckets]
+        # by length and table: key -> items and where their piece begins
+        self.buckets: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {(n, t): defaultdict(list) for n, tables in self.lengths.items() for t in range(tables)}
+        cut: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for at, (_, x) in enumerate(self.items):
+            for begin, n in pieces_of(len(x)):
+                cut[n].append((at, begin))
+        for n, places in cut.items():
+            for lo in range(0, len(places), WINDOWS):
+                part = places[lo : lo + WINDOWS]
+                keys = self.embed(np.array([self.items[at][1][begin : begin + n] for at, begin in part], np.int64))
+                for k, (at, begin) in enumerate(part):
+                    for t in range(tables_of(len(pieces_of(len(self.items[at][1]))))):
+                        self.buckets[n, t][int(keys[k, t])].append((at, begin))
+        self.known = {k: np.array(sorted(b), np.uint64) for k, b in self.buckets.items()}
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (mix(self.hash[a] * np.uint64(3) + self.hash[b]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
-    def _code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return a * (len(self.vocabulary) + 1) + b
-
-    def embed(self, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """A key per window and table: the walk's words at the table's sampled steps, and the size. Windows of one size are best kept together."""
-        n, t = len(windows), self.tables
-        kind = np.searchsorted(self.sizes, sizes)
-        key = np.repeat(mix(sizes.astype(np.uint64))[:, None], t, axis=1)
-        width = windows.shape[1] + 1
-        # a column of zeros is where a walk waits that has left its window; hashes instead of words
-        hashes = self.hash[np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1)].ravel()
-        at = np.repeat((np.arange(n) * width)[:, None], t, axis=1)
-        end = at + sizes[:, None]
-        for j in range(int(self.last[kind].max(initial=-1)) + 1):
+    def embed(self, pieces: np.ndarray) -> np.ndarray:
+        """A key per piece (row, all of one length) and table: the words of the walk at the table's sampled steps."""
+        n, width = pieces.shape
+        sampled = self.sampled[width]
+        t = len(sampled)
+        key = np.full((n, t), mix(np.array([width], np.uint64))[0])
+        # a column of zeros is where a walk waits that has left its piece; hashes instead of words
+        hashes = self.hash[np.concatenate([pieces, np.zeros((n, 1), np.int64)], axis=1)].ravel()
+        begin = np.repeat((np.arange(n) * (width + 1))[:, None], t, axis=1)
+        at, end = begin.copy(), begin + width
+        for j in range(int(sampled.max(initial=-1)) + 1):
             h = hashes[np.minimum(at, end)]
-            hit = self.sampled[kind, j]
-            if hit.any():
-                key[hit] = mix(key[hit] + h[hit] * np.uint64(5) + np.uint64(j))
-            x = (h ^ self.walk[j]) * np.uint64(0x9E3779B97F4A7C15)
+            for c in np.flatnonzero((sampled == j).any(axis=1)):
+                key[:, c] = mix(key[:, c] + h[:, c] * np.uint64(5) + np.uint64(j))
+            x = (h ^ self.walk[j, :t]) * np.uint64(0x9E3779B97F4A7C15)
             at += ((x ^ (x << np.uint64(29))) >> np.uint64(63)).astype(np.int64)
         return key
 
     def starts(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each size of item, the places where a window may lie within the edits allowed."""
         n = len(ids)
-        if n < 2:
-            return
+        if 1 in self.sizes:
+            yield 1, np.flatnonzero(self.single[ids])
         mask = np.zeros(n, np.uint64)
         both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         mask[both] = self.pairs[self._pair(ids[both], ids[both + 1])]
@@ -173,7 +180,10 @@ class Index:
             if size < 2:
                 continue
             k = edits_allowed(size, self.percent)
-            need = max(1, size - 1 - 2 * k)
+            need = size - 1 - 2 * k
+            if need < 1:
+                yield size, np.arange(n)
+                continue
             own = hits[(marks >> np.uint64(self.group[size])) & np.uint64(1) > 0]
             if len(own) < need:
                 continue
@@ -188,79 +198,44 @@ class Index:
             np.add.at(edge, high + 1, -1)
             yield size, np.flatnonzero(np.cumsum(edge)[:n] > 0)
 
-    def passages(self, ids: np.ndarray, todo: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
-        """Item, begin and end of all passages near the windows of todo that hold as many word pairs of the item as a match must."""
-        if not todo:
-            return
-        edge = np.zeros(len(ids) + 1, np.int64)
-        for size, starts in todo:
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, np.minimum(starts + size + edits_allowed(size, self.percent), len(ids)), -1)
-        near = np.cumsum(edge)[: len(ids) - 1] > 0
-        at = np.flatnonzero(near & (ids[:-1] > 0) & (ids[1:] > 0))
-        code = self._code(ids[at], ids[at + 1])
-        number = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        met = self.codes[number] == code
-        at, number = at[met], number[met] * len(self.items)
-        k = self.n_words * self.percent // 100
-        need, span = np.maximum(1, self.n_words - 1 - 2 * k), self.n_words + k - 2
-        parts = [(0, len(self.items))]
-        while parts:
-            a, b = parts.pop()
-            low = np.searchsorted(self.holds, number + a)
-            n = np.searchsorted(self.holds, number + b) - low
-            total = int(n.sum())
-            if total > PAIRS and b - a > 1:
-                parts += [((a + b) // 2, b), (a, (a + b) // 2)]
-                continue
-            where = np.repeat(at, n)
-            item = self.holds[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)] % len(self.items)
-            order = np.argsort(item, kind="stable")
-            where, item = where[order], item[order]
-            final = np.arange(total) + need[item] - 1
-            fits = final < total
-            final = np.minimum(final, total - 1)
-            fits &= (item[final] == item) & (where[final] - where <= span[item])
-            first, final, item = where[fits], where[final[fits]], item[fits]
-            yield from zip(item.tolist(), (final - span[item]).tolist(), (first + span[item] + 2).tolist(), strict=True)
+    def met(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Item and begin of the windows that have a key in common with the item."""
+        asked: dict[int, np.ndarray] = {}
+        for size, starts in self.starts(ids):
+            cut = pieces_of(size)
+            marks = asked.setdefault(cut[0][1], np.zeros(len(ids), bool))
+            for begin, _ in cut:
+                marks[np.minimum(starts + begin, len(ids) - 1)] = True
+        for length, marks in asked.items():
+            places, reach = np.flatnonzero(marks), np.arange(length)
+            for lo in range(0, len(places), WINDOWS):
+                at = places[lo : lo + WINDOWS]
+                keys = self.embed(ids[np.minimum(at[:, None] + reach, len(ids) - 1)])
+                for t in range(self.lengths[length]):
+                    known = self.known[length, t]
+                    place = np.searchsorted(known, keys[:, t])
+                    for r in np.flatnonzero(known[np.minimum(place, len(known) - 1)] == keys[:, t]) if len(known) else ():
+                        for item, begin in self.buckets[length, t].get(int(keys[r, t]), ()):
+                            yield item, int(at[r]) - begin
 
     def matches(self, docs: list[tuple[int | None, bytes]]) -> list[tuple]:
         """Rows of SCHEMA for a few documents."""
         get = self.vocabulary.get
         gap = self.longest + edits_allowed(self.longest, self.percent) + 1
-        parts, begins, at = [], [], 0
+        parts, begins, at = [np.zeros(gap, np.int64)], [], gap
         for _, text in docs:
             w = words_of(text)
             begins.append((at, len(w)))
             parts += [np.fromiter(map(get, w, repeat(0)), np.int64, len(w)), np.zeros(gap, np.int64)]
             at += len(w) + gap
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        ids = np.concatenate(parts)
         froms = np.array([b for b, _ in begins])
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        todo = list(self.starts(ids))
-        size_of = np.concatenate([np.full(len(s), n) for n, s in todo]) if todo else np.zeros(0, np.int64)
-        start_of = np.concatenate([s for _, s in todo]) if todo else np.zeros(0, np.int64)
-        reach = np.arange(self.longest)
-        for lo in range(0, len(start_of), WINDOWS):
-            s, n = start_of[lo : lo + WINDOWS], size_of[lo : lo + WINDOWS]
-            windows = ids[np.minimum(s[:, None] + reach, len(ids) - 1)]
-            windows[reach[None] >= n[:, None]] = 0
-            keys = self.embed(windows, n)
-            for t in range(self.tables):
-                known = self.known[t]
-                place = np.searchsorted(known, keys[:, t])
-                met = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == keys[:, t])
-                for r in met.tolist():
-                    doc = int(np.searchsorted(froms, s[r], side="right")) - 1
-                    for item in self.buckets[t][int(keys[r, t])]:
-                        k = edits_allowed(int(n[r]), self.percent)
-                        found[doc, item].append((int(s[r]) - k, int(s[r] + n[r]) + 2 * k))
-        for item, a, b in self.passages(ids, todo):
-            found[int(np.searchsorted(froms, (a + b) // 2, side="right")) - 1, item].append((a, b))
-        if self.single:
-            for p in np.flatnonzero(ids):
-                for item in self.single.get(int(ids[p]), ()):
-                    found[int(np.searchsorted(froms, p, side="right")) - 1, item].append((int(p), int(p) + 1))
+        found: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+        for item, begin in self.met(ids):
+            n = len(self.items[item][1])
+            k = edits_allowed(n, self.percent)
+            doc = max(0, int(np.searchsorted(froms, begin + n // 2, side="right")) - 1)
+            found[doc, item].add((begin - k, begin + n + 2 * k))
         out = []
         for (doc, item), near in found.items():
             item_id, words = self.items[item]
@@ -268,7 +243,7 @@ class Index:
             begin, length = begins[doc]
             best = None
             merged: list[list[int]] = []
-            for a, b in sorted(set(near)):
+            for a, b in sorted(near):
                 a, b = max(begin, a), min(begin + length, b)
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
