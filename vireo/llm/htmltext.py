@@ -3,7 +3,8 @@
 A page is cut into blocks (leaves between block-level tags). Each block has the tokens of its tag path (tags, and the words of
 class, id and role), its words, and a few numbers (length, share of links, position). A bidirectional LSTM in numpy reads hashed
 path and word vectors of the whole sequence, so that every block is labelled in view of the whole page; blocks labelled as
-main text are joined in page order.
+main text are joined in page order. Text is kept wherever it stands but in scripts, styles, titles, frames, drawings and form fields: so it
+is in noscript, template, canvas, audio, video and xmp.
 
 The model is trained here, on PAGES pages drawn by rule from TEMPLATES of layouts with known labels (no page of the input is
 used), with a fixed seed: the same weights each time. They take some hundred kilobytes, whatever the input.
@@ -19,7 +20,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,22 +37,24 @@ STEPS = 4096  # blocks whose products are worked out at a time
 HELD = 20_000  # blocks that are held before they are labelled, beside a page that has more
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Left out with all up to their end. What browsers read as raw text goes on to the page's end if nothing closes it; of the others only the tag goes then.
-RAW = frozenset("script style noscript textarea title iframe noframes xmp".split())
-UNSEEN = frozenset("template svg select canvas audio video".split())
+#: Left out with all up to their end, which is the page's end if nothing closes them; xmp shows what is in it as it stands.
+RAW = frozenset("script style textarea title iframe noframes".split())
+SHOWN = "xmp"
+UNSEEN = frozenset("svg select".split())  # left out with all up to their end; only the tag is if nothing closes it
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: What an opening tag closes first, within the given borders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile("[>\"']")
+_ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 @dataclass
 class Block:
-    path: list[str]
+    path: int  # the buckets of its path's tokens as bits, and that of what it stands in
     text: str
     linked: int  # characters within links
 
@@ -59,7 +62,17 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    tokens: list[str] = field(default_factory=list)
+    path: int = 0  # bits of all tokens down to here
+    last: str = ""
+
+
+def _bucket(token: str, buckets: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % buckets
+
+
+@lru_cache(maxsize=50_000)
+def _bit(token: str) -> int:
+    return 1 << _bucket(token, PATH_BUCKETS)
 
 
 def _tokens(tag: str, attrs: str) -> list[str]:
@@ -74,14 +87,54 @@ def _tokens(tag: str, attrs: str) -> list[str]:
     return out
 
 
+class _Scanner:
+    """Where tags end, each place looked at a bounded number of times: what one search has found to lead nowhere no other tries again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self._ends: dict[str, int] = {}
+        self._lost: set[int] = set()  # quotation marks from which no end is reached outside of quotations
+
+    def find(self, text: str, at: int) -> int:
+        """The place of a text from at on, or -1, which is remembered."""
+        if at >= self._ends.get(text, len(self.page) + 1):
+            return -1
+        found = self.page.find(text, at)
+        if found < 0:
+            self._ends[text] = min(at, self._ends.get(text, at))
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The > that ends a tag, outside of quotations if one is; -1 if there is none."""
+        if at > self.last:
+            return -1
+        seen, place = [], at
+        while (m := _STOP.search(self.page, place)) and m.start() not in self._lost:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            if (close := self.find(m[0], m.end())) < 0:
+                break
+            place = close + 1
+        self._lost.update(seen)
+        return self.find(">", at)
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, character references decoded and white space made single spaces."""
+    """The page's blocks of text in order, character references decoded and white space made single spaces.
+
+    Time and memory grow with the page's length: tags are told apart in one pass, open tags are found by name, and a path is a number
+    that an element takes over from the one around it.
+    """
     out: list[Block] = []
     stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of open tags, in the stack
+    framed: list[int] = []  # of those that make blocks
     parts: list[tuple[str, bool]] = []
-    where: list[list[str]] = []
+    where = _Open("")
     links = 0
     unclosed: set[str] = set()
+    scan = _Scanner(page)
 
     def flush() -> None:
         if not parts:
@@ -89,7 +142,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(p.strip()) for p, in_link in parts if in_link)
-            out.append(Block([t for x in where for t in x], text, min(linked, len(text))))
+            out.append(Block(where.path | (_bit("<" + where.last) if where.last else 0), text, min(linked, len(text))))
         parts.clear()
 
     def add(text: str) -> None:
@@ -99,49 +152,85 @@ def blocks(page: str) -> list[Block]:
         if not parts:
             if text.isspace():
                 return
-            where = [x.tokens for x in stack]
+            where = stack[-1] if stack else _Open("")
         parts.append((text, links > 0))
 
     def pop(to: int) -> None:
         nonlocal links
-        for x in stack[to:]:
+        for x in reversed(stack[to:]):
+            places[x.tag].pop()
             if x.tag in BLOCK:
+                framed.pop()
                 flush()
             links -= x.tag == "a"
         del stack[to:]
 
+    def last_of(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def push(tag: str, attrs: str) -> None:
+        nonlocal links
+        tokens = _tokens(tag, attrs)
+        bits = stack[-1].path if stack else 0
+        for t in tokens:
+            if t not in ("html", "body"):
+                bits |= _bit(t)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            framed.append(len(stack))
+        stack.append(_Open(tag, bits, tokens[-1]))
+        links += tag == "a"
+
     at, end = 0, len(page)
     while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
+        start = scan.find("<", at)
+        if start < 0 or start > scan.last:
+            # no tag ends from here on; a comment may begin
+            comment = scan.find("<!--", at)
+            add(page[at : comment if comment >= 0 else end])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None and m[5] is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+        add(page[at:start])
+        if page.startswith("<!--", start):
+            close = min((c for c in (scan.find("-->", start + 4), scan.find("--!>", start + 4)) if c >= 0), default=-1)
+            at = end if close < 0 else page.index(">", close) + 1
             continue
-        closing, tag, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
-        tag = tag.lower()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    pop(k)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+        if page.startswith("<![CDATA[", start) and (close := scan.find("]]>", start)) >= 0:
+            add(page[start + 9 : close])
+            at = close + 3
+            continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.index(">", start) + 1
+            continue
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            add("<")
+            at = start + 1
             continue
-        if tag in RAW or tag in UNSEEN:
+        close = scan.tag_end(m.end())
+        tag, attrs = m[2].lower(), page[m.end() : close]
+        at = close + 1
+        if m[1]:
+            if places.get(tag):
+                pop(places[tag][-1])
+            elif tag in BLOCK:
+                flush()
+            continue
+        if tag in RAW or tag in UNSEEN or tag == SHOWN:
+            if tag == SHOWN:
+                flush()
+                push(tag, attrs)
             if (not attrs.rstrip().endswith("/") or tag != "svg") and tag not in unclosed:
-                close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
-                elif tag in RAW:
-                    at = end
-                else:
+                found = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at, scan.last + 1)
+                if tag == SHOWN:
+                    add(html.escape(page[at : found.start() if found else end], quote=False))
+                if found:
+                    at = found.end()
+                elif tag in UNSEEN:
                     unclosed.add(tag)
+                else:
+                    at = end
+            if tag == SHOWN:
+                pop(places[tag][-1])
             add(" ")
             continue
         if tag == "br" or tag == "wbr":
@@ -149,23 +238,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    pop(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            if framed and stack[framed[-1]].tag == "p":
+                pop(framed[-1])
             if tag in CLOSES:
                 shut, border = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag in border:
-                        break
-                    if stack[k].tag in shut:
-                        pop(k)
-                        break
+                if (k := last_of(shut)) > last_of(border):
+                    pop(k)
         if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
-            stack.append(_Open(tag, _tokens(tag, attrs)))
-            links += tag == "a"
+            push(tag, attrs)
     flush()
     return out
 
@@ -173,22 +253,30 @@ def blocks(page: str) -> list[Block]:
 # --- features -----------------------------------------------------------------------------------------------------------
 
 
-def _bucket(token: str, buckets: int) -> int:
-    return zlib.crc32(token.encode()) % buckets
+PATH_TERMS = 1 << 20  # buckets of paths that are summed at a time
+_FEW = 64
+
+
+def _bits(path: int) -> tuple[int, ...]:
+    held = np.frombuffer(path.to_bytes(PATH_BUCKETS // 8, "little"), np.uint8)
+    return tuple(np.flatnonzero(np.unpackbits(held, bitorder="little")).tolist())
 
 
-@lru_cache(maxsize=100_000)
-def _path_ids(tokens: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple({_bucket(t, PATH_BUCKETS) for t in tokens if t not in ("html", "body")} | {_bucket("<" + tokens[-1], PATH_BUCKETS)})
+_held_bits = lru_cache(maxsize=100_000)(_bits)
 
 
-def features(page: list[Block]) -> tuple[list[tuple[int, ...]], list[np.ndarray], np.ndarray]:
-    """Path buckets, word buckets (all words of a block) and numbers of a page's blocks."""
+def _path_ids(path: int) -> tuple[int, ...]:
+    """The buckets of a path. Those of few buckets, which most are, are remembered."""
+    return _held_bits(path) if path.bit_count() <= _FEW else _bits(path)
+
+
+def features(page: list[Block]) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """Paths (as bits), word buckets (all words of a block) and numbers of a page's blocks."""
     n = len(page)
     numbers = np.zeros((n, NUMBERS), np.float32)
     paths, words = [], []
     for k, b in enumerate(page):
-        paths.append(_path_ids(tuple(b.path)) if b.path else ())
+        paths.append(b.path)
         found = b.text.lower().split(" ")
         words.append(np.fromiter([zlib.crc32(w.encode("utf-8", "replace")) % WORD_BUCKETS for w in found], np.uint8, len(found)))
         size = len(b.text)
@@ -257,22 +345,27 @@ def _lstm_back(dout: np.ndarray, x: np.ndarray, mask: np.ndarray, wx: np.ndarray
     return dz @ wx.T, x.reshape(-1, x.shape[2]).T @ flat, dwh, flat.sum(axis=0)
 
 
-def _inputs(w: dict, pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, tuple]:
+def _inputs(w: dict, pages: list[tuple], train: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Vectors of blocks, and what they were made of, for training. Otherwise the buckets of paths are summed in portions, and not kept."""
     t, b = max(len(p[0]) for p in pages), len(pages)
     x = np.zeros((t, b, PATH_DIM + WORD_DIM + NUMBERS), np.float32)
     mask = np.zeros((t, b, 1), np.float32)
     rows, ids, cells, bags = [], [], [], []
+    flat = np.zeros((t * b, PATH_DIM), np.float32)
     for j, (paths, words, numbers) in enumerate(pages):
         n = len(paths)
         mask[:n, j] = 1
         x[:n, j, PATH_DIM + WORD_DIM :] = numbers
         cells += range(j, n * b + j, b)
         bags += words
-        for k, p in enumerate(paths):
+        for k, p in enumerate(map(_path_ids, paths)):
             rows += [k * b + j] * len(p)
             ids += p
+            if not train and len(ids) > PATH_TERMS:
+                np.add.at(flat, np.array(rows), w["path"][ids])
+                rows.clear()
+                ids.clear()
     rows, ids, cells = (np.array(a, np.int64) for a in (rows, ids, cells))
-    flat = np.zeros((t * b, PATH_DIM), np.float32)
     np.add.at(flat, rows, w["path"][ids])
     x[:, :, :PATH_DIM] = np.tanh(flat).reshape(t, b, PATH_DIM)
     # a block has one word at least: the mean of its words' vectors, a bounded number of words at a time
@@ -286,7 +379,7 @@ def _inputs(w: dict, pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, tuple]
 
 
 def _forward(w: dict, pages: list[tuple], train: bool = False) -> tuple:
-    x, mask, more = _inputs(w, pages)
+    x, mask, more = _inputs(w, pages, train)
     hf, kf = _lstm(x, mask, w["fx"], w["fh"], w["fc"], train)
     hb, kb = _lstm(x[::-1], mask[::-1], w["bx"], w["bh"], w["bc"], train)
     joined = np.concatenate([hf, hb[::-1], x], axis=2)
