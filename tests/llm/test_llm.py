@@ -159,6 +159,23 @@ def test_decontamination(spark, docs, none):
     assert left == {200, 201}
 
 
+def test_whole_licences_are_told_apart(spark):
+    """Whole texts as files have them: wrapped, numbered, with a line of copyright."""
+    import textwrap
+
+    whole = {"BSD-2-Clause": [licenses._BSD, "1. " + licenses._BSD_KEPT.split(". Red")[0] + ".", "2. Red" + licenses._BSD_KEPT.split(". Red")[1], licenses._BSD_LIABILITY]}
+    whole["BSD-3-Clause"] = [*whole["BSD-2-Clause"][:3], "3. " + licenses._BSD_NAMES, licenses._BSD_LIABILITY]
+    parts = {n: [t for m, t in licenses.TEMPLATES if m == n] for n in ("MIT", "ISC", "Zlib")}
+    whole |= {"MIT": [parts["MIT"][4], parts["MIT"][5], licenses._MIT_LIABILITY], "ISC": [parts["ISC"][0], licenses._ISC_LIABILITY], "Zlib": [licenses._ZLIB]}
+    rows = [(k, "Copyright (c) 2021, Some Body\n\n" + "\n\n".join("\n".join(textwrap.wrap(x, 72)) for x in whole[n])) for k, n in enumerate(whole)]
+    rows.append((9, "\n".join(["Some prose.", "Licensed under the BSD 2-Clause License."])))
+    found = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = {k: {r["license"] for r in found if r["doc_id"] == k} for k, _ in rows}
+    for k, n in enumerate(whole):
+        assert n in named[k] and named[k] <= {n, "BSD-2-Clause OR BSD-3-Clause"}, (n, named[k])
+    assert named[9] == {"BSD-2-Clause"}
+
+
 def test_best_match_is_the_least_edit_distance():
     for _ in range(60):
         item, text = [random.randrange(4) for _ in range(random.randrange(1, 9))], [random.randrange(5) for _ in range(random.randrange(0, 14))]

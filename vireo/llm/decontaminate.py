@@ -293,4 +293,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_P
 
 
 def op2_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_words, edits and end_word of all documents that hold an item of the benchmark. Awkward cases: see the module."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

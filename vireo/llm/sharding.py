@@ -129,5 +129,6 @@ def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in SHARDS shards of as many rows, one more or less, along the curve. Awkward cases: see the module."""
     out = hilbert_shards(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
