@@ -159,6 +159,79 @@ def test_decontamination(spark, docs, none):
     assert left == {200, 201}
 
 
+def hilbert_point(d, bits):
+    """The cell of three dimensions that the curve reaches at step d: the curve's definition, bit by bit (Skilling's decoding)."""
+    n, x = 3, [0, 0, 0]
+    for b in range(bits * n):
+        bit = d >> (bits * n - 1 - b) & 1
+        x[b % n] |= bit << (bits - 1 - b // n)
+    t = x[n - 1] >> 1
+    for i in range(n - 1, 0, -1):
+        x[i] ^= x[i - 1]
+    x[0] ^= t
+    q = 2
+    while q != 1 << bits:
+        p = q - 1
+        for i in range(n - 1, -1, -1):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q <<= 1
+    return tuple(x)
+
+
+def test_shards_by_brute_force(spark, tmp_path):
+    """Curve, order, shards and slots recomputed; readers that prune by ranges open few more shards than hold a value; files hold what they should."""
+    bits = 4
+    rng = random.Random(3)
+    rows = [(k, "x" * int(2 ** rng.uniform(0, 9)), rng.choice(["de", "en", "fr", "sv"]), "hot" if rng.random() < 0.3 else f"s{rng.randrange(30):02}", 1, "r", k, "m") for k in range(3000)]
+    rows += [(5000, None, None, None, None, None, None, None), (5001, "", "en", None, 0, "", 0, ""), rows[7], rows[7]]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sharding.hilbert_shards(docs, 24, bits).collect()
+    step = {hilbert_point(d, bits): d for d in range(1 << 3 * bits)}
+    least = {c: sorted({r[k] for r in rows if r[k] is not None}) for c, k in (("source", 3), ("lang", 2))}
+    runs = {c: [v[-(-k * len(v) // min(len(v), 15))] for k in range(min(len(v), 15))] for c, v in least.items()}
+    axis = lambda c, v: 0 if v is None else sum(b <= v for b in runs[c]) * 15 // len(runs[c])
+
+    def place(r):
+        size = len((r[1] or "").encode()) + 8
+        curve = step[axis("source", r[3]), axis("lang", r[2]), min(15, int(math.log2(size) * 8))]
+        return curve, zlib.crc32((r[1] or "").encode()), size, r[0]
+
+    want = sorted(map(place, rows))
+    by_slot = sorted((r["shard"], r["slot"], r["curve"], r["text_crc32"], r["size"], r["doc_id"]) for r in got)
+    assert [r[2:] for r in by_slot] == want
+    n, shard, slot = len(rows), [], []
+    for k in range(n):
+        shard.append(k * 24 // n)
+        slot.append(k - shard.index(shard[-1]))
+    assert [r[:2] for r in by_slot] == list(zip(shard, slot))
+
+
+def test_shards_prune(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, "x" * int(2 ** rng.uniform(3, 12)), rng.choice(["de", "en", "fr", "sv"]), f"s{rng.randrange(20):02}", 1, "r", k, "m") for k in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sharded = sharding.hilbert_shards(docs).cache()
+    ranges = sharding.shard_ranges(sharded).cache()
+    assert ranges.agg(F.sum("n_rows"), F.sum("n_bytes")).first()[:] == (6000, sum(len(r[1]) + 8 for r in rows))
+    opened, holding = 0, 0
+    for s in sorted({r[3] for r in rows}):
+        kept = {r["shard"] for r in sharding.kept_shards(ranges, "source", s, s).collect()}
+        has = {r["shard"] for r in sharded.filter(F.col("source") == s).select("shard").distinct().collect()}
+        assert has <= kept
+        opened, holding = opened + len(kept), holding + len(has)
+    assert opened <= 1.6 * holding and opened / 20 <= 12, (opened, holding)
+    large = sharding.kept_shards(ranges, "size", 3000, 1 << 40).count()
+    assert large <= 14
+    sharding.write_shards(docs, sharded, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 6000 and {(r["shard"], r["doc_id"]) for r in back.select("shard", "doc_id").collect()} == {(r["shard"], r["doc_id"]) for r in sharded.select("shard", "doc_id").collect()}
+
+
 def test_whole_licences_are_told_apart(spark):
     """Whole texts as files have them: wrapped, numbered, with a line of copyright."""
     import textwrap

@@ -2,7 +2,8 @@
 
 Each document becomes a cell of a grid (one axis per dimension), cells are ordered by the Hilbert curve's index, and the
 ordered rows are cut into runs of equal length: law ``rows``, whose shard sizes differ by one at most. Documents that are
-close in every dimension come to lie in the same shards, so that a filter on any dimension skips most files.
+close in every dimension come to lie in the same shards, so that a filter on any dimension skips most files. Categories are coded by
+their rank among the values that occur: files are pruned by least and greatest values, and hashes would not keep the order of those.
 
 The order is total up to equal rows: curve index, text crc32, size, doc_id. So equal texts with equal metadata are
 neighbours. Ranks come from a range partitioning plus one count per partition: no task ever sees all rows.
@@ -67,9 +68,22 @@ def hilbert_column(dims: Sequence[Column], bits: int = BITS) -> Column:
     return index(*[F.coalesce(d.cast("long"), F.lit(0)) for d in dims])
 
 
-def hash_dimension(column: Column, bits: int = BITS) -> Column:
-    """A category as a grid axis: a fixed hash; null is the value 0's."""
-    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(1 << bits))
+def borders(docs: DataFrame, column: str, bits: int = BITS) -> list[str]:
+    """The least values of up to 2^bits runs of a category's distinct values, in the order of strings: so many strings come to the driver at most."""
+    values = docs.select(F.col(column).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
+    placed, total = ranked(values, ["value"])
+    runs = min(total, (1 << bits) - 1)
+    run = F.call_function("div", F.col("rank") * F.lit(runs).cast("long"), F.lit(max(total, 1)).cast("long"))
+    return sorted((r["least"] for r in placed.groupBy(run.alias("run")).agg(F.min("value").alias("least")).collect()), key=lambda v: v.encode())
+
+
+def rank_dimension(column: Column, least: list[str], bits: int = BITS) -> Column:
+    """A category as a grid axis: the run (see borders) that a value falls in, runs spread over the whole axis. The order is that of strings,
+    by which readers prune; null comes first, as it does there."""
+    if not least:
+        return F.lit(0).cast("long")
+    at = F.size(F.filter(F.array(*map(F.lit, least)), lambda v: v <= column.cast("string")))
+    return F.coalesce(F.when(column.isNull(), F.lit(0)).otherwise(at), F.lit(0)).cast("long") * ((1 << bits) - 1) / F.lit(len(least))
 
 
 def log_dimension(column: Column, bits: int = BITS, per_octave: int = 8) -> Column:
@@ -109,12 +123,18 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
         F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
     )
-    curve = hilbert_column([hash_dimension(F.col("source"), bits), hash_dimension(F.col("lang"), bits), log_dimension(F.col("size"), bits)], bits)
+    axes = [rank_dimension(F.col(c), borders(rows, c, bits), bits) for c in ("source", "lang")]
+    curve = hilbert_column([*axes, log_dimension(F.col("size"), bits)], bits)
     placed, total = ranked(rows.withColumn("curve", curve), ["curve", "text_crc32", "size", "doc_id"])
     shard, slot = cut(F.col("rank"), total, shards)
     return placed.withColumn("shard", shard).withColumn("slot", slot).drop("rank")
 
 
+def kept_shards(ranges: DataFrame, column: str, least: object, most: object) -> DataFrame:
+    """Shards that a reader opens for values of a column from least to most: those whose range meets it."""
+    return ranges.filter((F.col(f"max_{column}") >= F.lit(least)) & (F.col(f"min_{column}") <= F.lit(most))).select("shard")
+
+
 def shard_ranges(sharded: DataFrame) -> DataFrame:
     """What a reader prunes by: rows, bytes, and the least and greatest value of each dimension in each shard."""
     ends = [f(c).alias(f"{n}_{c}") for c in ("source", "lang", "size", "curve") for n, f in (("min", F.min), ("max", F.max))]
