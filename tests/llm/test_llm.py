@@ -789,6 +789,33 @@ def test_warc_traps_in_archives(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_with_damaged_and_foreign_records(spark, tmp_path):
+    """What is no record, or is cut short, is flagged; all others of the archives come back."""
+    pages = [(k, "u", f"page {k} " + "y" * 50) for k in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "w"), compression="none")
+    foreign = "WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 4\r\n\r\nabcd"
+    cut, odd = foreign.replace("Length: 4", "Length: 900"), foreign.replace("Length: 4", "Length: many")
+    junk = ["\r\n\r\n".join([cut, ""]), "\r\n\r\n".join([odd, ""]), "no record at all", foreign + "tail\r\n\r\n"]
+    for k, text in enumerate(junk):
+        (tmp_path / f"w/junk{k}.txt").write_bytes(text.encode())
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    good = [r for r in got if r["intact"] and r["page_id"] is not None]
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in good} == {k: h for k, _, h in pages}
+    assert sum(r["record_type"] == "damaged" and not r["intact"] for r in got) >= 3
+
+
+def test_warc_sql_for_null_ids(spark, tmp_path, monkeypatch):
+    big = "z" * 2000
+    pages = [(None, "u", big), (3, "u", big), (None, "u", "w" * 1500), (None, "v", "w" * 1500), (4, None, None), (3, "u", big), (5, "u", "small"), (6, "u", "small")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "read_table", lambda *_: df)
+    con = duckdb.connect()
+    con.sql("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", pages)
+    same(warc.op6_warc_segments(spark, ""), con.sql(warc.ORACLE))
+
+
 def test_warc_segments_that_are_missing_or_too_many():
     part = lambda k, b, total=None: {"origin": "o", "segment": k, "block": b, "total_length": total, "page_id": "1" if k == 1 else None}
     whole = [part(1, b"ab"), part(2, b"cd"), part(3, b"e", 5)]

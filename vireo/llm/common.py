@@ -42,20 +42,25 @@ def _sieve_place(columns: list[str], bits: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(bits))
 
 
-def sieve(rows: DataFrame, columns: list[str], keys: DataFrame, key_columns: list[str], bits: int = SIEVE_BITS) -> DataFrame:
-    """rows whose columns may be among the keys; more than those, but none of those fewer, go on to the join proper.
+def marked(rows: DataFrame, columns: list[str], keys: DataFrame, key_columns: list[str], name: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """rows with a truth value, name: whether the columns may be among the keys; true of more than those, but of none of those false.
 
     The keys are a set of bits of a fixed size, in blocks of 4 KB, which goes to every task: a bound that no input exceeds.
-    Where keys fill it, all rows pass. So texts that nothing asks for are not shuffled.
+    Where keys fill it, all rows are marked.
     """
     block = 1 << 15
     place = _sieve_place(key_columns, bits)
     blocks = keys.select((place / block).cast("long").alias("sv_block"), (place % block).alias("sv_bit"))
     blocks = materialize(blocks.groupBy("sv_block").agg(F.bitmap_construct_agg("sv_bit").alias("sv_bits")))
     at = _sieve_place(columns, bits)
-    marked = rows.withColumn("sv_at", at).join(F.broadcast(blocks), (F.col("sv_at") / block).cast("long") == F.col("sv_block"))
+    met = rows.withColumn("sv_at", at).join(F.broadcast(blocks), (F.col("sv_at") / block).cast("long") == F.col("sv_block"), "left")
     byte = F.conv(F.hex(F.substring("sv_bits", ((F.col("sv_at") % block) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.filter(F.getbit(byte, (F.col("sv_at") % 8).cast("int")) == 1).select(*rows.columns)
+    return met.select(*rows.columns, F.coalesce(F.getbit(byte, (F.col("sv_at") % 8).cast("int")) == 1, F.lit(False)).alias(name))
+
+
+def sieve(rows: DataFrame, columns: list[str], keys: DataFrame, key_columns: list[str], bits: int = SIEVE_BITS) -> DataFrame:
+    """rows whose columns may be among the keys (see marked()): more than those, but none of those fewer, go on to the join proper. So texts that nothing asks for are not shuffled."""
+    return marked(rows, columns, keys, key_columns, "sv_met", bits).filter("sv_met").select(*rows.columns)
 
 
 @functools.cache

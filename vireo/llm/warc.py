@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import materialize, read_table, rows_of, scratch_dir, small_batches
+from vireo.llm.common import marked, materialize, read_table, rows_of, scratch_dir, small_batches
 
 MIN_REVISIT = 1000
 SEGMENT = 1 << 15
@@ -134,9 +134,14 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> No
     rows = rows.withColumn("_digest", F.sha1("payload"))
     # an ordered pair lets null ids lose against all others
     stored = rows.filter(F.length("payload") >= MIN_REVISIT).groupBy("_digest").agg(F.max("page_id").alias("_response"), F.count("*").alias("_n"))
+    stored = materialize(stored.filter("_n > 1").select("_digest", "_response"))
+    # pages with a payload of their own are written where they are read: only those that may share one are joined
+    rows = marked(rows, ["_digest"], stored, ["_digest"], "_shared")
+    own = rows.filter("NOT _shared").withColumn("_response", F.lit(None).cast("long")).select("page_id", "url", "payload", "_response")
     # a payload may be that of any share of the pages: its rows are dealt to SALT tasks
-    stored = materialize(stored.filter("_n > 1").select("_digest", "_response", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(stored, ["_digest", "_salt"], "left")
+    salted = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    shared = rows.filter("_shared").withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["_digest", "_salt"], "left")
+    rows = own.unionByName(shared.select(own.columns))
     revisit = F.col("_response").isNotNull() & (F.length("payload") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("_response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,17 +156,27 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> No
     out.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+DAMAGED = "damaged"
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.M)
 
 
 def parse_records(line: bytes) -> Iterator[tuple]:
-    """Rows of RECORD from a line. A line reader may miss a border at the end of its buffer: what follows a record's stated length is read on."""
+    """Rows of RECORD from a line. A line reader may miss a border at the end of its buffer: what follows a record's stated length is read on.
+
+    What is no record, or not all of one, is a row of type ``damaged`` with the bytes as its block and nothing else, so that the other
+    records of an archive can still be read.
+    """
     while line.strip():
-        row, line = parse_record(line)
-        line = line.removeprefix(b"\r\n\r\n")
-        if line.strip() and not line.startswith(VERSION):
-            raise ValueError(f"{len(line)} bytes follow record {row[1]} that are no record")
+        try:
+            row, rest = parse_record(line)
+        except ValueError:
+            yield (None, None, DAMAGED, None, None, None, None, None, None, line)
+            return
         yield row
+        line = rest.removeprefix(b"\r\n\r\n")
+        if line.strip() and not line.startswith(VERSION):
+            yield (None, None, DAMAGED, None, None, None, None, None, None, line)
+            return
 
 
 def parse_record(line: bytes) -> tuple[tuple, bytes]:
@@ -170,7 +185,7 @@ def parse_record(line: bytes) -> tuple[tuple, bytes]:
         line = line[len(VERSION) :]
     head, sep, block = line.partition(b"\r\n\r\n")
     fields = {k.lower().decode(): v.rstrip(b"\r").decode("utf-8", "replace") for k, v in _FIELD.findall(head)}
-    n = int(fields.get("content-length", -1))
+    n = int(fields.get("content-length", -1))  # ValueError too where it is no number
     if not sep or "warc-type" not in fields or n < 0:
         raise ValueError(f"no record: {line[:80]!r}")
     if n > len(block):
@@ -253,9 +268,9 @@ def payloads(records: DataFrame) -> DataFrame:
         for batch in batches:
             out, good = [], []
             for kind, digest, block, intact in zip(*(batch.column(k).to_pylist() for k in ("record_type", "digest", "block", "intact")), strict=True):
-                if kind == "revisit":
+                if kind in ("revisit", DAMAGED):
                     out.append(None)
-                    good.append(intact)
+                    good.append(intact and kind != DAMAGED)
                     continue
                 head, _, body = block.partition(b"\r\n\r\n")
                 body = dechunked(body) if b"\r\ntransfer-encoding: chunked" in head.lower() else body
@@ -268,11 +283,11 @@ def payloads(records: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, target, record_type, digest, refers_to, intact and payload (null for revisits) of every page in the archives."""
+    """page_id, target, record_type, digest, refers_to, intact and payload (null for revisits) of every page in the archives. What is no record is a row that isn't intact, of type ``damaged``."""
     found = payloads(reassemble(read_records(spark, path)))
     # equal records of repeated rows count as often as they were met
     found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).drop("_copy", "n_copies")
-    return found.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
+    return found.withColumn("page_id", F.col("page_id").try_cast("long")).withColumn("refers_to", F.col("refers_to").try_cast("long"))
 
 
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +311,7 @@ def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
-SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN top <> page_id THEN top END AS refers_to
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
 FROM p LEFT JOIN g USING (d)
 """
