@@ -101,6 +101,14 @@ def test_vault(spark, tmp_path):
     assert v.index(listing(spark, "e.png"))["indexed"] == 1 and max(seen()) == 5
 
 
+def test_full_images(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"bytes of a")
+    v = vault.Vault(spark, str(tmp_path / "v"))
+    v.index(spark.createDataFrame([(str(tmp_path / "a.png"), 10, 1.0, 1.0), (str(tmp_path / "b.png"), 10, 1.0, 1.0)], "filepath string, size long, mtime double, ctime double"))
+    got = {r["id"]: (r["filepath"], None if r["content"] is None else bytes(r["content"])) for r in v.full_images(spark.createDataFrame([(1,), (2,), (9,)], "id long")).collect()}
+    assert got == {1: (str(tmp_path / "a.png"), b"bytes of a"), 2: (str(tmp_path / "b.png"), None), 9: (None, None)}
+
+
 def test_lookups_skip_row_groups(spark, tmp_path):
     v = vault.Vault(spark, str(tmp_path / "v"), {"parquet.block.size": "20000"})
     many = spark.range(20_000).select(F.concat(F.lit("/v/"), F.sha1(F.col("id").cast("string")), F.lit(".png")).alias("filepath"), F.lit(1).alias("size"), F.lit(1.0).alias("mtime"), F.lit(1.0).alias("ctime"))

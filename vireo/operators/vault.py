@@ -17,6 +17,7 @@ from vireo.operators import catalog, review
 from vireo.plans import schema
 from vireo.plans.store import Table
 from vireo.plans.tables import materialize
+from vireo.sources.files import with_content
 
 #: Parquet settings under which a look-up by path or id reads few row groups: Bloom filters, and page and group statistics over sorted paths.
 LOOKUP_OPTIONS = {"parquet.bloom.filter.enabled#filepath": "true", "parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
@@ -60,6 +61,12 @@ class Vault:
     def by_path(self, path: str) -> DataFrame:
         return catalog.by_path(self.images.read(), path)
 
+    def full_images(self, ids: DataFrame) -> DataFrame:
+        """id, filepath and content of images by id (column id): null content where the file is gone, null filepath too where there is no such image."""
+        asked = ids.select("id").distinct()
+        found = with_content(asked.join(self.images.read().select("id", "filepath"), "id")).select("id", "filepath", "content")
+        return asked.join(found, "id", "left")
+
     # changes
 
     def index(self, listing: DataFrame, read: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
