@@ -215,14 +215,27 @@ def cosines() -> list[list[int]]:
 
 
 def low_frequencies(grid: Column) -> Column:
-    """The LOW x LOW lowest coefficients of GRID x GRID values, in whole numbers: the matrix product of cosines, values and cosines."""
-    table = F.array(*(F.array(*(F.lit(c).cast("long") for c in row)) for row in cosines()))
+    """The LOW x LOW lowest coefficients of GRID x GRID values, in whole numbers: the matrix product of cosines, values and cosines.
+
+    A cosine row is the same from both ends, or the same with its sign turned: so values are first added to, and taken from, those at
+    the other end, and products have half the terms.
+    """
+    half = GRID // 2
+    table = lambda first: F.array(*(F.array(*(F.lit(c).cast("long") for c in row[:half])) for row in cosines()[first::2]))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0).cast("long"), lambda acc, v: acc + v)
-    across = lambda line, cos: F.transform(cos, lambda row: dot(line, row))  # noqa: E731  LOW values of a line
+
+    def transformed(values: Column, held: Column) -> Column:
+        """LOW coefficients of GRID values."""
+        ends = lambda v: F.struct(F.slice(v, 1, half).alias("a"), F.reverse(F.slice(v, half + 1, half)).alias("b"))
+        folded = F.transform(F.transform(F.array(values), ends), lambda e: F.struct(F.zip_with(e["a"], e["b"], lambda p, q: p + q).alias("sum"), F.zip_with(e["a"], e["b"], lambda p, q: p - q).alias("less")))
+        each = F.transform(folded, lambda f: F.zip_with(held["even"], held["odd"], lambda c, d: F.array(dot(f["sum"], c), dot(f["less"], d))))
+        return F.flatten(each[0])
+
     # functions of an array's one element: what they take is worked out once. [line][v], then for each v the column over lines
-    made = F.transform(F.array(F.struct(table.alias("cos"), grid.alias("grid"))), lambda s: F.struct(s["cos"].alias("cos"), F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda y: across(F.slice(s["grid"], y * GRID + 1, F.lit(GRID)), s["cos"])).alias("part")))
-    made = F.transform(made, lambda s: F.struct(s["cos"].alias("cos"), F.transform(F.sequence(F.lit(0), F.lit(LOW - 1)), lambda v: F.transform(s["part"], lambda p: F.get(p, v))).alias("columns")))
-    return F.transform(made, lambda s: F.flatten(F.transform(s["cos"], lambda row: F.transform(s["columns"], lambda c: dot(c, row)))))[0]
+    made = F.transform(F.array(F.struct(table(0).alias("even"), table(1).alias("odd"), grid.alias("grid"))), lambda s: F.struct(s["even"].alias("even"), s["odd"].alias("odd"), F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda y: transformed(F.slice(s["grid"], y * GRID + 1, F.lit(GRID)), s)).alias("part")))
+    columns = F.transform(made, lambda s: F.transform(F.sequence(F.lit(0), F.lit(LOW - 1)), lambda v: transformed(F.transform(s["part"], lambda p: F.get(p, v)), s)))
+    # [v][u], by rows u
+    return F.transform(columns, lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LOW - 1)), lambda u: F.transform(c, lambda v: F.get(v, u)))))[0]
 
 
 def phash_grid(grid: Column) -> Column:
