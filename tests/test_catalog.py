@@ -44,7 +44,8 @@ def test_query_matches_sql(spark, duck, name):
 def test_pair_strategies_agree(spark, monkeypatch):
     hashes = adapters.text_hashes(spark, SF).cache()
     for threshold in (9, 20):
-        monkeypatch.setattr(dupes, "BRUTE_ROWS", 40)  # several blocks
+        monkeypatch.setattr(dupes, "BRUTE_ROWS", 40)
+        monkeypatch.setattr(dupes, "TILE_ROWS", 40)  # several blocks
         found = {s: sorted(tuple(r) for r in dupes.pair_edges(hashes, threshold, ["dh"], s).collect()) for s in ("broadcast", "tiled", *(["banded"] if threshold < 16 else []))}
         assert len({repr(x) for x in found.values()}) == 1 and len(found["tiled"]) > 10
     assert [dupes.choose_pair_strategy(n, t) for n, t in ((40, 40), (41, 15), (41, 16))] == ["broadcast", "banded", "tiled"]

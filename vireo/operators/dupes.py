@@ -14,7 +14,9 @@ from vireo.plans.tables import materialize
 MAX_DIST = 40
 BANDS = 4
 CELL = 20_000  # hashes of one band value that a join key has
-BRUTE_ROWS = 20_000  # distinct hashes up to which all pairs are compared on a broadcast side (counted first)
+BRUTE_ROWS = 200_000  # distinct hashes up to which all pairs are compared on a broadcast side of 5 MB at most (counted first): some 3 ns a pair, against a shuffled row for each of 697 probes a band beyond
+SHARE_ROWS = 2_000  # of them that a task compares with all
+TILE_ROWS = 20_000  # hashes of a block, where all pairs are compared in blocks
 
 
 def choose_pair_strategy(distinct: int, threshold: int) -> str:
@@ -81,7 +83,7 @@ def _met(x: DataFrame, y: DataFrame, threshold: int, columns: list[str], strateg
 
 
 def _tiles(n: int) -> int:
-    return max(1, -(-n // BRUTE_ROWS))
+    return max(1, -(-n // TILE_ROWS))
 
 
 def pair_edges(hashes: DataFrame, threshold: int, columns: list[str], strategy: str | None = None) -> DataFrame:
@@ -95,14 +97,14 @@ def pair_edges(hashes: DataFrame, threshold: int, columns: list[str], strategy:
     groups = materialize(hashes.groupBy(*columns).agg(F.min("key").alias("g")))
     distinct = groups.count()
     strategy = strategy or choose_pair_strategy(distinct, threshold)
-    met = _halved(groups, threshold, columns) if strategy == "broadcast" else _met(groups, groups, threshold, columns, strategy, _tiles(distinct))
+    met = _halved(groups.repartition(max(1, distinct // SHARE_ROWS)), groups, threshold, columns) if strategy == "broadcast" else _met(groups, groups, threshold, columns, strategy, _tiles(distinct))
     copies = hashes.select("key", *columns).join(groups, columns).filter("key <> g").select(F.col("g").alias("a"), F.col("key").alias("b"), F.lit(0).alias("d"))
     return met.unionAll(copies)
 
 
-def _halved(groups: DataFrame, threshold: int, columns: list[str]) -> DataFrame:
-    """Pairs of few groups, each looked at once."""
-    x, y = groups.alias("x"), F.broadcast(groups).alias("y")
+def _halved(x: DataFrame, y: DataFrame, threshold: int, columns: list[str]) -> DataFrame:
+    """Pairs of few groups, each looked at once. x and y are the same groups, x dealt to tasks."""
+    x, y = x.alias("x"), F.broadcast(y).alias("y")
     return x.join(y, (F.col("x.g") < F.col("y.g")) & (_distance(columns) <= threshold)).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), _distance(columns).alias("d"))
 
 
