@@ -3,6 +3,7 @@
 Every round is two joins and two aggregations with map-side minima, written to the shared folder, so no task or driver ever
 holds a component and a lost executor costs one round at most. A table of up to ONE_TASK pairs (counted first: 32 MB) is
 small enough for one executor task, and takes one pass there instead of rounds of shuffles. Both ways give the same rows.
+Of larger tables, each task first puts as many links as its rows have nodes in place of its pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from vireo.plans.tables import materialize
 
 ONE_TASK = 2_000_000
+PORTION = 1_000_000  # pairs that a task holds at most before it thins them out
 MAX_ROUNDS = 64  # the rounds needed grow with the square of the logarithm of the longest path, in theory
 
 
@@ -60,12 +62,38 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[lo : lo + (1 << 16)]), pa.array(root[lo : lo + (1 << 16)])], names=["node", "root"])
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the pairs join: each node with its least one."""
+    node, root = roots_of(a, b)
+    return node[node != root], root[node != root]
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n > PORTION:
+            a, b = _stars(*(np.concatenate(c) for c in zip(*held)))
+            held, n = [(a, b)], len(a)
+            if n > PORTION // 2:  # little is joined here
+                yield out(a, b)
+                held, n = [], 0
+    if held:
+        yield out(*_stars(*(np.concatenate(c) for c in zip(*held))))
+
+
 def connected_components(pairs: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node and root (the component's least node) of every node in the pairs a, b of a written table (longs, any order, repeats allowed)."""
     pairs = pairs.filter("a <> b")
     if pairs.limit(one_task + 1).count() <= one_task:
         return pairs.select("a", "b").coalesce(1).mapInArrow(_in_one_task, "node long, root long")
-    edges = materialize(_oriented(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))))
+    pairs = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    pairs = materialize(pairs.mapInArrow(_thinned, "a long, b long"))
+    if pairs.limit(one_task + 1).count() <= one_task:
+        return pairs.coalesce(1).mapInArrow(_in_one_task, "node long, root long")
+    edges = materialize(_oriented(pairs))
     for _ in range(MAX_ROUNDS):
         edges = materialize(_oriented(_small_star(_oriented(_large_star(edges)))))
         # done when each node hangs on one root, and no root hangs on another
