@@ -395,6 +395,34 @@ def test_language_model_gradients():
             assert abs((ends[0] - ends[1]) / 2e-5 - g[name].ravel()[k]) < 1e-4, name
 
 
+def test_attention_by_class():
+    """Weights looked up by pairs of classes are those of each pair of places, where inputs are padding and where exponentials would be too large too."""
+    rng = np.random.default_rng(8)
+    size, width = lmscore.BLOCK, lmscore.WIDTH
+    keys = rng.integers(0, lmscore.CLASSES, (4, 2 * size))
+    keys[0, :size], keys[1, size + 3 :], keys[2] = lmscore.PAD, lmscore.PAD, lmscore.PAD
+    for scale in (1, 40):
+        w = {k: x.astype(np.float64) for k, x in lmscore.initial().items()}
+        w["kv"][:, :width] *= scale
+        w["qr"][:, :width] *= scale
+        w["near"] += rng.normal(0, 0.3, w["near"].shape)
+        tables = lmscore.by_class(w)
+        assert tables[4] == (scale > 1)
+        want = np.zeros((4, size, width))
+        for b in range(4):
+            for i in range(size):
+                q, r = np.split(w["qr"][keys[b, size + i]], 2)
+                attended, total = np.zeros(width), 1e-20
+                for j in range(size + i + 1):
+                    if keys[b, j] != lmscore.PAD:
+                        k, v = np.split(w["kv"][keys[b, j]], 2)
+                        e = np.exp(min(q @ k + w["near"][size + i - j], 30))
+                        attended, total = attended + e * v, total + e
+                want[b, i] = np.tanh(attended / total @ w["a"] + w["b"] + r)
+        for got in (lmscore.hidden(w, keys)[0], lmscore.hidden(w | {"by_class": tables}, keys)[0], lmscore.hidden(w, keys, True)[0]):
+            assert np.allclose(got.reshape(want.shape), want, atol=1e-9)
+
+
 def test_spelling_sums_to_one():
     """After each subword, the steps to all subwords and to the word's end have a probability of one together."""
     rng = np.random.default_rng(4)

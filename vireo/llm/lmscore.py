@@ -242,31 +242,42 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(x.shape[:-1])
 
 
+def by_class(w: dict) -> tuple:
+    """What hidden() looks up: exponentials of what each class of query gives each class of key (0 for padding), and those of distances, of which the product is a weight; values led through ``a``; and what is added to them.
+
+    There are far fewer pairs of classes than pairs of places in a batch, so products and exponentials are worked out by class.
+    """
+    pairs = w["qr"][:, :WIDTH] @ w["kv"][:, :WIDTH].T
+    near = np.where(_CAUSAL, w["near"][_DISTANCE], _FAR)
+    steep = pairs.max() + near.max() > 30
+    pairs[:, PAD] = _FAR
+    if not steep:
+        pairs, near = np.exp(pairs), np.exp(near)
+    return pairs, near, w["kv"][:, WIDTH:] @ w["a"], w["qr"][:, WIDTH:] + w["b"], steep
+
+
 def hidden(w: dict, keys: np.ndarray, train: bool = False) -> tuple:
-    """keys: (blocks, 2 * BLOCK) input classes, the second half being the queries: hidden state of each query, and what training needs."""
+    """keys: (blocks, 2 * BLOCK) input classes, the second half being the queries: hidden state of each query, and what training needs. w may hold by_class() of its weights."""
     asked = keys[:, BLOCK:]
-    out = w["qr"].copy()
-    out[:, WIDTH:] += w["b"]
-    kv, qr = w["kv"].take(keys, axis=0), out.take(asked, axis=0)
-    k, v, q = kv[:, :, :WIDTH], kv[:, :, WIDTH:], qr[:, :, :WIDTH]
-    across = np.ascontiguousarray((kv if train else k).transpose(0, 2, 1))  # products with a copy are faster than with a view
-    s = q @ across[:, :WIDTH]
-    s += np.where(_CAUSAL, w["near"][_DISTANCE], _FAR)
-    empty = keys == PAD
-    short = np.flatnonzero(empty.any(axis=1))  # few blocks are at a text's border
-    s[short] += np.where(empty[short], _FAR, np.float32(0))[:, None, :]
-    if s.max(initial=0) > 30:
-        np.minimum(s, 30, out=s)
-    e = np.exp(s, out=s)
+    pairs, near, values, rest, steep = w["by_class"] if "by_class" in w else by_class(w)
+    at = (asked * (CLASSES + 1))[:, :, None] + keys[:, None, :]
+    e = pairs.take(at, mode="clip")  # faster than with bounds looked at
+    if steep:  # logarithms yet
+        e += near
+        np.exp(np.minimum(e, 30, out=e), out=e)
+    else:
+        e *= near
     total = _sums(e)[:, :, None] + np.float32(1e-20)
+    v = values.take(keys, axis=0)
     if train:
         e /= total
     attended = e @ v
     if not train:
         attended /= total
-    h = attended.reshape(-1, WIDTH) @ w["a"]
-    h += qr[:, :, WIDTH:].reshape(-1, WIDTH)
-    return np.tanh(h, out=h), (asked, q, k, across[:, WIDTH:], e, attended) if train else asked
+    h = rest.take(asked, axis=0)
+    h += attended
+    h = h.reshape(-1, WIDTH)
+    return np.tanh(h, out=h), (asked, at, v, e, attended) if train else asked
 
 
 def _by_group(w: dict, fixed: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
@@ -338,7 +349,7 @@ def _less_target(z: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: bool) -
 
 def gradients(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray, loss: bool = True) -> tuple[float, dict]:
     """Mean loss (0 unless asked for) and its gradients; targets may hold PAD where nothing is asked."""
-    h, (asked, q, k, v, e, attended) = hidden(w, keys, True)
+    h, (asked, at, v, e, attended) = hidden(w, keys, True)
     x, y = asked.ravel(), targets.ravel()
     use = y != PAD
     weight = use / np.float32(max(int(use.sum()), 1))
@@ -358,20 +369,17 @@ def gradients(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray, loss:
     np.multiply(h, h, out=h)
     pre = np.multiply(back, np.subtract(1, h, out=h), out=back)
     g["b"] = np.ones(len(pre), pre.dtype) @ pre
-    g["a"] = attended.reshape(-1, WIDTH).T @ pre
-    da = (pre @ w["a"].T).reshape(attended.shape)
-    de = da @ v
+    da = pre.reshape(attended.shape)
+    de = da @ v.transpose(0, 2, 1)
     de -= _sums(da * attended)[:, :, None]  # what de sums to under e
     ds = np.multiply(de, e, out=de)
     g["near"] = np.bincount(_DISTANCE.ravel(), weights=np.where(_CAUSAL, ds.sum(axis=0), 0).ravel(), minlength=2 * BLOCK).astype(np.float32)
-    rows = np.empty((*keys.shape, 2 * WIDTH), ds.dtype)
-    np.matmul(ds.transpose(0, 2, 1), q, out=rows[:, :, :WIDTH])
-    np.matmul(e.transpose(0, 2, 1), da, out=rows[:, :, WIDTH:])
-    g["kv"] = _summed(keys, rows, w["kv"])
-    rows = np.empty((*asked.shape, 2 * WIDTH), ds.dtype)
-    np.matmul(ds, k, out=rows[:, :, :WIDTH])
-    rows[:, :, WIDTH:] = pre.reshape(attended.shape)
-    g["qr"] = _summed(asked, rows, w["qr"])
+    q, k, v = w["qr"][:, :WIDTH], w["kv"][:, :WIDTH], w["kv"][:, WIDTH:]
+    pairs = np.bincount(at.ravel(), weights=ds.ravel(), minlength=(CLASSES + 1) ** 2).astype(ds.dtype).reshape(CLASSES + 1, -1)
+    values = _summed(keys, e.transpose(0, 2, 1) @ da, v)
+    g["a"] = v.T @ values
+    g["kv"] = np.concatenate([pairs.T @ q, values @ w["a"].T], axis=1)
+    g["qr"] = np.concatenate([pairs @ k, _summed(asked, pre, q)], axis=1)
     return -(first + second), g
 
 
@@ -468,9 +476,10 @@ class Model:
         target = target.reshape(-1, BLOCK)
         own = np.delete(np.arange(len(by_row)), rows[:-1])
         out, opened = (np.zeros(by_row.shape, np.float32) for _ in range(2))
+        weights = self.weights | {"by_class": by_class(self.weights)}
         for lo in range(0, len(own), CHUNK):
             r = own[lo : lo + CHUNK]
-            out[r], opened[r] = log_probabilities_and_openings(self.weights, self.fixed, np.concatenate([by_row[r - 1], by_row[r]], axis=1), target[r], opening)
+            out[r], opened[r] = log_probabilities_and_openings(weights, self.fixed, np.concatenate([by_row[r - 1], by_row[r]], axis=1), target[r], opening)
         out, opened = (x.ravel().astype(np.float64) / np.log(10) for x in (out, opened))
         return out, opened, place, begin + sizes
 
