@@ -470,6 +470,23 @@ def test_language_model_score_by_hand(spark):
         assert abs(got[k]["attention_score"] - alone) < 1e-3 * (1 + abs(alone)) and abs(got[k]["score"] - mixed) < 1e-3 * (1 + abs(mixed))
 
 
+def test_whole_texts_lie_apart_from_segments(spark):
+    """Ids of whole texts are a column of their own, so that rounds of training, which read segments, don't read those too; segments are small numbers where outcomes are looked up."""
+    texts = ["the cat sat on the mat", "", "unseenword the " * 900]
+    rows = spark.createDataFrame([(k, t.encode(), k == 0) for k, t in enumerate(texts)], "doc_id long, text binary, held_out boolean")
+    seen = lmscore._seen(rows, lmscore.VOCABULARY, True)
+    assert seen.columns == ["kind", "key", "n", "segment", "whole"]
+    found = seen.collect()
+    assert all((r["segment"] is not None) == (r["kind"] == lmscore.TEXT) and (r["whole"] is not None) == (r["kind"] == lmscore.WHOLE) for r in found)
+    subwords = lmscore.Subwords()
+    whole = {r["key"]: np.frombuffer(bytes(r["whole"]), "<u2").tolist() for r in found if r["kind"] == lmscore.WHOLE}
+    assert whole == {k: subwords.encode(t.split() and [w.encode() for w in t.split()])[0].tolist() for k, t in enumerate(texts)}
+    of = np.arange(lmscore.N_IDS) % lmscore.CLASSES
+    for r in found:
+        if r["kind"] == lmscore.TEXT:
+            assert np.array_equal(lmscore.windows_of(bytes(r["segment"]), of), lmscore.windows_of(bytes(r["segment"]), of.astype(np.uint16)))
+
+
 def test_attention_reads_every_subword(spark, tmp_path, monkeypatch):
     """The query trains on a window for every BLOCK subwords, not words, and asks for each subword and end mark."""
     texts = [prose(700), "", "antidisestablishmentarianism " * 90, "Unseen\u00a0 \u00a0words x"]

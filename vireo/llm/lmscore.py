@@ -72,7 +72,7 @@ TASK_LEARNERS = 8  # learners of a task
 RATE = 0.01
 FLUSH = 400_000  # distinct words that a task holds
 CHUNK = 256  # blocks that are scored together
-TOGETHER = 1 << 20  # bytes of texts whose words are looked up together
+TOGETHER = 1 << 16  # bytes of texts whose words are looked up together, few enough for the processor's cache
 FOLDS, HELD_OUT = 7, 2
 
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # a fixed value: the vocabulary's word pattern
@@ -252,7 +252,7 @@ def by_class(w: dict) -> tuple:
     steep = pairs.max() + near.max() > 30
     pairs[:, PAD] = _FAR
     if not steep:
-        pairs, near = np.exp(pairs), np.exp(near)
+        pairs, near = np.exp(pairs, out=pairs), np.exp(near)
     return pairs, near, w["kv"][:, WIDTH:] @ w["a"], w["qr"][:, WIDTH:] + w["b"], steep
 
 
@@ -260,7 +260,8 @@ def hidden(w: dict, keys: np.ndarray, train: bool = False) -> tuple:
     """keys: (blocks, 2 * BLOCK) input classes, the second half being the queries: hidden state of each query, and what training needs. w may hold by_class() of its weights."""
     asked = keys[:, BLOCK:]
     pairs, near, values, rest, steep = w["by_class"] if "by_class" in w else by_class(w)
-    at = (asked * (CLASSES + 1))[:, :, None] + keys[:, None, :]
+    at = np.repeat((asked * (CLASSES + 1)).ravel(), 2 * BLOCK).reshape(*asked.shape, -1)
+    at += keys[:, None, :]
     e = pairs.take(at, mode="clip")  # faster than with bounds looked at
     if steep:  # logarithms yet
         e += near
@@ -287,8 +288,10 @@ def _by_group(w: dict, fixed: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray)
     ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
     hs = h.take(order, axis=0)
     z = fixed["pair2"].take((x * GROUPS + group)[order], axis=0)
-    for g in range(GROUPS):
-        z[ends[g] : ends[g + 1]] += hs[ends[g] : ends[g + 1]] @ w["out2"][g]
+    own, ends = np.empty_like(z), ends.tolist()
+    for lo, hi, out in zip(ends, ends[1:], w["out2"]):
+        np.matmul(hs[lo:hi], out, out=own[lo:hi])
+    z += own
     return order, ends, hs, z
 
 
@@ -301,17 +304,16 @@ def log_probabilities_and_openings(w: dict, fixed: dict, keys: np.ndarray, targe
     """As log_probabilities(), and the logarithm of the probability of all groups from ``opening`` on, where each target is asked for."""
     h, asked = hidden(w, keys)
     x, y = asked.ravel(), targets.ravel()
-    rows = np.arange(len(y))
     z = h @ w["out1"]
     z += fixed["pair1"].take(x, axis=0)
-    out = z[rows, y // SIZE]
+    out = z.take(np.arange(0, z.size, GROUPS) + y // SIZE)
     sides = np.ones((GROUPS, 2), z.dtype)
     sides[:opening, 1] = 0
     total, opened = np.log(np.exp(z, out=z) @ sides).T
     out -= total
     opened = opened - total
     order, _, _, z = _by_group(w, fixed, h, x, y)
-    inner = z[rows, y[order] & SIZE - 1]
+    inner = z.take(np.arange(0, z.size, SIZE) + (y[order] & SIZE - 1))
     inner -= np.log(_sums(np.exp(z, out=z)))
     out[order] += inner
     return out.reshape(targets.shape), opened.reshape(targets.shape)
@@ -361,10 +363,9 @@ def gradients(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray, loss:
     p, second = _less_target(z, y[order] & SIZE - 1, weight[order], loss)
     g["out2"] = np.zeros_like(w["out2"])
     inner = np.empty_like(hs)
-    for c in range(GROUPS):
-        part = slice(ends[c], ends[c + 1])
-        g["out2"][c] = hs[part].T @ p[part]
-        inner[part] = p[part] @ w["out2"][c].T
+    for c, part in enumerate(map(slice, ends, ends[1:])):
+        np.matmul(hs[part].T, p[part], out=g["out2"][c])
+        np.matmul(p[part], w["out2"][c].T, out=inner[part])
     back += inner.take(_inverse(order), axis=0)
     np.multiply(h, h, out=h)
     pre = np.multiply(back, np.subtract(1, h, out=h), out=back)
@@ -375,7 +376,8 @@ def gradients(w: dict, fixed: dict, keys: np.ndarray, targets: np.ndarray, loss:
     ds = np.multiply(de, e, out=de)
     g["near"] = np.bincount(_DISTANCE.ravel(), weights=np.where(_CAUSAL, ds.sum(axis=0), 0).ravel(), minlength=2 * BLOCK).astype(np.float32)
     q, k, v = w["qr"][:, :WIDTH], w["kv"][:, :WIDTH], w["kv"][:, WIDTH:]
-    pairs = np.bincount(at.ravel(), weights=ds.ravel(), minlength=(CLASSES + 1) ** 2).astype(ds.dtype).reshape(CLASSES + 1, -1)
+    pairs = np.zeros((CLASSES + 1, CLASSES + 1), ds.dtype)
+    np.add.at(pairs.reshape(-1), at.ravel(), ds.ravel())  # in its own precision: bincount() turns all into float64 first
     values = _summed(keys, e.transpose(0, 2, 1) @ da, v)
     g["a"] = v.T @ values
     g["kv"] = np.concatenate([pairs.T @ q, values @ w["a"].T], axis=1)
@@ -521,7 +523,7 @@ def fit(training: DataFrame, vocabulary: str = VOCABULARY, every: bool = False)
 def _seen(rows: DataFrame, vocabulary: str, every: bool) -> DataFrame:
     """What one reading of texts gives, as a written table (see _read_rows())."""
     small_batches(rows.sparkSession)
-    return materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_read_rows(vocabulary, every), "kind byte, key long, n long, segment binary"))
+    return materialize(rows.select("doc_id", "text", "held_out").mapInArrow(_read_rows(vocabulary, every), "kind byte, key long, n long, segment binary, whole binary"))
 
 
 def _learned(seen: DataFrame, vocabulary: str, every: bool) -> tuple[Model, DataFrame]:
@@ -535,7 +537,7 @@ def _learned(seen: DataFrame, vocabulary: str, every: bool) -> tuple[Model, Data
     else:
         classes = Classes(ids, first)
     segments = seen.filter(F.col("kind") == TEXT).select("segment", "key", "n")
-    of = classes.of
+    of = classes.of.astype(np.uint16)  # a quarter of the memory to go through, and a pair of outcomes is such a number too
 
     def pairs_of(batch: pa.RecordBatch) -> np.ndarray:
         own = [outcomes_of(x, of)[x[0] :] for x in batch.column(0).to_pylist()]
@@ -571,11 +573,11 @@ def _table(rows: DataFrame, size: int, places) -> np.ndarray:
 
 
 def _read_rows(vocabulary: str, every: bool = False):
-    """One reading of texts: of training texts, counts of words (by hash) and ids, and segments, with their keys and numbers of windows. every: segments are of all ids, and each text, held out or not, is given as its ids, two bytes each, beside its doc_id; else segments are of first ids, and these and steps of spelling are counted too."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("segment", pa.binary())])
+    """One reading of texts: of training texts, counts of words (by hash) and ids, and segments, with their keys and numbers of windows. every: segments are of all ids, and each text, held out or not, is given as its ids, two bytes each, beside its doc_id, in a column of their own, as segments are read several times; else segments are of first ids, and these and steps of spelling are counted too."""
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64()), ("segment", pa.binary()), ("whole", pa.binary())])
 
     def counted(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n), pa.nulls(len(key), pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n), *[pa.nulls(len(key), pa.binary())] * 2], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
@@ -595,12 +597,12 @@ def _read_rows(vocabulary: str, every: bool = False):
                     found.append(data)
                     keys.append(xxhash.xxh3_64_intdigest(f"{doc_ids[k]} {place} ".encode() + data) >> 1)  # copies in other documents are dealt elsewhere
                     windows.append(-(-((len(data) - 1) // 2 - 1 - data[0]) // BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), TEXT, np.int8)), pa.array(keys, pa.int64()), pa.array(windows, pa.int64()), pa.array(found, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), TEXT, np.int8)), pa.array(keys, pa.int64()), pa.array(windows, pa.int64()), pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], schema=schema)
             if every:
                 others = [k for k, x in enumerate(held) if x]
                 asked += reader.asked(*reader.look_up([texts[k] for k in others]))
                 whole = pa.array([x.astype("<u2").tobytes() for x in asked], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(whole), WHOLE, np.int8)), pa.array([doc_ids[k] for k in learnt + others], pa.int64()), pa.nulls(len(whole), pa.int64()), whole], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(whole), WHOLE, np.int8)), pa.array([doc_ids[k] for k in learnt + others], pa.int64()), pa.nulls(len(whole), pa.int64()), pa.nulls(len(whole), pa.binary()), whole], schema=schema)
         yield from (counted(*x) for x in reader.counts())
         if ends:
             yield counted(FIRST, np.array([STOP]), np.array([ends]))
@@ -946,7 +948,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, every: bool =
     if every:
         seen = _seen(rows, vocabulary, every)
         model, counts = _learned(seen, vocabulary, every)
-        whole = seen.filter(F.col("kind") == WHOLE).select(F.col("key").alias("doc_id"), F.col("segment").alias("text")).withColumn("held_out", held_out())
+        whole = seen.filter(F.col("kind") == WHOLE).select(F.col("key").alias("doc_id"), F.col("whole").alias("text")).withColumn("held_out", held_out())
     else:
         model, counts = fit(training, vocabulary)
         whole = rows.select("doc_id", "text", "held_out")
