@@ -487,6 +487,21 @@ def test_whole_texts_lie_apart_from_segments(spark):
             assert np.array_equal(lmscore.windows_of(bytes(r["segment"]), of), lmscore.windows_of(bytes(r["segment"]), of.astype(np.uint16)))
 
 
+def test_scorer_asks_for_texts_own_ids():
+    """Outcomes asked for of texts given as ids are those of their words, and in order, over several groups and empty texts too."""
+    rng = np.random.default_rng(3)
+    subwords = lmscore.subwords(lmscore.VOCABULARY)
+    ids, _ = subwords.encode([w.encode() for w in prose(400).split()])
+    model = lmscore.SubwordModel(lmscore.initial(), {}, lmscore.Outcomes(np.bincount(ids, minlength=lmscore.N_IDS), subwords.opens))
+    scorer = lmscore.SubwordScorer(model, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, lmscore.VOCABULARY)
+    starts = np.append(np.flatnonzero(subwords.opens[ids]), len(ids))
+    texts = [b"", *(np.concatenate([ids[starts[k] : starts[k + n]] for k in rng.integers(0, len(starts) - n, 2000)]).astype("<u2").tobytes() for n in (1, 20, 3)), b""]
+    assert sum(map(len, texts)) > lmscore.TOGETHER
+    for _ in range(2):
+        _, w = scorer.read(texts)
+        assert all(np.array_equal(a, b) for a, b in zip(scorer.outcomes(w), scorer.parts.of(w), strict=True))
+
+
 def test_attention_reads_every_subword(spark, tmp_path, monkeypatch):
     """The query trains on a window for every BLOCK subwords, not words, and asks for each subword and end mark."""
     texts = [prose(700), "", "antidisestablishmentarianism " * 90, "Unseen\u00a0 \u00a0words x"]

@@ -281,6 +281,12 @@ def hidden(w: dict, keys: np.ndarray, train: bool = False) -> tuple:
     return np.tanh(h, out=h), (asked, at, v, e, attended) if train else asked
 
 
+@functools.lru_cache(maxsize=4)
+def _starts(rows: int) -> np.ndarray:
+    """Where rows of logits of groups, or within one, begin; to be read only."""
+    return np.arange(0, rows * SIZE, SIZE)
+
+
 def _by_group(w: dict, fixed: dict, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
     """Targets in the order of their groups, the borders of groups, and hidden states and logits within the group in that order."""
     group = (y // SIZE).astype(np.uint8)
@@ -306,14 +312,14 @@ def log_probabilities_and_openings(w: dict, fixed: dict, keys: np.ndarray, targe
     x, y = asked.ravel(), targets.ravel()
     z = h @ w["out1"]
     z += fixed["pair1"].take(x, axis=0)
-    out = z.take(np.arange(0, z.size, GROUPS) + y // SIZE)
+    out = z.take(_starts(len(z)) + y // SIZE)
     sides = np.ones((GROUPS, 2), z.dtype)
     sides[:opening, 1] = 0
     total, opened = np.log(np.exp(z, out=z) @ sides).T
     out -= total
     opened = opened - total
     order, _, _, z = _by_group(w, fixed, h, x, y)
-    inner = z.take(np.arange(0, z.size, SIZE) + (y[order] & SIZE - 1))
+    inner = z.take(_starts(len(z)) + (y[order] & SIZE - 1))
     inner -= np.log(_sums(np.exp(z, out=z)))
     out[order] += inner
     return out.reshape(targets.shape), opened.reshape(targets.shape)
@@ -340,7 +346,7 @@ def _summed(at: np.ndarray, rows: np.ndarray, like: np.ndarray) -> np.ndarray:
 
 def _less_target(z: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: bool) -> tuple[np.ndarray, float]:
     """Softmax of logits less one at the target, weighted; and, if asked for, the weighted sum of the targets' log probabilities."""
-    at = np.arange(0, z.size, z.shape[1]) + y
+    at = _starts(len(z)) + y
     own = float(z.ravel()[at] @ weight) if loss else 0.0
     p = np.exp(z, out=z)
     total = _sums(p)
@@ -893,6 +899,10 @@ class Scorer(Lexicon):
         for name, x in (("frequent", known), ("log", np.log10(times + 1)), ("share", times / self.total), ("spelled", spelled)):
             setattr(self, name, _behind(getattr(self, name), n, x))
 
+    def outcomes(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What attention is asked for of the words that read() gave, and how many each has."""
+        return self.parts.of(w)
+
     def __call__(self, texts: list[bytes]) -> tuple:
         """For each text: words, words that are frequent, their log10 sum, the model's score, as if other words were not met in training, and the network's alone; hashes of the other words, and the log10 probability of each's every occurrence."""
         if self.n > FLUSH:
@@ -903,7 +913,7 @@ class Scorer(Lexicon):
         frequent = self.frequent[w]
         known = np.bincount(text, weights=frequent, minlength=len(texts)).astype(np.int64)
         logs = np.bincount(text, weights=self.log[w], minlength=len(texts))
-        by_word, end = self.model.scores(*self.parts.of(w), sizes)
+        by_word, end = self.model.scores(*self.outcomes(w), sizes)
         by_word += self.spelled[w]
         attention = end + np.bincount(text, weights=by_word, minlength=len(texts))
         both = np.log(np.exp(by_word * np.log(10)) + self.share[w] + 1e-300) / np.log(10)
@@ -923,12 +933,13 @@ class SubwordScorer(Scorer):
     """As Scorer, of texts that are given as their ids, as _read_rows() gives them: so texts are cut into subwords once, not twice."""
 
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        each = []
+        each, self.held = [], []
         for group in _groups(texts):
             ids = np.frombuffer(b"".join(group), "<u2").astype(np.int64)
             opens = self.subwords.opens[ids]
             starts = np.flatnonzero(opens)
             size = np.diff(np.append(starts, len(ids)))
+            self.held.append((self.model.classes.of[ids], size))
             h, n = word_keys(ids, size), self.n
             x, first = self._number(h)
             if len(first):
@@ -938,6 +949,10 @@ class SubwordScorer(Scorer):
             each += np.split(x, words[np.cumsum([len(t) // 2 for t in group])[:-1]])
         return each, np.concatenate(each) if each else np.zeros(0, np.int64)
 
+    def outcomes(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the texts' own ids, as they stand: no look-up by word."""
+        return tuple(np.concatenate(x) for x in zip(*self.held)) if self.held else self.parts.of(w)
+
 
 def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, every: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document. every: attention over all subwords."""
